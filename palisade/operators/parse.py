@@ -210,45 +210,52 @@ def parse_logs(lines: DataFrame, parser: str | Column | None = None) -> DataFram
         row_id = F.xxhash64("line", "ingest_ts")
 
     line = F.col("line")
+
+    def cleaned(groups: Column) -> Column:
+        return F.transform(groups, lambda x: F.when(~x.isin("", "-"), x))
+
     base = lines.select(
         row_id.alias("id"), "line", "ingest_ts",
         F.when(fmt == "Nginx", "nginx").when(fmt == "Ssh", "ssh").otherwise("apache").alias("_parser"),
     )
     base = base.withColumn(
         "_g",
-        F.when(F.col("_parser") == "nginx", captures(line, _NGINX, _GROUPS["nginx"]))
-        .when(F.col("_parser") == "ssh", captures(line, _SSH, _GROUPS["ssh"]))
-        .otherwise(captures(line, _APACHE, _GROUPS["apache"])),
+        cleaned(
+            F.when(F.col("_parser") == "nginx", captures(line, _NGINX, _GROUPS["nginx"]))
+            .when(F.col("_parser") == "ssh", captures(line, _SSH, _GROUPS["ssh"]))
+            .otherwise(captures(line, _APACHE, _GROUPS["apache"]))
+        ),
     )
 
-    def starts(parser_name: str, group: int) -> Column:
+    def starts(parser_name: str, layout: str, mark: str) -> Column:
+        """The line matched, through the alternative whose ``mark`` is set."""
         return (
             (F.col("_parser") == parser_name)
             & (F.size("_g") == _GROUPS[parser_name] + 1)
-            & (F.get("_g", F.lit(group)) != "")
+            & F.get("_g", F.lit(_LAYOUT[layout][mark])).isNotNull()
         )
 
     base = base.withColumn(
         "_kind",
-        F.when(starts("apache", 0), "apache_combined")
-        .when(starts("apache", 9), "apache_common")
+        F.when(starts("apache", "apache_combined", "time"), "apache_combined")
+        .when(starts("apache", "apache_common", "time"), "apache_common")
         .when(F.col("_parser") == "apache", "apache_unknown")
-        .when(starts("nginx", 0), "nginx_custom")
-        .when(starts("nginx", 11), "nginx_access")
-        .when(starts("nginx", 21), "nginx_error")
+        .when(starts("nginx", "nginx_custom", "time"), "nginx_custom")
+        .when(starts("nginx", "nginx_access", "time"), "nginx_access")
+        .when(starts("nginx", "nginx_error", "time"), "nginx_error")
         .when(F.col("_parser") == "nginx", "nginx_generic")
-        .when(starts("ssh", 0), "ssh_auth")
+        .when(starts("ssh", "ssh_auth", "auth_outcome"), "ssh_auth")
         .otherwise("ssh"),
     )
 
     kind = F.col("_kind")
 
     def group(field: str) -> Column:
-        found = [
-            F.when(kind == k, F.get("_g", F.lit(layout[field])))
-            for k, layout in _LAYOUT.items() if field in layout
-        ]
-        return _dash_to_null(F.coalesce(*found))
+        place = F
+        for k, layout in _LAYOUT.items():
+            if field in layout:
+                place = place.when(kind == k, layout[field])
+        return F.get("_g", place)
 
     direct = sorted({f for layout in _LAYOUT.values() for f in layout} - {"status", "request_line", "time", "method", "path", "protocol"})
     base = base.select(

@@ -1,0 +1,11 @@
+"""Skew-safe plan helpers and the registered queries."""
+
+from importlib import import_module
+
+MODULES = ["q_parse"]
+
+
+def load_all() -> None:
+    """Import every module that registers queries."""
+    for name in MODULES:
+        import_module(f"palisade.plans.{name}")
