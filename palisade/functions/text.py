@@ -30,6 +30,17 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def settle(value: Column) -> Column:
+    """``value``, computed once where it is projected.
+
+    Spark pushes a filter below a deterministic projection by repeating the
+    projected expression inside the filter.  Through the layers of a parser
+    that doubles the work per layer; a projection that mentions the partition
+    id is left where it is.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def contains_any(text: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from palisade.functions import rules as R
 from palisade.functions.text import (
-    captures, contains_any, extract_ip, let, words_found,
+    captures, contains_any, extract_ip, let, settle, words_found,
 )
 from palisade.schema import PARSED, severity_rank
 
@@ -326,6 +326,10 @@ def _to_events(base: DataFrame) -> DataFrame:
         source_ip.alias("source_ip"), F.col("line").alias("raw_message"), parsed.alias("parsed"),
         event_type.alias("event_type"), iocs.alias("iocs"),
     )
+    # columns are settled so that filters on events never repeat the parser
+    out = out.select("id", "raw_message", *[
+        settle(F.col(c)).alias(c) for c in ("ts", "source", "severity", "source_ip", "parsed", "event_type", "iocs")
+    ])
     return out.select(
         "id", "ts", "source", "severity", severity_rank(F.col("severity")).alias("severity_rank"),
         "source_ip", "raw_message", "parsed", "event_type", "iocs", F.to_date("ts").alias("event_date"),

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["q_parse"]
+MODULES = ["q_parse", "q_query", "q_reports"]
 
 
 def load_all() -> None:

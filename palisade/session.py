@@ -11,6 +11,8 @@ from pyspark.sql import SparkSession
 #: counts are left to AQE: it coalesces small shuffles and splits skewed ones.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
+    # plain TIMESTAMP on read, so that time filters reach the Parquet scan
+    "spark.sql.parquet.inferTimestampNTZ.enabled": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

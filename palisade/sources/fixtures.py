@@ -49,7 +49,9 @@ FROM e
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    zoneless = {c: F.col(c).cast("timestamp") for c, t in df.dtypes if t == "timestamp_ntz"}
+    return spread(df.withColumns(zoneless) if zoneless else df)
 
 
 def spread(df: DataFrame) -> DataFrame:
