@@ -50,12 +50,18 @@ def running(
 
 
 def previous_rows(
-    df: DataFrame, keys: list[str], order: list[str], value: Column, k: int, *, ts: str,
-    out: str = "prev", width: int = HOUR,
+    df: DataFrame, keys: list[str], order: list[str], value: Column, k: int, *, ts: str | None = None,
+    out: str = "prev", width: int = HOUR, bucket: Column | None = None,
 ) -> DataFrame:
-    """Add the ``value`` of up to ``k`` preceding rows of the key, oldest first."""
+    """Add the ``value`` of up to ``k`` preceding rows of the key, oldest first.
+
+    Rows are split by time, or by ``bucket``, which must never decrease along
+    ``order``.
+    """
     cells = [*keys, "_bucket"]
-    rows = df.withColumn("_bucket", _bucket(F.col(ts), width)).withColumn("_value", value)
+    if bucket is None:
+        bucket = _bucket(F.col(ts), width)
+    rows = df.withColumn("_bucket", bucket).withColumn("_value", value)
     newest = Window.partitionBy(*cells).orderBy(*[F.desc(c) for c in order])
     oldest = Window.partitionBy(*cells).orderBy(*order)
     tails = (
