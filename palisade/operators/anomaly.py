@@ -1,5 +1,518 @@
-"""placeholder"""
-from pyspark.sql import functions as F
-def whitelist_patterns(marked):
-    ip = marked.where(F.col("source_ip").rlike(r"^(192\.168\.|10\.)")).groupBy("source_ip").agg(F.count("*").alias("times_matched"))
-    return ip.select(F.lit("internal_ip").alias("pattern_type"), F.col("source_ip").alias("pattern_value"), F.lit(0.9).alias("confidence"), "times_matched")
+"""Statistical anomaly detection: features, fitted models, scores, feedback."""
+
+from __future__ import annotations
+
+from dataclasses import asdict, dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from palisade.functions import dimensions as D, rules as R
+from palisade.functions.text import contains_any, count_chars, is_private_ip, text_entropy
+from palisade.operators.parse import user_agent
+from palisade.operators.query import ago, at
+from palisade.plans.running import Sliding, previous_rows, running, sliding
+
+# Feature names in vector order.
+FEATURES = [
+    "log_request_size", "log_response_size", "log_response_time", "status_code_normalized", "payload_entropy",
+    "log_special_chars", "keyword_matches",
+    "log_requests_last_hour", "log_requests_last_10min", "log_time_since_last", "request_interval_variance",
+    "hour_of_day", "day_of_week",
+    "user_agent_entropy", "user_agent_length", "user_agent_uncommon", "path_entropy", "path_length", "path_depth",
+    "query_strings_count", "parameters_count", "suspicious_chars_count", "referer_entropy", "referer_length",
+    "is_private_ip", "ip_class", "protocol_risk_score", "method_risk_score",
+    "user_agent_deviation", "path_deviation", "method_deviation", "request_size_deviation", "response_time_deviation",
+]
+# Risk points of protocols and methods.
+PROTOCOL_SCORES = {"HTTP/1.1": 1.0, "HTTP/1.0": 2.0, "HTTP/2.0": 0.5}
+METHOD_SCORES = {
+    "GET": 1.0, "POST": 1.5, "PUT": 2.0, "DELETE": 2.5, "OPTIONS": 3.0, "HEAD": 1.2, "TRACE": 4.0, "CONNECT": 4.0}
+# Model settings.
+THRESHOLD, MIN_SAMPLES, RETRAIN_HOURS, KEEP_SAMPLES, CLUSTERS, ROUNDS = 0.7, 1000, 6, 5000, 3, 10
+
+_SPECIAL = R.SPECIAL_CHARS[1:-1].replace("\\[", "[").replace("\\]", "]").replace("\\\\", "\\")
+_SUSPICIOUS = R.SUSPICIOUS_PATH_CHARS[1:-1]
+
+
+# --- features ---------------------------------------------------------------
+
+def ml_inputs(events: DataFrame) -> DataFrame:
+    """The fourteen inputs of the feature extractors."""
+    p = F.col("parsed")
+    return events.select(
+        "id", "ts", F.coalesce("source_ip", F.lit("")).alias("source_ip"),
+        F.octet_length("raw_message").cast("long").alias("request_size"),
+        F.coalesce(p["body_bytes"].try_cast("long"), F.lit(0)).alias("response_size"),
+        F.floor(p["response_time"].try_cast("double") * 1000).cast("long").alias("response_time_ms"),
+        p["status_code"].alias("status_code"), user_agent(events).alias("user_agent"),
+        p["method"].alias("method"), p["path"].alias("path"), p["protocol"].alias("protocol"), p["referer"].alias("referer"),
+        text_entropy(F.col("raw_message")).alias("payload_entropy"),
+        count_chars(F.col("raw_message"), _SPECIAL).cast("long").alias("special_char_count"),
+        F.size("iocs").cast("long").alias("keyword_matches"))
+
+
+def basic_features() -> dict[str, Column]:
+    c = F.col
+    return {
+        "log_request_size": F.log(c("request_size") + 1.0), "log_response_size": F.log(c("response_size") + 1.0),
+        "log_response_time": F.log(F.coalesce(c("response_time_ms"), F.lit(100)) + 1.0),
+        "status_code_normalized": F.coalesce(c("status_code"), F.lit(200)) / 1000.0,
+        "payload_entropy": c("payload_entropy"), "log_special_chars": F.log(c("special_char_count") + 1.0),
+        "keyword_matches": c("keyword_matches").cast("double"),
+    }
+
+
+def payload_features() -> dict[str, Column]:
+    ua, path, ref = F.col("user_agent"), F.col("path"), F.col("referer")
+
+    def of(value: Column, number: Column) -> Column:
+        return F.when(value.isNotNull(), number.cast("double")).otherwise(F.lit(0.0))
+
+    return {
+        "user_agent_entropy": of(ua, text_entropy(ua)), "user_agent_length": of(ua, F.octet_length(ua)),
+        "user_agent_uncommon": F.when(contains_any(ua, R.COMMON_AGENT_WORDS), 0.0).otherwise(F.lit(1.0)),
+        "path_entropy": of(path, text_entropy(path)), "path_length": of(path, F.octet_length(path)),
+        "path_depth": of(path, count_chars(path, "/")), "query_strings_count": of(path, count_chars(path, "?")),
+        "parameters_count": of(path, count_chars(path, "&")),
+        "suspicious_chars_count": of(path, count_chars(path, _SUSPICIOUS)),
+        "referer_entropy": of(ref, text_entropy(ref)), "referer_length": of(ref, F.octet_length(ref)),
+    }
+
+
+def network_features() -> dict[str, Column]:
+    ip, protocol, method = F.col("source_ip"), F.col("protocol"), F.col("method")
+    octet = F.substring_index(ip, ".", 1).try_cast("int")
+    ip_class = (
+        F.when(octet.between(1, 126), 1.0).when(octet.between(128, 191), 2.0).when(octet.between(192, 223), 3.0)
+        .when(octet.between(224, 239), 4.0).when(octet.between(240, 255), 5.0).otherwise(F.lit(0.0))
+    )
+    protocols, methods = F, F
+    for name, score in PROTOCOL_SCORES.items():
+        protocols = protocols.when(protocol == name, score)
+    for name, score in METHOD_SCORES.items():
+        methods = methods.when(method == name, score)
+    return {
+        "is_private_ip": is_private_ip(ip).cast("double"), "ip_class": ip_class,
+        "protocol_risk_score": protocols.when(protocol.startswith("HTTP"), 3.0).otherwise(F.lit(4.0)),
+        "method_risk_score": methods.otherwise(F.lit(3.0)),
+    }
+
+
+def temporal_features(inputs: DataFrame) -> DataFrame:
+    """(id, six features) of each address's request rhythm."""
+    rows = inputs.select("id", "ts", "source_ip")
+    counted = sliding(rows, ["source_ip"], windows=[
+        Sliding("hour_n", 3600, True, F.lit(True)), Sliding("ten_n", 600, False, F.lit(True))]).select("id", "hour_n", "ten_n")
+    near = previous_rows(rows, ["source_ip"], ["ts", "id"], F.col("ts"), 9, ts="ts")
+    times = F.concat(F.filter("prev", lambda t: t >= F.col("ts") - F.expr("INTERVAL 1 HOUR")), F.array("ts"))
+    near = near.withColumn("times", times)
+    last = F.size("times") - 1
+    gaps = F.transform(
+        F.sequence(F.lit(1), last),
+        lambda i: F.floor((F.unix_micros(F.get("times", i)) - F.unix_micros(F.get("times", i - 1))) / 1_000_000).cast("double"))
+    near = near.withColumn("gaps", F.when(last >= 1, gaps).otherwise(F.array().cast("array<double>")))
+    n = F.size("gaps")
+    near = near.withColumn("mean", F.aggregate("gaps", F.lit(0.0), lambda a, g: a + g) / n)
+    spread = F.sqrt(F.aggregate("gaps", F.lit(0.0), lambda a, g: a + (g - F.col("mean")) * (g - F.col("mean"))) / n)
+    cap = F.lit(1000)
+    return near.join(counted, "id").select(
+        "id", F.log(F.least("hour_n", cap).cast("double")).alias("log_requests_last_hour"),
+        F.log(F.least("ten_n", cap).cast("double")).alias("log_requests_last_10min"),
+        F.when(n >= 1, F.log(F.get("gaps", n - 1) + 1.0)).otherwise(F.lit(0.0)).alias("log_time_since_last"),
+        F.when(n >= 2, spread).otherwise(F.lit(0.0)).alias("request_interval_variance"),
+        (F.hour("ts") / 24.0).alias("hour_of_day"), (F.weekday("ts") / 7.0).alias("day_of_week"))
+
+
+def _exponential_deviation(inputs: DataFrame, value: str, out: str, terms: int = 53) -> DataFrame:
+    """(id, out): distance from avg = (avg + x) / 2, started at 0, own value included.
+
+    A value ``terms`` rows back weighs 2**-terms, below double precision.
+    """
+    rows = inputs.where(F.col(value).isNotNull()).select("id", "ts", "source_ip", F.col(value).cast("double").alias("x"))
+    near = previous_rows(rows, ["source_ip"], ["ts", "id"], F.col("x"), terms, ts="ts")
+    avg = F.aggregate(F.concat("prev", F.array("x")), F.lit(0.0), lambda a, x: (a + x) / 2.0)
+    near = near.withColumn("avg", avg)
+    away = F.when(F.col("avg") > 0, F.least(F.abs(F.col("x") - F.col("avg")) / F.col("avg"), F.lit(10.0)))
+    return near.select("id", F.coalesce(away, F.lit(0.0)).alias(out))
+
+
+def _rarity(inputs: DataFrame, value: str, out: str) -> DataFrame:
+    """(id, out): 1 - share of the value among the address's values so far."""
+    known = inputs.where(F.col(value).isNotNull()).select("id", "ts", "source_ip", F.col(value).alias("v"))
+    same = running(known, ["source_ip", "v"], ["ts", "id"], ts="ts", sums={"same": F.lit(1)}).select("id", "same")
+    total = running(known, ["source_ip"], ["ts", "id"], ts="ts", sums={"total": F.lit(1)}).select("id", "total")
+    return same.join(total, "id").select("id", (1.0 - F.col("same") / F.col("total")).alias(out))
+
+
+def behavior_features(inputs: DataFrame) -> DataFrame:
+    """(id, five features) of how unusual an event is for its address."""
+    out = inputs.select("id")
+    for value, name, missing in (
+        ("user_agent", "user_agent_deviation", 1.0), ("path", "path_deviation", 0.5), ("method", "method_deviation", 0.5)):
+        out = out.join(_rarity(inputs, value, name), "id", "left").withColumn(name, F.coalesce(name, F.lit(missing)))
+    for value, name in (("request_size", "request_size_deviation"), ("response_time_ms", "response_time_deviation")):
+        out = out.join(_exponential_deviation(inputs, value, name), "id", "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+    return out
+
+
+def feature_table(inputs: DataFrame) -> DataFrame:
+    """id, ts, source_ip and all features as columns."""
+    own = inputs.select("id", "ts", "source_ip", *[
+        c.alias(n) for part in (basic_features(), payload_features(), network_features()) for n, c in part.items()])
+    return own.join(temporal_features(inputs), "id").join(behavior_features(inputs), "id")
+
+
+def feature_vector(inputs: DataFrame) -> DataFrame:
+    """id, ts, source_ip, features: all features in order as one array."""
+    return feature_table(inputs).select("id", "ts", "source_ip", F.array(*FEATURES).alias("features"))
+
+
+# --- training samples -------------------------------------------------------
+
+def collect_training(vectors: DataFrame, scored: DataFrame | None = None, keep: int | None = KEEP_SAMPLES) -> DataFrame:
+    """Samples (id, ts, source_ip, features, event_type, label); newest ``keep``."""
+    out = vectors.select("id", "ts", "source_ip", "features", F.lit("web_request").alias("event_type"))
+    if scored is None:
+        out = out.withColumn("label", F.lit(None).cast("boolean"))
+    else:
+        out = out.join(scored.select("id", F.col("is_anomaly").alias("label")), "id", "left")
+    return out.orderBy(F.desc("ts"), F.desc("id")).limit(keep) if keep else out
+
+
+def mark_false_positive(feedback: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Feedback on events as negative samples with the events' own features."""
+    marked = feedback.select(F.col("event_id").alias("id")).distinct()
+    return vectors.join(marked, "id").select(
+        "id", "ts", "source_ip", "features", F.concat(F.lit("marked_fp_"), F.col("id").cast("string")).alias("event_type"),
+        F.lit(False).alias("label"))
+
+
+def whitelist_patterns(negatives: DataFrame) -> DataFrame:
+    """Internal addresses and clean-file types among negative samples."""
+    ip = negatives.where(F.col("source_ip").rlike(r"^(192\.168\.|10\.)")).groupBy("source_ip").agg(F.count("*").alias("times_matched"))
+    out = ip.select(F.lit("internal_ip").alias("pattern_type"), F.col("source_ip").alias("pattern_value"), F.lit(0.9).alias("confidence"), "times_matched")
+    clean = negatives.where(F.col("event_type").contains("clean file")).groupBy("event_type").agg(F.count("*").alias("times_matched"))
+    return out.unionByName(clean.select(
+        F.lit("clean_file_upload").alias("pattern_type"), F.col("event_type").alias("pattern_value"), F.lit(0.95).alias("confidence"), "times_matched"))
+
+
+def _per_feature(samples: DataFrame, size: int, **fns) -> DataFrame:
+    """(feature, one column per aggregate) from one pass without exploding."""
+    row = samples.agg(*[f(F.get("features", F.lit(i))).alias(f"{n}_{i}") for n, f in fns.items() for i in range(size)])
+    return row.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("feature"), *[F.col(f"{n}_{i}").alias(n) for n in fns]) for i in range(size)])))
+
+
+def feature_stats(samples: DataFrame, size: int = len(FEATURES)) -> DataFrame:
+    """Mean, deviation, range and 95th percentile of every feature."""
+    return _per_feature(
+        samples, size, mean=F.avg, std_dev=F.stddev_pop, min=F.min, max=F.max,
+        p95=lambda c: F.percentile(c, 0.95))
+
+
+def fit_fp_thresholds(samples: DataFrame, size: int = len(FEATURES)) -> DataFrame:
+    """Mean + 2 sigma of every feature over samples known to be harmless."""
+    parts = _per_feature(samples.where("label = false"), size, mean=F.avg, sigma=F.stddev_pop)
+    return parts.select("feature", (F.col("mean") + 2 * F.col("sigma")).alias("threshold"))
+
+
+def fit_baseline(samples: DataFrame, size: int = len(FEATURES)) -> DataFrame:
+    return _per_feature(_normal(samples), size, baseline=F.avg)
+
+
+def _normal(samples: DataFrame) -> DataFrame:
+    return samples.where(F.col("label").isNull() | ~F.col("label"))
+
+
+def distance(features: Column, center: list[float]) -> Column:
+    total = F.lit(0.0)
+    for i, c in enumerate(center):
+        diff = F.get(features, F.lit(i)) - F.lit(float(c))
+        total = total + diff * diff
+    return F.sqrt(total)
+
+
+def _nth_samples(samples: DataFrame, ranks: list[int]) -> list[list[float]]:
+    """Features of the rows at given places in (ts, id) order.
+
+    Hourly counts tell which hour holds a place; only that hour is sorted.
+    """
+    hours = samples.groupBy(F.date_trunc("hour", "ts").alias("h")).agg(F.count("*").alias("n")).orderBy("h").collect()
+    out = []
+    for rank in ranks:
+        left = rank
+        for row in hours:
+            if left < row["n"]:
+                one = samples.where(F.date_trunc("hour", "ts") == F.lit(row["h"])).orderBy("ts", "id").offset(left).limit(1)
+                out.append([float(x) for x in one.first()["features"]])
+                break
+            left -= row["n"]
+    return out
+
+
+def fit_clusters(samples: DataFrame, k: int = CLUSTERS, rounds: int = ROUNDS) -> tuple[list[list[float]], float]:
+    """Centres and distance threshold (twice the mean nearest distance).
+
+    Lloyd's rounds from the samples at i*n/k; each round is one aggregation,
+    and only the centres come back.  A centre nobody is near becomes zero.
+    """
+    normal = _normal(samples).select("id", "ts", "features").persist()
+    try:
+        n = normal.count()
+        if n == 0:
+            raise ValueError("no normal samples to fit on")
+        centers = _nth_samples(normal, [i * n // k for i in range(k)])
+        size = len(centers[0])
+        for _ in range(rounds):
+            near = F.array(*[distance(F.col("features"), c) for c in centers])
+            placed = normal.withColumn("_d", near).withColumn("c", F.array_position("_d", F.array_min("_d")) - 1)
+            means = placed.groupBy("c").agg(*[F.avg(F.get("features", F.lit(i))).alias(f"m{i}") for i in range(size)]).collect()
+            found = {r["c"]: [r[f"m{i}"] for i in range(size)] for r in means}
+            centers = [found.get(i, [0.0] * size) for i in range(k)]
+        nearest = F.least(*[distance(F.col("features"), c) for c in centers])
+        threshold = 2.0 * normal.agg(F.avg(nearest)).first()[0]
+    finally:
+        normal.unpersist()
+    return centers, threshold
+
+
+def fit_signatures(samples: DataFrame) -> DataFrame:
+    """Signatures of harmless samples with how often and when last seen.
+
+    ``raw_log`` says what was requested.
+    """
+    log = F.col("raw_log")
+    marks = [("GET", "GET:"), ("POST", "POST:"), ("clean file", "CLEAN_FILE:"), ("success", "SUCCESS:"), ("/api/", "API:")]
+    print_ = F.concat(*[F.when(log.contains(w), m).otherwise("") for w, m in marks])
+    octets = F.split("source_ip", r"\.")
+    network = F.when(F.size(octets) >= 3, F.concat(F.array_join(F.slice(octets, 1, 3), "."), F.lit(".*"))).otherwise(F.col("source_ip"))
+    rounded = F.transform("features", lambda x: (x * 1000.0).cast("long"))
+    return samples.where("label = false").groupBy(
+        F.xxhash64(rounded).alias("features_hash"), network.alias("source_pattern"), "event_type", print_.alias("payload_fingerprint"),
+    ).agg(F.count("*").alias("marked_fp_count"), F.max("ts").alias("last_seen"))
+
+
+# --- model ------------------------------------------------------------------
+
+@dataclass
+class Model:
+    """A fitted model: a few numbers per feature, whatever the data size."""
+
+    thresholds: list[float]
+    baseline: list[float]
+    centers: list[list[float]]
+    distance_threshold: float
+    means: list[float]
+    deviations: list[float]
+    has_whitelist: bool
+    samples: int
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([asdict(self)], (
+            "thresholds array<double>, baseline array<double>, centers array<array<double>>, distance_threshold double, "
+            "means array<double>, deviations array<double>, has_whitelist boolean, samples long"))
+
+    @classmethod
+    def load(cls, table: DataFrame) -> "Model":
+        return cls(**table.first().asDict())
+
+
+def train_model(samples: DataFrame, min_samples: int = MIN_SAMPLES) -> Model:
+    """Fit every part of the model; an error when samples are too few."""
+    count = samples.count()
+    if count < min_samples:
+        raise ValueError(f"insufficient training samples: {count} < {min_samples}")
+    size = len(samples.select("features").first()[0])
+
+    def column(table: DataFrame, name: str) -> list[float]:
+        return [r[name] for r in table.orderBy("feature").collect()]
+
+    centers, threshold = fit_clusters(samples)
+    stats = feature_stats(samples, size).orderBy("feature").collect()
+    thresholds = column(fit_fp_thresholds(samples, size), "threshold")
+    return Model(
+        thresholds=thresholds, baseline=column(fit_baseline(samples, size), "baseline"),
+        centers=centers, distance_threshold=threshold, means=[r["mean"] for r in stats],
+        deviations=[r["std_dev"] for r in stats],
+        has_whitelist=not whitelist_patterns(samples.where("label = false")).isEmpty(), samples=count)
+
+
+def score_fp(features: Column, thresholds: list[float | None], has_whitelist: bool) -> Column:
+    """How harmless a sample looks: share of features within their thresholds."""
+    known = [(i, t) for i, t in enumerate(thresholds) if t is not None]
+    if known:
+        within = F.lit(0)
+        for i, t in known:
+            within = within + (F.get(features, F.lit(i)) <= float(t)).cast("int")
+        share = within / float(len(known))
+    else:
+        share = F.lit(0.5)
+    return F.least(share * 0.7 + (0.3 if has_whitelist else 0.0) * 0.3, F.lit(1.0))
+
+
+def score_anomaly(features: Column, centers: list[list[float]], distance_threshold: float, baseline: list[float]) -> Column:
+    nearest = F.least(*[distance(features, c) for c in centers])
+    away = F.lit(0.0)
+    for i, b in enumerate(baseline):
+        away = away + F.abs((F.get(features, F.lit(i)) - float(b)) / (float(b) + 1.0))
+    return F.least(F.least(nearest / distance_threshold, F.lit(2.0)) * 0.6 + away / float(len(baseline)) * 0.4, F.lit(1.0))
+
+
+def score_untrained(features: Column) -> Column:
+    mean = F.aggregate(features, F.lit(0.0), lambda a, x: a + x) / F.size(features)
+    return F.greatest(F.least(mean / 10.0, F.lit(1.0)), F.lit(0.0))
+
+
+def ensemble_score(fp: Column, anomaly: Column, voting: bool = True) -> Column:
+    if voting:
+        other = F.greatest(F.least((anomaly * 0.7 - fp * 0.8) / 0.7, F.lit(1.0)), F.lit(0.0))
+    else:
+        other = F.greatest(anomaly * (1.0 - fp * 0.5), F.lit(0.0))
+    return F.when(fp > 0.7, F.greatest(anomaly * (1.0 - fp), F.lit(0.1))).otherwise(other)
+
+
+def feature_importance(features: Column, score: Column, means: list[float], deviations: list[float], names: list[str]) -> Column:
+    """``array<struct<importance, name, contribution, anomalous>>``, strongest first."""
+    parts = []
+    for i, (mean, dev, name) in enumerate(zip(means, deviations, names)):
+        z = (F.get(features, F.lit(i)) - float(mean)) / float(dev) if dev else F.lit(0.0)
+        parts.append(F.struct(
+            (F.abs(z) / 3.0).alias("importance"), F.lit(name).alias("name"), (z * score).alias("contribution"),
+            (F.abs(z) / 3.0 > 0.5).alias("anomalous")))
+    return F.sort_array(F.array(*parts), asc=False)
+
+
+def anomaly_risk(score: Column, importance: Column) -> Column:
+    strong = F.size(F.filter(importance, lambda f: f["anomalous"] & (f["importance"] > 0.8)))
+    return (
+        F.when((score >= 0.9) | (strong >= 3), "Critical").when((score >= 0.7) | (strong >= 2), "High")
+        .when((score >= 0.4) | (strong >= 1), "Medium").otherwise("Low")
+    )
+
+
+def anomaly_confidence(fp: Column, anomaly: Column, similar: Column) -> Column:
+    """0.5, more when the two scores agree, more with similar events."""
+    mean = (fp + anomaly) / 2.0
+    variance = ((fp - mean) * (fp - mean) + (anomaly - mean) * (anomaly - mean)) / 2.0
+    total = F.aggregate(similar, F.lit(0.0), lambda a, s: a + s)
+    near = F.when(F.size(similar) > 0, total / F.size(similar) * 0.2).otherwise(F.lit(0.0))
+    return F.least(0.5 + F.greatest(1.0 - variance, F.lit(0.0)) * 0.3 + near, F.lit(1.0))
+
+
+def anomaly_explain(score: Column, importance: Column, similar: Column, risk: Column) -> Column:
+    """``struct<explanations, recommendations>``."""
+    none = F.array().cast("array<string>")
+    odd = F.slice(F.filter(importance, lambda f: f["anomalous"]), 1, 3)
+    lines = F.transform(odd, lambda f: F.format_string(
+        "- %s: importancia %.3f, contribución %.3f", f["name"], f["importance"], f["contribution"]))
+    about = F.when(F.size(similar) > 0, F.concat(
+        F.lit("Encontrados "), F.size(similar).cast("string"),
+        F.lit(" eventos similares, ninguno fue anomalía (posible falso positivo)"))).otherwise(
+        "No se encontraron eventos similares en el historial")
+    explanations = F.concat(
+        F.array(F.format_string("Score de anomalía: %.3f", score)),
+        F.when(F.size(odd) > 0, F.array(F.lit("Características anómalas detectadas:"))).otherwise(none), lines, F.array(about))
+    by_risk = none
+    for level, texts in D.ANOMALY_RISK_ADVICE.items():
+        by_risk = F.when(risk == level, F.array(*[F.lit(t) for t in texts])).otherwise(by_risk)
+
+    def hint(f):
+        chain = F
+        for mark, text in D.ANOMALY_FEATURE_ADVICE:
+            chain = chain.when(f["name"].contains(mark), text)
+        return chain
+
+    hints = F.array_compact(F.transform(F.filter(F.slice(importance, 1, 3), lambda f: f["anomalous"]), hint))
+    return F.struct(explanations.alias("explanations"), F.concat(by_risk, hints).alias("recommendations"))
+
+
+def detect_anomaly(vectors: DataFrame, model: Model | None, names: list[str] = FEATURES, voting: bool = True) -> DataFrame:
+    """Scores and verdict per vector; an untrained detector finds nothing."""
+    if model is None:
+        return vectors.select(
+            "id", F.lit(False).alias("is_anomaly"), F.lit(0.0).alias("anomaly_score"), F.lit(0.0).alias("confidence"),
+            F.lit("Low").alias("risk_level"))
+    f = F.col("features")
+    df = vectors.withColumns({
+        "fp_score": score_fp(f, model.thresholds, model.has_whitelist),
+        "distance_score": score_anomaly(f, model.centers, model.distance_threshold, model.baseline),
+    })
+    df = df.withColumn("anomaly_score", ensemble_score(F.col("fp_score"), F.col("distance_score"), voting))
+    df = df.withColumn("importance", feature_importance(f, F.col("anomaly_score"), model.means, model.deviations, names))
+    similar = F.transform("similar", lambda s: s["similarity"]) if "similar" in vectors.columns else F.array().cast("array<double>")
+    risk = anomaly_risk(F.col("anomaly_score"), F.col("importance"))
+    return df.withColumns({
+        "is_anomaly": F.col("anomaly_score") >= THRESHOLD, "risk_level": risk,
+        "confidence": anomaly_confidence(F.col("fp_score"), F.col("distance_score"), similar),
+    }).withColumn("text", anomaly_explain(F.col("anomaly_score"), F.col("importance"), similar, F.col("risk_level")))
+
+
+def retrain_needed(samples: DataFrame, trained_at: str | None, trained_samples: int, as_of=None) -> DataFrame:
+    """One row: retrain (size, age) and retrain_for_feedback (recent negatives)."""
+    now = at(as_of, samples)
+    sums = samples.agg(
+        F.count("*").alias("n"),
+        F.count_if((F.col("label") == F.lit(False)) & (F.col("ts") > ago(now, hours=1))).alias("recent_negatives"),
+        F.count_if(F.col("event_type").startswith("marked_fp_")).alias("marked"))
+    if trained_at is None:
+        need = F.col("n") >= MIN_SAMPLES
+    else:
+        age = F.unix_micros(now) - F.unix_micros(F.lit(trained_at).cast("timestamp"))
+        need = (age >= RETRAIN_HOURS * 3_600_000_000) | (F.col("n") > trained_samples + MIN_SAMPLES // 4)
+    return sums.select(
+        "n", need.alias("retrain"),
+        ((F.col("recent_negatives") >= 5) | (F.col("marked") % 10 == 0)).alias("retrain_for_feedback"))
+
+
+def fp_patterns(thresholds: DataFrame, whitelist: DataFrame) -> DataFrame:
+    """What the false-positive model knows, as (kind, name, value)."""
+    known = thresholds.select(F.lit("threshold").alias("kind"), F.col("feature").cast("string").alias("name"), F.col("threshold").alias("value"))
+    return known.unionByName(whitelist.select(F.col("pattern_type").alias("kind"), F.col("pattern_value").alias("name"), F.col("confidence").alias("value")))
+
+
+# --- quality ----------------------------------------------------------------
+
+def ml_metrics(labelled: DataFrame, least: int = 10) -> DataFrame:
+    """Quality over rows with label and predicted; zero where undefined, and
+    all zero below ``least`` rows."""
+    y, p = F.col("label"), F.col("predicted")
+    m = labelled.agg(
+        F.count("*").alias("n"), F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"),
+        F.count_if(~y & ~p).alias("tn"), F.count_if(y & ~p).alias("fn"))
+
+    def share(part: Column, whole: Column) -> Column:
+        return F.when((F.col("n") >= least) & (whole > 0), part / whole).otherwise(F.lit(0.0))
+
+    c = F.col
+    m = m.withColumns({
+        "accuracy": share(c("tp") + c("tn"), c("n")), "precision": share(c("tp"), c("tp") + c("fp")),
+        "recall": share(c("tp"), c("tp") + c("fn")), "false_positive_rate": share(c("fp"), c("fp") + c("tn")),
+    })
+    both = c("precision") + c("recall")
+    return m.withColumn("f1_score", F.when(both > 0, 2 * c("precision") * c("recall") / both).otherwise(F.lit(0.0)))
+
+
+def ml_statistics(scored: DataFrame, feedback: DataFrame) -> DataFrame:
+    """Predictions, anomalies, and how feedback judged them."""
+    marked = feedback.select(F.col("event_id").alias("id"), F.lit(True).alias("_fp")).distinct()
+    seen = scored.join(marked, "id", "left")
+    is_fp = F.col("_fp").isNotNull()
+    return seen.agg(
+        F.count("*").alias("total_predictions"), F.count_if("is_anomaly").alias("anomalies_detected"),
+        F.count_if(is_fp).alias("false_positives"), F.count_if(F.col("is_anomaly") & ~is_fp).alias("true_positives"))
+
+
+def fp_dashboard(detections: DataFrame, feedback: DataFrame) -> DataFrame:
+    """Long table (measure, name, false_positives, true_positives) by event
+    type, by hour of day, and in total.  ``detections``: id, ts, event_type,
+    has_threats."""
+    marked = feedback.select(F.col("event_id").alias("id"), F.lit(True).alias("_fp")).distinct()
+    found = detections.where("has_threats").join(marked, "id", "left")
+    fp = F.col("_fp").isNotNull()
+    cells = found.groupBy("event_type", F.hour("ts").alias("hour")).agg(F.count_if(fp).alias("fp"), F.count_if(~fp).alias("tp"))
+
+    def cut(measure: str, name: Column) -> DataFrame:
+        return cells.groupBy(F.lit(measure).alias("measure"), name.cast("string").alias("name")).agg(
+            F.sum("fp").alias("false_positives"), F.sum("tp").alias("true_positives"))
+
+    return cut("pattern", F.col("event_type")).unionByName(cut("hour", F.col("hour"))).unionByName(cut("total", F.lit("all")))

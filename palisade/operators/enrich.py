@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from palisade.operators.reports import country_of
@@ -229,9 +231,6 @@ def similar_events(vectors: DataFrame, samples: DataFrame, *, newest: int = 100,
     Both tables have id and features; samples also ts.  The samples compared
     are at most ``newest`` rows, so they travel with the tasks.
     """
-    import numpy as np
-    import pandas as pd
-
     refs = samples.orderBy(F.desc("ts"), F.desc("id")).limit(newest).select("id", "features").collect()
     ref_ids = np.array([r["id"] for r in refs], dtype="int64")
     matrix = np.array([r["features"] for r in refs], dtype="float64")

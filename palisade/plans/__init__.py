@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["q_parse", "q_query", "q_reports", "q_payload", "q_bruteforce", "q_enrich"]
+MODULES = ["q_parse", "q_query", "q_reports", "q_payload", "q_bruteforce", "q_enrich", "q_alerts", "q_anomaly"]
 
 
 def load_all() -> None:

@@ -163,17 +163,30 @@ def technique_mitigation(spark, sf):
     return N.technique_mitigation(found, advice).select("id", joined("mitigations").alias("mitigations"))
 
 
-@query("similar_events", """WITH s AS (SELECT vec_id, embedding::DOUBLE[] AS f FROM embeddings ORDER BY vec_id DESC LIMIT 100),
+_SIMILAR = """WITH s AS (SELECT vec_id, embedding::DOUBLE[] AS f FROM embeddings ORDER BY vec_id DESC LIMIT 100),
    c AS (SELECT e.vec_id AS id, s.vec_id AS sid, list_cosine_similarity(e.embedding::DOUBLE[], s.f) AS sim FROM embeddings e, s WHERE e.vec_id <> s.vec_id),
-   k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, sid) AS n FROM c WHERE sim > 0.8)
-   SELECT id, sid AS similar_id, round(sim, 6) AS similarity FROM k WHERE n <= 5""")
-def similar_events(spark, sf):
+   k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, sid) AS n FROM c WHERE sim > {least})
+   SELECT id, sid AS similar_id, round(sim, 6) AS similarity FROM k WHERE n <= 5"""
+
+
+def _similar(spark, sf, least):
     vecs = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("features"))
     samples = vecs.withColumn("ts", F.timestamp_seconds(F.col("id")))
-    out = N.similar_events(vecs, samples).select("id", F.explode("similar").alias("s"))
+    out = N.similar_events(vecs, samples, least=least).select("id", F.explode("similar").alias("s"))
     return out.select("id", F.col("s.id").alias("similar_id"), r6("s.similarity").alias("similarity"))
 
 
+@query("similar_events", _SIMILAR.format(least=0.8))
+def similar_events(spark, sf):
+    return _similar(spark, sf, 0.8)
+
+
+@query("similar_events_loose", _SIMILAR.format(least=0.1))
+def similar_events_loose(spark, sf):
+    """The same at a threshold that vectors of the given table reach."""
+    return _similar(spark, sf, 0.1)
+
+
 @query("whitelist_filter", ev("SELECT id, source_ip IN (SELECT source_ip FROM wl) AS whitelisted FROM ev", "wl AS (SELECT DISTINCT source_ip FROM ev WHERE id % 50 = 0 AND (starts_with(source_ip, '192.168.') OR starts_with(source_ip, '10.')))"))
 def whitelist_filter(spark, sf):
     from palisade.operators.anomaly import whitelist_patterns

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from palisade.functions.text import settle
 from palisade.operators.parse import parse_logs
 
 AS_OF = "2024-01-31 00:00:00"
@@ -66,7 +67,7 @@ def spread(df: DataFrame) -> DataFrame:
 def log_lines(spark: SparkSession, sf_dir: str, known_origin: bool = True) -> DataFrame:
     """``id, line, ingest_ts`` and, with ``known_origin``, the format by path."""
     lines = spark.sql(LOG_LINES.replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
-    lines = lines.withColumnRenamed("event_id", "id").drop("user_id")
+    lines = lines.select(F.col("event_id").alias("id"), "ingest_ts", settle(F.col("line")).alias("line"))
     if known_origin:
         lines = lines.withColumn(
             "source_type",
