@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from palisade.functions import dimensions as D, rules as R
 from palisade.functions.text import contains_any, count_chars, is_private_ip, text_entropy
@@ -112,8 +114,9 @@ def temporal_features(inputs: DataFrame) -> DataFrame:
         lambda i: F.floor((F.unix_micros(F.get("times", i)) - F.unix_micros(F.get("times", i - 1))) / 1_000_000).cast("double"))
     near = near.withColumn("gaps", F.when(last >= 1, gaps).otherwise(F.array().cast("array<double>")))
     n = F.size("gaps")
-    near = near.withColumn("mean", F.aggregate("gaps", F.lit(0.0), lambda a, g: a + g) / n)
-    spread = F.sqrt(F.aggregate("gaps", F.lit(0.0), lambda a, g: a + (g - F.col("mean")) * (g - F.col("mean"))) / n)
+    some = F.greatest(n, F.lit(1))
+    near = near.withColumn("mean", F.aggregate("gaps", F.lit(0.0), lambda a, g: a + g) / some)
+    spread = F.sqrt(F.aggregate("gaps", F.lit(0.0), lambda a, g: a + (g - F.col("mean")) * (g - F.col("mean"))) / some)
     cap = F.lit(1000)
     return near.join(counted, "id").select(
         "id", F.log(F.least("hour_n", cap).cast("double")).alias("log_requests_last_hour"),
@@ -224,12 +227,17 @@ def _normal(samples: DataFrame) -> DataFrame:
     return samples.where(F.col("label").isNull() | ~F.col("label"))
 
 
-def distance(features: Column, center: list[float]) -> Column:
-    total = F.lit(0.0)
-    for i, c in enumerate(center):
-        diff = F.get(features, F.lit(i)) - F.lit(float(c))
-        total = total + diff * diff
-    return F.sqrt(total)
+def _term(i: int) -> str:
+    return f"get(features, {i})"
+
+
+def _sum_of(terms: list[str]) -> Column:
+    return F.expr(" + ".join(terms))
+
+
+def distance(center: list[float]) -> Column:
+    """Euclidean distance of the ``features`` column from a centre."""
+    return F.sqrt(_sum_of([f"power({_term(i)} - ({float(c)!r}D), 2)" for i, c in enumerate(center)]))
 
 
 def _nth_samples(samples: DataFrame, ranks: list[int]) -> list[list[float]]:
@@ -261,19 +269,36 @@ def fit_clusters(samples: DataFrame, k: int = CLUSTERS, rounds: int = ROUNDS) ->
         n = normal.count()
         if n == 0:
             raise ValueError("no normal samples to fit on")
-        centers = _nth_samples(normal, [i * n // k for i in range(k)])
-        size = len(centers[0])
+        centers = np.array(_nth_samples(normal, [i * n // k for i in range(k)]))
         for _ in range(rounds):
-            near = F.array(*[distance(F.col("features"), c) for c in centers])
-            placed = normal.withColumn("_d", near).withColumn("c", F.array_position("_d", F.array_min("_d")) - 1)
-            means = placed.groupBy("c").agg(*[F.avg(F.get("features", F.lit(i))).alias(f"m{i}") for i in range(size)]).collect()
-            found = {r["c"]: [r[f"m{i}"] for i in range(size)] for r in means}
-            centers = [found.get(i, [0.0] * size) for i in range(k)]
-        nearest = F.least(*[distance(F.col("features"), c) for c in centers])
-        threshold = 2.0 * normal.agg(F.avg(nearest)).first()[0]
+            found = {r["c"]: r for r in _cluster_sums(normal, centers).collect()}
+            centers = np.array([
+                np.array(found[i]["total"]) / found[i]["n"] if i in found else np.zeros(centers.shape[1]) for i in range(k)])
+        closing = _cluster_sums(normal, centers).agg(F.sum("far").alias("far")).first()
     finally:
         normal.unpersist()
-    return centers, threshold
+    return centers.tolist(), 2.0 * closing["far"] / n
+
+
+def _cluster_sums(rows: DataFrame, centers: np.ndarray) -> DataFrame:
+    """(c, n, far, total): per nearest centre the rows, summed distance and vector sum."""
+
+    def partial(batches):
+        for pdf in batches:
+            x = np.stack(pdf["features"].to_numpy())
+            d = np.sqrt(((x[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2))
+            near = d.argmin(axis=1)
+            for c in np.unique(near):
+                mine = near == c
+                yield pd.DataFrame({
+                    "c": [int(c)], "n": [int(mine.sum())], "far": [float(d[mine, c].sum())], "total": [x[mine].sum(axis=0)]})
+
+    parts = rows.select("features").mapInPandas(partial, "c int, n long, far double, total array<double>")
+    sums = parts.select("c", "n", "far", F.posexplode("total").alias("i", "x")).groupBy("c", "i").agg(
+        F.sum("n").alias("n"), F.sum("far").alias("far"), F.sum("x").alias("x"))
+    return sums.groupBy("c").agg(
+        F.max("n").alias("n"), F.max("far").alias("far"),
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("total"))
 
 
 def fit_signatures(samples: DataFrame) -> DataFrame:
@@ -337,24 +362,17 @@ def train_model(samples: DataFrame, min_samples: int = MIN_SAMPLES) -> Model:
         has_whitelist=not whitelist_patterns(samples.where("label = false")).isEmpty(), samples=count)
 
 
-def score_fp(features: Column, thresholds: list[float | None], has_whitelist: bool) -> Column:
-    """How harmless a sample looks: share of features within their thresholds."""
-    known = [(i, t) for i, t in enumerate(thresholds) if t is not None]
-    if known:
-        within = F.lit(0)
-        for i, t in known:
-            within = within + (F.get(features, F.lit(i)) <= float(t)).cast("int")
-        share = within / float(len(known))
-    else:
-        share = F.lit(0.5)
+def score_fp(thresholds: list[float | None], has_whitelist: bool) -> Column:
+    """How harmless ``features`` look: the share within their thresholds."""
+    known = [f"cast({_term(i)} <= ({float(t)!r}D) as int)" for i, t in enumerate(thresholds) if t is not None]
+    share = _sum_of(known) / float(len(known)) if known else F.lit(0.5)
     return F.least(share * 0.7 + (0.3 if has_whitelist else 0.0) * 0.3, F.lit(1.0))
 
 
-def score_anomaly(features: Column, centers: list[list[float]], distance_threshold: float, baseline: list[float]) -> Column:
-    nearest = F.least(*[distance(features, c) for c in centers])
-    away = F.lit(0.0)
-    for i, b in enumerate(baseline):
-        away = away + F.abs((F.get(features, F.lit(i)) - float(b)) / (float(b) + 1.0))
+def score_anomaly(centers: list[list[float]], distance_threshold: float, baseline: list[float]) -> Column:
+    """Distance of ``features`` from the clusters and from the baseline."""
+    nearest = F.least(*[distance(c) for c in centers]) if len(centers) > 1 else distance(centers[0])
+    away = _sum_of([f"abs(try_divide({_term(i)} - ({float(b)!r}D), {float(b)!r}D + 1.0D))" for i, b in enumerate(baseline)])
     return F.least(F.least(nearest / distance_threshold, F.lit(2.0)) * 0.6 + away / float(len(baseline)) * 0.4, F.lit(1.0))
 
 
@@ -371,15 +389,16 @@ def ensemble_score(fp: Column, anomaly: Column, voting: bool = True) -> Column:
     return F.when(fp > 0.7, F.greatest(anomaly * (1.0 - fp), F.lit(0.1))).otherwise(other)
 
 
-def feature_importance(features: Column, score: Column, means: list[float], deviations: list[float], names: list[str]) -> Column:
-    """``array<struct<importance, name, contribution, anomalous>>``, strongest first."""
+def feature_importance(score: str, means: list[float], deviations: list[float], names: list[str]) -> Column:
+    """``array<struct<importance, name, contribution, anomalous>>`` of the
+    ``features`` column, strongest first."""
     parts = []
     for i, (mean, dev, name) in enumerate(zip(means, deviations, names)):
-        z = (F.get(features, F.lit(i)) - float(mean)) / float(dev) if dev else F.lit(0.0)
-        parts.append(F.struct(
-            (F.abs(z) / 3.0).alias("importance"), F.lit(name).alias("name"), (z * score).alias("contribution"),
-            (F.abs(z) / 3.0 > 0.5).alias("anomalous")))
-    return F.sort_array(F.array(*parts), asc=False)
+        z = f"(({_term(i)} - ({float(mean)!r}D)) / {float(dev)!r}D)" if dev else "0.0D"
+        parts.append(
+            f"named_struct('importance', abs({z}) / 3.0D, 'name', '{name}', 'contribution', {z} * {score}, "
+            f"'anomalous', abs({z}) / 3.0D > 0.5D)")
+    return F.sort_array(F.expr(f"array({', '.join(parts)})"), asc=False)
 
 
 def anomaly_risk(score: Column, importance: Column) -> Column:
@@ -432,13 +451,12 @@ def detect_anomaly(vectors: DataFrame, model: Model | None, names: list[str] = F
         return vectors.select(
             "id", F.lit(False).alias("is_anomaly"), F.lit(0.0).alias("anomaly_score"), F.lit(0.0).alias("confidence"),
             F.lit("Low").alias("risk_level"))
-    f = F.col("features")
     df = vectors.withColumns({
-        "fp_score": score_fp(f, model.thresholds, model.has_whitelist),
-        "distance_score": score_anomaly(f, model.centers, model.distance_threshold, model.baseline),
+        "fp_score": score_fp(model.thresholds, model.has_whitelist),
+        "distance_score": score_anomaly(model.centers, model.distance_threshold, model.baseline),
     })
     df = df.withColumn("anomaly_score", ensemble_score(F.col("fp_score"), F.col("distance_score"), voting))
-    df = df.withColumn("importance", feature_importance(f, F.col("anomaly_score"), model.means, model.deviations, names))
+    df = df.withColumn("importance", feature_importance("anomaly_score", model.means, model.deviations, names))
     similar = F.transform("similar", lambda s: s["similarity"]) if "similar" in vectors.columns else F.array().cast("array<double>")
     risk = anomaly_risk(F.col("anomaly_score"), F.col("importance"))
     return df.withColumns({

@@ -2,7 +2,9 @@
 
 from importlib import import_module
 
-MODULES = ["q_parse", "q_query", "q_reports", "q_payload", "q_bruteforce", "q_enrich", "q_alerts", "q_anomaly"]
+MODULES = [
+    "q_parse", "q_query", "q_reports", "q_payload", "q_bruteforce", "q_enrich", "q_alerts", "q_anomaly", "q_stream",
+]
 
 
 def load_all() -> None:

@@ -207,7 +207,7 @@ def fit_baseline(spark, sf):
 def fit_clusters(spark, sf):
     samples = _samples(spark, sf)
     centers, threshold = M.fit_clusters(samples)
-    near = F.array(*[M.distance(F.col("features"), c) for c in centers])
+    near = F.array(*[M.distance(c) for c in centers])
     placed = samples.withColumn("d", near).withColumn("cluster", (F.array_position("d", F.array_min("d")) - 1).cast("long"))
     return placed.groupBy("cluster").agg(
         F.count("*").alias("samples"), r6(F.avg(F.array_min("d"))).alias("mean_distance")).withColumn("threshold", r6(F.lit(threshold)))

@@ -1,0 +1,195 @@
+"""Structured Streaming jobs over the batch operations."""
+
+from __future__ import annotations
+
+import os
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from palisade.functions.dimensions import DEDUP_MINUTES
+from palisade.operators.alerts import dedup_key
+from palisade.operators.bruteforce import WINDOW_SECONDS, attempts
+from palisade.operators.engine import detect_payloads, generate_alerts, with_risk
+from palisade.operators.parse import parse_logs
+from palisade.sources.store import write_events
+
+
+def read_lines(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """Live log lines; ingestion time is the file's."""
+    reader = spark.readStream
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.text(path).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_modification_time").alias("ingest_ts"))
+
+
+def run(writer, checkpoint: str) -> None:
+    """Process everything available now and stop."""
+    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def stream_parse(lines: DataFrame, out: str, checkpoint: str) -> None:
+    """Lines to stored events, one folder per day."""
+    events = parse_logs(lines)
+    run(events.writeStream.format("parquet").option("path", out).partitionBy("event_date").outputMode("append"), checkpoint)
+
+
+def _per_batch(write: Callable[[DataFrame, str], None], folder: str):
+    """A sink that rewrites its own batch folder, so a retried batch leaves one copy."""
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        write(batch, os.path.join(folder, f"batch={batch_id}"))
+
+    return sink
+
+
+def stream_detect(events: DataFrame, detections_out: str, alerts_out: str, checkpoint: str, min_risk: float | None = None) -> None:
+    """Payload detection on live events; writes detections and alerts."""
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        blank = {
+            "brute_force": F.lit(None).cast("struct<detected:boolean,confidence:double,risk_level:string>"),
+            "anomaly": F.lit(None).cast("struct<detected:boolean,score:double>")}
+        found = with_risk(detect_payloads(batch).withColumns(blank)).persist()
+        try:
+            found.select("id", "ts", "event_type", "severity", "has_threats", "risk_score", "sqli", "xss").write.mode(
+                "overwrite").parquet(os.path.join(detections_out, f"batch={batch_id}"))
+            generate_alerts(found, min_risk).write.mode("overwrite").parquet(os.path.join(alerts_out, f"batch={batch_id}"))
+        finally:
+            found.unpersist()
+
+    run(events.writeStream.foreachBatch(sink), checkpoint)
+
+
+# --- keyed histories --------------------------------------------------------
+
+_HISTORY = T.StructType([
+    T.StructField("id", T.LongType()), T.StructField("source_ip", T.StringType()), T.StructField("ip_total", T.LongType()),
+    T.StructField("ip_failed", T.LongType()), T.StructField("ip_services", T.LongType()), T.StructField("ip_agents", T.LongType()),
+    T.StructField("ip_users", T.LongType()), T.StructField("blocked", T.BooleanType())])
+_HISTORY_STATE = T.StructType([
+    T.StructField("total", T.LongType()), T.StructField("failed", T.LongType()),
+    T.StructField("services", T.ArrayType(T.StringType())), T.StructField("agents", T.ArrayType(T.StringType())),
+    T.StructField("users", T.ArrayType(T.StringType())), T.StructField("user_us", T.ArrayType(T.LongType()))])
+
+
+def _follow_address(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Advance one address's history; an address idle for a day is forgotten."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    total, failed, services, agents, users = 0, 0, set(), set(), {}
+    if state.exists:
+        total, failed, known_services, known_agents, names, seen = state.get
+        services, agents, users = set(known_services), set(known_agents), dict(zip(names, seen))
+    rows = pd.concat(list(parts)).sort_values(["us", "id"])
+    out = []
+    for r in rows.itertuples(index=False):
+        total += 1
+        failed += not r.success
+        services.add(r.service)
+        if r.user_agent is not None:
+            agents.add(r.user_agent)
+        if r.username is not None:
+            users[r.username] = r.us
+        edge = r.us - WINDOW_SECONDS * 1_000_000
+        users = {u: t for u, t in users.items() if t >= edge}
+        out.append((r.id, key[0], total, failed, len(services), len(agents), len(users), failed >= 10))
+    state.update((total, failed, sorted(services), sorted(agents), list(users), [int(t) for t in users.values()]))
+    last_ms = int(rows["us"].max() // 1000)
+    state.setTimeoutTimestamp(max(last_ms, state.getCurrentWatermarkMs()) + 86_400_000)
+    yield pd.DataFrame(out, columns=_HISTORY.names)
+
+
+def bruteforce_history(events: DataFrame) -> DataFrame:
+    """Each live attempt with its address's history, as ``ip_history`` has it."""
+    tries = attempts(events).withWatermark("ts", f"{WINDOW_SECONDS} seconds").withColumn("us", F.unix_micros("ts"))
+    return tries.groupBy("source_ip").applyInPandasWithState(
+        _follow_address, _HISTORY, _HISTORY_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def stream_bruteforce(events: DataFrame, out: str, checkpoint: str) -> None:
+    run(bruteforce_history(events).writeStream.format("parquet").option("path", out).outputMode("append"), checkpoint)
+
+
+_KEPT = T.StructType([T.StructField("id", T.LongType()), T.StructField("key", T.StringType()), T.StructField("us", T.LongType())])
+_LAST = T.StructType([T.StructField("us", T.LongType())])
+
+
+def throttled(alerts: DataFrame, minutes: int = DEDUP_MINUTES) -> DataFrame:
+    """Live alerts without repeats of a kept one, as ``alert_dedup`` does it."""
+    span = minutes * 60_000_000
+
+    def keep(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(parts)).sort_values(["us", "id"])
+        kept = []
+        for r in rows.itertuples(index=False):
+            if last is None or r.us - last >= span:
+                last = int(r.us)
+                kept.append((r.id, key[0], last))
+        state.update((last,))
+        state.setTimeoutTimestamp(max((last + span) // 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(kept, columns=_KEPT.names)
+
+    keyed = alerts.withWatermark("ts", f"{minutes} minutes").select("id", dedup_key().alias("key"), F.unix_micros("ts").alias("us"), "ts")
+    return keyed.groupBy("key").applyInPandasWithState(keep, _KEPT, _LAST, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def stream_dedup(alerts: DataFrame, out: str, checkpoint: str, minutes: int = DEDUP_MINUTES) -> None:
+    run(throttled(alerts, minutes).writeStream.format("parquet").option("path", out).outputMode("append"), checkpoint)
+
+
+# --- rates ------------------------------------------------------------------
+
+def rates(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
+    """Events per window and type; windows close once ``late`` has passed."""
+    window = F.window("ts", width, slide) if slide else F.window("ts", width)
+    return events.withWatermark("ts", late).groupBy(window.alias("w"), "event_type").agg(F.count("*").alias("n")).select(
+        F.col("w.start").alias("starts_at"), "event_type", "n")
+
+
+def stream_rates(events: DataFrame, out: str, checkpoint: str, **windows) -> None:
+    """Every change of a window's count, per batch; see ``latest_rates``."""
+    sink = _per_batch(lambda batch, path: batch.write.mode("overwrite").parquet(path), out)
+    run(rates(events, **windows).writeStream.outputMode("update").foreachBatch(sink), checkpoint)
+
+
+def latest_rates(spark: SparkSession, out: str) -> DataFrame:
+    """The last count written for each window."""
+    return spark.read.parquet(out).groupBy("starts_at", "event_type").agg(F.max_by("n", "batch").alias("n"))
+
+
+# --- retention --------------------------------------------------------------
+
+def _remember(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Keep a key's last time until it has been idle for a day, then report it."""
+    if state.hasTimedOut:
+        last = state.get[0]
+        state.remove()
+        yield pd.DataFrame([(key[0], last)], columns=["key", "us"])
+        return
+    newest = max(int(p["us"].max()) for p in parts)
+    last = max(newest, state.get[0]) if state.exists else newest
+    state.update((last,))
+    state.setTimeoutTimestamp(max(last // 1000 + 86_400_000, state.getCurrentWatermarkMs() + 1))
+    yield pd.DataFrame({"key": pd.Series(dtype="str"), "us": pd.Series(dtype="int64")})
+
+
+def idle_keys(rows: DataFrame, key: str) -> DataFrame:
+    """Keys whose state expires: idle for 24 h by event time."""
+    seen = rows.where(F.col(key).isNotNull()).withWatermark("ts", "15 minutes")
+    keyed = seen.select(F.col(key).cast("string").alias("key"), F.unix_micros("ts").alias("us"), "ts")
+    return keyed.groupBy("key").applyInPandasWithState(
+        _remember, "key string, us long", _LAST, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def stream_retention(rows: DataFrame, key: str, out: str, checkpoint: str) -> None:
+    run(idle_keys(rows, key).writeStream.format("parquet").option("path", out).outputMode("append"), checkpoint)
