@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
 from . import rules as R
@@ -41,15 +39,19 @@ def settle(value: Column) -> Column:
     return F.when(F.spark_partition_id() >= 0, value)
 
 
+def _words(words: list[str]) -> Column:
+    """A constant array of words."""
+    return F.split(F.lit(SEP.join(words)), SEP)
+
+
 def contains_any(text: Column, words: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
+    return F.exists(_words(words), lambda w: F.contains(text, w))
 
 
 def words_found(text: Column, words: list[str], prefix: str = "") -> Column:
     """The words that occur in ``text``, in list order."""
-    return let(text, lambda t: F.array_compact(
-        F.array(*[F.when(t.contains(w), F.lit(prefix + w)) for w in words])
-    ))
+    found = let(text, lambda t: F.filter(_words(words), lambda w: F.contains(t, w)))
+    return F.transform(found, lambda w: F.concat(F.lit(prefix), w)) if prefix else found
 
 
 def names_matching(text: Column, named_patterns: list[tuple[str, str]]) -> Column:

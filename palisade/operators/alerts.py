@@ -14,61 +14,82 @@ def dedup_key() -> Column:
     return F.concat_ws(":", "title", "severity")
 
 
-def alert_dedup(alerts: DataFrame, minutes: int = D.DEDUP_MINUTES, key: Column | None = None, block_hours: int = 6) -> DataFrame:
+def _runs(values: np.ndarray):
+    """(start, end) of each run of equal values."""
+    cuts = np.flatnonzero(values[1:] != values[:-1]) + 1
+    return zip(np.append(0, cuts), np.append(cuts, len(values)))
+
+
+def alert_dedup(alerts: DataFrame, minutes: int = D.DEDUP_MINUTES, key: Column | None = None, block_rows: int = 1_000_000) -> DataFrame:
     """Keep an alert unless one with its key was kept less than ``minutes`` ago.
 
     Each kept alert opens the next window, so a key is a chain.  The chain is
-    cut into time blocks.  Per block, the blocks' possible first alerts map to
-    the time the chain is open again at the block's end; following that small
-    map from block to block tells where the chain enters every block, and each
-    block then walks its part alone.
+    cut into time blocks.  Per block, the possible first alerts map to the time
+    the chain is open again at the block's end; following that small map from
+    block to block tells where the chain enters every block, and each block
+    then walks its part alone.  Blocks are as long as lets ``block_rows`` alerts
+    into one on average, if a single key held them all.  Many keys of one hash
+    share a task call.
     """
     span = minutes * 60_000_000
-    width = max(block_hours * 3_600_000_000, 2 * span)
+    us = F.unix_micros("ts")
+    size = alerts.agg(F.count("*").alias("n"), F.min(us).alias("lo"), F.max(us).alias("hi")).first()
+    width = max(((size["hi"] or 0) - (size["lo"] or 0)) // (size["n"] // block_rows + 1) + 1, 2 * span)
     key = dedup_key() if key is None else key
+    bins = int(alerts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # only the first alert of an instant can be kept
     firsts = alerts.groupBy(key.alias("k"), F.unix_micros("ts").alias("us")).agg(F.min("id").alias("id"))
-    firsts = firsts.withColumn("block", F.floor(F.col("us") / width).cast("long"))
+    firsts = firsts.withColumns({
+        "block": F.floor(F.col("us") / width).cast("long"), "bin": F.pmod(F.xxhash64("k"), F.lit(bins))})
 
     def block_map(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["us"].to_numpy())
-        n = len(t)
-        follows = np.append(np.searchsorted(t, t + span), n)
-        last = np.arange(n)
-        for _ in range(width // span + 1):
-            step = follows[last]
-            last = np.where(step < n, step, last)
-        opens = t[last] + span
-        block = int(pdf["block"].iloc[0])
-        # the chain enters at the first alert after a time below block start + span
-        entries = min(n, int(np.searchsorted(t, block * width + span)) + 1)
-        upto, leave = t[:entries], opens[:entries]
-        keep = np.append(leave[1:] != leave[:-1], True)
-        return pd.DataFrame({"k": pdf["k"].iloc[0], "block": block, "upto": upto[keep], "leave": leave[keep]})
+        pdf = pdf.sort_values(["k", "us"], ignore_index=True)
+        keys, times, block = pdf["k"].to_numpy(), pdf["us"].to_numpy(), int(pdf["block"].iloc[0])
+        found = []
+        for lo, hi in _runs(keys):
+            t, n = times[lo:hi], hi - lo
+            follows = np.append(np.searchsorted(t, t + span), n)
+            last = np.arange(n)
+            for _ in range(width // span + 1):
+                step = follows[last]
+                last = np.where(step < n, step, last)
+            # the chain enters at the first alert after a time below block start + span
+            entries = min(n, int(np.searchsorted(t, block * width + span)) + 1)
+            upto, leave = t[:entries], t[last[:entries]] + span
+            keep = np.append(leave[1:] != leave[:-1], True)
+            found.append(pd.DataFrame({"bin": pdf["bin"].iloc[0], "k": keys[lo], "block": block, "upto": upto[keep], "leave": leave[keep]}))
+        return pd.concat(found)
 
     def enter_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["block", "upto"])
-        opens, rows = np.iinfo("int64").min, []
-        for block, part in pdf.groupby("block", sort=True):
-            rows.append((pdf["k"].iloc[0], block, opens))
-            i = int(np.searchsorted(part["upto"].to_numpy(), opens))
-            if i < len(part):
-                opens = int(part["leave"].iloc[i])
-        return pd.DataFrame(rows, columns=["k", "block", "enter"])
+        pdf = pdf.sort_values(["k", "block", "upto"], ignore_index=True)
+        keys, blocks = pdf["k"].to_numpy(), pdf["block"].to_numpy()
+        upto, leave = pdf["upto"].to_numpy(), pdf["leave"].to_numpy()
+        rows = []
+        for lo, hi in _runs(keys):
+            opens = np.iinfo("int64").min
+            for b, e in _runs(blocks[lo:hi]):
+                rows.append((keys[lo], blocks[lo + b], opens))
+                i = lo + b + int(np.searchsorted(upto[lo + b:lo + e], opens))
+                if i < lo + e:
+                    opens = int(leave[i])
+        out = pd.DataFrame(rows, columns=["k", "block", "enter"])
+        return out
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("us")
-        t, ids = pdf["us"].to_numpy(), pdf["id"].to_numpy()
-        kept, i = [], int(np.searchsorted(t, int(pdf["enter"].iloc[0])))
-        while i < len(t):
-            kept.append(ids[i])
-            i = int(np.searchsorted(t, t[i] + span))
+        pdf = pdf.sort_values(["k", "us"], ignore_index=True)
+        keys, times, ids, enter = (pdf[c].to_numpy() for c in ("k", "us", "id", "enter"))
+        kept = []
+        for lo, hi in _runs(keys):
+            t, i = times[lo:hi], int(np.searchsorted(times[lo:hi], enter[lo]))
+            while i < hi - lo:
+                kept.append(ids[lo + i])
+                i = int(np.searchsorted(t, t[i] + span))
         return pd.DataFrame({"id": np.array(kept, dtype="int64")})
 
-    maps = firsts.groupBy("k", "block").applyInPandas(block_map, "k string, block long, upto long, leave long")
-    entered = maps.groupBy("k").applyInPandas(enter_blocks, "k string, block long, enter long")
+    maps = firsts.groupBy("bin", "block").applyInPandas(block_map, "bin long, k string, block long, upto long, leave long")
+    entered = maps.groupBy("bin").applyInPandas(enter_blocks, "k string, block long, enter long")
     placed = firsts.join(entered, ["k", "block"])
-    kept = placed.groupBy("k", "block").applyInPandas(walk, "id long")
+    kept = placed.groupBy("bin", "block").applyInPandas(walk, "id long")
     return alerts.join(kept, "id", "left_semi")
 
 

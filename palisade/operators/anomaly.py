@@ -208,9 +208,67 @@ def _per_feature(samples: DataFrame, size: int, **fns) -> DataFrame:
 
 def feature_stats(samples: DataFrame, size: int = len(FEATURES)) -> DataFrame:
     """Mean, deviation, range and 95th percentile of every feature."""
-    return _per_feature(
-        samples, size, mean=F.avg, std_dev=F.stddev_pop, min=F.min, max=F.max,
-        p95=lambda c: F.percentile(c, 0.95))
+    stats = _per_feature(samples, size, n=F.count, mean=F.avg, std_dev=F.stddev_pop, min=F.min, max=F.max).collect()
+    high = exact_quantile(samples, 0.95, [(r["n"], r["min"], r["max"]) for r in stats])
+    rows = [(i, r["mean"], r["std_dev"], r["min"], r["max"], high[i]) for i, r in enumerate(stats)]
+    return samples.sparkSession.createDataFrame(
+        rows, "feature int, mean double, std_dev double, min double, max double, p95 double")
+
+
+def exact_quantile(
+    samples: DataFrame, share: float, ranges: list[tuple[int, float, float]], bins: int = 1024, few: int = 4096,
+) -> list[float | None]:
+    """The interpolated quantile of every feature, whatever the number of rows.
+
+    The wanted place is searched by counting rows per bin between bounds that
+    shrink each round; the last ``few`` values around it are then looked at.
+    Only bin counts and those values leave the tasks.
+    """
+    found: dict[int, tuple[float, float]] = {}
+    bounds, below, inside = {}, {}, {}
+    for i, (n, lo, hi) in enumerate(ranges):
+        if n:
+            bounds[i], below[i], inside[i] = (lo, hi), 0, n
+    place = {i: share * (ranges[i][0] - 1) for i in bounds}
+    while True:
+        wide = [i for i in bounds if i not in found and inside[i] > few and bounds[i][1] > bounds[i][0]]
+        if not wide:
+            break
+        cells = ", ".join(
+            f"named_struct('i', {i}, 'x', {_term(i)}, 'b', CASE WHEN {_term(i)} BETWEEN {lo!r}D AND {hi!r}D THEN "
+            f"least(int(({_term(i)} - ({lo!r}D)) / ({hi - lo!r}D) * {bins}), {bins - 1}) END)"
+            for i, (lo, hi) in ((i, bounds[i]) for i in wide))
+        counts = samples.select(F.expr(f"inline(array({cells}))")).where("b IS NOT NULL").groupBy("i", "b").agg(
+            F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+        for i in wide:
+            mine = sorted((r for r in counts if r["i"] == i), key=lambda r: r["b"])
+            seen, rank = below[i], int(place[i])
+            for r, following in zip(mine, [*mine[1:], None]):
+                if seen + r["n"] > rank:
+                    if seen + r["n"] == rank + 1:  # the place ends its bin
+                        found[i] = (r["hi"], following["lo"] if following else r["hi"])
+                    else:
+                        below[i], bounds[i], inside[i] = seen, (r["lo"], r["hi"]), r["n"]
+                    break
+                seen += r["n"]
+    rest = [i for i in bounds if i not in found]
+    if rest:
+        cells = ", ".join(
+            f"named_struct('i', {i}, 'x', CASE WHEN {_term(i)} BETWEEN {bounds[i][0]!r}D AND {bounds[i][1]!r}D THEN {_term(i)} END)"
+            for i in rest)
+        values = samples.select(F.expr(f"inline(array({cells}))")).where("x IS NOT NULL").groupBy("i", "x").agg(
+            F.count("*").alias("n")).collect()
+        for i in rest:
+            ordered = sorted((r["x"], r["n"]) for r in values if r["i"] == i)
+            ends = np.cumsum([n for _, n in ordered]) + below[i]
+
+            def value_at(rank: int) -> float:
+                return ordered[min(int(np.searchsorted(ends, rank, side="right")), len(ordered) - 1)][0]
+
+            found[i] = (value_at(int(place[i])), value_at(int(place[i]) + 1))
+    return [
+        found[i][0] + (found[i][1] - found[i][0]) * (place[i] - int(place[i])) if i in found else None
+        for i in range(len(ranges))]
 
 
 def fit_fp_thresholds(samples: DataFrame, size: int = len(FEATURES)) -> DataFrame:

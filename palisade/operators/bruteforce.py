@@ -11,7 +11,7 @@ from palisade.functions.text import names_matching
 from palisade.operators.parse import event_fields
 from palisade.operators.payload import _advice, _distinct, _texts, rule_hits
 from palisade.operators.query import ago, at
-from palisade.plans.running import Sliding, previous_rows, running, sliding
+from palisade.plans.running import Sliding, previous_rows, running, shared, sliding
 
 MAX_PER_IP, MAX_PER_USER, WINDOW_SECONDS, LOCKOUT_MINUTES = 10, 5, 900, 30
 
@@ -39,7 +39,7 @@ def _last_same(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
     """Time of the key's previous row with the same value; NULL values have none."""
     own = F.coalesce(F.col(value), F.concat(F.lit("\u0000"), F.col("id").cast("string")))
     df = previous_rows(df.withColumn("_same", own), [key, "_same"], ["ts", "id"], F.col("ts"), 1, ts="ts", out="_before")
-    return df.withColumn(out, F.get("_before", F.lit(0))).drop("_same", "_before")
+    return shared(df.withColumn(out, F.get("_before", F.lit(0))).drop("_same", "_before"))
 
 
 def _one() -> Column:
@@ -87,7 +87,7 @@ def service_history(tries: DataFrame) -> DataFrame:
             Sliding("service_users", WINDOW_SECONDS, True, F.col("username").isNotNull(), F.col("_user_ts")),
             Sliding("_minute", 60, False, F.lit(True)),
         ])
-    out = running(out, ["service"], ["ts", "id"], ts="ts", maxs={"service_peak": F.col("_minute")})
+    out = running(shared(out), ["service"], ["ts", "id"], ts="ts", maxs={"service_peak": F.col("_minute")})
     return out.drop("_ip_ts", "_user_ts", "_minute")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from palisade.operators.bruteforce import attempts, bf_detect, bf_profile
+from palisade.plans.running import shared
 from palisade.operators.payload import detection_text, sqli_detect, xss_detect
 
 # Weight of each detector in the combined risk.
@@ -33,17 +34,18 @@ def detect_payloads(events: DataFrame) -> DataFrame:
 def detect_all(
     events: DataFrame, *, brute_force: bool = True, auth_only: bool = False, anomaly: DataFrame | None = None,
 ) -> DataFrame:
-    """``events`` with sqli, xss, brute_force, anomaly, has_threats, risk_score.
+    """One row per event: sqli, xss, brute_force, anomaly, has_threats, risk_score.
 
-    ``anomaly`` (id, is_anomaly, anomaly_score) comes from a fitted model.
+    ``anomaly`` (id, is_anomaly, anomaly_score) comes from a fitted model.  The
+    message texts stay behind: only verdicts meet in the joins by id.
     """
-    out = detect_payloads(events)
+    out = detect_payloads(events).select("id", "ts", "source", "source_ip", "severity", "event_type", "sqli", "xss")
     out = out.withColumns({
         "brute_force": F.lit(None).cast("struct<detected:boolean,confidence:double,risk_level:string>"),
         "anomaly": F.lit(None).cast("struct<detected:boolean,score:double>"),
     })
     if brute_force:
-        tries = attempts(events, auth_only).persist()
+        tries = shared(attempts(events, auth_only))
         scored = bf_detect(bf_profile(tries)).select(
             "id", F.struct("detected", "confidence", "risk_level").alias("brute_force"))
         out = out.drop("brute_force").join(scored, "id", "left")

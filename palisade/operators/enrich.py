@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from palisade.operators.reports import country_of
-from palisade.plans.running import previous_rows, running
+from palisade.plans.running import previous_rows, running, shared
 from palisade.plans.sizing import pattern_join, substring_join
 
 
@@ -35,7 +35,7 @@ def _newest_near(events: DataFrame, key: str, limit: int, hours: int) -> DataFra
     row brings itself and the rows before it.  No pairs are formed.
     """
     rows = events.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), "id", "ts")
-    rows = previous_rows(rows, ["key"], ["ts", "id"], F.struct("ts", "id"), limit, ts="ts")
+    rows = shared(previous_rows(rows, ["key"], ["ts", "id"], F.struct("ts", "id"), limit, ts="ts"))
     span = F.expr(f"INTERVAL {hours} HOUR")
     item = F.struct("ts", "id", F.concat("prev", F.array(F.struct("ts", "id"))).alias("near"))
     none = F.lit(None)

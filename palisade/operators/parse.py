@@ -30,6 +30,8 @@ _LAYOUT = {
     "ssh_auth": dict(auth_outcome=0, auth_method=1, user=2),
 }
 
+_FIELDS = sorted({field for layout in _LAYOUT.values() for field in layout})
+
 
 def detect_format(line: Column) -> Column:
     """Apache, Nginx, Ssh, Syslog, Json or Unknown; the first test that holds."""
@@ -249,15 +251,16 @@ def parse_logs(lines: DataFrame, parser: str | Column | None = None) -> DataFram
     )
 
     kind = F.col("_kind")
+    places = F
+    for k, layout in _LAYOUT.items():
+        order = ",".join(str(layout.get(f, -1)) for f in _FIELDS)
+        places = places.when(kind == k, F.expr(f"array({order})"))
+    base = base.withColumn("_f", F.transform(places, lambda i: F.get("_g", i)))
 
     def group(field: str) -> Column:
-        place = F
-        for k, layout in _LAYOUT.items():
-            if field in layout:
-                place = place.when(kind == k, layout[field])
-        return F.get("_g", place)
+        return F.get("_f", F.lit(_FIELDS.index(field)))
 
-    direct = sorted({f for layout in _LAYOUT.values() for f in layout} - {"status", "request_line", "time", "method", "path", "protocol"})
+    direct = [f for f in _FIELDS if f not in ("status", "request_line", "time", "method", "path", "protocol")]
     base = base.select(
         "id", "line", "ingest_ts", "_kind",
         *[group(f).alias(f) for f in direct],

@@ -173,24 +173,38 @@ def xss_payload(original: Column, decoded: Column) -> Column:
     )
 
 
-def xss_risk(confidence: Column, attack_types: Column, payload: Column) -> Column:
+def xss_signs(original: Column, decoded: Column) -> Column:
+    """What risk and advice need to know of a payload, without listing its parts."""
+    names = [f.replace(".", r"\.") for f in R.XSS_DANGEROUS_FUNCTIONS]
+    return F.struct(
+        names_matching(original, R.XSS_ENCODINGS).alias("encodings"),
+        decoded.rlike(R.JS_FUNCTION).alias("function"),
+        decoded.rlike(r"(?i)\b(" + "|".join(names) + r")\s*\(").alias("dangerous_function"),
+        decoded.rlike(r"(?i)<\s*(" + "|".join(R.XSS_DANGEROUS_TAGS) + r")(?![a-z])").alias("dangerous_tag"),
+        decoded.rlike(r"(?i)\b(" + "|".join(R.XSS_EXTERNAL_SCHEMES) + r")://").alias("external_scheme"),
+        (
+            decoded.contains("String.fromCharCode") | decoded.contains("eval(")
+            | original.rlike(r"\\x[0-9a-fA-F]{2}|&#x?[0-9]+;") | (decoded.contains("/*") & decoded.contains("*/"))
+        ).alias("obfuscated"),
+    )
+
+
+def xss_risk(confidence: Column, attack_types: Column, signs: Column) -> Column:
     factors = (
-        _has_any(payload["functions"], R.XSS_DANGEROUS_FUNCTIONS).cast("int") * 2
-        + (F.size(payload["encodings"]) > 1).cast("int")
+        signs["dangerous_function"].cast("int") * 2 + (F.size(signs["encodings"]) > 1).cast("int")
         + _has_any(attack_types, ["Dom", "PrototypePollution"]).cast("int")
-        + _has_any(payload["html_tags"], R.XSS_DANGEROUS_TAGS).cast("int")
-        + _has_any(payload["url_schemes"], R.XSS_EXTERNAL_SCHEMES).cast("int")
+        + signs["dangerous_tag"].cast("int") + signs["external_scheme"].cast("int")
     )
     return _risk_from(confidence, factors, 0.4)
 
 
-def xss_mitigations(attack_types: Column, contexts: Column, payload: Column) -> Column:
+def xss_mitigations(attack_types: Column, contexts: Column, signs: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(
         _texts(D.XSS_GENERAL_ADVICE), _advice(attack_types, D.XSS_TYPE_ADVICE),
         _advice(contexts, D.XSS_CONTEXT_ADVICE),
-        _texts(D.XSS_ENCODING_ADVICE, F.size(payload["encodings"]) > 0),
-        _texts(D.XSS_FUNCTION_ADVICE, F.size(payload["functions"]) > 0),
-        _texts(D.XSS_OBFUSCATION_ADVICE, F.size(payload["obfuscation"]) > 0))))
+        _texts(D.XSS_ENCODING_ADVICE, F.size(signs["encodings"]) > 0),
+        _texts(D.XSS_FUNCTION_ADVICE, signs["function"]),
+        _texts(D.XSS_OBFUSCATION_ADVICE, signs["obfuscated"]))))
 
 
 def xss_detect(df: DataFrame, text: Column, out: str = "xss", payload: bool = False) -> DataFrame:
@@ -201,14 +215,14 @@ def xss_detect(df: DataFrame, text: Column, out: str = "xss", payload: bool = Fa
     df = df.withColumns({
         "_hits": rule_hits(F.col("_norm"), R.XSS_RULES),
         "_bypass": xss_bypass(F.col("_norm")),
-        "_signs": xss_contexts(F.col("_norm")),
-        "_payload": settle(xss_payload(F.col("_text"), F.col("_decoded"))),
+        "_shown": xss_contexts(F.col("_norm")),
+        "_signs": settle(xss_signs(F.col("_text"), F.col("_decoded"))),
     })
     df = df.withColumns({
         "_types": _distinct(F.col("_hits"), "attack_type"),
         "_rule_ctx": _distinct(F.col("_hits"), "scope"),
     })
-    df = df.withColumn("_new", F.array_except("_signs", "_rule_ctx"))
+    df = df.withColumn("_new", F.array_except("_shown", "_rule_ctx"))
     n = F.size("_hits")
     score = (_total(F.col("_hits")) + F.size("_bypass") * 0.1 + F.size("_new") * 0.1) / (n + 1.0)
     df = df.withColumns({
@@ -219,14 +233,14 @@ def xss_detect(df: DataFrame, text: Column, out: str = "xss", payload: bool = Fa
         (F.col("_conf") >= 0.25).alias("detected"), F.col("_conf").alias("confidence"),
         F.col("_types").alias("attack_types"), F.col("_ctx").alias("contexts"),
         F.transform("_hits", lambda h: h["name"]).alias("matched"), F.col("_bypass").alias("bypasses"),
-        xss_risk(F.col("_conf"), F.col("_types"), F.col("_payload")).alias("risk_level"),
-        xss_mitigations(F.col("_types"), F.col("_ctx"), F.col("_payload")).alias("mitigations"),
+        xss_risk(F.col("_conf"), F.col("_types"), F.col("_signs")).alias("risk_level"),
+        xss_mitigations(F.col("_types"), F.col("_ctx"), F.col("_signs")).alias("mitigations"),
     )
     df = df.withColumn(out, settle(verdict))
     if payload:
-        df = df.withColumn(out + "_payload", F.col("_payload"))
+        df = df.withColumn(out + "_payload", settle(xss_payload(F.col("_text"), F.col("_decoded"))))
     return df.drop(
-        "_text", "_decoded", "_norm", "_hits", "_bypass", "_signs", "_payload", "_types", "_rule_ctx", "_new", "_conf", "_ctx")
+        "_text", "_decoded", "_norm", "_hits", "_bypass", "_shown", "_signs", "_types", "_rule_ctx", "_new", "_conf", "_ctx")
 
 
 def xss_known_bypass(text: Column) -> Column:

@@ -11,11 +11,22 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 HOUR = 3600
 
 
+def shared(df: DataFrame) -> DataFrame:
+    """Keep an intermediate result that later steps read more than once.
+
+    Each step here reads its input twice (bucket totals, then rows); without
+    this, a chain of steps would recompute its start once per path.  Lost
+    blocks are recomputed.  Release with ``spark.catalog.clearCache()``.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _bucket(ts: Column, width: int) -> Column:
     return F.floor(F.unix_micros(ts) / F.lit(width * 1_000_000))
 
@@ -32,20 +43,19 @@ def running(
     specs += [(n, c, F.min) for n, c in (mins or {}).items()]
     specs += [(n, c, F.max) for n, c in (maxs or {}).items()]
     cells = [*keys, "_bucket"]
-    rows = df.withColumn("_bucket", _bucket(F.col(ts), width)).withColumns(
-        {f"_in_{n}": c for n, c, _ in specs}
-    )
+    rows = df.withColumns({"_bucket": _bucket(F.col(ts), width), **{f"_in_{n}": c for n, c, _ in specs}})
     cell = rows.groupBy(*cells).agg(*[f(f"_in_{n}").alias(f"_cell_{n}") for n, _, f in specs])
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     inherited = cell.select(*cells, *[f(f"_cell_{n}").over(before).alias(f"_past_{n}") for n, _, f in specs])
     inside = Window.partitionBy(*cells).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.join(inherited, cells)
+    totals = {}
     for n, _, f in specs:
         here, past = f(f"_in_{n}").over(inside), F.col(f"_past_{n}")
         if f is F.sum:
-            out = out.withColumn(n, F.coalesce(past, F.lit(0)) + F.coalesce(here, F.lit(0)))
+            totals[n] = F.coalesce(past, F.lit(0)) + F.coalesce(here, F.lit(0))
         else:
-            out = out.withColumn(n, (F.least if f is F.min else F.greatest)(past, here))
+            totals[n] = (F.least if f is F.min else F.greatest)(past, here)
+    out = rows.join(inherited, cells).withColumns(totals)
     return out.drop("_bucket", *[f"_in_{n}" for n, _, _ in specs], *[f"_past_{n}" for n, _, _ in specs])
 
 
@@ -61,7 +71,10 @@ def previous_rows(
     cells = [*keys, "_bucket"]
     if bucket is None:
         bucket = _bucket(F.col(ts), width)
-    rows = df.withColumn("_bucket", bucket).withColumn("_value", value)
+    rows = df.withColumns({"_bucket": bucket, "_value": value})
+    if k == 1:
+        return _previous_row(rows, keys, cells, order).withColumn(out, F.array_compact(F.array("_lag"))).drop(
+            "_bucket", "_value", "_lag")
     newest = Window.partitionBy(*cells).orderBy(*[F.desc(c) for c in order])
     oldest = Window.partitionBy(*cells).orderBy(*order)
     tails = (
@@ -80,6 +93,14 @@ def previous_rows(
     return joined.withColumn(out, last_k).drop("_bucket", "_value", "_past", "_all")
 
 
+def _previous_row(rows: DataFrame, keys: list[str], cells: list[str], order: list[str]) -> DataFrame:
+    """``previous_rows`` for one row: buckets reduce to their newest value."""
+    newest = rows.groupBy(*cells).agg(F.max_by("_value", F.struct(*order)).alias("_newest"))
+    inherited = newest.select(*cells, F.lag("_newest").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_past"))
+    here = F.lag("_value").over(Window.partitionBy(*cells).orderBy(*order))
+    return rows.join(inherited, cells).withColumn("_lag", F.coalesce(here, "_past")).drop("_past")
+
+
 class Sliding(NamedTuple):
     """A sliding measure ending at each row.
 
