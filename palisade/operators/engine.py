@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from palisade.operators.bruteforce import attempts, bf_detect, bf_profile
-from palisade.plans.running import shared
 from palisade.operators.payload import detection_text, sqli_detect, xss_detect
+from palisade.session import truncate_lineage
 
 # Weight of each detector in the combined risk.
 WEIGHTS = {"sqli": 0.3, "xss": 0.25, "brute_force": 0.25, "anomaly": 0.2}
@@ -45,7 +45,7 @@ def detect_all(
         "anomaly": F.lit(None).cast("struct<detected:boolean,score:double>"),
     })
     if brute_force:
-        tries = shared(attempts(events, auth_only))
+        tries = truncate_lineage(attempts(events, auth_only))  # read by many steps
         scored = bf_detect(bf_profile(tries)).select(
             "id", F.struct("detected", "confidence", "risk_level").alias("brute_force"))
         out = out.drop("brute_force").join(scored, "id", "left")

@@ -18,7 +18,7 @@ from palisade.plans.q_enrich import _ROUTE
 from palisade.plans.q_payload import SQLI, XSS
 from palisade.plans.q_reports import pairs
 from palisade.plans.registry import big, joined, query, r6, secs
-from palisade.session import checkpoint_dir
+from palisade.session import checkpoint_dir, truncate_lineage
 from palisade.sources import fixtures as fx, store as W
 from palisade.sources.fixtures import AS_OF
 
@@ -230,7 +230,7 @@ _SEV = "CASE WHEN risk >= 0.8 THEN 'Critical' WHEN risk >= 0.6 THEN 'Warning' EL
 @query("generate_alerts", ev(f"""SELECT id, 'scored' AS mode, {_SEV} AS severity, 'Security Threat Detected from ' || coalesce(source_ip, 'Unknown') AS title FROM risk WHERE (sqli OR xss OR brute) AND risk >= 0.45
    UNION ALL SELECT id, 'any', severity, 'Security Threat Detected from ' || coalesce(source_ip, 'Unknown') FROM risk WHERE sqli OR xss OR brute""", _ENGINE))
 def generate_alerts(spark, sf):
-    found = _detections(spark, sf).persist()
+    found = truncate_lineage(_detections(spark, sf))
     scored = E.generate_alerts(found, 0.45).withColumn("mode", F.lit("scored"))
     return scored.unionByName(E.generate_alerts(found, None).withColumn("mode", F.lit("any"))).select("id", "mode", "severity", "title")
 

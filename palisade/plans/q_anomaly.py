@@ -13,6 +13,7 @@ from palisade.plans.q_parse import _NO_USER
 from palisade.plans.q_payload import SQLI, XSS
 from palisade.plans.q_reports import COUNTRY
 from palisade.plans.registry import big, joined, query, r6, secs
+from palisade.session import truncate_lineage
 from palisade.sources import fixtures as fx
 from palisade.sources.fixtures import AS_OF
 
@@ -30,7 +31,7 @@ def _events(spark, sf):
 
 
 def _inputs(spark, sf):
-    return M.ml_inputs(_events(spark, sf)).persist()
+    return truncate_lineage(M.ml_inputs(_events(spark, sf)))
 
 
 def _ent(t):
@@ -335,7 +336,7 @@ def detect_anomaly(spark, sf):
 @query("train_model")
 def train_model(spark, sf):
     """Fits on the feature vectors of all events, then scores them with it."""
-    vectors = M.feature_vector(_inputs(spark, sf)).persist()
+    vectors = truncate_lineage(M.feature_vector(_inputs(spark, sf)))
     marked = fx.feedback(spark, sf).select(F.col("event_id").alias("id"), F.lit(False).alias("label"))
     samples = M.collect_training(vectors, keep=None).drop("label").join(marked, "id", "left").persist()
     model = M.Model.load(M.train_model(samples, min_samples=100).table(spark))

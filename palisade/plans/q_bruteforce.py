@@ -10,6 +10,7 @@ from palisade.plans import oracle as O
 from palisade.plans.oracle import NOW, ev, matching, q, qlist
 from palisade.plans.q_payload import _advice, _cat, _if, _seen
 from palisade.plans.registry import big, joined, query, r6, secs
+from palisade.session import truncate_lineage
 from palisade.sources import fixtures as fx
 from palisade.sources.fixtures import AS_OF
 
@@ -62,7 +63,7 @@ pr AS MATERIALIZED (SELECT *, CASE WHEN crit > 0 OR conf >= 0.9 THEN 'Critical'
 
 
 def _tries(spark, sf):
-    return B.attempts(fx.events(spark, sf)).persist()
+    return truncate_lineage(B.attempts(fx.events(spark, sf)))
 
 
 def _profile(spark, sf):

@@ -13,6 +13,7 @@ from palisade.plans.q_bruteforce import ATT
 from palisade.plans.q_payload import SQLI, XSS
 from palisade.plans.q_reports import COUNTRY
 from palisade.plans.registry import big, joined, query, r6, secs
+from palisade.session import truncate_lineage
 from palisade.sources import fixtures as fx
 from palisade.sources.fixtures import AS_OF
 
@@ -28,7 +29,7 @@ def _ids(col):
 
 
 def _slim(spark, sf):
-    return fx.events(spark, sf).select("id", "ts", "source", "source_ip", "event_type").persist()
+    return truncate_lineage(fx.events(spark, sf).select("id", "ts", "source", "source_ip", "event_type"))
 
 
 @query("related_events", ev("SELECT ev.id, coalesce(array_to_string(rel.ids, '|'), '') AS related FROM ev LEFT JOIN rel ON rel.id = ev.id", _RELATED))
