@@ -299,3 +299,19 @@ PRIVATE_PREFIXES = ["127.", "10.", "192.168."] + [f"172.{n}." for n in range(16,
 SUSPICIOUS_PATH_CHARS = r"""[<>"';(){}]"""
 SPECIAL_CHARS = r"""[<>"';(){}\[\]&|*%$#@!?\\/+=~`^]"""
 COMMON_AGENT_WORDS = ["Mozilla", "Chrome", "Safari", "Firefox", "Edge", "Opera"]
+
+#: Literals of which a lower-cased text holds at least one if the rule matches;
+#: looking for them first spares most texts the regular expression.
+RULE_LITERALS = {
+    "union_select": ["union"], "union_variations": ["un"], "boolean_logic": ["="],
+    "time_delay_mysql": ["sleep", "benchmark"], "time_delay_mssql": ["waitfor"], "time_delay_postgresql": ["pg_sleep"],
+    "error_functions": ["("], "cast_conversion": ["cast", "convert"], "stacked_queries": [";"],
+    "information_schema": ["information_schema"], "mysql_functions": ["("],
+    "mssql_functions": ["@@version", "db_name", "user_name", "system_user", "xp_cmdshell", "sp_executesql"],
+    "sql_comments": ["--", "#", "/*"], "hex_encoding": ["0x"], "nosql_operators": ["$"], "mongodb_injection": ["$"],
+    "script_tag": ["script"], "script_tag_with_src": ["script"], "javascript_scheme": ["javascript"],
+    "data_scheme_html": ["text/html"], "javascript_eval": ["("], "css_expression": ["expression"], "svg_script": ["svg"],
+    "svg_onload": ["svg"], "dom_manipulation": ["document.", "window."], "template_literals": ["`"],
+    "prototype_pollution": ["proto"], "dynamic_import": ["import"], "css_import": ["@import"],
+    "css_background_image": ["background"], "meta_refresh": ["meta"], "iframe_srcdoc": ["iframe"],
+}

@@ -7,6 +7,8 @@ layers apart and every regular expression runs once per row.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from palisade.functions import dimensions as D, rules as R
@@ -19,10 +21,21 @@ def detection_text(events: DataFrame) -> Column:
     return F.concat_ws(" ", "raw_message", F.to_json("parsed"))
 
 
-def rule_hits(text: Column, rules: list[R.Rule]) -> Column:
-    """``array<struct<name, confidence, attack_type, scope>>`` in rule order."""
+def rule_hits(text: Column, rules: list[R.Rule], lower_cased: bool = False) -> Column:
+    """``array<struct<name, confidence, attack_type, scope>>`` in rule order.
+
+    On lower-cased text a rule is only tried where one of its literals occurs.
+    """
+
+    def matches(rule: R.Rule) -> Column:
+        found = text.rlike(rule.regex)
+        literals = R.RULE_LITERALS.get(rule.name) if lower_cased else None
+        if not literals:
+            return found
+        return reduce(lambda a, b: a | b, [text.contains(w) for w in literals]) & found
+
     return F.array_compact(F.array(*[
-        F.when(text.rlike(r.regex), F.struct(
+        F.when(matches(r), F.struct(
             F.lit(r.name).alias("name"), F.lit(r.confidence).alias("confidence"),
             F.lit(r.attack_type).alias("attack_type"), F.lit(r.scope).cast("string").alias("scope")))
         for r in rules
@@ -112,7 +125,7 @@ def sqli_detect(df: DataFrame, text: Column, out: str = "sqli", payload: bool =
     df = with_decoded_sqli(df, "_text", "_decoded")
     df = df.withColumn("_norm", normalize_sqli(F.col("_decoded")))
     df = df.withColumns({
-        "_hits": rule_hits(F.col("_norm"), R.SQLI_RULES),
+        "_hits": rule_hits(F.col("_norm"), R.SQLI_RULES, lower_cased=True),
         "_bypass": sqli_bypass(F.col("_norm")),
         "_enc": names_matching(F.col("_text"), R.SQLI_ENCODINGS),
     })
@@ -213,7 +226,7 @@ def xss_detect(df: DataFrame, text: Column, out: str = "xss", payload: bool = Fa
     df = with_decoded_xss(df, "_text", "_decoded")
     df = df.withColumn("_norm", normalize_xss(F.col("_decoded")))
     df = df.withColumns({
-        "_hits": rule_hits(F.col("_norm"), R.XSS_RULES),
+        "_hits": rule_hits(F.col("_norm"), R.XSS_RULES, lower_cased=True),
         "_bypass": xss_bypass(F.col("_norm")),
         "_shown": xss_contexts(F.col("_norm")),
         "_signs": settle(xss_signs(F.col("_text"), F.col("_decoded"))),

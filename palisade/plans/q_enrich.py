@@ -233,10 +233,10 @@ def alert_recipients(spark, sf):
     return N.alert_recipients(fx.alerts(spark, sf), people).select("id", "address")
 
 
-_ENDPOINTS = [("siem", True, "All", []), ("pager", True, "Critical", []), ("chat", True, "Warning", ["Warning"]), ("old", False, "All", [])]
+_ENDPOINTS = [("hub", True, "All", []), ("pager", True, "Critical", []), ("chat", True, "Warning", ["Warning"]), ("old", False, "All", [])]
 
 
-@query("alert_endpoints", al("""SELECT id, 'siem' AS endpoint FROM alerts UNION ALL SELECT id, 'pager' FROM alerts WHERE severity = 'Critical'
+@query("alert_endpoints", al("""SELECT id, 'hub' AS endpoint FROM alerts UNION ALL SELECT id, 'pager' FROM alerts WHERE severity = 'Critical'
    UNION ALL SELECT id, 'chat' FROM alerts WHERE severity = 'Warning'"""))
 def alert_endpoints(spark, sf):
     hooks = spark.createDataFrame(_ENDPOINTS, "endpoint string, enabled boolean, severity_filter string, alert_types array<string>")

@@ -14,7 +14,7 @@ from palisade.plans.q_parse import _flat
 from palisade.plans.q_payload import SQLI, XSS
 from palisade.plans.registry import big, query, secs
 from palisade.sources import fixtures as fx, store as W
-from palisade.streaming import pipelines as S
+from palisade.streaming import jobs as S
 
 #: Time slices that arrive one after the other.
 SLICES = ["2024-01-01", "2024-01-12", "2024-01-22", "2024-02-01"]

@@ -108,3 +108,30 @@ def test_verdict_signs_agree_with_the_listed_parts(spark, sf):
         | (F.col("s.external_scheme") != V._has_any(F.col("p.url_schemes"), R.XSS_EXTERNAL_SCHEMES))
         | (F.col("s.function") != (F.size("p.functions") > 0)) | (F.col("s.obfuscated") != (F.size("p.obfuscation") > 0)))
     assert wrong.count() == 0
+
+
+ATTACKS = [
+    "1 union all select 2", "un/**/se", "a or 1 = 1", "and true", "sleep ( 5", "benchmark(9", "waitfor delay '0:0:5'", "pg_sleep(1",
+    "extractvalue(", "cast( a as int", "; drop table x", "information_schema.tables", "load_file(", "x into outfile (", "@@version",
+    "xp_cmdshell", "# x", "/* a */", "0xff", "$where", "$regex: javascript", "< script >", "<script src=x>", "onload=1", "onstorage =1",
+    "javascript :", "data : text/html", "settimeout (", "expression (", "<svg><script", "<svg onload=", "document.write(", "window.open[",
+    "`a${b}c`", "__proto__", "constructor.prototype", "object.prototype", "importscripts (", "import(", "@import url (",
+    "background: url(javascript:x", "<meta http-equiv=refresh url", "<iframe srcdoc ="]
+
+
+def test_literals_never_hide_a_match(spark, sf):
+    """Looking for literals first finds what the expressions alone find."""
+    from palisade.functions import rules as R
+    from palisade.sources import fixtures as fx
+
+    sources = texts(spark, ATTACKS).select("t")
+    for table, column in (("pages", "html"), ("documents", "text"), ("conversations", "text"), ("benchmark", "text")):
+        sources = sources.unionByName(fx.table(spark, sf, table).select(F.col(column).alias("t")))
+    sources = sources.unionByName(fx.log_lines(spark, sf).select(dc.url_decode(F.col("line")).alias("t")))
+    low = sources.select(F.lower("t").alias("t"))
+    rules = R.SQLI_RULES + R.XSS_RULES
+    plain, quick = V.rule_hits(F.col("t"), rules), V.rule_hits(F.col("t"), rules, lower_cased=True)
+    seen = low.select(plain.alias("p"), quick.alias("q"))
+    assert seen.where(F.col("p") != F.col("q")).count() == 0
+    names = {n for r in seen.select(F.explode("q.name").alias("n")).distinct().collect() for n in [r.n]}
+    assert names == {r.name for r in rules}
