@@ -150,16 +150,25 @@ def sqli_detect(df: DataFrame, text: Column, out: str = "sqli", payload: bool =
 # --- cross-site scripting ---------------------------------------------------
 
 def xss_bypass(normalized: Column) -> Column:
-    """Names of evasion techniques, one per matching mark."""
-    return names_matching(normalized, R.XSS_BYPASSES)
+    """Names of evasion techniques, one per matching mark.
+
+    Every mark of a normalised (lower-case) text holds one of two words.
+    """
+    possible = normalized.contains("script") | normalized.contains("alert")
+    return F.when(possible, names_matching(normalized, R.XSS_BYPASSES)).otherwise(F.array().cast("array<string>"))
 
 
 def xss_contexts(normalized: Column) -> Column:
-    """Page contexts the text shows signs of."""
+    """Page contexts the text shows signs of; the plainer pattern goes first."""
+    needs = {"HtmlContent": ["<"], "HtmlAttribute": ["="], "CssStyle": [":", "@"]}
+
+    def shows(name: str, first: str, second: str) -> Column:
+        found = normalized.rlike(second) | normalized.rlike(first)
+        literals = [normalized.contains(w) for w in needs.get(name, [])]
+        return reduce(lambda x, y: x | y, literals) & found if literals else found
+
     return F.array_compact(F.array(*[
-        F.when(normalized.rlike(first) | normalized.rlike(second), F.lit(name))
-        for name, (first, second) in R.XSS_CONTEXTS
-    ]))
+        F.when(shows(name, first, second), F.lit(name)) for name, (first, second) in R.XSS_CONTEXTS]))
 
 
 def xss_payload(original: Column, decoded: Column) -> Column:
@@ -191,10 +200,10 @@ def xss_signs(original: Column, decoded: Column) -> Column:
     names = [f.replace(".", r"\.") for f in R.XSS_DANGEROUS_FUNCTIONS]
     return F.struct(
         names_matching(original, R.XSS_ENCODINGS).alias("encodings"),
-        decoded.rlike(R.JS_FUNCTION).alias("function"),
-        decoded.rlike(r"(?i)\b(" + "|".join(names) + r")\s*\(").alias("dangerous_function"),
-        decoded.rlike(r"(?i)<\s*(" + "|".join(R.XSS_DANGEROUS_TAGS) + r")(?![a-z])").alias("dangerous_tag"),
-        decoded.rlike(r"(?i)\b(" + "|".join(R.XSS_EXTERNAL_SCHEMES) + r")://").alias("external_scheme"),
+        (decoded.contains("(") & decoded.rlike(R.JS_FUNCTION)).alias("function"),
+        (decoded.contains("(") & decoded.rlike(r"(?i)\b(" + "|".join(names) + r")\s*\(")).alias("dangerous_function"),
+        (decoded.contains("<") & decoded.rlike(r"(?i)<\s*(" + "|".join(R.XSS_DANGEROUS_TAGS) + r")(?![a-z])")).alias("dangerous_tag"),
+        (decoded.contains("://") & decoded.rlike(r"(?i)\b(" + "|".join(R.XSS_EXTERNAL_SCHEMES) + r")://")).alias("external_scheme"),
         (
             decoded.contains("String.fromCharCode") | decoded.contains("eval(")
             | original.rlike(r"\\x[0-9a-fA-F]{2}|&#x?[0-9]+;") | (decoded.contains("/*") & decoded.contains("*/"))
