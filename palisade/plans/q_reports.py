@@ -68,7 +68,7 @@ def events_by_type(spark, sf):
 def _trend_sql(hours, width):
     n = hours // width
     kinds = [("sql_injection", "SqlInjection"), ("xss", "XssAttempt"), ("brute_force", "BruteForce"), ("anomaly", "Anomaly")]
-    cols = ", ".join(f"CAST(count_if(e.event_type = '{t}') AS BIGINT) AS {k}" for k, t in kinds)
+    cols = ", ".join(f"CAST(coalesce(count_if(e.event_type = '{t}'), 0) AS BIGINT) AS {k}" for k, t in kinds)
     return ev(f"""SELECT CAST(b AS BIGINT) AS bucket, {O.secs('lo')} AS starts_s, {cols}
       FROM (SELECT b, {NOW} - INTERVAL {hours} HOUR + to_hours(CAST(b * {width} AS INTEGER)) AS lo FROM range({n}) t(b)) g
       LEFT JOIN ev e ON e.ts >= g.lo AND e.ts < g.lo + INTERVAL {width} HOUR GROUP BY b, lo""")
@@ -131,7 +131,7 @@ def detection_efficiency(spark, sf):
    UNION ALL SELECT 'geo_heatmap', {COUNTRY}, CAST(count(*) AS BIGINT) FROM w WHERE source_ip IS NOT NULL GROUP BY 2
    UNION ALL SELECT 'hourly_timeline', CAST(h AS VARCHAR), CAST(count(w.id) AS BIGINT) FROM range(24) r(h) LEFT JOIN w ON hour(w.ts) = h GROUP BY 2
    UNION ALL SELECT 'top_threat_sources', source_ip, n FROM (SELECT source_ip, CAST(count(*) AS BIGINT) AS n FROM w WHERE source_ip IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)
-   UNION ALL SELECT 'threat_trends', CAST(b AS VARCHAR), CAST(count_if(event_type = 'SqlInjection') AS BIGINT) FROM range(24) r(b)
+   UNION ALL SELECT 'threat_trends', CAST(b AS VARCHAR), CAST(coalesce(count_if(event_type = 'SqlInjection'), 0) AS BIGINT) FROM range(24) r(b)
       LEFT JOIN w ON w.ts >= {NOW} - INTERVAL 168 HOUR + to_hours(CAST(b * 7 AS INTEGER)) AND w.ts < {NOW} - INTERVAL 168 HOUR + to_hours(CAST(b * 7 + 7 AS INTEGER)) GROUP BY 2
    UNION ALL SELECT 'detection_efficiency', 'total', CAST(count(*) AS BIGINT) FROM w""",
    f"w AS (SELECT * FROM ev WHERE ts >= {NOW} - INTERVAL 7 DAY AND ts <= {NOW} AND source = 'apache')"))
