@@ -6,9 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from palisade.llm.ann import nearest
+from palisade.llm.bpe import bpe_decode, bpe_encode, share_vocabulary
 from palisade.llm.common import table
 from palisade.llm.embed_dedup import near_vectors
+from palisade.llm.langid import fit_dictionaries, identify_language, training_rows
+from palisade.llm.lm import held_out, score_texts
+from palisade.llm.mixing import mix_blocks, mixed_sizes
+from palisade.llm.pii import KINDS, find_pii, span_text
+from palisade.llm.quality import fit_quality, score_quality, training_rows as quality_rows
 from palisade.llm.simhash import simhash_groups
+from palisade.llm.urls import RULES, build_list, judge_urls, oracle_sql as url_sql, toxic_addresses
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +32,69 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def default_vocabulary() -> str:
+    """The vocabulary file that the queries and the pipeline use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op1_pii")
+def op1(spark, sf_dir):
+    found = find_pii(table(spark, sf_dir, "documents"))
+    def many(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(many, KINDS), F.sha2(span_text(F.col("base")), 256).alias("base_sha256"),
+                        span_text(F.concat("base", "added")).alias("spans"))
+
+
+@query("op2_ann")
+def op2(spark, sf_dir):
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op3_suffix_tree")
+def op3(spark, sf_dir):
+    scored = score_texts(table(spark, sf_dir, "documents"))
+    return scored.withColumn("held_out", held_out(F.col("doc_id")))
+
+
+@query("op4_quality")
+def op4(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return scored.select("doc_id", (~quality_rows(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op5_mixing")
+def op5(spark, sf_dir):
+    rows, blocks = mix_blocks(table(spark, sf_dir, "documents"))
+    return mixed_sizes(rows, blocks).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op6_url_filter", url_sql())
+def op6(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    entries = build_list(spark, RULES, toxic_addresses(pages, table(spark, sf_dir, "labels")))
+    return judge_urls(pages, entries, RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op7_bpe")
+def op7(spark, sf_dir):
+    vocabulary = share_vocabulary(spark, default_vocabulary())
+    coded = bpe_encode(table(spark, sf_dir, "documents"), vocabulary, keep=["doc_id"])
+    return bpe_decode(coded, vocabulary).select(
+        "doc_id", "n_tokens", F.sha2(F.col("ids"), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
+@query("op8_language_id")
+def op8(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    named = identify_language(docs, fit_dictionaries(docs.where(training_rows(docs))), keep=["doc_id"])
+    return named.select("doc_id", (~training_rows(named)).alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
 @query("op9_simhash_dedup")
 def op9(spark, sf_dir):
     groups = simhash_groups(table(spark, sf_dir, "documents"))
@@ -33,3 +104,10 @@ def op9(spark, sf_dir):
 @query("op10_embedding_dedup")
 def op10(spark, sf_dir):
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("pipeline")
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
