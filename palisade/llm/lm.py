@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -152,7 +151,7 @@ def grow_tree(grams: list[tuple[np.ndarray, np.ndarray]], divergence: float = DI
         counts[grams[0][0].astype(np.int64)] = grams[0][1]
     tree = SuffixTree(np.log((counts + 1) / (counts.sum() + 256)), [], [], [], [])
     smooth = tree.root
-    parent_contexts, levels = None, []
+    levels = []
     for k in range(1, len(grams)):
         keys, n = grams[k]
         above = (keys >> np.uint64(8)) if len(keys) else keys

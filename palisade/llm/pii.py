@@ -32,7 +32,7 @@ _CARD = r"[0-9](?:[\x20-]?[0-9]){15,}+"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: High-recall generators.
 _SECRET = r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9][A-Za-z0-9_+/-]{14,}+"
-_NUMBER = r"(?<![0-9])[+(]?[0-9][0-9().\x20/-]{5,}[0-9]"
+_NUMBER = r"(?<![0-9A-Za-z])[+(]?[0-9][0-9().\x20/-]{5,}[0-9](?![0-9A-Za-z])"
 _CUE = r"(?i)(?:passw(?:or)?d|pwd|token|secret|api[_-]?key|key)[\x20\"':=]{1,6}$"
 
 #: Candidate patterns that the trees are fitted on at most: every feature has few values, so there are no more than this.
@@ -41,7 +41,7 @@ TREES, DEPTH = 12, 3
 #: Share of positive labels among what a threshold selects, on the calibration documents.
 PRECISION = 0.95
 
-FEATURES = ("length", "digits", "upper", "lower", "other", "changes", "before", "after", "spaced", "groups")
+FEATURES = ("length", "digits", "upper", "lower", "other", "changes", "before", "after", "spaced", "groups", "check")
 SPAN = "struct<kind:string,start:bigint,end:bigint,found:string,before:string,after:string>"
 
 
@@ -129,20 +129,24 @@ def _features(c: Column) -> Column:
         "lower": tenths("[a-z]"), "other": tenths("[^A-Za-z0-9]"), "changes": F.least(changes, F.lit(12)).cast("double"),
         "before": around(last), "after": around(first), "spaced": found.rlike(r"[\x20(]").cast("double"),
         "groups": F.least(F.size(F.split(found, "[^0-9]+")), F.lit(6)).cast("double"),
+        "check": F.coalesce(_check(found), F.lit(2)).cast("double"),
     }
     return F.struct(*[values[f].alias(f) for f in FEATURES])
 
 
+def _check(found: Column) -> Column:
+    """Whether a number passes the check of the form it has: parts of an address, a card's last digit; null for other forms."""
+    four, digits = found.rlike(r"^[0-9]+(?:\.[0-9]+){3}$"), _digits(found)
+    card = found.rlike(r"^[0-9][0-9\x20-]+$") & F.length(digits).between(16, 19)
+    return F.when(four, F.when(four, _ip_parts_fit(found)).cast("int")).when(card, F.when(card, luhn(digits)).cast("int"))
+
+
 def _weak_label(c: Column) -> Column:
     """1 or 0 where a fact outside the features tells, else null."""
     found, digits = c["found"], _digits(c["found"])
     cued = c["before"].rlike(_CUE)
     secret = F.when(cued, 1).when(found.rlike("^[A-Za-z][a-z]*+$") | found.rlike("^[a-z]+(?:-[a-z]+)+$"), 0)
-    four = found.rlike(r"^[0-9]+(?:\.[0-9]+){3}$")
-    number = (
-        F.when(four, F.when(four, _ip_parts_fit(found)).cast("int"))
-        .when(F.length(digits).between(16, 19), F.when(F.length(digits).between(16, 19), luhn(digits)).cast("int"))
-        .when(found.startswith("+"), F.length(digits).between(8, 15).cast("int")).when(F.length(digits) > 19, 0))
+    number = F.coalesce(_check(found), F.when(found.startswith("+"), F.length(digits).between(8, 15).cast("int")).when(F.length(digits) > 19, 0))
     return F.when(c["kind"] == "secret", secret).otherwise(number)
 
 
