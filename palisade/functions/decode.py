@@ -49,13 +49,14 @@ def html_decode(text: Column) -> Column:
     """Decode numeric and named character references that end in ';'."""
 
     def char(token):
-        body = F.substring(token, 2, 64)
-        numeric = F.when(body.rlike(r"^#[xX]"), _from_hex(F.regexp_replace(body, r"^#[xX]|;$", "")))
-        numeric = numeric.when(body.startswith("#"), F.translate(body, "#;", "").cast("long"))
+        body = F.substr(token, F.lit(2))
+        digits = F.regexp_replace(body, r"^#[xX]?0*+(?=[0-9a-fA-F])|;$", "")  # leading zeros mean nothing
+        numeric = F.when(body.rlike(r"^#[xX]"), F.when(F.length(digits) <= 6, _from_hex(digits)))
+        numeric = numeric.when(body.startswith("#"), F.when(F.length(digits) <= 7, digits.try_cast("long")))
         named = F.element_at(F.from_json(F.lit(_NAMED_ENTITIES), "map<string,string>"), body)
         return F.when(body.startswith("#"), _utf32(numeric)).otherwise(named)
 
-    token = r"&(?:#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]{1,31});"
+    token = r"&(?:#[xX][0-9a-fA-F]++|#[0-9]++|[A-Za-z][A-Za-z0-9]{1,31});"
     return F.when(text.rlike(token), replace_tokens(text, token, char)).otherwise(text)
 
 

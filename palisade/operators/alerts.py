@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palisade.functions import dimensions as D
 from palisade.operators.query import at
+from palisade.plans.running import running, shared
+from palisade.session import truncate_lineage
 
 
 def dedup_key() -> Column:
@@ -20,44 +22,49 @@ def _runs(values: np.ndarray):
     return zip(np.append(0, cuts), np.append(cuts, len(values)))
 
 
-def alert_dedup(alerts: DataFrame, minutes: int = D.DEDUP_MINUTES, key: Column | None = None, block_rows: int = 1_000_000) -> DataFrame:
+def alert_dedup(alerts: DataFrame, minutes: int = D.DEDUP_MINUTES, key: Column | None = None, block_rows: int = 200_000) -> DataFrame:
     """Keep an alert unless one with its key was kept less than ``minutes`` ago.
 
     Each kept alert opens the next window, so a key is a chain.  The chain is
     cut into time blocks.  Per block, the possible first alerts map to the time
     the chain is open again at the block's end; following that small map from
     block to block tells where the chain enters every block, and each block
-    then walks its part alone.  Blocks are as long as lets ``block_rows`` alerts
-    into one on average, if a single key held them all.  Many keys of one hash
-    share a task call.
+    then walks its part alone.  Blocks are runs of cells of two windows' length
+    and end where ``block_rows`` alerts have been counted, so a stray time makes
+    no block longer.  Keys share task calls by their hash, as many as keep a
+    call near ``block_rows`` rows.
     """
     span = minutes * 60_000_000
-    us = F.unix_micros("ts")
-    size = alerts.agg(F.count("*").alias("n"), F.min(us).alias("lo"), F.max(us).alias("hi")).first()
-    width = max(((size["hi"] or 0) - (size["lo"] or 0)) // (size["n"] // block_rows + 1) + 1, 2 * span)
+    width = 2 * span
     key = dedup_key() if key is None else key
-    bins = int(alerts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # only the first alert of an instant can be kept
     firsts = alerts.groupBy(key.alias("k"), F.unix_micros("ts").alias("us")).agg(F.min("id").alias("id"))
-    firsts = firsts.withColumns({
-        "block": F.floor(F.col("us") / width).cast("long"), "bin": F.pmod(F.xxhash64("k"), F.lit(bins))})
+    firsts = firsts.withColumn("cell", F.floor(F.col("us") / width).cast("long"))
+    sizes = firsts.groupBy("cell").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = truncate_lineage(sizes.withColumn("block", F.floor(F.coalesce(before, F.lit(0)) / block_rows).cast("long")))
+    largest = blocks.groupBy("block").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
+    firsts = firsts.join(blocks.select("cell", "block"), "cell")
+    bins = max(1, -(-largest // block_rows))
+    firsts = shared(firsts.withColumn("bin", F.pmod(F.xxhash64("k"), F.lit(bins))))
 
     def block_map(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["k", "us"], ignore_index=True)
         keys, times, block = pdf["k"].to_numpy(), pdf["us"].to_numpy(), int(pdf["block"].iloc[0])
+        start = int(pdf["cell"].min()) * width
         found = []
         for lo, hi in _runs(keys):
             t, n = times[lo:hi], hi - lo
             follows = np.append(np.searchsorted(t, t + span), n)
-            last = np.arange(n)
-            for _ in range(width // span + 1):
-                step = follows[last]
+            last, step = np.arange(n), follows[:n]
+            while (step < n).any():
                 last = np.where(step < n, step, last)
+                step = follows[last]
             # the chain enters at the first alert after a time below block start + span
-            entries = min(n, int(np.searchsorted(t, block * width + span)) + 1)
+            entries = min(n, int(np.searchsorted(t, start + span)) + 1)
             upto, leave = t[:entries], t[last[:entries]] + span
             keep = np.append(leave[1:] != leave[:-1], True)
-            found.append(pd.DataFrame({"bin": pdf["bin"].iloc[0], "k": keys[lo], "block": block, "upto": upto[keep], "leave": leave[keep]}))
+            found.append(pd.DataFrame({"k": keys[lo], "block": block, "upto": upto[keep], "leave": leave[keep]}))
         return pd.concat(found)
 
     def enter_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -86,8 +93,9 @@ def alert_dedup(alerts: DataFrame, minutes: int = D.DEDUP_MINUTES, key: Column |
                 i = int(np.searchsorted(t, t[i] + span))
         return pd.DataFrame({"id": np.array(kept, dtype="int64")})
 
-    maps = firsts.groupBy("bin", "block").applyInPandas(block_map, "bin long, k string, block long, upto long, leave long")
-    entered = maps.groupBy("bin").applyInPandas(enter_blocks, "k string, block long, enter long")
+    maps = shared(firsts.groupBy("bin", "block").applyInPandas(block_map, "k string, block long, upto long, leave long"))
+    groups = max(1, -(-maps.count() // block_rows))
+    entered = maps.groupBy(F.pmod(F.xxhash64("k"), F.lit(groups)).alias("bin")).applyInPandas(enter_blocks, "k string, block long, enter long")
     placed = firsts.join(entered, ["k", "block"])
     kept = placed.groupBy("bin", "block").applyInPandas(walk, "id long")
     return alerts.join(kept, "id", "left_semi")
@@ -106,10 +114,11 @@ def alert_batch(alerts: DataFrame, minutes: int = D.BATCH_MINUTES, size: int = D
     A batch holds at most ``size`` alerts of one severity and window.
     """
     grouped = alerts.where("severity <> 'Critical'").withColumn("_w", F.window("ts", f"{minutes} minutes")["start"])
-    place = F.row_number().over(Window.partitionBy("severity", "_w").orderBy("ts", "id"))
-    part = F.floor((place - 1) / size).cast("string")
+    # places are counted second by second, so a flood of one severity is many small groups
+    grouped = running(grouped, ["severity", "_w"], ["ts", "id"], ts="ts", sums={"_place": F.lit(1)}, width=1)
+    part = F.floor((F.col("_place") - 1) / size).cast("string")
     batch = F.concat_ws("/", "severity", F.unix_seconds("_w").cast("string"), part)
-    batched = grouped.withColumn("batch_id", batch).drop("_w")
+    batched = grouped.withColumn("batch_id", batch).drop("_w", "_place")
     now = alerts.where("severity = 'Critical'").withColumn("batch_id", F.lit(None).cast("string"))
     return batched.unionByName(now)
 

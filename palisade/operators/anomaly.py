@@ -30,7 +30,7 @@ PROTOCOL_SCORES = {"HTTP/1.1": 1.0, "HTTP/1.0": 2.0, "HTTP/2.0": 0.5}
 METHOD_SCORES = {
     "GET": 1.0, "POST": 1.5, "PUT": 2.0, "DELETE": 2.5, "OPTIONS": 3.0, "HEAD": 1.2, "TRACE": 4.0, "CONNECT": 4.0}
 # Model settings.
-THRESHOLD, MIN_SAMPLES, RETRAIN_HOURS, KEEP_SAMPLES, CLUSTERS, ROUNDS = 0.7, 1000, 6, 5000, 3, 10
+THRESHOLD, MIN_SAMPLES, RETRAIN_HOURS, CLUSTERS, ROUNDS = 0.7, 1000, 6, 3, 10
 
 _SPECIAL = R.SPECIAL_CHARS[1:-1].replace("\\[", "[").replace("\\]", "]").replace("\\\\", "\\")
 _SUSPICIOUS = R.SUSPICIOUS_PATH_CHARS[1:-1]
@@ -103,9 +103,10 @@ def network_features() -> dict[str, Column]:
 def temporal_features(inputs: DataFrame) -> DataFrame:
     """(id, six features) of each address's request rhythm."""
     rows = inputs.select("id", "ts", "source_ip")
-    counted = sliding(rows, ["source_ip"], windows=[
+    n = rows.count()
+    counted = sliding(rows, ["source_ip"], at_most=n, windows=[
         Sliding("hour_n", 3600, True, F.lit(True)), Sliding("ten_n", 600, False, F.lit(True))]).select("id", "hour_n", "ten_n")
-    near = previous_rows(rows, ["source_ip"], ["ts", "id"], F.col("ts"), 9, ts="ts")
+    near = previous_rows(rows, ["source_ip"], ["ts", "id"], F.col("ts"), 9, ts="ts", at_most=n)
     times = F.concat(F.filter("prev", lambda t: t >= F.col("ts") - F.expr("INTERVAL 1 HOUR")), F.array("ts"))
     near = near.withColumn("times", times)
     last = F.size("times") - 1
@@ -117,63 +118,85 @@ def temporal_features(inputs: DataFrame) -> DataFrame:
     some = F.greatest(n, F.lit(1))
     near = near.withColumn("mean", F.aggregate("gaps", F.lit(0.0), lambda a, g: a + g) / some)
     spread = F.sqrt(F.aggregate("gaps", F.lit(0.0), lambda a, g: a + (g - F.col("mean")) * (g - F.col("mean"))) / some)
-    cap = F.lit(1000)
     return near.join(counted, "id").select(
-        "id", F.log(F.least("hour_n", cap).cast("double")).alias("log_requests_last_hour"),
-        F.log(F.least("ten_n", cap).cast("double")).alias("log_requests_last_10min"),
+        "id", F.log(F.col("hour_n").cast("double")).alias("log_requests_last_hour"),
+        F.log(F.col("ten_n").cast("double")).alias("log_requests_last_10min"),
         F.when(n >= 1, F.log(F.get("gaps", n - 1) + 1.0)).otherwise(F.lit(0.0)).alias("log_time_since_last"),
         F.when(n >= 2, spread).otherwise(F.lit(0.0)).alias("request_interval_variance"),
         (F.hour("ts") / 24.0).alias("hour_of_day"), (F.weekday("ts") / 7.0).alias("day_of_week"))
 
 
-def _exponential_deviation(inputs: DataFrame, value: str, out: str, terms: int = 53) -> DataFrame:
+def _exponential_deviation(inputs: DataFrame, value: str, out: str, at_most: int, terms: int = 53) -> DataFrame:
     """(id, out): distance from avg = (avg + x) / 2, started at 0, own value included.
 
-    A value ``terms`` rows back weighs 2**-terms, below double precision.
+    A value ``terms`` rows back weighs 2**-terms.  What is left out changes the
+    average by less than 2**-53 of the largest earlier value, which is what one
+    rounding of a sum with that value costs.
     """
     rows = inputs.where(F.col(value).isNotNull()).select("id", "ts", "source_ip", F.col(value).cast("double").alias("x"))
-    near = previous_rows(rows, ["source_ip"], ["ts", "id"], F.col("x"), terms, ts="ts")
+    near = previous_rows(rows, ["source_ip"], ["ts", "id"], F.col("x"), terms, ts="ts", at_most=at_most)
     avg = F.aggregate(F.concat("prev", F.array("x")), F.lit(0.0), lambda a, x: (a + x) / 2.0)
     near = near.withColumn("avg", avg)
     away = F.when(F.col("avg") > 0, F.least(F.abs(F.col("x") - F.col("avg")) / F.col("avg"), F.lit(10.0)))
     return near.select("id", F.coalesce(away, F.lit(0.0)).alias(out))
 
 
-def _rarity(inputs: DataFrame, value: str, out: str) -> DataFrame:
+def _rarity(inputs: DataFrame, value: str, out: str, at_most: int) -> DataFrame:
     """(id, out): 1 - share of the value among the address's values so far."""
     known = inputs.where(F.col(value).isNotNull()).select("id", "ts", "source_ip", F.col(value).alias("v"))
-    same = running(known, ["source_ip", "v"], ["ts", "id"], ts="ts", sums={"same": F.lit(1)}).select("id", "same")
-    total = running(known, ["source_ip"], ["ts", "id"], ts="ts", sums={"total": F.lit(1)}).select("id", "total")
+    same = running(known, ["source_ip", "v"], ["ts", "id"], ts="ts", sums={"same": F.lit(1)}, at_most=at_most).select("id", "same")
+    total = running(known, ["source_ip"], ["ts", "id"], ts="ts", sums={"total": F.lit(1)}, at_most=at_most).select("id", "total")
     return same.join(total, "id").select("id", (1.0 - F.col("same") / F.col("total")).alias(out))
 
 
 def behavior_features(inputs: DataFrame) -> DataFrame:
     """(id, five features) of how unusual an event is for its address."""
     out = inputs.select("id")
+    n = out.count()
     for value, name, missing in (
         ("user_agent", "user_agent_deviation", 1.0), ("path", "path_deviation", 0.5), ("method", "method_deviation", 0.5)):
-        out = out.join(_rarity(inputs, value, name), "id", "left").withColumn(name, F.coalesce(name, F.lit(missing)))
+        out = out.join(_rarity(inputs, value, name, n), "id", "left").withColumn(name, F.coalesce(name, F.lit(missing)))
     for value, name in (("request_size", "request_size_deviation"), ("response_time_ms", "response_time_deviation")):
-        out = out.join(_exponential_deviation(inputs, value, name), "id", "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+        out = out.join(_exponential_deviation(inputs, value, name, n), "id", "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
     return out
 
 
+_OWN_FEATURES: dict[str, Column] = {}
+
+
+def register_feature(name: str, value: Column) -> None:
+    """Append a feature, a number from the columns of ``ml_inputs``, to every vector; a missing value counts as zero."""
+    if name in FEATURES:
+        raise ValueError(f"{name} is a feature already")
+    _OWN_FEATURES[name] = value
+
+
+def unregister_feature(name: str) -> None:
+    _OWN_FEATURES.pop(name, None)
+
+
+def feature_names() -> list[str]:
+    """All features in vector order, registered ones last."""
+    return [*FEATURES, *_OWN_FEATURES]
+
+
 def feature_table(inputs: DataFrame) -> DataFrame:
     """id, ts, source_ip and all features as columns."""
+    registered = {n: F.coalesce(c.cast("double"), F.lit(0.0)) for n, c in _OWN_FEATURES.items()}
     own = inputs.select("id", "ts", "source_ip", *[
-        c.alias(n) for part in (basic_features(), payload_features(), network_features()) for n, c in part.items()])
+        c.alias(n) for part in (basic_features(), payload_features(), network_features(), registered) for n, c in part.items()])
     return own.join(temporal_features(inputs), "id").join(behavior_features(inputs), "id")
 
 
 def feature_vector(inputs: DataFrame) -> DataFrame:
     """id, ts, source_ip, features: all features in order as one array."""
-    return feature_table(inputs).select("id", "ts", "source_ip", F.array(*FEATURES).alias("features"))
+    return feature_table(inputs).select("id", "ts", "source_ip", F.array(*feature_names()).alias("features"))
 
 
 # --- training samples -------------------------------------------------------
 
-def collect_training(vectors: DataFrame, scored: DataFrame | None = None, keep: int | None = KEEP_SAMPLES) -> DataFrame:
-    """Samples (id, ts, source_ip, features, event_type, label); newest ``keep``."""
+def collect_training(vectors: DataFrame, scored: DataFrame | None = None, keep: int | None = None) -> DataFrame:
+    """Samples (id, ts, source_ip, features, event_type, label); on request the newest ``keep`` only."""
     out = vectors.select("id", "ts", "source_ip", "features", F.lit("web_request").alias("event_type"))
     if scored is None:
         out = out.withColumn("label", F.lit(None).cast("boolean"))
@@ -301,19 +324,35 @@ def distance(center: list[float]) -> Column:
 def _nth_samples(samples: DataFrame, ranks: list[int]) -> list[list[float]]:
     """Features of the rows at given places in (ts, id) order.
 
-    Hourly counts tell which hour holds a place; only that hour is sorted.
+    Counts per bin narrow the times, then the ids of one time, until ``few``
+    rows or one value are left; only those rows are sorted, and one of them
+    comes back.
     """
-    hours = samples.groupBy(F.date_trunc("hour", "ts").alias("h")).agg(F.count("*").alias("n")).orderBy("h").collect()
     out = []
     for rank in ranks:
-        left = rank
-        for row in hours:
+        rows, left = samples, rank
+        for place in (F.unix_micros("ts"), F.col("id").cast("long")):
+            rows, left = _narrow(rows, left, place)
+        found = rows.orderBy("ts", "id").limit(left + 1).orderBy(F.desc("ts"), F.desc("id")).limit(1)
+        out.append([float(x) for x in found.first()["features"]])
+    return out
+
+
+def _narrow(rows: DataFrame, left: int, place: Column, bins: int = 1024, few: int = 1000) -> tuple[DataFrame, int]:
+    """The rows whose ``place`` lies around the wanted one, and its rank among them."""
+    found = rows.agg(F.count("*").alias("n"), F.min(place).alias("lo"), F.max(place).alias("hi")).first()
+    lo, hi, n = found["lo"], found["hi"], found["n"]
+    while n > few and lo < hi:
+        width = (hi - lo) // bins + 1
+        bin_ = F.floor((place - F.lit(lo)) / F.lit(width)).cast("long")
+        counts = rows.where(place.between(lo, hi)).groupBy(bin_.alias("b")).agg(
+            F.count("*").alias("n"), F.min(place).alias("lo"), F.max(place).alias("hi")).orderBy("b").collect()
+        for row in counts:
             if left < row["n"]:
-                one = samples.where(F.date_trunc("hour", "ts") == F.lit(row["h"])).orderBy("ts", "id").offset(left).limit(1)
-                out.append([float(x) for x in one.first()["features"]])
+                lo, hi, n = row["lo"], row["hi"], row["n"]
                 break
             left -= row["n"]
-    return out
+    return rows.where(place.between(lo, hi)), left
 
 
 def fit_clusters(samples: DataFrame, k: int = CLUSTERS, rounds: int = ROUNDS) -> tuple[list[list[float]], float]:
@@ -482,9 +521,10 @@ def anomaly_explain(score: Column, importance: Column, similar: Column, risk: Co
     odd = F.slice(F.filter(importance, lambda f: f["anomalous"]), 1, 3)
     lines = F.transform(odd, lambda f: F.format_string(
         "- %s: importancia %.3f, contribución %.3f", f["name"], f["importance"], f["contribution"]))
-    about = F.when(F.size(similar) > 0, F.concat(
-        F.lit("Encontrados "), F.size(similar).cast("string"),
-        F.lit(" eventos similares, ninguno fue anomalía (posible falso positivo)"))).otherwise(
+    n, bad = F.size(similar).cast("string"), F.size(F.filter(similar, lambda s: s["was_anomaly"]))
+    about = F.when(bad > 0, F.concat(F.lit("Encontrados "), n, F.lit(" eventos similares previos, "), bad.cast("string"), F.lit(" fueron anomalías")))
+    about = about.when(F.size(similar) > 0, F.concat(
+        F.lit("Encontrados "), n, F.lit(" eventos similares, ninguno fue anomalía (posible falso positivo)"))).otherwise(
         "No se encontraron eventos similares en el historial")
     explanations = F.concat(
         F.array(F.format_string("Score de anomalía: %.3f", score)),
@@ -503,8 +543,12 @@ def anomaly_explain(score: Column, importance: Column, similar: Column, risk: Co
     return F.struct(explanations.alias("explanations"), F.concat(by_risk, hints).alias("recommendations"))
 
 
-def detect_anomaly(vectors: DataFrame, model: Model | None, names: list[str] = FEATURES, voting: bool = True) -> DataFrame:
-    """Scores and verdict per vector; an untrained detector finds nothing."""
+def detect_anomaly(vectors: DataFrame, model: Model | None, names: list[str] | None = None, voting: bool = True) -> DataFrame:
+    """Scores and verdict per vector; an untrained detector finds nothing.
+
+    A ``similar`` column (see ``similar_events``) enters confidence and text.
+    """
+    names = feature_names() if names is None else names
     if model is None:
         return vectors.select(
             "id", F.lit(False).alias("is_anomaly"), F.lit(0.0).alias("anomaly_score"), F.lit(0.0).alias("confidence"),
@@ -515,12 +559,14 @@ def detect_anomaly(vectors: DataFrame, model: Model | None, names: list[str] = F
     })
     df = df.withColumn("anomaly_score", ensemble_score(F.col("fp_score"), F.col("distance_score"), voting))
     df = df.withColumn("importance", feature_importance("anomaly_score", model.means, model.deviations, names))
-    similar = F.transform("similar", lambda s: s["similarity"]) if "similar" in vectors.columns else F.array().cast("array<double>")
+    none = F.array().cast("array<struct<similarity:double,was_anomaly:boolean>>")
+    neighbours = F.col("similar") if "similar" in vectors.columns else none
+    similar = F.transform(neighbours, lambda s: s["similarity"])
     risk = anomaly_risk(F.col("anomaly_score"), F.col("importance"))
     return df.withColumns({
         "is_anomaly": F.col("anomaly_score") >= THRESHOLD, "risk_level": risk,
         "confidence": anomaly_confidence(F.col("fp_score"), F.col("distance_score"), similar),
-    }).withColumn("text", anomaly_explain(F.col("anomaly_score"), F.col("importance"), similar, F.col("risk_level")))
+    }).withColumn("text", anomaly_explain(F.col("anomaly_score"), F.col("importance"), neighbours, F.col("risk_level")))
 
 
 def retrain_needed(samples: DataFrame, trained_at: str | None, trained_samples: int, as_of=None) -> DataFrame:
@@ -537,7 +583,7 @@ def retrain_needed(samples: DataFrame, trained_at: str | None, trained_samples:
         need = (age >= RETRAIN_HOURS * 3_600_000_000) | (F.col("n") > trained_samples + MIN_SAMPLES // 4)
     return sums.select(
         "n", need.alias("retrain"),
-        ((F.col("recent_negatives") >= 5) | (F.col("marked") % 10 == 0)).alias("retrain_for_feedback"))
+        ((F.col("recent_negatives") >= 5) | ((F.col("marked") > 0) & (F.col("marked") % 10 == 0))).alias("retrain_for_feedback"))
 
 
 def fp_patterns(thresholds: DataFrame, whitelist: DataFrame) -> DataFrame:
@@ -548,16 +594,15 @@ def fp_patterns(thresholds: DataFrame, whitelist: DataFrame) -> DataFrame:
 
 # --- quality ----------------------------------------------------------------
 
-def ml_metrics(labelled: DataFrame, least: int = 10) -> DataFrame:
-    """Quality over rows with label and predicted; zero where undefined, and
-    all zero below ``least`` rows."""
+def ml_metrics(labelled: DataFrame) -> DataFrame:
+    """Quality over rows with label and predicted; zero where undefined."""
     y, p = F.col("label"), F.col("predicted")
     m = labelled.agg(
         F.count("*").alias("n"), F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"),
         F.count_if(~y & ~p).alias("tn"), F.count_if(y & ~p).alias("fn"))
 
     def share(part: Column, whole: Column) -> Column:
-        return F.when((F.col("n") >= least) & (whole > 0), part / whole).otherwise(F.lit(0.0))
+        return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
     c = F.col
     m = m.withColumns({

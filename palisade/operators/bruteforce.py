@@ -35,10 +35,10 @@ def attempts(events: DataFrame, auth_only: bool = False) -> DataFrame:
         attempt_outcome(F.col("status"), F.col("raw_message")).alias("success"))
 
 
-def _last_same(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
+def _last_same(df: DataFrame, key: str, value: str, out: str, at_most: int) -> DataFrame:
     """Time of the key's previous row with the same value; NULL values have none."""
     own = F.coalesce(F.col(value), F.concat(F.lit("\u0000"), F.col("id").cast("string")))
-    df = previous_rows(df.withColumn("_same", own), [key, "_same"], ["ts", "id"], F.col("ts"), 1, ts="ts", out="_before")
+    df = previous_rows(df.withColumn("_same", own), [key, "_same"], ["ts", "id"], F.col("ts"), 1, ts="ts", out="_before", at_most=at_most)
     return shared(df.withColumn(out, F.get("_before", F.lit(0))).drop("_same", "_before"))
 
 
@@ -56,9 +56,10 @@ def _failed() -> Column:
 
 def ip_history(tries: DataFrame) -> DataFrame:
     """Per address, up to each attempt: totals, services, agents; users of 15 min."""
-    seen = _last_same(tries, "source_ip", "username", "_user_ts")
+    n = tries.count()
+    seen = _last_same(tries, "source_ip", "username", "_user_ts", n)
     out = sliding(
-        seen, ["source_ip"],
+        seen, ["source_ip"], at_most=n,
         windows=[Sliding("ip_users", WINDOW_SECONDS, True, F.col("username").isNotNull(), F.col("_user_ts"))],
         sums={"ip_total": _one(), "ip_failed": _failed(), "ip_success": _ok()}, mins={"ip_first": F.col("ts")},
         distinct={"ip_services": F.col("service"), "ip_agents": F.col("user_agent")})
@@ -70,7 +71,7 @@ def user_history(tries: DataFrame) -> DataFrame:
     named = tries.where(F.col("username").isNotNull())
     place = F.struct("ts", "id")
     out = sliding(
-        named, ["username"], windows=[], sums={"user_total": _one(), "user_failed": _failed()},
+        named, ["username"], windows=[], at_most=named.count(), sums={"user_total": _one(), "user_failed": _failed()},
         mins={"_fail": F.when(~F.col("success"), place)}, maxs={"_ok": F.when(F.col("success"), place)},
         distinct={"user_ips": F.col("source_ip")})
     return out.withColumn("user_compromised", F.coalesce(F.col("_fail") < F.col("_ok"), F.lit(False))).drop("_fail", "_ok")
@@ -79,15 +80,16 @@ def user_history(tries: DataFrame) -> DataFrame:
 def service_history(tries: DataFrame) -> DataFrame:
     """Per service, up to each attempt: total, addresses and users of 15 min,
     and the highest count of any 60 s so far."""
-    seen = _last_same(tries, "service", "source_ip", "_ip_ts")
-    seen = _last_same(seen, "service", "username", "_user_ts")
+    n = tries.count()
+    seen = _last_same(tries, "service", "source_ip", "_ip_ts", n)
+    seen = _last_same(seen, "service", "username", "_user_ts", n)
     out = sliding(
-        seen, ["service"], sums={"service_total": _one()}, windows=[
+        seen, ["service"], at_most=n, sums={"service_total": _one()}, windows=[
             Sliding("service_ips", WINDOW_SECONDS, True, F.col("source_ip").isNotNull(), F.col("_ip_ts")),
             Sliding("service_users", WINDOW_SECONDS, True, F.col("username").isNotNull(), F.col("_user_ts")),
             Sliding("_minute", 60, False, F.lit(True)),
         ])
-    out = running(shared(out), ["service"], ["ts", "id"], ts="ts", maxs={"service_peak": F.col("_minute")})
+    out = running(shared(out), ["service"], ["ts", "id"], ts="ts", maxs={"service_peak": F.col("_minute")}, at_most=n)
     return out.drop("_ip_ts", "_user_ts", "_minute")
 
 
@@ -293,7 +295,7 @@ def username_patterns(tries: DataFrame, key: str = "source_ip", name: str = "use
     number = F.when(F.col("name").rlike(r"^[+-]?[0-9]+$"), F.col("name").try_cast("int"))
     row = F.struct(F.octet_length("name").alias("size"), number.alias("number"))
     near = previous_rows(
-        names.withColumn("row", row), [key], ["name"], F.col("row"), 2, bucket=F.substring("name", 1, 3))
+        names.withColumn("row", row), [key], ["name"], F.col("row"), 2, bucket=F.substring("name", 1, 6))
     a, b, c = F.get("prev", F.lit(0)), F.get("prev", F.lit(1)), F.col("row")
     in_row = (
         (F.size("prev") == 2) & (a["size"] == b["size"]) & (b["size"] == c["size"])

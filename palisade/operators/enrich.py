@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from palisade.operators.reports import country_of
 from palisade.plans.running import previous_rows, running, shared
 from palisade.plans.sizing import pattern_join, substring_join
+from palisade.session import truncate_lineage
 
 
 # --- related events ---------------------------------------------------------
@@ -28,14 +29,14 @@ def related_to(events: DataFrame, event_id, limit: int = 10, hours: int = 1) ->
     return hit.drop("t").orderBy(F.desc("ts"), F.desc("id")).limit(limit)
 
 
-def _newest_near(events: DataFrame, key: str, limit: int, hours: int) -> DataFrame:
+def _newest_near(events: DataFrame, key: str, limit: int, hours: int, at_most: int) -> DataFrame:
     """(id, near): the newest rows of the key up to ``hours`` after each event.
 
     Each event looks up the last row at or before its time plus the span; that
     row brings itself and the rows before it.  No pairs are formed.
     """
     rows = events.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), "id", "ts")
-    rows = shared(previous_rows(rows, ["key"], ["ts", "id"], F.struct("ts", "id"), limit, ts="ts"))
+    rows = shared(previous_rows(rows, ["key"], ["ts", "id"], F.struct("ts", "id"), limit, ts="ts", at_most=at_most))
     span = F.expr(f"INTERVAL {hours} HOUR")
     item = F.struct("ts", "id", F.concat("prev", F.array(F.struct("ts", "id"))).alias("near"))
     none = F.lit(None)
@@ -47,14 +48,16 @@ def _newest_near(events: DataFrame, key: str, limit: int, hours: int) -> DataFra
         F.struct((F.col("ts") + span).alias("pos"), F.lit(1).alias("phase"), F.col("id").alias("tie"),
                  none.cast(item_type).alias("item"), probe.alias("probe")),
     )).alias("s")).select("key", "s.*")
-    seen = running(steps, ["key"], ["pos", "phase", "tie"], ts="pos", maxs={"last": F.col("item")})
+    seen = running(steps, ["key"], ["pos", "phase", "tie"], ts="pos", maxs={"last": F.col("item")}, at_most=2 * at_most)
     inside = F.filter("last.near", lambda r: (r["id"] != F.col("probe.id")) & (r["ts"] >= F.col("probe.ts") - span))
     return seen.where(F.col("probe").isNotNull()).select(F.col("probe.id").alias("id"), inside.alias("near"))
 
 
 def related_events(events: DataFrame, limit: int = 10, hours: int = 1) -> DataFrame:
     """(id, related) for every event: ids and times, newest first."""
-    parts = [_newest_near(events, k, limit, hours) for k in ("source_ip", "source", "event_type")]
+    narrow = truncate_lineage(events.select("id", "ts", "source_ip", "source", "event_type"))  # parsed once for three keys
+    n = narrow.count()
+    parts = [_newest_near(narrow, k, limit, hours, n) for k in ("source_ip", "source", "event_type")]
     every = parts[0].unionByName(parts[1]).unionByName(parts[2])
     merged = every.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     return merged.select("id", F.slice(F.sort_array("near", asc=False), 1, limit).alias("related"))
@@ -225,29 +228,53 @@ def alert_endpoints(alerts: DataFrame, endpoints: DataFrame) -> DataFrame:
 
 # --- similarity -------------------------------------------------------------
 
-def similar_events(vectors: DataFrame, samples: DataFrame, *, newest: int = 100, least: float = 0.8, top: int = 5) -> DataFrame:
-    """(id, similar): cosine neighbours among the newest training samples.
+#: Vectors and samples of a block that are compared in one group.
+BLOCK_VECTORS = 4096
+_SIMILAR = "id long, similar array<struct<similarity:double,id:bigint,ts:timestamp,source_ip:string,event_type:string,was_anomaly:boolean>>"
 
-    Both tables have id and features; samples also ts.  The samples compared
-    are at most ``newest`` rows, so they travel with the tasks.
-    """
-    refs = samples.orderBy(F.desc("ts"), F.desc("id")).limit(newest).select("id", "features").collect()
-    ref_ids = np.array([r["id"] for r in refs], dtype="int64")
-    matrix = np.array([r["features"] for r in refs], dtype="float64")
-    norms = np.linalg.norm(matrix, axis=1) if len(refs) else np.zeros(0)
-
-    @F.pandas_udf("array<struct<id:bigint,similarity:double>>")
-    def neighbours(own_id: pd.Series, features: pd.Series) -> pd.Series:
-        own = np.stack([np.asarray(v, dtype="float64") for v in features])
-        scale = np.linalg.norm(own, axis=1)[:, None] * norms[None, :]
-        cosine = np.divide(own @ matrix.T, scale, out=np.zeros_like(scale), where=scale > 0)
+
+def _similar_in_blocks(least: float, top: int):
+    def run(vectors: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFrame:
+        if not len(vectors) or not len(refs):
+            return pd.DataFrame({"id": pd.Series(dtype="int64"), "similar": pd.Series(dtype="object")})
+        own, other = (np.stack([np.asarray(v, dtype="float64") for v in t["features"]]) for t in (vectors, refs))
+        ids = refs["id"].to_numpy()
+        rows = refs[["id", "ts", "source_ip", "event_type", "was_anomaly"]].to_dict("records")
+        scale = np.linalg.norm(own, axis=1)[:, None] * np.linalg.norm(other, axis=1)[None, :]
+        cosine = np.divide(own @ other.T, scale, out=np.zeros_like(scale), where=scale > 0)
         found = []
-        for me, row in zip(own_id.to_numpy(), cosine):
-            hit = np.flatnonzero((row > least) & (ref_ids != me))
-            best = hit[np.lexsort((ref_ids[hit], -row[hit]))][:top]
-            found.append([{"id": int(ref_ids[i]), "similarity": float(row[i])} for i in best])
-        return pd.Series(found)
-
-    if not refs:
-        return vectors.select("id", F.array().cast("array<struct<id:bigint,similarity:double>>").alias("similar"))
-    return vectors.select("id", neighbours("id", "features").alias("similar"))
+        for me, row in zip(vectors["id"].to_numpy(), cosine):
+            hit = np.flatnonzero((row > least) & (ids != me))
+            best = hit[np.lexsort((ids[hit], -row[hit]))][:top]
+            found.append([{"similarity": float(row[i]), **rows[i]} for i in best])
+        out = pd.DataFrame({"id": vectors["id"], "similar": found})
+        return out[out["similar"].map(len) > 0]
+    return run
+
+
+def similar_events(vectors: DataFrame, samples: DataFrame, *, newest: int | None = None, least: float = 0.8, top: int = 5) -> DataFrame:
+    """(id, similar): the ``top`` cosine neighbours above ``least`` of every vector, best first.
+
+    Both tables have id and features; samples may have ts, source_ip,
+    event_type and label (true: it was an anomaly), which come back with each
+    neighbour.  All samples are compared unless ``newest`` asks for a few; they
+    and the vectors meet block by block, a product of two matrices per group,
+    and only the best of a block leave it.
+    """
+    have = {"ts": "timestamp", "source_ip": "string", "event_type": "string", "label": "boolean"}
+    known = {c: F.col(c) if c in samples.columns else F.lit(None).cast(t) for c, t in have.items()}
+    refs = samples.select("id", "features", known["ts"].alias("ts"), known["source_ip"].alias("source_ip"),
+                          known["event_type"].alias("event_type"), F.coalesce(known["label"], F.lit(False)).alias("was_anomaly"))
+    if newest is not None:
+        refs = refs.orderBy(F.desc("ts"), F.desc("id")).limit(newest)
+    refs = truncate_lineage(refs)
+    mine = truncate_lineage(vectors.select("id", "features"))
+    rows, columns = (max(1, -(-t.count() // BLOCK_VECTORS)) for t in (mine, refs))
+    at = F.xxhash64("id")
+    left = mine.withColumns({"r": F.pmod(at, F.lit(rows)), "c": F.explode(F.sequence(F.lit(0), F.lit(columns - 1)).cast("array<long>"))})
+    right = refs.withColumns({"c": F.pmod(at, F.lit(columns)), "r": F.explode(F.sequence(F.lit(0), F.lit(rows - 1)).cast("array<long>"))})
+    parts = left.groupBy("r", "c").cogroup(right.groupBy("r", "c")).applyInPandas(_similar_in_blocks(least, top), _SIMILAR)
+    order = F.transform(F.flatten(F.collect_list("similar")), lambda s: F.struct((-s["similarity"]).alias("k"), s["id"].alias("i"), s.alias("s")))
+    best = parts.groupBy("id").agg(F.transform(F.slice(F.sort_array(order), 1, top), lambda o: o["s"]).alias("similar"))
+    empty = F.array().cast(_SIMILAR.split("similar ", 1)[1])
+    return mine.select("id").join(best, "id", "left").select("id", F.coalesce("similar", empty).alias("similar"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Callable
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palisade.functions import rules as R
 from palisade.functions.text import (
@@ -33,6 +36,30 @@ _LAYOUT = {
 _FIELDS = sorted({field for layout in _LAYOUT.values() for field in layout})
 
 
+class LineParser(NamedTuple):
+    """A parser of one's own: which lines it claims, and what it reads in them."""
+
+    claims: Callable[[Column], Column]
+    read: Callable[[Column], dict[str, Column]]
+
+
+_OWN_PARSERS: dict[str, LineParser] = {}
+
+
+def register_parser(name: str, claims: Callable[[Column], Column], read: Callable[[Column], dict[str, Column]]) -> None:
+    """Let ``parse_logs`` read lines that ``claims`` accepts with ``read``, ahead of the formats it knows.
+
+    ``read`` gives column expressions for any of ``ts, severity, source_ip,
+    event_type, iocs`` and the fields of ``parsed``; what it leaves out is as for a
+    line of no known format.  The event's source is ``name``.
+    """
+    _OWN_PARSERS[name] = LineParser(claims, read)
+
+
+def unregister_parser(name: str) -> None:
+    _OWN_PARSERS.pop(name, None)
+
+
 def detect_format(line: Column) -> Column:
     """Apache, Nginx, Ssh, Syslog, Json or Unknown; the first test that holds."""
     bare = F.trim(line)
@@ -191,26 +218,43 @@ def _dash_to_null(value: Column) -> Column:
     return F.when(~value.isin("", "-"), value)
 
 
+#: Marks the kind of a line that a registered parser claims.
+_OWN = "own:"
+
+
+def with_line_id(lines: DataFrame) -> DataFrame:
+    """Add ``id``: a hash of the file, the line and which of its equal lines in that file it is.
+
+    Equal lines are interchangeable, so any numbering of them gives the same
+    set of ids, and a file that is read again the same ids.  Numbering shuffles
+    by file and line; a group is the equal lines of one file.  A stream can't
+    number across its batches: there a random part, drawn anew by a batch that
+    runs again, keeps equal lines apart.  Without ``file`` the time of
+    ingestion stands in.
+    """
+    place = "file" if "file" in lines.columns else "ingest_ts"
+    if lines.isStreaming:
+        return lines.withColumn("id", F.xxhash64(place, "line", F.uuid()))
+    nth = F.row_number().over(Window.partitionBy(place, "line").orderBy(place))
+    return lines.withColumn("id", F.xxhash64(place, "line", nth))
+
+
 def parse_logs(lines: DataFrame, parser: str | Column | None = None) -> DataFrame:
     """Read every line with the parser of its format.
 
-    ``lines`` has ``line`` and ``ingest_ts``, may carry ``id`` (else a hash of
-    file and line serves) and ``source_type`` (a format that overrides
-    detection, for logs whose origin is known by path).  ``parser`` forces one
-    parser.  Works on a table and on a stream.
+    ``lines`` has ``line`` and ``ingest_ts``, may carry ``id`` (else ``line_id``
+    makes one) and ``source_type`` (a format that overrides detection, for logs
+    whose origin is known by path).  ``parser`` forces one parser.  Works on a
+    table and on a stream.
     """
     fmt = detect_format(F.col("line"))
     if parser is not None:
         fmt = F.lit(parser) if isinstance(parser, str) else parser
     elif "source_type" in lines.columns:
         fmt = F.coalesce(F.col("source_type"), fmt)
-    if "id" in lines.columns:
-        row_id = F.col("id")
-    elif "file" in lines.columns:
-        row_id = F.xxhash64("file", "line")
-    else:
-        row_id = F.xxhash64("line", "ingest_ts")
-
+    if "id" not in lines.columns:
+        lines = with_line_id(lines)
+    row_id = F.col("id")
     line = F.col("line")
 
     def cleaned(groups: Column) -> Column:
@@ -237,9 +281,12 @@ def parse_logs(lines: DataFrame, parser: str | Column | None = None) -> DataFram
             & F.get("_g", F.lit(_LAYOUT[layout][mark])).isNotNull()
         )
 
+    own = F
+    for name, reader in _OWN_PARSERS.items():
+        own = own.when(reader.claims(line), F.lit(_OWN + name))
     base = base.withColumn(
         "_kind",
-        F.when(starts("apache", "apache_combined", "time"), "apache_combined")
+        own.when(starts("apache", "apache_combined", "time"), "apache_combined")
         .when(starts("apache", "apache_common", "time"), "apache_common")
         .when(F.col("_parser") == "apache", "apache_unknown")
         .when(starts("nginx", "nginx_custom", "time"), "nginx_custom")
@@ -323,7 +370,14 @@ def _to_events(base: DataFrame) -> DataFrame:
     parsed = F.struct(*[
         derived.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in PARSED.fields
     ])
-    source = F.when(is_apache, "apache").when(kind.startswith("ssh"), "ssh").otherwise(kind)
+    source = F.when(is_apache, "apache").when(kind.startswith("ssh"), "ssh").otherwise(F.regexp_replace(kind, f"^{_OWN}", ""))
+    for name, reader in _OWN_PARSERS.items():
+        mine, read = kind == _OWN + name, reader.read(line)
+        ts, severity, source_ip, event_type, iocs = (
+            F.when(mine, F.coalesce(read[c], old) if c != "source_ip" else read[c]).otherwise(old) if c in read else old
+            for c, old in (("ts", ts), ("severity", severity), ("source_ip", source_ip), ("event_type", event_type), ("iocs", iocs)))
+        parsed = F.when(mine, F.struct(*[
+            read.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in PARSED.fields])).otherwise(parsed)
     out = base.select(
         "id", ts.alias("ts"), source.alias("source"), severity.alias("severity"),
         source_ip.alias("source_ip"), F.col("line").alias("raw_message"), parsed.alias("parsed"),

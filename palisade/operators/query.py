@@ -22,9 +22,11 @@ def ago(now: Column, **parts: int) -> Column:
 
 
 def newest(df: DataFrame, limit: int | None) -> DataFrame:
-    """Newest first; ties by id so that a page is always the same page."""
-    ordered = df.orderBy(F.desc("ts"), F.desc("id"))
-    return ordered.limit(limit) if limit is not None else ordered
+    """The newest rows, newest first; ties by id so that a page is always the same page.
+
+    Without a limit all rows come back, unsorted: nobody reads a whole table as a page.
+    """
+    return df.orderBy(F.desc("ts"), F.desc("id")).limit(limit) if limit is not None else df
 
 
 def _between(df: DataFrame, from_ts, to_ts) -> DataFrame:
@@ -49,7 +51,7 @@ def select_events(
 
 
 def filter_events(events: DataFrame, *, limit: int | None = None, **wanted) -> DataFrame:
-    """The selection of ``select_events``, newest first."""
+    """The selection of ``select_events``; with a limit its newest rows."""
     return newest(select_events(events, **wanted), limit)
 
 
@@ -106,7 +108,7 @@ def all_alerts(alerts: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def filter_alerts(
-    alerts: DataFrame, acks: DataFrame, *, severity: str | None = None, from_ts=None, to_ts=None, limit: int | None = 50,
+    alerts: DataFrame, acks: DataFrame, *, severity: str | None = None, from_ts=None, to_ts=None, limit: int | None = None,
 ) -> DataFrame:
     open_alerts = alerts.join(acks, alerts["id"] == acks["alert_id"], "left_anti")
     if severity is not None:

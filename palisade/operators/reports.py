@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palisade.functions.dimensions import COUNTRIES, GEO_PREFIXES
 from palisade.operators.query import RANGE_HOURS, ago, at, first_acks, select_events, time_range
+from palisade.plans.running import shared
 from palisade.schema import EVENT_TYPE_LABELS
 
 
@@ -168,7 +169,7 @@ def report_bundle(
     chosen = select_events(chosen, severity=severity, source=source)
     if event_types:
         chosen = chosen.where(F.col("event_type").isin(*event_types))
-    chosen = chosen.select("id", "ts", "source", "source_ip", "severity", "event_type").cache()
+    chosen = shared(chosen.select("id", "ts", "source", "source_ip", "severity", "event_type"))
     return {
         "events_by_type": events_by_type(chosen),
         "threat_trends": threat_trends(chosen, range_name, at(as_of, events)),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -18,16 +16,14 @@ from palisade.plans.q_enrich import _ROUTE
 from palisade.plans.q_payload import SQLI, XSS
 from palisade.plans.q_reports import pairs
 from palisade.plans.registry import big, joined, query, r6, secs
-from palisade.session import checkpoint_dir, truncate_lineage
+from palisade.session import scratch_folder, truncate_lineage
 from palisade.sources import fixtures as fx, store as W
 from palisade.sources.fixtures import AS_OF
 
 J = O.joined
 
 
-def _folder(spark, name):
-    """A fresh folder in the shared place of the cluster."""
-    return os.path.join(checkpoint_dir(spark), f"palisade-{name}-{uuid.uuid4().hex}")
+_folder = scratch_folder
 
 
 # --- alert pipeline ---------------------------------------------------------
@@ -201,11 +197,11 @@ def migrate_store(spark, sf):
 
 # --- engine -----------------------------------------------------------------
 
-_RISK = """risk AS MATERIALIZED (SELECT ev.id, ev.ts, ev.source_ip, ev.severity, s.conf >= 0.3 AS sqli, x.conf >= 0.25 AS xss, coalesce(p.conf >= 0.3 OR p.ip_total >= 10, false) AS brute,
+RISK = """risk AS MATERIALIZED (SELECT ev.id, ev.ts, ev.source_ip, ev.severity, s.conf >= 0.3 AS sqli, x.conf >= 0.25 AS xss, coalesce(p.conf >= 0.3 OR p.ip_total >= 10, false) AS brute,
    s.conf AS sc, x.conf AS xc, p.conf AS bc,
    (s.conf * 0.3::DOUBLE + x.conf * 0.25::DOUBLE + coalesce(p.conf * 0.25::DOUBLE, 0.0)) / (0.3::DOUBLE + 0.25::DOUBLE + CASE WHEN p.conf IS NULL THEN 0.0::DOUBLE ELSE 0.25::DOUBLE END) AS risk
    FROM ev JOIN sq3 s ON s.id = ev.id JOIN xs5 x ON x.id = ev.id LEFT JOIN pr p ON p.id = ev.id)"""
-_ENGINE = f"{SQLI}, {XSS}, {DETECT}, {_RISK}"
+_ENGINE = f"{SQLI}, {XSS}, {DETECT}, {RISK}"
 
 
 def _detections(spark, sf):

@@ -6,13 +6,16 @@ from pyspark.sql import functions as F
 
 from palisade.functions import dimensions as D, rules as R
 from palisade.operators import anomaly as M, parse as P
-from palisade.operators.engine import detect_payloads
+from palisade.operators.engine import combine_risk, detect_all, detect_payloads
 from palisade.plans import oracle as O
 from palisade.plans.oracle import NOW, q, qlist
 from palisade.plans.q_parse import _NO_USER
+from palisade.plans.q_alerts import RISK
+from palisade.plans.q_bruteforce import DETECT
 from palisade.plans.q_payload import SQLI, XSS
 from palisade.plans.q_reports import COUNTRY
 from palisade.plans.registry import big, joined, query, r6, secs
+from palisade.plans.running import shared
 from palisade.session import truncate_lineage
 from palisade.sources import fixtures as fx
 from palisade.sources.fixtures import AS_OF
@@ -109,7 +112,7 @@ def network_features(spark, sf):
 
 
 _UPTO = "(b.ts < a.ts OR (b.ts = a.ts AND b.id <= a.id))"
-TEMPORAL = f"""tw AS (SELECT a.id, any_value(a.ts) AS ts, least(count(*), 1000) AS hour_n, least(count_if(b.ts > a.ts - INTERVAL 10 MINUTE), 1000) AS ten_n, list(epoch_us(b.ts) ORDER BY b.ts, b.id)[-10:] AS times
+TEMPORAL = f"""tw AS (SELECT a.id, any_value(a.ts) AS ts, count(*) AS hour_n, count_if(b.ts > a.ts - INTERVAL 10 MINUTE) AS ten_n, list(epoch_us(b.ts) ORDER BY b.ts, b.id)[-10:] AS times
    FROM inp a JOIN inp b ON a.ip = b.ip AND b.ts >= a.ts - INTERVAL 1 HOUR AND {_UPTO} GROUP BY a.id),
  tg AS (SELECT *, list_transform(range(1, len(times)), lambda i: floor((times[i + 1] - times[i]) / 1000000)::DOUBLE) AS gaps FROM tw)"""
 _TEMPORAL = {
@@ -155,6 +158,16 @@ def _vec_text(col):
     return f"array_to_string(list_transform({col}, lambda x: CAST(CAST(round(x * 10000) AS BIGINT) AS VARCHAR)), ',')"
 
 
+@query("register_feature", ev("SELECT id, CAST(33 + 1 AS BIGINT) AS n, coalesce(length(regexp_replace(path, '[^0-9]', '', 'g')), 0)::DOUBLE AS digits FROM inp", INPUTS))
+def register_feature(spark, sf):
+    M.register_feature("path_digits", F.length(F.regexp_replace("path", "[^0-9]", "")))
+    try:
+        vectors = M.feature_vector(_inputs(spark, sf))
+    finally:
+        M.unregister_feature("path_digits")
+    return vectors.select("id", big(F.size("features")).alias("n"), F.element_at("features", -1).alias("digits"))
+
+
 @query("feature_vector", ev(f"SELECT id, {_vec_text('f')} AS features FROM vec", f"{INPUTS}, {TEMPORAL}, {BEHAVIOR}, {_VEC}"))
 def feature_vector(spark, sf):
     vectors = M.feature_vector(_inputs(spark, sf))
@@ -176,9 +189,9 @@ def _samples(spark, sf):
         F.lit("web_request").alias("event_type"))
 
 
-def _per_dim(where, exprs):
+def _per_dim(where, exprs, size=64):
     cols = ", ".join(f"{e} AS {n}" for n, e in exprs.items())
-    return f"(SELECT CAST(i AS BIGINT) AS feature, {cols} FROM (SELECT unnest(range(64)) AS i, unnest(f) AS x FROM smp WHERE {where}) GROUP BY i)"
+    return f"(SELECT CAST(i AS BIGINT) AS feature, {cols} FROM (SELECT unnest(range({size})) AS i, unnest(f) AS x FROM smp WHERE {where}) GROUP BY i)"
 
 
 @query("feature_stats", f"WITH {_SAMPLES} SELECT feature, round(mean, 6) AS mean, round(std_dev, 6) AS std_dev, round(lo, 6) AS min, round(hi, 6) AS max, round(p95, 6) AS p95 FROM "
@@ -204,16 +217,6 @@ def fit_baseline(spark, sf):
     return M.fit_baseline(_samples(spark, sf), _SIZE).select(big("feature").alias("feature"), r6("baseline").alias("baseline"))
 
 
-@query("fit_clusters")
-def fit_clusters(spark, sf):
-    samples = _samples(spark, sf)
-    centers, threshold = M.fit_clusters(samples)
-    near = F.array(*[M.distance(c) for c in centers])
-    placed = samples.withColumn("d", near).withColumn("cluster", (F.array_position("d", F.array_min("d")) - 1).cast("long"))
-    return placed.groupBy("cluster").agg(
-        F.count("*").alias("samples"), r6(F.avg(F.array_min("d"))).alias("mean_distance")).withColumn("threshold", r6(F.lit(threshold)))
-
-
 @query("fit_signatures", f"""WITH {O._EV} SELECT source_pattern, payload_fingerprint, CAST(sum(n) AS BIGINT) AS marked, max(last_s) AS last_s FROM (
    SELECT split_part(source_ip, '.', 1) || '.' || split_part(source_ip, '.', 2) || '.' || split_part(source_ip, '.', 3) || '.*' AS source_pattern,
      CASE WHEN contains(raw_message, 'GET') THEN 'GET:' ELSE '' END || CASE WHEN contains(raw_message, 'POST') THEN 'POST:' ELSE '' END || CASE WHEN contains(raw_message, 'clean file') THEN 'CLEAN_FILE:' ELSE '' END
@@ -226,40 +229,76 @@ def fit_signatures(spark, sf):
     return out.groupBy("source_pattern", "payload_fingerprint").agg(F.sum("marked_fp_count").alias("marked"), F.max(secs("last_seen")).alias("last_s"))
 
 
-@query("retrain_needed", f"""WITH {_SAMPLES} SELECT CAST(count(*) AS BIGINT) AS n, (count(*) > 100 + 250 OR TIMESTAMP '2024-01-04' - TIMESTAMP '2024-01-03 19:00:00' >= INTERVAL 6 HOUR) AS retrain,
-   (count_if(label = false AND ts > TIMESTAMP '2024-01-04' - INTERVAL 1 HOUR) >= 5 OR true) AS retrain_for_feedback, count(*) >= 1000 AS untrained FROM smp""")
-def retrain_needed(spark, sf):
-    samples = _samples(spark, sf)
-    now = "2024-01-04 00:00:00"
-    trained = M.retrain_needed(samples, "2024-01-03 19:00:00", 100, now)
-    fresh = M.retrain_needed(samples, None, 0, now)
-    return trained.withColumn("untrained", fresh.select("retrain").scalar())
+def _retrain(name, now, marked):
+    return f"""SELECT '{name}' AS case_name, CAST(count(*) AS BIGINT) AS n, (count(*) > 100 + 250 OR {now} - TIMESTAMP '2024-01-03 19:00:00' >= INTERVAL 6 HOUR) AS retrain,
+   (count_if(label = false AND ts > {now} - INTERVAL 1 HOUR) >= 5 OR (count_if({marked}) > 0 AND count_if({marked}) % 10 = 0)) AS retrain_for_feedback, count(*) >= 1000 AS untrained FROM smp"""
+
+
+_NEWEST = "(SELECT max(ts) FROM smp)"
 
 
-_MODEL = f"""thr AS (SELECT list(threshold ORDER BY feature) AS t FROM {_THR}), bas AS (SELECT list(baseline ORDER BY feature) AS b FROM {_BASE}),
- st AS (SELECT list(mean ORDER BY feature) AS mu, list(sigma ORDER BY feature) AS sd FROM {_per_dim("true", {"mean": "avg(x)", "sigma": "stddev_pop(x)"})}),
- cen AS (SELECT list(c ORDER BY g) AS cs FROM (SELECT g, list(m ORDER BY i) AS c FROM (SELECT kind % 3 AS g, i, avg(x) AS m FROM (SELECT kind, unnest(range(64)) AS i, unnest(f) AS x FROM smp) GROUP BY 1, 2) GROUP BY g)),
- sc0 AS (SELECT id, f, (len(list_filter(list_zip(f, t), lambda z: z[1] <= z[2])) / 64.0::DOUBLE) * 0.7::DOUBLE + 0.3::DOUBLE * 0.3::DOUBLE AS fp,
+@query("retrain_needed", f"WITH {_SAMPLES} " + " UNION ALL ".join([
+    _retrain("fixed", "TIMESTAMP '2024-01-04'", "false"), _retrain("no_feedback", _NEWEST, "false"),
+    _retrain("ten", _NEWEST, "id < 10"), _retrain("seven", _NEWEST, "id < 7")]))
+def retrain_needed(spark, sf):
+    samples = _samples(spark, sf)
+    out = None
+    for name, now, marked in (("fixed", "2024-01-04 00:00:00", 0), ("no_feedback", None, 0), ("ten", None, 10), ("seven", None, 7)):
+        event = F.when(F.col("id") < marked, F.concat(F.lit("marked_fp_"), F.col("id").cast("string"))).otherwise(F.col("event_type"))
+        own = samples.withColumn("event_type", event)
+        fresh = M.retrain_needed(own, None, 0, now).select(F.col("retrain").alias("untrained"))
+        one = M.retrain_needed(own, "2024-01-03 19:00:00", 100, now).select(F.lit(name).alias("case_name"), "*")
+        one = one.withColumn("untrained", fresh.scalar())
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _lloyd(size, k=M.CLUSTERS, rounds=M.ROUNDS):
+    """Lloyd's rounds over the normal samples, unrolled; ``cen`` has the centres, ``far`` the distance threshold."""
+    def nearest(r):
+        return f"""(SELECT n.id, any_value(n.f) AS f, list(sqrt(list_sum(list_transform(list_zip(n.f, l.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) ORDER BY l.g) AS ds
+   FROM nrm n, l{r} l GROUP BY n.id)"""
+
+    out = ["""nrm AS MATERIALIZED (SELECT id, f, row_number() OVER (ORDER BY ts, id) - 1 AS rn, count(*) OVER () AS n FROM smp WHERE label IS NULL OR NOT label)""",
+           f"l0 AS MATERIALIZED (SELECT t.g, nrm.f AS c FROM range({k}) t(g) JOIN nrm ON rn = t.g * n // {k})"]
+    for r in range(rounds):
+        out.append(f"a{r} AS MATERIALIZED (SELECT f, list_position(ds, list_min(ds)) - 1 AS g FROM {nearest(r)})")
+        out.append(f"""l{r + 1} AS MATERIALIZED (SELECT t.g, coalesce(m.c, list_transform(range({size}), lambda i: 0.0::DOUBLE)) AS c FROM range({k}) t(g) LEFT JOIN (
+   SELECT g, list(v ORDER BY i) AS c FROM (SELECT g, i, avg(x) AS v FROM (SELECT g, unnest(range({size})) AS i, unnest(f) AS x FROM a{r}) GROUP BY g, i) GROUP BY g) m ON m.g = t.g)""")
+    out.append(f"cen AS MATERIALIZED (SELECT list(c ORDER BY g) AS cs FROM l{rounds})")
+    out.append(f"far AS MATERIALIZED (SELECT 2 * avg(list_min(ds)) AS dt FROM {nearest(rounds)})")
+    return ", ".join(out)
+
+
+_NAMES = [*M.FEATURES, *[f"f{i}" for i in range(len(M.FEATURES), _SIZE)]]
+
+
+def _model_sql(size, names):
+    """A model fitted on ``smp`` and its scores for all of ``smp``."""
+    thr = _per_dim("label = false", {"threshold": "avg(x) + 2 * stddev_pop(x)"}, size)
+    base = _per_dim("label IS NULL OR label = false", {"baseline": "avg(x)"}, size)
+    stats = _per_dim("true", {"mean": "avg(x)", "sigma": "stddev_pop(x)"}, size)
+    z = "CASE WHEN sd[i + 1] = 0 THEN 0.0 ELSE (f[i + 1] - mu[i + 1]) / sd[i + 1] END"
+    return f"""{_lloyd(size)}, thr AS (SELECT list(threshold ORDER BY feature) AS t FROM {thr}), bas AS (SELECT list(baseline ORDER BY feature) AS b FROM {base}),
+ st AS (SELECT list(mean ORDER BY feature) AS mu, list(sigma ORDER BY feature) AS sd FROM {stats}),
+ sc0 AS (SELECT id, f, (len(list_filter(list_zip(f, t), lambda z: z[1] <= z[2])) / {size}.0::DOUBLE) * 0.7::DOUBLE + 0.3::DOUBLE * 0.3::DOUBLE AS fp, dt,
    list_min(list_transform(cs, lambda c: sqrt(list_sum(list_transform(list_zip(f, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))))) AS d,
-   list_sum(list_transform(list_zip(f, b), lambda z: abs((z[1] - z[2]) / (z[2] + 1)))) / 64 AS away, mu, sd FROM smp, thr, bas, cen, st),
- sc1 AS (SELECT *, least(least(d / 1.3::DOUBLE, 2.0) * 0.6::DOUBLE + away * 0.4::DOUBLE, 1.0) AS a FROM sc0),
+   list_sum(list_transform(list_zip(f, b), lambda z: abs((z[1] - z[2]) / (z[2] + 1)))) / {size} AS away, mu, sd FROM smp, thr, bas, cen, far, st),
+ sc1 AS (SELECT *, least(least(d / dt, 2.0) * 0.6::DOUBLE + away * 0.4::DOUBLE, 1.0) AS a FROM sc0),
  sc2 AS MATERIALIZED (SELECT *, CASE WHEN fp > 0.7::DOUBLE THEN greatest(a * (1 - fp), 0.1::DOUBLE) ELSE greatest(least((a * 0.7::DOUBLE - fp * 0.8::DOUBLE) / 0.7::DOUBLE, 1.0), 0.0) END AS voted,
    CASE WHEN fp > 0.7::DOUBLE THEN greatest(a * (1 - fp), 0.1::DOUBLE) ELSE greatest(a * (1 - fp * 0.5::DOUBLE), 0.0) END AS blended FROM sc1),
- imp AS (SELECT id, voted, fp, a, list_reverse(list_sort(list_transform(range(64), lambda i: {{'imp': abs((f[i + 1] - mu[i + 1]) / sd[i + 1]) / 3, 'name': 'f' || CAST(i AS VARCHAR), 'con': (f[i + 1] - mu[i + 1]) / sd[i + 1] * voted}}))) AS imps FROM sc2),
+ imp AS (SELECT id, voted, fp, a, list_reverse(list_sort(list_transform(range({size}), lambda i: {{'imp': abs({z}) / 3, 'name': {qlist(names)}[i + 1], 'con': ({z}) * voted}}))) AS imps FROM sc2),
  rk AS (SELECT *, len(list_filter(imps, lambda p: p.imp > 0.8)) AS strong FROM imp),
  rl AS (SELECT *, CASE WHEN voted >= 0.9 OR strong >= 3 THEN 'Critical' WHEN voted >= 0.7 OR strong >= 2 THEN 'High' WHEN voted >= 0.4 OR strong >= 1 THEN 'Medium' ELSE 'Low' END AS risk_level FROM rk)"""
-_NAMES = [f"f{i}" for i in range(_SIZE)]
+
+
+_MODEL = _model_sql(_SIZE, _NAMES)
 
 
 def _model(spark, sf):
-    """A model of the embedding table with the class means as centres."""
+    """A model fitted on the embedding table."""
     samples = _samples(spark, sf)
-    centers = [r["c"] for r in samples.groupBy((F.col("kind") % 3).alias("g")).agg(
-        F.array(*[F.avg(F.get("features", F.lit(i))) for i in range(_SIZE)]).alias("c")).orderBy("g").collect()]
-    stats = M.feature_stats(samples, _SIZE).orderBy("feature").collect()
-    thresholds = [r["threshold"] for r in M.fit_fp_thresholds(samples, _SIZE).orderBy("feature").collect()]
-    baseline = [r["baseline"] for r in M.fit_baseline(samples, _SIZE).orderBy("feature").collect()]
-    return samples, M.Model(thresholds, baseline, centers, 1.3, [r["mean"] for r in stats], [r["std_dev"] for r in stats], True, 0)
+    return samples, M.train_model(samples, min_samples=1)
 
 
 def _scored(spark, sf):
@@ -267,8 +306,20 @@ def _scored(spark, sf):
     return M.detect_anomaly(samples, model, _NAMES)
 
 
-def mq(select):
-    return f"WITH {_SAMPLES}, {_MODEL} {select}"
+def mq(select, more=""):
+    return f"WITH {_SAMPLES}, {_MODEL}{more} {select}"
+
+
+@query("fit_clusters", f"""WITH {_SAMPLES}, {_lloyd(_SIZE)},
+   p AS (SELECT id, list_transform(cs, lambda c: sqrt(list_sum(list_transform(list_zip(f, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))) AS ds FROM smp, cen)
+   SELECT CAST(list_position(ds, list_min(ds)) - 1 AS BIGINT) AS cluster, CAST(count(*) AS BIGINT) AS samples, round(avg(list_min(ds)), 6) AS mean_distance, round(any_value(dt), 6) AS threshold FROM p, far GROUP BY 1""")
+def fit_clusters(spark, sf):
+    samples = _samples(spark, sf)
+    centers, threshold = M.fit_clusters(samples)
+    near = F.array(*[M.distance(c) for c in centers])
+    placed = samples.withColumn("d", near).withColumn("cluster", (F.array_position("d", F.array_min("d")) - 1).cast("long"))
+    return placed.groupBy("cluster").agg(
+        F.count("*").alias("samples"), r6(F.avg(F.array_min("d"))).alias("mean_distance")).withColumn("threshold", r6(F.lit(threshold)))
 
 
 @query("score_fp", mq("SELECT id, round(fp, 6) AS fp_score FROM sc2"))
@@ -300,7 +351,7 @@ def anomaly_risk(spark, sf):
     return _scored(spark, sf).select("id", "risk_level")
 
 
-_SIM = """, sim AS (SELECT e.id, list(c ORDER BY c DESC)[1:5] AS s FROM (SELECT a.id, list_cosine_similarity(a.f, b.f) AS c FROM smp a, (SELECT * FROM smp ORDER BY ts DESC, id DESC LIMIT 100) b WHERE a.id <> b.id) e WHERE c > 0.1 GROUP BY e.id)"""
+_SIM = """, sim AS (SELECT e.id, list(c ORDER BY c DESC, bid)[1:5] AS s, list(bad ORDER BY c DESC, bid)[1:5] AS bads FROM (SELECT a.id, b.id AS bid, list_cosine_similarity(a.f, b.f) AS c, coalesce(b.label, false) AS bad FROM smp a, smp b WHERE a.id <> b.id) e WHERE c > 0.1 GROUP BY e.id)"""
 
 
 def _similar_scored(spark, sf):
@@ -317,15 +368,19 @@ def anomaly_confidence(spark, sf):
 
 
 _HINT = "CASE " + " ".join(f"WHEN contains(p.name, '{m}') THEN {q(t)}" for m, t in D.ANOMALY_FEATURE_ADVICE) + " END"
+_HINTS = f"list_filter(list_transform(list_filter(imps[1:3], lambda p: p.imp > 0.5), lambda p: {_HINT}), lambda h: h IS NOT NULL)"
+_ABOUT = """CASE WHEN len(list_filter(bads, lambda b: b)) > 0 THEN '|Encontrados ' || CAST(len(bads) AS VARCHAR) || ' eventos similares previos, ' || CAST(len(list_filter(bads, lambda b: b)) AS VARCHAR) || ' fueron anomalías'
+   WHEN len(bads) > 0 THEN '|Encontrados ' || CAST(len(bads) AS VARCHAR) || ' eventos similares, ninguno fue anomalía (posible falso positivo)'
+   ELSE '|No se encontraron eventos similares en el historial' END"""
 _RISK_TEXT = "CASE risk_level " + " ".join(f"WHEN '{r}' THEN {qlist(t)}" for r, t in D.ANOMALY_RISK_ADVICE.items()) + " END"
 
 
-@query("anomaly_explain", mq(f"""SELECT id, printf('Score de anomalía: %.3f', voted) || CASE WHEN imps[1].imp > 0.5 THEN '|Características anómalas detectadas:' ELSE '' END
+@query("anomaly_explain", mq(f"""SELECT rl.id, printf('Score de anomalía: %.3f', voted) || CASE WHEN imps[1].imp > 0.5 THEN '|Características anómalas detectadas:' ELSE '' END
    || coalesce('|' || nullif(array_to_string(list_transform(list_filter(imps, lambda p: p.imp > 0.5)[1:3], lambda p: printf('- %s: importancia %.3f, contribución %.3f', p.name, p.imp, p.con)), '|'), ''), '')
-   || '|No se encontraron eventos similares en el historial' AS explanations, {J(_RISK_TEXT)} AS recommendations FROM rl"""))
+   || {_ABOUT} AS explanations, {J(f"list_concat({_RISK_TEXT}, {_HINTS})")} AS recommendations FROM rl LEFT JOIN sim ON sim.id = rl.id""", _SIM))
 def anomaly_explain(spark, sf):
     t = F.col("text")
-    return _scored(spark, sf).select("id", joined(t["explanations"]).alias("explanations"), joined(t["recommendations"]).alias("recommendations"))
+    return _similar_scored(spark, sf).select("id", joined(t["explanations"]).alias("explanations"), joined(t["recommendations"]).alias("recommendations"))
 
 
 @query("detect_anomaly", mq("SELECT id, voted >= 0.7 AS is_anomaly, round(voted, 6) AS anomaly_score, risk_level FROM rl"))
@@ -333,22 +388,48 @@ def detect_anomaly(spark, sf):
     return _scored(spark, sf).select("id", "is_anomaly", r6("anomaly_score").alias("anomaly_score"), "risk_level")
 
 
-@query("train_model")
+_EVENT_SAMPLES = f"{INPUTS}, {TEMPORAL}, {BEHAVIOR}, {_VEC}, smp AS MATERIALIZED (SELECT id, ts, f, CASE WHEN id % 50 = 0 THEN false END AS label FROM vec)"
+
+
+@query("train_model", ev("""SELECT risk_level, voted >= 0.7 AS is_anomaly, CAST(count(*) AS BIGINT) AS events, round(avg(voted), 6) AS mean_score,
+   round(avg(least(0.5::DOUBLE + greatest(1 - ((fp - a) * (fp - a)) / 4, 0) * 0.3::DOUBLE, 1.0)), 6) AS mean_confidence FROM rl GROUP BY 1, 2""", f"{_EVENT_SAMPLES}, {_model_sql(len(M.FEATURES), M.FEATURES)}"))
 def train_model(spark, sf):
     """Fits on the feature vectors of all events, then scores them with it."""
-    vectors = truncate_lineage(M.feature_vector(_inputs(spark, sf)))
-    marked = fx.feedback(spark, sf).select(F.col("event_id").alias("id"), F.lit(False).alias("label"))
-    samples = M.collect_training(vectors, keep=None).drop("label").join(marked, "id", "left").persist()
-    model = M.Model.load(M.train_model(samples, min_samples=100).table(spark))
-    scored = M.detect_anomaly(vectors, model)
+    vectors, model = _event_model(spark, sf)
+    scored = M.detect_anomaly(vectors, M.Model.load(model.table(spark)))
     return scored.groupBy("risk_level", "is_anomaly").agg(
         F.count("*").alias("events"), r6(F.avg("anomaly_score")).alias("mean_score"), r6(F.avg("confidence")).alias("mean_confidence"))
 
 
-@query("collect_training", f"WITH {_SAMPLES}, {_MODEL} SELECT id, voted >= 0.7 AS label, {O.secs('ts')} AS ts_s FROM (SELECT sc2.id, voted, ts FROM sc2 JOIN smp ON smp.id = sc2.id ORDER BY ts DESC, sc2.id DESC LIMIT 300)")
+def _event_model(spark, sf):
+    """Vectors of all events, and the model fitted on them with the feedback as labels."""
+    vectors = truncate_lineage(M.feature_vector(_inputs(spark, sf)))
+    marked = fx.feedback(spark, sf).select(F.col("event_id").alias("id"), F.lit(False).alias("label"))
+    samples = M.collect_training(vectors).drop("label").join(marked, "id", "left")
+    return vectors, M.train_model(shared(samples), min_samples=100)
+
+
+_WITH_ANOMALY = """joint AS (SELECT r.id, r.sqli, r.xss, r.brute, m.voted >= 0.7 AS odd, r.risk AS without,
+   (r.sc * 0.3::DOUBLE + r.xc * 0.25::DOUBLE + coalesce(r.bc * 0.25::DOUBLE, 0.0) + m.voted * 0.2::DOUBLE) / (0.75::DOUBLE + CASE WHEN r.bc IS NULL THEN 0.0::DOUBLE ELSE 0.25::DOUBLE END) AS risk
+   FROM risk r JOIN rl m ON m.id = r.id)"""
+
+
+@query("detect_all_anomaly", ev("SELECT id, sqli, xss, brute, odd, sqli OR xss OR brute OR odd AS has_threats, round(risk, 6) AS risk_score, abs(risk - without) > 1e-9 AS moved FROM joint",
+                                f"{SQLI}, {XSS}, {DETECT}, {RISK}, {_EVENT_SAMPLES}, {_model_sql(len(M.FEATURES), M.FEATURES)}, {_WITH_ANOMALY}"))
+def detect_all_anomaly(spark, sf):
+    """All four detectors, the anomaly scores from a model fitted on the same events."""
+    vectors, model = _event_model(spark, sf)
+    found = detect_all(truncate_lineage(_events(spark, sf)), anomaly=M.detect_anomaly(vectors, model))
+    without = combine_risk(sqli=F.col("sqli.confidence"), xss=F.col("xss.confidence"), brute_force=F.col("brute_force.confidence"))
+    return found.select(
+        "id", F.col("sqli.detected").alias("sqli"), F.col("xss.detected").alias("xss"), F.coalesce("brute_force.detected", F.lit(False)).alias("brute"),
+        F.col("anomaly.detected").alias("odd"), "has_threats", r6("risk_score").alias("risk_score"), (F.abs(F.col("risk_score") - without) > 1e-9).alias("moved"))
+
+
+@query("collect_training", f"WITH {_SAMPLES}, {_MODEL} SELECT id, voted >= 0.7 AS label, {O.secs('ts')} AS ts_s FROM (SELECT sc2.id, voted, ts FROM sc2 JOIN smp ON smp.id = sc2.id )")
 def collect_training(spark, sf):
     samples, model = _model(spark, sf)
-    out = M.collect_training(samples, M.detect_anomaly(samples, model, _NAMES), keep=300)
+    out = M.collect_training(samples, M.detect_anomaly(samples, model, _NAMES))
     return out.select("id", "label", secs("ts").alias("ts_s"))
 
 

@@ -205,7 +205,7 @@ _COMMON = ", ".join(f"CASE WHEN max(CAST(contains(lower(name), '{w}') AS INTEGER
    f"""{ATT}, names AS (SELECT DISTINCT source_ip AS grp, username AS name FROM att WHERE username IS NOT NULL
         UNION SELECT DISTINCT event_type, CAST(user_id AS VARCHAR) FROM events)"""))
 def username_patterns(spark, sf):
-    by_ip = B.username_patterns(B.attempts(fx.events(spark, sf))).withColumnRenamed("source_ip", "grp")
+    by_ip = B.username_patterns(_tries(spark, sf)).withColumnRenamed("source_ip", "grp")
     raw = fx.table(spark, sf, "events").select("event_type", F.col("user_id").cast("string").alias("username"))
     by_type = B.username_patterns(raw, key="event_type").withColumnRenamed("event_type", "grp")
     return by_ip.unionByName(by_type).select("grp", joined("patterns").alias("patterns"))

@@ -164,7 +164,7 @@ def technique_mitigation(spark, sf):
     return N.technique_mitigation(found, advice).select("id", joined("mitigations").alias("mitigations"))
 
 
-_SIMILAR = """WITH s AS (SELECT vec_id, embedding::DOUBLE[] AS f FROM embeddings ORDER BY vec_id DESC LIMIT 100),
+_SIMILAR = """WITH s AS (SELECT vec_id, embedding::DOUBLE[] AS f FROM embeddings),
    c AS (SELECT e.vec_id AS id, s.vec_id AS sid, list_cosine_similarity(e.embedding::DOUBLE[], s.f) AS sim FROM embeddings e, s WHERE e.vec_id <> s.vec_id),
    k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, sid) AS n FROM c WHERE sim > {least})
    SELECT id, sid AS similar_id, round(sim, 6) AS similarity FROM k WHERE n <= 5"""

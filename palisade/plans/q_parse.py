@@ -237,3 +237,35 @@ def can_parse(spark, sf):
    CASE WHEN contains(source, 'apache') THEN 'apache' WHEN contains(source, 'nginx') THEN 'nginx' WHEN contains(source, 'ssh') THEN 'ssh' ELSE 'web' END AS service FROM ev"""))
 def event_fields(spark, sf):
     return P.event_fields(fx.events(spark, sf)).select("id", "username", "user_agent", big("status").alias("status"), "service")
+
+
+_KV = "'kv|' || CAST(event_id AS VARCHAR) || '|10.1.' || CAST(user_id % 7 AS VARCHAR) || '.' || CAST(user_id % 200 AS VARCHAR) || '|user' || CAST(user_id AS VARCHAR) || '|' || event_type"
+
+
+@query("register_parser", """SELECT event_id AS id, 'kv' AS source, '10.1.' || CAST(user_id % 7 AS VARCHAR) || '.' || CAST(user_id % 200 AS VARCHAR) AS source_ip,
+   'user' || CAST(user_id AS VARCHAR) AS "user", CASE WHEN event_type = 'error' THEN 'Critical' ELSE 'Info' END AS severity, event_type FROM events""")
+def register_parser(spark, sf):
+    """Lines of a format of their own, read by a registered parser."""
+    lines = fx.table(spark, sf, "events").select(
+        F.col("event_id").alias("id"), F.col("ts").alias("ingest_ts"), F.expr(_KV.replace("VARCHAR", "STRING")).alias("line"))
+
+    def part(n):
+        return lambda line: F.get(F.split(line, r"\|"), F.lit(n))
+
+    P.register_parser("kv", lambda line: line.startswith("kv|"), lambda line: {
+        "source_ip": part(2)(line), "user": part(3)(line), "event_type": part(4)(line),
+        "severity": F.when(part(4)(line) == "error", "Critical").otherwise("Info")})
+    try:
+        events = P.parse_logs(lines)
+    finally:
+        P.unregister_parser("kv")
+    return events.select("id", "source", "source_ip", F.col("parsed.user").alias("user"), "severity", "event_type")
+
+
+@query("parse_logs_repeated", f"""WITH r AS (SELECT line, event_id % 3 AS site FROM ({fx.LOG_LINES}), range(3))
+   SELECT CAST(count(*) AS BIGINT) AS lines, CAST(count(*) AS BIGINT) AS ids, CAST(count(DISTINCT line) AS BIGINT) AS texts FROM r""")
+def parse_logs_repeated(spark, sf):
+    """Every line three times in its file: each occurrence is an event."""
+    lines = fx.log_lines(spark, sf).select("line", "ingest_ts", F.format_string("site%d", F.col("id") % 3).alias("file"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("n")).drop("n")
+    events = P.parse_logs(lines)
+    return events.agg(F.count("*").alias("lines"), F.countDistinct("id").alias("ids"), F.countDistinct("raw_message").alias("texts"))

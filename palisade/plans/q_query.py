@@ -74,7 +74,7 @@ def all_alerts(spark, sf):
 @query("filter_alerts", al(_ALERT + f"WHERE {_OPEN} AND severity = 'High' AND ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-28' ORDER BY ts DESC, id DESC LIMIT 50"))
 def filter_alerts(spark, sf):
     return _alert(Q.filter_alerts(
-        fx.alerts(spark, sf), fx.acks(spark, sf), severity="High", from_ts="2024-01-05 00:00:00", to_ts="2024-01-28 00:00:00"))
+        fx.alerts(spark, sf), fx.acks(spark, sf), severity="High", from_ts="2024-01-05 00:00:00", to_ts="2024-01-28 00:00:00", limit=50))
 
 
 @query("filter_alert_status", al(f"SELECT a.id, a.severity, {O.secs('k.ts')} AS acked_s, 'acknowledged' AS status FROM alerts a JOIN acks k ON a.id = k.alert_id"))

@@ -9,35 +9,46 @@ from pyspark.sql import functions as F
 from palisade.plans import oracle as O
 from palisade.plans.oracle import ev
 from palisade.plans.q_alerts import _dedup_sql, _folder
-from palisade.plans.q_bruteforce import ATT, IP
+from palisade.plans.q_bruteforce import ATT, IP, USER
 from palisade.plans.q_parse import _flat
 from palisade.plans.q_payload import SQLI, XSS
 from palisade.plans.registry import big, query, secs
+from palisade.plans.running import shared
 from palisade.sources import fixtures as fx, store as W
 from palisade.streaming import jobs as S
 
 #: Time slices that arrive one after the other.
-SLICES = ["2024-01-01", "2024-01-12", "2024-01-22", "2024-02-01"]
+SLICES = 3
 
 
 def _in_slices(spark, table, name, start):
-    """Write ``table`` in time slices; after each, run ``start`` on the stream.
+    """Write ``table`` in slices of equal time; after each, run ``start`` on the stream.
 
-    The second and third run restart from the checkpoint.
+    The second and third run restart from the checkpoint.  The first and last
+    slice are open to their side; rows without a time come with the first.
     """
     source = _folder(spark, f"{name}-in")
-    table = table.persist()
-    for lo, hi in zip(SLICES, SLICES[1:]):
-        part = table.where((F.col("ts") >= F.lit(lo).cast("timestamp")) & (F.col("ts") < F.lit(hi).cast("timestamp")))
-        part.write.mode("append").parquet(source)
+    table = shared(table)
+    us = F.unix_micros("ts")
+    ends = table.agg(F.min(us).alias("lo"), F.max(us).alias("hi")).first()
+    lo, hi = ends["lo"] or 0, ends["hi"] or 0
+    cuts = [lo + (hi - lo) * i // SLICES for i in range(1, SLICES)]
+    slice_of = sum((F.when(us >= c, 1).otherwise(0) for c in cuts), F.lit(0))
+    for i in range(SLICES):
+        table.where(slice_of == i).write.mode("append").parquet(source)
         start(spark.readStream.schema(table.schema).parquet(source))
 
 
+def _cut_sql(i):
+    """The end of slice ``i`` of the events, as SQL in microseconds."""
+    return f"(SELECT min(epoch_us(ts)) + (max(epoch_us(ts)) - min(epoch_us(ts))) * {i} // {SLICES} FROM events)"
+
+
 @query("stream_parse", f"""WITH {O.events_ctes(source_type=None)} SELECT id, CASE WHEN source IN ('apache_unknown', 'ssh') THEN 0 ELSE {O.secs('ts')} END AS ts_s,
    source, severity, source_ip, event_type, {O.joined('iocs')} AS iocs, method, path, CAST(status_code AS BIGINT) AS status_code, format FROM ev""")
 def stream_parse(spark, sf):
     source, out, mark = _folder(spark, "lines-in"), _folder(spark, "events-out"), _folder(spark, "mark")
-    lines = fx.log_lines(spark, sf, known_origin=False).persist()
+    lines = shared(fx.log_lines(spark, sf, known_origin=False))
     for part in range(2):
         lines.where(F.col("id") % 2 == part).select(F.concat_ws(" ", F.lit("#"), "id", F.lit("#"), "line")).write.mode("append").text(source)
         live = S.read_lines(spark, source)
@@ -72,6 +83,13 @@ def stream_bruteforce(spark, sf):
     return spark.read.parquet(out)
 
 
+@query("stream_users", ev("SELECT id, username, CAST(user_total AS BIGINT) AS user_total, CAST(user_failed AS BIGINT) AS user_failed, CAST(user_ips AS BIGINT) AS user_ips, user_compromised FROM uh", f"{ATT}, {USER}"))
+def stream_users(spark, sf):
+    out, mark = _folder(spark, "users"), _folder(spark, "mark")
+    _in_slices(spark, fx.events(spark, sf), "users", lambda live: S.stream_users(live, out, mark))
+    return spark.read.parquet(out)
+
+
 @query("stream_dedup", _dedup_sql(300))
 def stream_dedup(spark, sf):
     out, mark = _folder(spark, "kept"), _folder(spark, "mark")
@@ -86,12 +104,17 @@ def stream_rates(spark, sf):
     return S.latest_rates(spark, out).select(secs("starts_at").alias("starts_s"), "event_type", "n")
 
 
-@query("stream_retention", f"""WITH last AS (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events)
-   SELECT CAST(user_id AS VARCHAR) AS key, {O.secs('max(ts)')} AS last_s FROM events WHERE ts < TIMESTAMP '2024-01-12' GROUP BY user_id
-   HAVING max(ts) <= (SELECT max(ts) FROM events WHERE ts < TIMESTAMP '2024-01-12') - INTERVAL 24 HOUR - INTERVAL 15 MINUTE""")
+def _idle_sql(i):
+    """Keys that are idle for a day, and 15 minutes for late rows, at the end of slice ``i``."""
+    seen = f"(SELECT * FROM events WHERE epoch_us(ts) < {_cut_sql(i)})" if i < SLICES else "events"
+    return f"""SELECT CAST(user_id AS VARCHAR) AS key, {O.secs('max(ts)')} AS last_s FROM {seen} e GROUP BY user_id
+   HAVING max(ts) <= (SELECT max(ts) FROM {seen} e) - INTERVAL 24 HOUR - INTERVAL 15 MINUTE"""
+
+
+@query("stream_retention", " UNION ".join(_idle_sql(i) for i in range(1, SLICES + 1)))
 def stream_retention(spark, sf):
     out, mark = _folder(spark, "idle"), _folder(spark, "mark")
-    rows = fx.table(spark, sf, "events").select("ts", "user_id").where(F.col("ts") < F.lit(SLICES[1]).cast("timestamp"))
+    rows = fx.table(spark, sf, "events").select("ts", "user_id")
     _in_slices(spark, rows, "retention", lambda live: S.stream_retention(live, "user_id", out, mark))
     idle = spark.read.schema("key string, us long").parquet(out)
     return idle.select("key", F.floor(F.col("us") / 1_000_000).cast("long").alias("last_s"))

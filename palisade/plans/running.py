@@ -15,6 +15,9 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 HOUR = 3600
+#: Rows from which a cell is split, parts it is split into, and split cells that are broadcast at most.
+CELL_ROWS, PARTS, MOST_CROWDED = 1_000_000, 64, 10_000
+_HELD: list[DataFrame] = []
 
 
 def shared(df: DataFrame) -> DataFrame:
@@ -22,28 +25,72 @@ def shared(df: DataFrame) -> DataFrame:
 
     Each step here reads its input twice (bucket totals, then rows); without
     this, a chain of steps would recompute its start once per path.  Lost
-    blocks are recomputed.  Release with ``spark.catalog.clearCache()``.
+    blocks are recomputed.  Release with ``release_shared``.
     """
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _HELD.append(held)
+    return held
+
+
+def release_shared() -> None:
+    """Give back what ``shared`` keeps; the caller's own cached tables stay."""
+    while _HELD:
+        held = _HELD.pop()
+        try:
+            held.unpersist()
+        except Exception:  # its session has ended, and the blocks with it
+            continue
 
 
 def _bucket(ts: Column, width: int) -> Column:
     return F.floor(F.unix_micros(ts) / F.lit(width * 1_000_000))
 
 
+def _with_cells(rows: DataFrame, keys: list[str], ts: str, width: int, at_most: int | None) -> DataFrame:
+    """Add ``_bucket``: the time bucket, and within a crowded one the part between two split points.
+
+    A cell (key, bucket) that holds more than ``CELL_ROWS`` rows is split at
+    quantiles of its own times, so that only rows of one instant must stay
+    together.  Cells are counted first, unless ``at_most`` rows (a count that
+    the caller has anyway) can't fill one.
+    """
+    rows = rows.withColumn("_bucket", _bucket(F.col(ts), width))
+    if at_most is not None and at_most <= CELL_ROWS:
+        return rows
+    cells = [*keys, "_bucket"]
+    crowded = rows.groupBy(*cells).agg(F.count("*").alias("_n")).where(F.col("_n") > CELL_ROWS).drop("_n")
+    crowded = crowded.persist()
+    n_crowded = crowded.count()
+    if not n_crowded:
+        crowded.unpersist()
+        return rows
+    _HELD.append(crowded)
+    small = F.broadcast(crowded) if n_crowded <= MOST_CROWDED else crowded
+    shares = F.array(*[F.lit(i / PARTS) for i in range(1, PARTS)])
+    points = rows.join(small, cells, "left_semi").groupBy(*cells).agg(
+        F.percentile_approx(F.unix_micros(ts), shares, F.lit(10_000)).alias("_points"))
+    points = shared(points)
+    small = F.broadcast(points) if n_crowded <= MOST_CROWDED else points
+    passed = F.size(F.filter("_points", lambda p: p <= F.unix_micros(ts)))
+    part = F.when(F.col("_points").isNotNull(), passed).otherwise(F.lit(0))
+    return rows.join(small, cells, "left").withColumn("_bucket", F.col("_bucket") * (PARTS + 1) + part).drop("_points")
+
+
 def running(
     df: DataFrame, keys: list[str], order: list[str], *, ts: str, sums: dict[str, Column] | None = None,
     mins: dict[str, Column] | None = None, maxs: dict[str, Column] | None = None, width: int = HOUR,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Add totals of each key from its first row up to and including this one.
 
     ``order`` must be a total order within a key that starts with ``ts``.
+    ``at_most``: an upper bound of the rows, if one is known.
     """
     specs = [(n, c, F.sum) for n, c in (sums or {}).items()]
     specs += [(n, c, F.min) for n, c in (mins or {}).items()]
     specs += [(n, c, F.max) for n, c in (maxs or {}).items()]
     cells = [*keys, "_bucket"]
-    rows = df.withColumns({"_bucket": _bucket(F.col(ts), width), **{f"_in_{n}": c for n, c, _ in specs}})
+    rows = _with_cells(df, keys, ts, width, at_most).withColumns({f"_in_{n}": c for n, c, _ in specs})
     cell = rows.groupBy(*cells).agg(*[f(f"_in_{n}").alias(f"_cell_{n}") for n, _, f in specs])
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     inherited = cell.select(*cells, *[f(f"_cell_{n}").over(before).alias(f"_past_{n}") for n, _, f in specs])
@@ -61,7 +108,7 @@ def running(
 
 def previous_rows(
     df: DataFrame, keys: list[str], order: list[str], value: Column, k: int, *, ts: str | None = None,
-    out: str = "prev", width: int = HOUR, bucket: Column | None = None,
+    out: str = "prev", width: int = HOUR, bucket: Column | None = None, at_most: int | None = None,
 ) -> DataFrame:
     """Add the ``value`` of up to ``k`` preceding rows of the key, oldest first.
 
@@ -69,9 +116,8 @@ def previous_rows(
     ``order``.
     """
     cells = [*keys, "_bucket"]
-    if bucket is None:
-        bucket = _bucket(F.col(ts), width)
-    rows = df.withColumns({"_bucket": bucket, "_value": value})
+    rows = _with_cells(df, keys, ts, width, at_most) if bucket is None else df.withColumn("_bucket", bucket)
+    rows = rows.withColumn("_value", value)
     if k == 1:
         return _previous_row(rows, keys, cells, order).withColumn(out, F.array_compact(F.array("_lag"))).drop(
             "_bucket", "_value", "_lag")
@@ -120,6 +166,7 @@ def sliding(
     df: DataFrame, keys: list[str], *, ts: str = "ts", row_id: str = "id", windows: list[Sliding],
     sums: dict[str, Column] | None = None, mins: dict[str, Column] | None = None,
     maxs: dict[str, Column] | None = None, distinct: dict[str, Column] | None = None, width: int = HOUR,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Sliding counts, together with running totals and running distinct counts.
 
@@ -175,6 +222,7 @@ def sliding(
     steps = steps.select("*", *[F.col("_row." + c).alias(c) for c in payload if c not in keys])
     total = running(
         steps, keys, ["_at", "_tie", "_phase"], ts="_at", width=width,
+        at_most=None if at_most is None else at_most * (1 + 2 * len(windows) + len(distinct)),
         sums={n: F.col("_d_" + n) for n in zero} | over_row(sums), mins=over_row(mins), maxs=over_row(maxs),
     )
     kept = [c for c in payload] + [n for n in (*zero, *sums, *mins, *maxs)]

@@ -1,50 +1,75 @@
-"""Joins that choose their plan by the checked size of the small side."""
+"""Matching texts with word lists and rule sets of any length, without all pairs in one key."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
 
-MAX_BROADCAST_ROWS = 10_000
+import ahocorasick
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+#: Bytes of words that travel with the tasks at a time, and rules in one projection.
+CHUNK_BYTES = 16_000_000
+CHUNK_RULES = 64
 
-def fits_broadcast(df: DataFrame, rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """True when the table has at most ``rows`` rows; reads no more than that."""
-    return df.limit(rows + 1).count() <= rows
 
+def _chunks(df: DataFrame, value: str, room: int, size: Column) -> Iterator[list]:
+    """The distinct, non-null values of ``value`` in lists whose ``size`` adds up to about ``room``.
 
-def substring_join(df: DataFrame, text: str, words: DataFrame, word: str, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Rows whose ``text`` contains a word, once per word.
-
-    A small word list is broadcast.  A large one is joined on its first four
-    characters: each text offers its distinct pieces of that length, equal
-    pieces meet in one shuffle, and ``contains`` confirms.
+    One list at a time is on the driver.  The numbering sorts the list itself,
+    never the texts.
     """
-    words = words.where(F.length(word) > 0)
-    if fits_broadcast(words, max_rows):
-        return df.join(F.broadcast(words), F.col(text).contains(F.col(word)))
-    keyed = words.withColumn("_piece", F.substring(word, 1, 4))
+    values = df.select(F.col(value).alias("v")).where("v IS NOT NULL").distinct()
+    so_far = F.sum(size).over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1))
+    numbered = values.withColumn("chunk", F.floor(F.coalesce(so_far, F.lit(0)) / room).cast("long")).persist()
+    try:
+        for row in numbered.select("chunk").distinct().orderBy("chunk").toLocalIterator():
+            yield [r["v"] for r in numbered.where(F.col("chunk") == row["chunk"]).select("v").collect()]
+    finally:
+        numbered.unpersist()
+
+
+def _finder(words: list[str]):
+    automaton = ahocorasick.Automaton()
+    for w in words:
+        automaton.add_word(w, w)
+    automaton.make_automaton()
+
+    @F.pandas_udf("array<string>")
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: sorted({w for _, w in automaton.iter(t)}) if t else [])
+
+    return found
 
-    def pieces(size: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length(text) - size + 1)
-        cut = F.transform(starts, lambda i: F.col(text).substr(i, F.lit(size)))
-        return F.when(F.length(text) >= size, cut).otherwise(F.array().cast("array<string>"))
 
-    offered = df.withColumn("_piece", F.explode(F.array_distinct(F.concat(*[pieces(n) for n in (1, 2, 3, 4)]))))
-    return offered.join(keyed, "_piece").where(F.col(text).contains(F.col(word))).drop("_piece")
+def substring_join(df: DataFrame, text: str, words: DataFrame, word: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Rows whose ``text`` contains a word, once per word, with ``word`` added.
+
+    All words of a chunk are looked for in one pass over the texts, by an
+    automaton that travels with the tasks; a longer list takes more passes.  No
+    text is shuffled and no pair is made that doesn't match.  Empty and null
+    words match nothing.
+    """
+    out = None
+    wanted = words.where(F.length(word) > 0)
+    for chunk in _chunks(wanted, word, chunk_bytes, F.octet_length("v")):
+        hit = df.withColumn(word, F.explode(_finder(chunk)(F.col(text))))
+        out = hit if out is None else out.unionByName(hit)
+    return out if out is not None else df.withColumn(word, F.lit(None).cast("string")).where(F.lit(False))
 
 
-def pattern_join(df: DataFrame, text: str, rules: DataFrame, pattern: str, chunk_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Rows whose ``text`` matches a rule's regular expression, once per rule.
+def pattern_join(df: DataFrame, text: str, rules: DataFrame, pattern: str, chunk_rules: int = CHUNK_RULES) -> DataFrame:
+    """Rows whose ``text`` matches a rule's regular expression, once per rule, with the rule's columns.
 
-    Every rule has to see every text, so rules are broadcast in chunks of
-    bounded size, however many there are.
+    The distinct patterns of a chunk are literals of one projection, so each is
+    compiled once per task and not once per row; rules meet their pattern's
+    hits by equality.  Null patterns match nothing.
     """
-    if fits_broadcast(rules, chunk_rows):
-        return df.join(F.broadcast(rules), F.expr(f"{text} rlike {pattern}"))
-    chunks = -(-rules.count() // (chunk_rows // 2))
     out = None
-    for i in range(chunks):
-        part = rules.where(F.pmod(F.xxhash64(pattern), F.lit(chunks)) == i)
-        hit = pattern_join(df, text, part, pattern, chunk_rows)
+    for chunk in _chunks(rules, pattern, max(1, chunk_rules), F.lit(1)):
+        tried = [F.when(F.col(text).rlike(p), F.lit(p)) for p in chunk]
+        hit = df.withColumn(pattern, F.explode(F.array_compact(F.array(*tried))))
         out = hit if out is None else out.unionByName(hit)
-    return out
+    if out is None:
+        out = df.withColumn(pattern, F.lit(None).cast("string")).where(F.lit(False))
+    return out.join(rules, pattern)

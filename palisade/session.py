@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -49,6 +51,36 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever its file system keeps it."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder beside the checkpoints; it goes when the program ends.
+
+    What is read from it stays readable until then, also lazily.
+    """
+    path = os.path.join(checkpoint_dir(spark), f"palisade-{name}-{uuid.uuid4().hex}")
+    if not _SCRATCH:
+        atexit.register(_clean)
+    _SCRATCH.append((spark, path))
+    return path
+
+
+_SCRATCH: list[tuple[SparkSession, str]] = []
+
+
+def _clean() -> None:
+    while _SCRATCH:
+        spark, path = _SCRATCH.pop()
+        try:
+            remove_folder(spark, path)
+        except Exception:  # the session has ended first; the folder is all that is left
+            continue
+
+
 def truncate_lineage(df):
     """Cut a plan with a reliable checkpoint, which survives lost executors."""
     spark = df.sparkSession

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -77,45 +78,99 @@ _HISTORY_STATE = T.StructType([
     T.StructField("users", T.ArrayType(T.StringType())), T.StructField("user_us", T.ArrayType(T.LongType()))])
 
 
+def _distinct_so_far(values: pd.Series, known: set[str]) -> tuple[np.ndarray, set[str]]:
+    """How many different values a key has had up to each row; missing ones don't count."""
+    new = values.notna() & ~values.duplicated() & ~values.isin(known)
+    return len(known) + new.to_numpy().cumsum(), known | set(values[new])
+
+
+def _distinct_within(values: pd.Series, us: np.ndarray, seen: dict[str, int], span: int) -> tuple[np.ndarray, dict[str, int]]:
+    """How many different values occurred in the ``span`` up to each row, and when those still inside were last seen.
+
+    A value is present from a row on that finds it absent until ``span`` after
+    the last row before its next absence, so a count is starts less ends.
+    """
+    there = values.notna().to_numpy()
+    name = np.concatenate([np.array(list(seen), object), values.to_numpy(object)[there]])
+    time = np.concatenate([np.array(list(seen.values()), np.int64), us[there]])
+    code = pd.factorize(name)[0]
+    order = np.lexsort((time, code))
+    code, time, name = code[order], time[order], name[order]
+    gap = np.ones(len(code) + 1, bool)
+    gap[1:-1] = (code[1:] != code[:-1]) | (time[1:] - time[:-1] > span)
+    ends = np.sort(time[gap[1:]])
+    own = np.zeros(len(order), bool)
+    own[order] = gap[:-1]
+    here = np.zeros(len(us), bool)
+    here[there] = own[len(seen):]
+    present = int(own[:len(seen)].sum()) + here.cumsum() - np.searchsorted(ends, us - span, "left")
+    last = pd.Series(time, index=name).groupby(level=0).max() if len(name) else pd.Series(dtype="int64")
+    edge = int(us[-1]) - span
+    return present, {k: int(t) for k, t in last.items() if t >= edge}
+
+
 def _follow_address(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Advance one address's history; an address idle for a day is forgotten."""
-    if state.hasTimedOut:
-        state.remove()
-        return
+    """Advance one address's history.  Totals never expire; users leave after 15 minutes."""
     total, failed, services, agents, users = 0, 0, set(), set(), {}
     if state.exists:
         total, failed, known_services, known_agents, names, seen = state.get
         services, agents, users = set(known_services), set(known_agents), dict(zip(names, seen))
-    rows = pd.concat(list(parts)).sort_values(["us", "id"])
-    out = []
-    for r in rows.itertuples(index=False):
-        total += 1
-        failed += not r.success
-        services.add(r.service)
-        if r.user_agent is not None:
-            agents.add(r.user_agent)
-        if r.username is not None:
-            users[r.username] = r.us
-        edge = r.us - WINDOW_SECONDS * 1_000_000
-        users = {u: t for u, t in users.items() if t >= edge}
-        out.append((r.id, key[0], total, failed, len(services), len(agents), len(users), failed >= 10))
-    state.update((total, failed, sorted(services), sorted(agents), list(users), [int(t) for t in users.values()]))
-    last_ms = int(rows["us"].max() // 1000)
-    state.setTimeoutTimestamp(max(last_ms, state.getCurrentWatermarkMs()) + 86_400_000)
-    yield pd.DataFrame(out, columns=_HISTORY.names)
+    rows = pd.concat(list(parts)).sort_values(["us", "id"], ignore_index=True)
+    totals = total + np.arange(1, len(rows) + 1)
+    fails = failed + (~rows["success"].astype(bool)).to_numpy().cumsum()
+    n_services, services = _distinct_so_far(rows["service"], services)
+    n_agents, agents = _distinct_so_far(rows["user_agent"], agents)
+    n_users, users = _distinct_within(rows["username"], rows["us"].to_numpy(), users, WINDOW_SECONDS * 1_000_000)
+    state.update((int(totals[-1]), int(fails[-1]), sorted(services), sorted(agents), list(users), list(users.values())))
+    yield pd.DataFrame({
+        "id": rows["id"], "source_ip": key[0], "ip_total": totals, "ip_failed": fails, "ip_services": n_services,
+        "ip_agents": n_agents, "ip_users": n_users, "blocked": fails >= 10})
 
 
 def bruteforce_history(events: DataFrame) -> DataFrame:
     """Each live attempt with its address's history, as ``ip_history`` has it."""
-    tries = attempts(events).withWatermark("ts", f"{WINDOW_SECONDS} seconds").withColumn("us", F.unix_micros("ts"))
+    tries = attempts(events).withColumn("us", F.unix_micros("ts"))
     return tries.groupBy("source_ip").applyInPandasWithState(
-        _follow_address, _HISTORY, _HISTORY_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        _follow_address, _HISTORY, _HISTORY_STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+_USER_HISTORY = T.StructType([
+    T.StructField("id", T.LongType()), T.StructField("username", T.StringType()), T.StructField("user_total", T.LongType()),
+    T.StructField("user_failed", T.LongType()), T.StructField("user_ips", T.LongType()), T.StructField("user_compromised", T.BooleanType())])
+_USER_STATE = T.StructType([
+    T.StructField("total", T.LongType()), T.StructField("failed", T.LongType()), T.StructField("ips", T.ArrayType(T.StringType())),
+    T.StructField("compromised", T.BooleanType())])
+
+
+def _follow_user(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Advance one user's history: a success after a failure marks the account for good."""
+    total, failed, ips, compromised = (state.get[0], state.get[1], set(state.get[2]), state.get[3]) if state.exists else (0, 0, set(), False)
+    rows = pd.concat(list(parts)).sort_values(["us", "id"], ignore_index=True)
+    ok = rows["success"].astype(bool).to_numpy()
+    fails = failed + (~ok).cumsum()
+    n_ips, ips = _distinct_so_far(rows["source_ip"], ips)
+    marked = np.logical_or.accumulate(ok & (fails > 0)) | compromised
+    state.update((total + len(rows), int(fails[-1]), sorted(ips), bool(marked[-1])))
+    yield pd.DataFrame({
+        "id": rows["id"], "username": key[0], "user_total": total + np.arange(1, len(rows) + 1), "user_failed": fails,
+        "user_ips": n_ips, "user_compromised": marked})
+
+
+def user_history(events: DataFrame) -> DataFrame:
+    """Each live attempt that names a user with the user's history, as in the batch."""
+    tries = attempts(events).where(F.col("username").isNotNull()).withColumn("us", F.unix_micros("ts"))
+    return tries.groupBy("username").applyInPandasWithState(
+        _follow_user, _USER_HISTORY, _USER_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_bruteforce(events: DataFrame, out: str, checkpoint: str) -> None:
     run(bruteforce_history(events).writeStream.format("parquet").option("path", out).outputMode("append"), checkpoint)
 
 
+def stream_users(events: DataFrame, out: str, checkpoint: str) -> None:
+    run(user_history(events).writeStream.format("parquet").option("path", out).outputMode("append"), checkpoint)
+
+
 _KEPT = T.StructType([T.StructField("id", T.LongType()), T.StructField("key", T.StringType()), T.StructField("us", T.LongType())])
 _LAST = T.StructType([T.StructField("us", T.LongType())])
 
@@ -128,16 +183,16 @@ def throttled(alerts: DataFrame, minutes: int = DEDUP_MINUTES) -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(parts)).sort_values(["us", "id"])
-        kept = []
-        for r in rows.itertuples(index=False):
-            if last is None or r.us - last >= span:
-                last = int(r.us)
-                kept.append((r.id, key[0], last))
+        rows = pd.concat(list(parts)).sort_values(["us", "id"], ignore_index=True)
+        us, ids = rows["us"].to_numpy(), rows["id"].to_numpy()
+        kept, at = [], int(np.searchsorted(us, state.get[0] + span)) if state.exists else 0
+        while at < len(us):  # from one kept alert to the next, not from row to row
+            kept.append(at)
+            at = int(np.searchsorted(us, us[at] + span))
+        last = int(us[kept[-1]]) if kept else state.get[0]
         state.update((last,))
         state.setTimeoutTimestamp(max((last + span) // 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(kept, columns=_KEPT.names)
+        yield pd.DataFrame({"id": ids[kept], "key": key[0], "us": us[kept]})
 
     keyed = alerts.withWatermark("ts", f"{minutes} minutes").select("id", dedup_key().alias("key"), F.unix_micros("ts").alias("us"), "ts")
     return keyed.groupBy("key").applyInPandasWithState(keep, _KEPT, _LAST, "append", GroupStateTimeout.EventTimeTimeout)

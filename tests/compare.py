@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -66,7 +67,7 @@ def main():
     parser.add_argument("names", nargs="*")
     parser.add_argument("--sf", default="/root/testdata/sf0.01")
     args = parser.parse_args()
-    spark = build_session(master="local[8]", **{
+    spark = build_session(master=os.environ.get("COMPARE_MASTER", "local[8]"), **{
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")

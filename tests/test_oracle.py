@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import compare, oracle_connection
+from palisade.plans.running import release_shared
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
@@ -16,7 +17,7 @@ def con(sf):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, sf, name):
     problem, rows = compare(spark, con, name, QUERIES[name], ORACLES.get(name), sf)
-    spark.catalog.clearCache()
+    release_shared()
     assert not problem
     assert rows >= 0
 

@@ -135,3 +135,21 @@ def test_literals_never_hide_a_match(spark, sf):
     assert seen.where(F.col("p") != F.col("q")).count() == 0
     names = {n for r in seen.select(F.explode("q.name").alias("n")).distinct().collect() for n in [r.n]}
     assert names == {r.name for r in rules}
+
+
+def test_long_character_references(spark):
+    from palisade.functions.decode import html_decode
+
+    given = ["&#x0000003c;script", "&#00000060;b", "&#x3C;", "&#60;", "&#x" + "0" * 300 + "3c;", "&#x110000;", "&#99999999999999999999;", "&#x;", "&lt;"]
+    got = [r.o for r in texts(spark, given).select("id", html_decode(F.col("t")).alias("o")).orderBy("id").collect()]
+    assert got == ["<script", "<b", "<", "<", "<", "&#x110000;", "&#99999999999999999999;", "&#x;", "<"]
+
+
+def test_encoded_lines_reach_the_detectors(spark):
+    from palisade.functions.decode import with_decoded_sqli, with_decoded_xss
+
+    given = ["&#x0000003cscript&#62;", "\\x3cscript\\x3e", "\\u003cscript\\u003e", "String.fromCharCode(60,115)", "%253Cscript%253E"]
+    xss = [r.o for r in with_decoded_xss(texts(spark, given), "t", "o").orderBy("id").collect()]
+    assert xss == ["&#x0000003cscript>", "<script>", "<script>", "<s", "<script>"]
+    sqli = [r.o for r in with_decoded_sqli(texts(spark, ["1\\x27 OR 1=1", "1&#39; OR 1=1", "1\\u0027"]), "t", "o").orderBy("id").collect()]
+    assert sqli == ["1' OR 1=1", "1' OR 1=1", "1'"]

@@ -86,11 +86,11 @@ def test_related_events(spark):
         assert got[me[0]] == want
 
 
-def test_substring_join_beyond_broadcast(spark):
+def test_substring_join_in_chunks(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(["evil.com/x", "no", "a evil.com b /etc", "é/etc", "ab"])], "id long, t string")
-    words = spark.createDataFrame([("evil.com",), ("/etc",), ("ab",), ("zzz",)], "w string")
+    words = spark.createDataFrame([("evil.com",), ("/etc",), ("ab",), ("zzz",), ("",), (None,), ("ab",)], "w string")
     small = {tuple(r) for r in substring_join(df, "t", words, "w").select("id", "w").collect()}
-    large = {tuple(r) for r in substring_join(df, "t", words, "w", max_rows=1).select("id", "w").collect()}
+    large = {tuple(r) for r in substring_join(df, "t", words, "w", chunk_bytes=5).select("id", "w").collect()}
     assert small == large == {(0, "evil.com"), (2, "evil.com"), (2, "/etc"), (3, "/etc"), (4, "ab")}
 
 
@@ -98,8 +98,100 @@ def test_pattern_join_in_chunks(spark):
     df = spark.createDataFrame([(0, "abc"), (1, "xyz"), (2, "abxz")], "id long, t string")
     rules = spark.createDataFrame([("a.c",), ("z$",), ("^x",), ("b",), ("q",)], "p string")
     small = {tuple(r) for r in pattern_join(df, "t", rules, "p").select("id", "p").collect()}
-    large = {tuple(r) for r in pattern_join(df, "t", rules, "p", chunk_rows=4).select("id", "p").collect()}
+    large = {tuple(r) for r in pattern_join(df, "t", rules, "p", chunk_rules=2).select("id", "p").collect()}
     assert small == large and (0, "a.c") in small
+    equal = spark.createDataFrame([("a.c", i) for i in range(9)] + [(None, 9)], "p string, n int")
+    for chunk in (1, 4):
+        assert sorted(r.n for r in pattern_join(df, "t", equal, "p", chunk_rules=chunk).collect()) == list(range(9))
+
+
+def test_many_indicators(spark):
+    iocs = spark.range(20_000).select(F.lit("Url").alias("ioc_type"), F.format_string("http://h%d.example/x", "id").alias("value"))
+    events = spark.createDataFrame([(i, None, f"GET http://h{i}.example/x HTTP/1.1") for i in range(0, 30_000, 1000)], "id long, source_ip string, raw_message string")
+    got = {r.id: r.indicators for r in ioc_match(events, iocs).collect()}
+    want = {i: sorted(w for n in {i, int(str(i)[1:] or -1)} for w in [f"http://h{n}.example/x"] if n == i and n < 20_000) for i in range(0, 30_000, 1000)}
+    assert got == {i: w for i, w in want.items() if w}
+
+
+def test_one_hot_hour_is_many_cells(spark, rows, monkeypatch):
+    """A key whose rows all lie in one hour is split by row count, and nothing changes."""
+    from palisade.plans import running as R
+
+    hot = [(i, 1_700_000_000 + i % 50 * 3 + i % 7, "hot", None if i % 5 == 0 else f"v{i % 6}") for i in range(600)]
+    df = frame(spark, hot)
+
+    def results():
+        total = {r.id: r.n for r in running(df, ["k"], ["ts", "id"], ts="ts", sums={"n": F.lit(1)}).collect()}
+        near = {r.id: r.prev for r in previous_rows(df, ["k"], ["ts", "id"], F.col("id"), 3, ts="ts").collect()}
+        slid = {r.id: r.w for r in sliding(df, ["k"], windows=[Sliding("w", 60, True, F.lit(True))]).collect()}
+        return total, near, slid
+
+    whole = results()
+    monkeypatch.setattr(R, "CELL_ROWS", 40)
+    assert results() == whole
+    cells = R._with_cells(df, ["k"], "ts", R.HOUR, None).groupBy("_bucket").count().collect()
+    assert len(cells) > 10 and max(c["count"] for c in cells) <= 40
+    R.release_shared()
+
+
+def chain(rows, span):
+    last, kept = {}, set()
+    for i, s, k in sorted(rows, key=lambda r: (r[1], r[0])):
+        if k not in last or s - last[k] >= span:
+            last[k] = s
+            kept.add(i)
+    return kept
+
+
+@pytest.mark.parametrize("block", [200_000, 50])
+def test_a_stray_time_makes_no_long_block(spark, block):
+    rng = random.Random(3)
+    rows = [(i, 1_700_000_000 + rng.randrange(40_000), "a" if rng.random() < 0.6 else f"k{rng.randrange(30)}") for i in range(1500)]
+    rows += [(9001, 0, "a"), (9002, 4_000_000_000, "a"), (9003, 4_000_000_001, "a")]
+    df = spark.createDataFrame(rows, "id long, s long, title string").withColumn("ts", F.timestamp_seconds("s")).withColumn("severity", F.lit("x"))
+    got = {r.id for r in A.alert_dedup(df, minutes=5, block_rows=block).select("id").collect()}
+    assert got == chain(rows, 300)
+
+
+def test_batches_of_a_flood(spark):
+    df = spark.range(95).select("id", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") % 4).alias("ts"), F.lit("High").alias("severity"), F.lit("t").alias("title"))
+    got = A.alert_batch(df, minutes=5, size=10).groupBy("batch_id").count().collect()
+    assert sorted(r["count"] for r in got) == [5] + [10] * 9
+
+
+def test_equal_lines_are_events_of_their_own(spark):
+    from palisade.operators.bruteforce import attempts, bf_detect, bf_profile
+    from palisade.operators.parse import parse_logs
+
+    line = "Jan 05 10:00:00 host sshd[99]: Failed password for root from 203.0.113.9 port 22 ssh2"
+    lines = spark.createDataFrame([("a", line)] * 30 + [("b", line)], "file string, line string").withColumn("ingest_ts", F.lit("2024-01-05 10:00:01").cast("timestamp"))
+    events = parse_logs(lines)
+    ids = [r.id for r in events.collect()]
+    assert len(set(ids)) == 31
+    assert sorted(ids) == sorted(r.id for r in parse_logs(lines.repartition(7)).collect())
+    assert bf_detect(bf_profile(attempts(events))).count() == 31
+
+
+def test_nth_samples_are_narrowed(spark):
+    rows = [(i, 1_700_000_000 + (i * 7919 % 3000 if i < 2500 else 77), [float(i)]) for i in range(6000)]
+    df = spark.createDataFrame(rows, "id long, s long, features array<double>").withColumn("ts", F.timestamp_seconds("s"))
+    ordered = sorted(rows, key=lambda r: (r[1], r[0]))
+    for place in (0, 100, 3000, 5999):
+        assert M._nth_samples(df, [place]) == [ordered[place][2]]
+
+
+def test_stored_events_are_pruned_by_day(spark, tmp_path):
+    from palisade.operators.query import filter_events
+    from palisade.sources import fixtures as fx
+    from palisade.sources.store import read_events, write_events
+
+    write_events(fx.events(spark, "/root/testdata/sf0.001"), str(tmp_path / "e"))
+    stored = read_events(spark, str(tmp_path / "e"))
+    some = filter_events(stored, severity="Critical", from_ts="2024-01-10 00:00:00", to_ts="2024-01-11 12:00:00")
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    scan = next(x for x in plan.splitlines() if "FileScan" in x)
+    assert "event_date" in scan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "Critical" in scan.split("PushedFilters: [")[1].split("]")[0]
 
 
 def test_geo_takes_the_longest_prefix(spark):
