@@ -12,7 +12,7 @@ from palisade.functions import dimensions as D, rules as R
 from palisade.functions.text import contains_any, count_chars, is_private_ip, text_entropy
 from palisade.operators.parse import user_agent
 from palisade.operators.query import ago, at
-from palisade.plans.running import Sliding, previous_rows, running, sliding
+from palisade.plans.running import Sliding, previous_rows, running, shared, sliding
 
 # Feature names in vector order.
 FEATURES = [
@@ -141,21 +141,28 @@ def _exponential_deviation(inputs: DataFrame, value: str, out: str, at_most: int
     return near.select("id", F.coalesce(away, F.lit(0.0)).alias(out))
 
 
-def _rarity(inputs: DataFrame, value: str, out: str, at_most: int) -> DataFrame:
-    """(id, out): 1 - share of the value among the address's values so far."""
-    known = inputs.where(F.col(value).isNotNull()).select("id", "ts", "source_ip", F.col(value).alias("v"))
-    same = running(known, ["source_ip", "v"], ["ts", "id"], ts="ts", sums={"same": F.lit(1)}, at_most=at_most).select("id", "same")
-    total = running(known, ["source_ip"], ["ts", "id"], ts="ts", sums={"total": F.lit(1)}, at_most=at_most).select("id", "total")
-    return same.join(total, "id").select("id", (1.0 - F.col("same") / F.col("total")).alias(out))
+_RARE = (("user_agent", "user_agent_deviation", 1.0), ("path", "path_deviation", 0.5), ("method", "method_deviation", 0.5))
+
+
+def _rarities(inputs: DataFrame, at_most: int) -> DataFrame:
+    """(id, three features): 1 - share of a value among the address's values so far.
+
+    The rows stay together: each step adds a count to them, and one pass counts
+    the values of all three kinds.  A missing value has a name no value has.
+    """
+    rows = inputs.select("id", "ts", "source_ip", *[F.coalesce(F.col(v), F.lit("\u0000")).alias(v) for v, _, _ in _RARE],
+                         *[F.col(v).isNotNull().cast("int").alias(f"_has_{v}") for v, _, _ in _RARE])
+    for value, _, _ in _RARE:
+        rows = shared(running(rows, ["source_ip", value], ["ts", "id"], ts="ts", sums={f"_same_{value}": F.lit(1)}, at_most=at_most))
+    rows = running(rows, ["source_ip"], ["ts", "id"], ts="ts", sums={f"_all_{v}": F.col(f"_has_{v}") for v, _, _ in _RARE}, at_most=at_most)
+    return rows.select("id", *[
+        F.when(F.col(f"_has_{v}") == 1, 1.0 - F.col(f"_same_{v}") / F.col(f"_all_{v}")).otherwise(F.lit(missing)).alias(name) for v, name, missing in _RARE])
 
 
 def behavior_features(inputs: DataFrame) -> DataFrame:
     """(id, five features) of how unusual an event is for its address."""
-    out = inputs.select("id")
-    n = out.count()
-    for value, name, missing in (
-        ("user_agent", "user_agent_deviation", 1.0), ("path", "path_deviation", 0.5), ("method", "method_deviation", 0.5)):
-        out = out.join(_rarity(inputs, value, name, n), "id", "left").withColumn(name, F.coalesce(name, F.lit(missing)))
+    n = inputs.select("id").count()
+    out = _rarities(inputs, n)
     for value, name in (("request_size", "request_size_deviation"), ("response_time_ms", "response_time_deviation")):
         out = out.join(_exponential_deviation(inputs, value, name, n), "id", "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
     return out

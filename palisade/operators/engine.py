@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from palisade.operators.bruteforce import attempts, bf_detect, bf_profile
 from palisade.operators.payload import detection_text, sqli_detect, xss_detect
+from palisade.plans.running import shared
 from palisade.session import truncate_lineage
 
 # Weight of each detector in the combined risk.
@@ -39,6 +40,8 @@ def detect_all(
     ``anomaly`` (id, is_anomaly, anomaly_score) comes from a fitted model.  The
     message texts stay behind: only verdicts meet in the joins by id.
     """
+    if brute_force:
+        events = shared(events)  # the payload path and the histories both read it
     out = detect_payloads(events).select("id", "ts", "source", "source_ip", "severity", "event_type", "sqli", "xss")
     out = out.withColumns({
         "brute_force": F.lit(None).cast("struct<detected:boolean,confidence:double,risk_level:string>"),

@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from palisade.functions.dimensions import LOGIN_PATTERN
 from palisade.operators.enrich import ioc_match
 from palisade.operators.parse import event_fields
-from palisade.operators.query import ago, at
+from palisade.operators.query import ago, at, between
 from palisade.operators.bruteforce import attempt_outcome
+from palisade.plans.running import shared
 
 # Share of findings expected to be harmless, by kind of hunt.
 FALSE_POSITIVE = {"IndicatorBased": 0.1, "AnomalyBased": 0.3, "TechniqueBased": 0.2, "APTHunting": 0.25, "HypothesisDriven": 0.4}
@@ -118,6 +119,18 @@ def run_hunt(events: DataFrame, hunt: dict, indicators: DataFrame, as_of=None) -
         priority.alias("priority"))
 
 
+def run_hunts(events: DataFrame, hunts: list[dict], indicators: DataFrame, as_of=None) -> DataFrame:
+    """A row per hunt.  The events of the widest window are read once and shared; stored events are pruned by day."""
+    now = at(as_of, events)
+    widest = max(h["window_hours"] for h in hunts)
+    inside = shared(between(events, ago(now, hours=widest), now).select("id", "ts", "source", "source_ip", "raw_message"))
+    out = None
+    for hunt in hunts:
+        one = run_hunt(inside, hunt, indicators, as_of)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def hunt_catalog(hunts: DataFrame, events: DataFrame, as_of=None) -> DataFrame:
     """Hunts with the number of events their window covers now."""
     now = at(as_of, events)

@@ -29,7 +29,7 @@ def newest(df: DataFrame, limit: int | None) -> DataFrame:
     return df.orderBy(F.desc("ts"), F.desc("id")).limit(limit) if limit is not None else df
 
 
-def _between(df: DataFrame, from_ts, to_ts) -> DataFrame:
+def between(df: DataFrame, from_ts, to_ts) -> DataFrame:
     has_date = "event_date" in df.columns
     for bound, op in ((from_ts, "__ge__"), (to_ts, "__le__")):
         if bound is not None:
@@ -47,7 +47,7 @@ def select_events(
     for column, wanted in (("severity", severity), ("source", source), ("event_type", event_type)):
         if wanted is not None:
             events = events.where(F.col(column) == wanted)
-    return _between(events, from_ts, to_ts)
+    return between(events, from_ts, to_ts)
 
 
 def filter_events(events: DataFrame, *, limit: int | None = None, **wanted) -> DataFrame:
@@ -77,7 +77,7 @@ def search_events(events: DataFrame, text: str, severity: str | None = None) ->
 def time_range(events: DataFrame, name: str | None = "24h", as_of=None) -> DataFrame:
     """Events of the last 1h, 24h, 7d or 30d; anything else means 24h."""
     now = at(as_of, events)
-    return _between(events, ago(now, hours=RANGE_HOURS.get(name or "24h", 24)), now)
+    return between(events, ago(now, hours=RANGE_HOURS.get(name or "24h", 24)), now)
 
 
 # --- alerts -----------------------------------------------------------------
@@ -113,7 +113,7 @@ def filter_alerts(
     open_alerts = alerts.join(acks, alerts["id"] == acks["alert_id"], "left_anti")
     if severity is not None:
         open_alerts = open_alerts.where(F.col("severity") == severity)
-    return newest(_between(open_alerts, from_ts, to_ts), limit)
+    return newest(between(open_alerts, from_ts, to_ts), limit)
 
 
 def filter_alert_status(alerts: DataFrame, acks: DataFrame, status: str) -> DataFrame:
@@ -123,7 +123,7 @@ def filter_alert_status(alerts: DataFrame, acks: DataFrame, status: str) -> Data
 # --- retention --------------------------------------------------------------
 
 def retain_events(events: DataFrame, days: int, as_of=None) -> DataFrame:
-    return _between(events, ago(at(as_of, events), days=days), None)
+    return between(events, ago(at(as_of, events), days=days), None)
 
 
 def retain_alerts(alerts: DataFrame, acks: DataFrame, days: int, as_of=None) -> DataFrame:

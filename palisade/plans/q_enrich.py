@@ -292,9 +292,7 @@ def _hunts():
    UNION ALL SELECT 'hunt_003', 'IOCs de Malware Conocido', CAST(count(*) AS BIGINT), CASE WHEN count(*) > 0 THEN 0.8::DOUBLE ELSE 0.0 END, 0.1::DOUBLE, 9
      FROM ev WHERE ts BETWEEN {NOW} - INTERVAL 24 HOUR AND {NOW} AND (source_ip = '203.0.113.45' OR contains(raw_message, 'malicious-c2.example.com')))"""))
 def run_hunt(spark, sf):
-    events = fx.events(spark, sf)
-    rows = [H.run_hunt(events, h, D.indicators(spark, AS_OF), AS_OF) for h in _hunts()]
-    out = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    out = H.run_hunts(fx.events(spark, sf), _hunts(), D.indicators(spark, AS_OF), AS_OF)
     return out.withColumns({"confidence": r6("confidence"), "priority": big("priority")})
 
 

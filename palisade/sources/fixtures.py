@@ -56,12 +56,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core on a table that arrives as fewer splits than cores.
+    """Use every core on a table too small for a split per core.
 
-    A table with enough splits of its own is not shuffled.
+    Splits have 4 MB at least (``spark.sql.files.openCostInBytes``).  A table
+    with that much for every core gets its splits from the scan and is never
+    shuffled here.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * 4 * 1024 * 1024 else df
 
 
 def log_lines(spark: SparkSession, sf_dir: str, known_origin: bool = True) -> DataFrame:
