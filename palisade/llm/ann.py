@@ -25,7 +25,7 @@ LINKS = 16
 BUILD_BEAM, SEARCH_BEAM = 96, 160
 TOGETHER = 512
 EXPAND = 4
-MAX_LENGTHS = 1_000
+MAX_BANDS = 1_000
 
 
 def search_layer(x: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -183,35 +183,51 @@ def _build(rows: pd.DataFrame) -> pd.DataFrame:
     rows, vectors = rows.iloc[order], vectors[order]
     ids = [np.asarray(i, np.int64) for i in rows.ids]
     return pd.DataFrame({
-        "dim": [rows.dim.iloc[0]], "shard": [rows.shard.iloc[0]], "n": [len(rows)], "vectors": [vectors.tobytes()],
+        "dim": [rows.dim.iloc[0]], "band": [rows.band.iloc[0]], "shard": [rows.shard.iloc[0]], "n": [len(rows)], "vectors": [vectors.tobytes()],
         "ids": [np.concatenate(ids).tobytes()], "many": [np.array([len(i) for i in ids], np.int64).tobytes()],
         "widths": [[layer.shape[1] for layer in layers]], "layers": [[layer.tobytes() for layer in layers]]})
 
 
-INDEX = "dim int, shard int, n long, vectors binary, ids binary, many binary, widths array<int>, layers array<binary>"
+INDEX = "dim int, band int, shard int, n long, vectors binary, ids binary, many binary, widths array<int>, layers array<binary>"
 
 
-def build_index(vectors: DataFrame, copies: int, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, dict[int, int]]:
-    """The index (a row per shard) and the number of shards per vector length.
+def magnitude(vector: str = "embedding") -> Column:
+    """The Euclidean length of a vector as a whole power of two, nearest on the logarithmic scale."""
+    most = F.array_max(F.transform(vector, F.abs))
+    squares = F.aggregate(vector, F.lit(0.0), lambda a, v: a + (v / most) * (v / most))
+    return F.floor(F.log2(most) + F.log2(squares) / 2 + 0.5).cast("int")
 
-    ``vectors`` has ``vec_id, embedding``.  Identical vectors are one node that
+
+def build_index(vectors: DataFrame, copies: int, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, dict[int, list[tuple[int, int]]]]:
+    """The index (a row per shard), and per number of components the bands with their numbers of shards.
+
+    A band holds vectors of about one length: beside a giant, all others would
+    look alike to a graph.  ``vectors`` has ``vec_id, embedding``.  Identical vectors are one node that
     carries their ``copies`` smallest ids; a query that wants fewer neighbours
     than that loses none.  The window is cut short before the shuffle.
     """
     nth = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
     nodes = vectors.withColumn("_n", nth).where(F.col("_n") <= copies).groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    nodes = cut(nodes.select("embedding", "ids", F.get("ids", F.lit(0)).alias("first"), F.size("embedding").alias("dim")))
-    lengths = {r["dim"]: -(-r["count"] // shard_rows) for r in nodes.groupBy("dim").count().limit(MAX_LENGTHS + 1).collect()}
-    if len(lengths) > MAX_LENGTHS:
-        raise ValueError(f"vectors of more than {MAX_LENGTHS} lengths")
-    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("first"), _per_length(lengths)).cast("int"))
-    return cut(dealt.groupBy("dim", "shard").applyInPandas(_build, INDEX)), lengths
-
-
-def _per_length(lengths: dict[int, int]) -> Column:
-    out = F.lit(1)
-    for dim, shards in lengths.items():
-        out = F.when(F.col("dim") == dim, shards).otherwise(out)
+    nodes = cut(nodes.select("embedding", "ids", F.get("ids", F.lit(0)).alias("first"), F.size("embedding").alias("dim"), magnitude().alias("band")))
+    sizes = nodes.groupBy("dim", "band").count().orderBy("dim", "band").limit(MAX_BANDS + 1).collect()
+    if len(sizes) > MAX_BANDS:
+        raise ValueError(f"vectors of more than {MAX_BANDS} kinds of size and length")
+    bands: dict[int, list[tuple[int, int]]] = {}
+    shards = F.lit(1)
+    for r in sizes:
+        many = -(-r["count"] // shard_rows)
+        bands.setdefault(r["dim"], []).append((r["band"], many))
+        shards = F.when((F.col("dim") == r["dim"]) & (F.col("band") == r["band"]), many).otherwise(shards)
+    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("first"), shards).cast("int"))
+    return cut(dealt.groupBy("dim", "band", "shard").applyInPandas(_build, INDEX)), bands
+
+
+def _bands_of(bands: dict[int, list[tuple[int, int]]]) -> Column:
+    """The bands that a query of ``dim`` components has to visit, with their numbers of shards."""
+    out = F.lit(None).cast("array<struct<band:int,shards:int>>")
+    for dim, some in bands.items():
+        own = F.array(*[F.struct(F.lit(b).alias("band"), F.lit(n).alias("shards")) for b, n in some])
+        out = F.when(F.col("dim") == dim, own).otherwise(out)
     return out
 
 
@@ -265,13 +281,13 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, beam: int = SEARCH
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), queries.alias("asks"))
     rows = rows.where(usable() & F.col("vec_id").isNotNull())
     rows = cut(rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"), F.max("asks").alias("asks")))
-    index, lengths = build_index(rows.select("vec_id", "embedding"), k + 1, shard_rows)
+    index, bands = build_index(rows.select("vec_id", "embedding"), k + 1, shard_rows)
     asked = rows.where("asks").select(F.col("vec_id").alias("query_id"), "embedding", F.size("embedding").alias("dim"))
     blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn(
-        "shard", F.explode(F.sequence(F.lit(0), _per_length(lengths) - 1)))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).select("*", F.inline(_bands_of(bands)))
+    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     shards = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    key = ["dim", "shard", "block"]
+    key = ["dim", "band", "shard", "block"]
     found = shards.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(_search(k, beam), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
