@@ -107,14 +107,14 @@ def identify_language(docs: DataFrame, dictionaries: dict[str, bytes], min_margi
     """
     added = ["lang_pred", "score", "margin", "rejected"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, coders = list(shared.value), compressors(shared.value)
         for batch in batches:
             made = []
-            for text in batch.column("_text").to_pylist():
+            for text in batch.column("__text").to_pylist():
                 plain = letters_of(text)
                 made.append(decide(sizes_with(plain, coders), names, min_margin) if plain and names else (UNKNOWN, 0.0, 0.0, True))
             lang, score, margin, rejected = zip(*made, strict=True) if made else ((), (), (), ())

@@ -189,11 +189,11 @@ def mixed_sizes(rows: DataFrame, blocks: DataFrame) -> DataFrame:
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix draws it whole; all columns are kept."""
     rows, blocks = mix_blocks(docs, block_words=0, **options)
-    times = blocks.groupBy("doc_id", "sid", "size", "copy").agg(F.count("*").alias("times")).join(
+    times = blocks.groupBy("doc_id", "sid", "size", "copy").agg(F.count("*").alias("__times")).join(
         rows.select("sid", "source").distinct(), "sid")
-    times = times.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copy").alias("_copy"), "times")
-    own = Window.partitionBy(F.col("doc_id").cast("long"), "source", "_words").orderBy("text")
-    told = docs.withColumn("_words", word_count(F.col("text"))).withColumn("_nth", F.row_number().over(own) - 1)
-    met = told.join(times, told.doc_id.cast("long").eqNullSafe(times._id) & told.source.eqNullSafe(times._source)
-                    & (told._words == times._size) & (told._nth == times._copy))
-    return met.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*[docs[c] for c in docs.columns])
+    times = times.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("copy").alias("__copy"), "__times")
+    own = Window.partitionBy(F.col("doc_id").cast("long"), "source", "__words").orderBy("text")
+    told = docs.withColumn("__words", word_count(F.col("text"))).withColumn("__nth", F.row_number().over(own) - 1)
+    met = told.join(times, told.doc_id.cast("long").eqNullSafe(F.col("__id")) & told.source.eqNullSafe(F.col("__source"))
+                    & (F.col("__words") == F.col("__size")) & (F.col("__nth") == F.col("__copy")))
+    return met.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*[docs[c] for c in docs.columns])

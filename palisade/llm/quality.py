@@ -81,9 +81,9 @@ def encode_passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         size = np.add.reduceat(inside.astype(np.int64), at)
         first = kinds[at]
         out[:, N_KINDS] = np.bincount(word_passage, size, n) / some / 10
-        out[:, N_KINDS + 1] = 1 - _distinct(word_passage, hashes, n) / some
+        out[:, N_KINDS + 1] = (many - _distinct(word_passage, hashes, n)) / some
         doc_words = np.maximum(words, 1)
-        out[:, N_KINDS + 2] = (1 - _distinct(text_of, hashes, len(raw)) / doc_words)[np.repeat(np.arange(len(raw)), passages)]
+        out[:, N_KINDS + 2] = ((words - _distinct(text_of, hashes, len(raw))) / doc_words)[np.repeat(np.arange(len(raw)), passages)]
         same = np.zeros(len(at), bool)
         same[1:] = (hashes[1:] == hashes[:-1]) & (text_of[1:] == text_of[:-1])
         out[:, N_KINDS + 3] = np.bincount(word_passage, same, n) / some
@@ -190,7 +190,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", lear
     known = labels.where(learn & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInArrow(_encode, "doc_id long, label int, x binary")
-    rows = sorted(texts.dropDuplicates(["doc_id"]).toPandas().itertuples(index=False, name=None))
+    found = texts.dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    rows = list(zip(*(found.column(c).to_pylist() for c in ("doc_id", "label", "x")), strict=True))
     bags = [np.frombuffer(r[2], np.float32).reshape(-1, N_FEATURES) for r in rows]
     begins = np.cumsum([len(b) for b in bags]) - [len(b) for b in bags]
     x = np.concatenate(bags) if bags else np.zeros((0, N_FEATURES), np.float32)
@@ -204,13 +205,13 @@ def score_quality(docs: DataFrame, model: Attention, keep: list[str] | None = No
     without words.  Columns of these names are replaced.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "passages")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast((model.mean, model.scale, model.weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Attention(*shared.value)
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
+            texts = batch.column("__text").to_pylist()
             for some in _blocks(texts):
                 x, of = encode_passages(texts[some])
                 bags = np.flatnonzero(np.append(True, of[1:] != of[:-1]))

@@ -231,7 +231,7 @@ def simhash_dedup(docs: DataFrame) -> DataFrame:
     free = groups.where("component_id IS NULL").select("fp", "group").distinct()
     named = lone.select("text").distinct()
     named = named.mapInArrow(_text_prints, "text string, fp long").join(free, "fp").groupBy("group").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    rest = lone.withColumn("_t", F.coalesce("text", F.lit(""))).join(named.select(F.col("text").alias("_t")), "_t", "left_semi").dropDuplicates(["_t"]).drop("_t")
+    rest = lone.withColumn("__t", F.coalesce("text", F.lit(""))).join(named.select(F.col("text").alias("__t")), "__t", "left_semi").dropDuplicates(["__t"]).drop("__t")
     return first.unionByName(rest.select(*first.columns))
 
 

@@ -95,13 +95,13 @@ def judge_urls(pages: DataFrame, entries: DataFrame, rules: Iterable[tuple[str,
         find_in_segment, "url string, key string, verdict string")
     is_rule = F.col("key").startswith("r:")
     best = found.groupBy("url").agg(
-        F.max(F.when(is_rule, F.struct(F.length("key").alias("n"), F.substr("key", F.lit(3)).alias("rule"), "verdict"))).alias("best"),
-        F.max(F.when(~is_rule, F.col("verdict"))).alias("listed")).withColumnRenamed("url", "_url")
+        F.max(F.when(is_rule, F.struct(F.length("key").alias("n"), F.substr("key", F.lit(3)).alias("rule"), "verdict"))).alias("__best"),
+        F.max(F.when(~is_rule, F.col("verdict"))).alias("__listed")).withColumnRenamed("url", "__url")
     host, path = url_parts(F.col(url))
-    kept = pages.select(*[c for c in pages.columns if c not in ("host", "path", "rule", "verdict")], F.col(url).alias("_own"))
-    return kept.join(best, F.col("_own") == F.col("_url"), "left").withColumns({
-        "host": F.coalesce(host, F.lit("")), "path": F.coalesce(path, F.lit("")), "rule": F.col("best.rule"),
-        "verdict": F.coalesce("best.verdict", "listed", F.lit("allow"))}).drop("best", "listed", "_own", "_url")
+    kept = pages.select(*[c for c in pages.columns if c not in ("host", "path", "rule", "verdict")], F.col(url).alias("__own"))
+    return kept.join(best, F.col("__own") == F.col("__url"), "left").withColumns({
+        "host": F.coalesce(host, F.lit("")), "path": F.coalesce(path, F.lit("")), "rule": F.col("__best.rule"),
+        "verdict": F.coalesce("__best.verdict", "__listed", F.lit("allow"))}).drop("__best", "__listed", "__own", "__url")
 
 
 def toxic_addresses(pages: DataFrame, labels: DataFrame) -> DataFrame:
