@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -28,7 +29,7 @@ WORDS = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{
          r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 #: Bytes of the longest word that is scanned; pieces kept in a worker's cache.
 SCANNED_BYTES = 48
-CACHED = 300_000
+CACHED = 150_000
 NO_RANK = np.int32(2**31 - 1)
 #: Spaces that do not stand alone between two other characters.
 LOOSE_SPACE = re.compile(r"\A | \Z|\s | \s")
@@ -218,6 +219,10 @@ def decode_ids(vocab: dict, ids: bytes) -> str:
     return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
+def _bytes(column: pa.Array) -> list[int]:
+    return pc.fill_null(pc.binary_length(column), 0).to_pylist()
+
+
 def _blocks(sizes: list[int], most: int = 4_000_000) -> Iterator[slice]:
     start = total = 0
     for i, n in enumerate(sizes):
@@ -246,15 +251,14 @@ def bpe_encode(docs: DataFrame, vocabulary, text: str = "text", keep: list[str]
     tokens.  Columns named ``n_tokens`` or ``ids`` are replaced.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_tokens", "ids")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary.value
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
-            for some in _blocks([len(t or "") for t in texts]):
-                coded = encode_texts(vocab, texts[some])
+            for some in _blocks(_bytes(batch.column("__text"))):
                 part = batch.slice(some.start, some.stop - some.start)
+                coded = encode_texts(vocab, part.column("__text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in keep), pa.array([len(b) // 4 for b in coded], pa.int64()), pa.array(coded, pa.binary())],
                     [*keep, "n_tokens", "ids"])
@@ -270,10 +274,9 @@ def bpe_decode(coded: DataFrame, vocabulary, ids: str = "ids") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary.value
         for batch in batches:
-            packed = batch.column(ids).to_pylist()
-            for some in _blocks([len(b or b"") for b in packed]):
-                texts = [None if b is None else decode_ids(vocab, b) for b in packed[some]]
+            for some in _blocks(_bytes(batch.column(ids))):
                 part = batch.slice(some.start, some.stop - some.start)
+                texts = [None if b is None else decode_ids(vocab, b) for b in part.column(ids).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(texts, pa.string())], [*keep, "decoded"])
 
     kinds = ", ".join(f"`{c}` {coded.schema[c].dataType.simpleString()}" for c in keep)
