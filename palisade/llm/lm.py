@@ -4,7 +4,7 @@ A text becomes its lower-cased words, joined by single spaces, and an end
 mark.  The tree holds contexts of up to ``DEPTH`` bytes.  A context is kept if
 it is common enough and its next-byte distribution diverges from that of its
 longest proper suffix; so are the suffixes of kept ones.  Distributions are
-smoothed with the parent's (by as much weight as distinct bytes were seen),
+smoothed with the parent's (the more distinct bytes were seen, the more),
 and a byte is scored in the longest kept context that ends before it.
 
 Beside it stands the base score, a unigram model over words with one added to
@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from palisade.llm.common import cut, words_of
+from palisade.llm.common import cut, small_batches, words_of
 
 #: Bytes of the longest context.
 DEPTH = 5
@@ -30,6 +30,8 @@ DEPTH = 5
 MIN_SHARE = 4e-6
 #: Divergence from the parent, in nats over all occurrences, that keeps a context.
 DIVERGENCE = 12.0
+#: Occurrences that the parent's distribution counts as, per distinct byte seen after a context.
+SMOOTHING = 4.0
 #: Words with at least this share of all tokens are broadcast: 200,000 at most.
 COMMON_SHARE = 5e-6
 BLOCK_BYTES = 4_000_000
@@ -71,7 +73,7 @@ def _add(keys: np.ndarray, counts: np.ndarray, more: np.ndarray, times: np.ndarr
 
 
 def _text_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list[bytes]]]:
-    for batch in batches:
+    for batch in small_batches(batches, 2000):
         held, size = [], 0
         for text in batch.column("text").to_pylist():
             held.append(words_of(text))
@@ -163,7 +165,7 @@ def grow_tree(grams: list[tuple[np.ndarray, np.ndarray]], divergence: float = DI
         # probabilities of the longest proper suffix, smoothed: all its entries are one level up
         short = keys & np.uint64((1 << 8 * k) - 1)
         parent = smooth[short.astype(np.int64)] if k == 1 else levels[-1]["logs"][np.searchsorted(levels[-1]["entries"], short)]
-        weight = kinds.astype(np.float64)
+        weight = SMOOTHING * kinds.astype(np.float64)
         logs = np.log((n + weight[of] * np.exp(parent)) / (total + weight)[of])
         gain = np.add.reduceat(n * (np.log(n / total[of]) - parent), first)
         levels.append({"contexts": contexts, "entries": keys, "logs": logs, "of": of, "escapes": np.log(weight / (total + weight)), "keep": gain >= divergence})
@@ -191,11 +193,13 @@ def fit_tree(docs: DataFrame, min_share: float = MIN_SHARE, divergence: float =
     counted = grams.select(per_level.alias("g"), "n").groupBy("g.k", "g.gram").agg(F.sum("n").alias("n"))
     contexts = counted.groupBy("k", F.shiftrightunsigned("gram", 8).alias("context")).agg(F.sum("n").alias("total"), F.collect_list(F.struct("gram", "n")).alias("next"))
     common = contexts.where((F.col("k") == 0) | (F.col("total") >= min_share * total)).select("k", F.explode("next").alias("e")).select("k", "e.gram", "e.n")
-    rows = common.toPandas()
+    rows = common.toArrow()
+    level, packed, n = (rows.column(c).to_numpy() for c in ("k", "gram", "n"))
     levels = []
     for k in range(DEPTH + 1):
-        own = rows[rows.k == k].sort_values("gram")
-        levels.append((own.gram.to_numpy(np.int64).view(np.uint64), own.n.to_numpy(np.int64)))
+        own = np.flatnonzero(level == k)
+        own = own[np.argsort(packed[own], kind="stable")]
+        levels.append((packed[own].view(np.uint64), n[own]))
     return grow_tree(levels, divergence)
 
 
@@ -224,7 +228,7 @@ def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, common = shared.value
         score = GramScores(SuffixTree(**parts))
-        for batch in batches:
+        for batch in small_batches(batches, 2000):
             if not batch.num_rows:
                 continue
             logs, sizes, known, base, rare, times = [], [], [], [], [], []
@@ -263,8 +267,8 @@ def score_texts(docs: DataFrame, learn: Column | None = None, common_share: floa
     words, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tokens, distinct = words + ends, kinds + (ends > 0)
     often = counts.where(F.col("n") >= F.lit(max(1.0, common_share * tokens)))
-    common = dict(often.toPandas().itertuples(index=False, name=None))
-    shared = docs.sparkSession.sparkContext.broadcast((vars(tree), {bytes(w): int(n) for w, n in common.items()}))
+    often = often.toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast((vars(tree), dict(zip(often.column("word").to_pylist(), often.column("n").to_pylist(), strict=True))))
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row")).mapInArrow(
         _score(shared), "doc_id long, row long, n_tokens long, known long, part double, score double, rare array<binary>, times array<long>")
     scored = cut(scored)
