@@ -31,10 +31,14 @@ _IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = r"[0-9](?:[\x20-]?[0-9]){15,}+"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: High-recall generators.
-_SECRET = r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9][A-Za-z0-9_+/-]{14,}+"
+_TOKEN = r"(?<![A-Za-z0-9_+/-]){0}[A-Za-z0-9][A-Za-z0-9_+/-]{{14,}}+"
+#: Tokens with a digit; and for the fit, which has to learn what plain words look like, all long ones.
+_SECRET, _ANY_TOKEN = _TOKEN.format("(?=[A-Za-z_+/-]*+[0-9])"), _TOKEN.format("")
 _NUMBER = r"(?<![0-9A-Za-z])[+(]?[0-9][0-9().\x20/-]{5,}[0-9](?![0-9A-Za-z])"
 _CUE = r"(?i)(?:passw(?:or)?d|pwd|token|secret|api[_-]?key|key)[\x20\"':=]{1,6}$"
 
+#: Documents that the trees are fitted and calibrated on at most: those with the smallest hashed ids.
+FIT_DOCS = 20_000
 #: Candidate patterns that the trees are fitted on at most: every feature has few values, so there are no more than this.
 MAX_PATTERNS = 200_000
 TREES, DEPTH = 12, 3
@@ -88,23 +92,23 @@ def _with_spans(df: DataFrame, out: str, kind: str, pattern: str, possible: Colu
     The pieces between the matches give the positions; both come from the same
     left-to-right search.
     """
-    text = F.col("_t")
+    text = F.col("__t")
     empty = F.array().cast("array<string>")
-    df = df.withColumn("_m", F.when(possible, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(empty))
-    df = df.withColumn("_g", F.when(F.size("_m") > 0, F.split(text, pattern, -1)).otherwise(empty))
+    df = df.withColumn("__m", F.when(possible, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(empty))
+    df = df.withColumn("__g", F.when(F.size("__m") > 0, F.split(text, pattern, -1)).otherwise(empty))
 
     def step(acc: Column, i: Column) -> Column:
-        gap, found = F.get("_g", i), F.get("_m", i)
+        gap, found = F.get("__g", i), F.get("__m", i)
         start = acc["at"] + F.length(gap)
         span = F.struct(
             F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(found)).alias("end"), found.alias("found"),
-            F.right(gap, F.lit(24)).alias("before"), F.left(F.get("_g", i + 1), F.lit(2)).alias("after"))
+            F.right(gap, F.lit(24)).alias("before"), F.left(F.get("__g", i + 1), F.lit(2)).alias("after"))
         return F.struct((start + F.length(found)).alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
     first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
-    every = F.sequence(F.lit(0), F.size("_m") - 1)
-    walked = F.when(F.size("_m") > 0, F.aggregate(every, first, step)["spans"]).otherwise(F.array().cast(f"array<{SPAN}>"))
-    return df.withColumn(out, walked).drop("_m", "_g")
+    every = F.sequence(F.lit(0), F.size("__m") - 1)
+    walked = F.when(F.size("__m") > 0, F.aggregate(every, first, step)["spans"]).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return df.withColumn(out, walked).drop("__m", "__g")
 
 
 def _outside(span: Column, base: Column) -> Column:
@@ -150,23 +154,26 @@ def _weak_label(c: Column) -> Column:
     return F.when(c["kind"] == "secret", secret).otherwise(number)
 
 
-def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Columns of ``docs`` with ``base`` (valid base spans) and ``proposed`` (spans of the generators, overlapping ones too)."""
-    df = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    df = df.withColumn("_digit", F.col("_t").rlike("[0-9]"))
-    has_digit = F.col("_digit")
-    df = _with_spans(df, "_email", "email", _EMAIL, F.col("_t").contains("@"))
-    df = _with_spans(df, "_ip", "ip", _IP, has_digit & F.col("_t").rlike(r"[0-9]\.[0-9]"))
-    df = _with_spans(df, "_card", "card", _CARD, has_digit)
-    df = _with_spans(df, "_phone", "phone", _PHONE, has_digit & F.col("_t").contains("+"))
+def candidates(docs: DataFrame, text: str = "text", plain_words: bool = False) -> DataFrame:
+    """Columns of ``docs`` with ``base`` (valid base spans) and ``proposed`` (spans of the generators, overlapping ones too).
+
+    ``plain_words`` proposes long tokens without a digit as well.
+    """
+    df = docs.withColumn("__t", F.coalesce(F.col(text), F.lit("")))
+    df = df.withColumn("__digit", F.col("__t").rlike("[0-9]"))
+    has_digit = F.col("__digit")
+    df = _with_spans(df, "__email", "email", _EMAIL, F.col("__t").contains("@"))
+    df = _with_spans(df, "__ip", "ip", _IP, has_digit & F.col("__t").rlike(r"[0-9]\.[0-9]"))
+    df = _with_spans(df, "__card", "card", _CARD, has_digit)
+    df = _with_spans(df, "__phone", "phone", _PHONE, has_digit & F.col("__t").contains("+"))
     for kind in KINDS:
-        df = df.withColumn(f"_{kind}", F.filter(f"_{kind}", _checks(kind)))
-    df = _with_spans(df, "_secret", "secret", _SECRET, F.lit(True))
-    df = _with_spans(df, "_number", "number", _NUMBER, has_digit)
-    df = df.withColumn("base", F.concat(*[F.col(f"_{k}") for k in KINDS]))
+        df = df.withColumn(f"__{kind}", F.filter(f"__{kind}", _checks(kind)))
+    df = _with_spans(df, "__secret", "secret", _ANY_TOKEN, F.lit(True)) if plain_words else _with_spans(df, "__secret", "secret", _SECRET, has_digit)
+    df = _with_spans(df, "__number", "number", _NUMBER, has_digit)
+    df = df.withColumn("base", F.concat(*[F.col(f"__{k}") for k in KINDS]))
     # a number of a base kind is proposed as well: it is what the trees learn from
-    df = df.withColumn("proposed", F.concat("_secret", "_number"))
-    return df.drop("_t", "_digit", *[f"_{k}" for k in (*KINDS, *ADDED)])
+    df = df.withColumn("__proposed", F.concat("__secret", "__number"))
+    return df.drop("__t", "__digit", *[f"__{k}" for k in (*KINDS, *ADDED)])
 
 
 def _tree_expression(node, columns: dict[str, Column]) -> Column:
@@ -190,16 +197,20 @@ class Judge:
 
 
 def fit_judges(marked: DataFrame, doc_id: str = "doc_id", precision: float = PRECISION) -> dict[str, Judge]:
-    """Fit and calibrate the trees of each kind on all labelled candidates of ``marked`` (from ``candidates``).
+    """Fit and calibrate the trees of each kind on the labelled candidates of ``marked`` (from ``candidates``).
 
     Candidates with equal features and label are counted, not kept: the fit
     reads one row per pattern.  A fifth of the documents, by hashed id, serves
     the calibration.  A kind with one label only, or none that reaches the
     wanted precision, has no judge and adds nothing.
     """
-    rows = marked.select(F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False)).alias("held"), F.explode("proposed").alias("c"))
-    rows = rows.select("held", F.col("c.kind").alias("kind"), _weak_label(F.col("c")).cast("double").alias("label"), _features(F.col("c")).alias("f"))
-    patterns = cut(rows.where("label IS NOT NULL").groupBy("held", "kind", "label", "f").agg(F.count("*").cast("double").alias("n")).select(
+    def judged(c: Column) -> Column:
+        return F.struct(c["kind"].alias("kind"), _weak_label(c).cast("double").alias("label"), c.alias("c"))
+
+    labelled = F.filter(F.transform("__proposed", judged), lambda x: x["label"].isNotNull())
+    features = F.transform(labelled, lambda x: F.struct(x["kind"].alias("kind"), x["label"].alias("label"), _features(x["c"]).alias("f")))
+    rows = marked.select(F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False)).alias("held"), F.inline(features))
+    patterns = cut(rows.groupBy("held", "kind", "label", "f").agg(F.count("*").cast("double").alias("n")).select(
         "held", "kind", "label", "n", "f.*"))
     if patterns.count() > MAX_PATTERNS:
         raise ValueError("candidate features have more values than they should")
@@ -231,21 +242,22 @@ def select_spans(marked: DataFrame, judges: dict[str, Judge]) -> DataFrame:
             out = F.when(c["kind"] == kind, judge.score(_features(c)) >= judge.threshold).otherwise(out)
         return out & _outside(c, F.col("base"))
 
-    added = F.filter("proposed", keep) if judges else F.array().cast(f"array<{SPAN}>")
-    return marked.withColumn("added", added).drop("proposed")
+    added = F.filter("__proposed", keep) if judges else F.array().cast(f"array<{SPAN}>")
+    return marked.withColumn("added", added).drop("__proposed")
 
 
-def find_pii(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def find_pii(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", fit_docs: int = FIT_DOCS) -> DataFrame:
     """Columns of ``docs`` with ``base`` and ``added``: arrays of (kind, start, end, found, before, after).
 
     Positions count code points from 0, the end exclusive.  Base spans come by
     kind, then start; a null or empty text has none.  Columns of these names
-    are replaced.  Rows are judged one by one, so repeated rows and ties don't
-    matter.
+    are replaced.  All rows are judged, one by one, so repeated rows and ties
+    don't matter; the trees are fitted on ``fit_docs`` documents at most.
     """
-    marked = candidates(docs, text)
-    judges = fit_judges(candidates(docs.select(doc_id, text), text), doc_id)
-    return select_spans(marked, judges)
+    sample = docs.select(doc_id).where(F.col(doc_id).isNotNull()).distinct().orderBy(F.xxhash64(doc_id), doc_id).limit(fit_docs)
+    learnt = docs.select(doc_id, text).join(F.broadcast(sample), doc_id, "left_semi")
+    judges = fit_judges(candidates(learnt, text, plain_words=True), doc_id)
+    return select_spans(candidates(docs, text), judges)
 
 
 def span_text(spans: Column) -> Column:
@@ -270,13 +282,13 @@ def redact(found: DataFrame, text: str = "text") -> DataFrame:
         return F.when(F.size(acc) == 0, F.array(s)).when(s["start"] < last["end"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(both))).otherwise(
             F.concat(acc, F.array(s)))
 
-    df = found.withColumn("_s", F.when(F.size("base") + F.size("added") > 0, F.aggregate(spans, F.array().cast(f"array<{one}>"), merge)))
+    df = found.withColumn("__s", F.when(F.size("base") + F.size("added") > 0, F.aggregate(spans, F.array().cast(f"array<{one}>"), merge)))
     source = F.col(text)
 
     def piece(s: Column, i: Column) -> Column:
-        start = F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get("_s", i - 1)["end"])
+        start = F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get("__s", i - 1)["end"])
         return F.concat(F.substr(source, (start + 1).cast("int"), (s["start"] - start).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))
 
-    rest = F.substr(source, (F.element_at("_s", -1)["end"] + 1).cast("int"), F.length(source))
-    clean = F.concat(F.array_join(F.transform("_s", piece), ""), rest)
-    return df.withColumn(text, F.when(F.size("_s") > 0, clean).otherwise(source)).drop("_s", "base", "added")
+    rest = F.substr(source, (F.element_at("__s", -1)["end"] + 1).cast("int"), F.length(source))
+    clean = F.concat(F.array_join(F.transform("__s", piece), ""), rest)
+    return df.withColumn(text, F.when(F.size("__s") > 0, clean).otherwise(source)).drop("__s", "base", "added")
