@@ -17,6 +17,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from palisade.llm.common import small_batches
+
 #: The sample: documents per language, characters of each, and bytes of a dictionary.
 SAMPLE_DOCS = 96
 SAMPLE_CHARS = 2_000
@@ -112,7 +114,7 @@ def identify_language(docs: DataFrame, dictionaries: dict[str, bytes], min_margi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, coders = list(shared.value), compressors(shared.value)
-        for batch in batches:
+        for batch in small_batches(batches):
             made = []
             for text in batch.column("__text").to_pylist():
                 plain = letters_of(text)

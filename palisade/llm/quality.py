@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from palisade.llm.common import small_batches
+
 PASSAGE_WORDS = 48
 #: Labelled documents that the model is fitted on at most: those with the smallest hashed ids.
 SAMPLE_DOCS = 5_000
@@ -173,7 +175,7 @@ def _blocks(texts: list[str | None]) -> Iterator[slice]:
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small_batches(batches):
         texts = batch.column("text").to_pylist()
         for some in _blocks(texts):
             x, of = encode_passages(texts[some])
@@ -210,7 +212,7 @@ def score_quality(docs: DataFrame, model: Attention, keep: list[str] | None = No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Attention(*shared.value)
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = batch.column("__text").to_pylist()
             for some in _blocks(texts):
                 x, of = encode_passages(texts[some])

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from palisade.llm.common import cut, group_bounds, stars, whole_groups, words_of
+from palisade.llm.common import cut, group_bounds, small_batches, stars, whole_groups, words_of
 from palisade.llm.graph import components
 
 #: Generator polynomial of the binary Golay code (a fixed value).
@@ -107,7 +107,7 @@ def bucket_keys(prints: np.ndarray, tables) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small_batches(batches):
         prints = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints)], ["doc_id", "fp"])
 
@@ -236,6 +236,6 @@ def simhash_dedup(docs: DataFrame) -> DataFrame:
 
 
 def _text_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small_batches(batches):
         prints = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column("text"), pa.array(prints)], ["text", "fp"])
