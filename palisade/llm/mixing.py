@@ -27,6 +27,8 @@ MOST = 2.0
 #: Rows of a permutation that one task orders; blocks whose shard is looked up together.
 BUCKET_ROWS = 4096
 RUN_BLOCKS = 32
+#: Sources whose sizes are broadcast at most (a few dozen bytes each).
+MOST_SOURCES = 50_000
 #: Subtrees that are split in tasks of their own.
 SUBTREES = 64
 
@@ -137,7 +139,9 @@ def mix_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: in
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"))
     counted = cut(sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")))
     sources = cut(source_targets(counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, most))
-    rows = counted.withColumnRenamed("source", "_source").join(sources, F.col("_source").eqNullSafe(F.col("source"))).select(
+    # a row per source: broadcast while they are few, so that no task gets all of a hot source
+    few = sources.count() <= MOST_SOURCES
+    rows = counted.withColumnRenamed("source", "_source").join(F.broadcast(sources) if few else sources, F.col("_source").eqNullSafe(F.col("source"))).select(
         "doc_id", "sid", "size", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("copy"), "source", "source_size", "target")
     step = F.lit(block_words) if block_words else F.greatest(F.col("size"), F.lit(1))
     blocks = rows.where("size > 0").withColumn("whole", F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(int(most))).cast("int"))
@@ -151,7 +155,7 @@ def mix_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: in
 
     # the place of a block in its source's permutation: buckets of the lot, then rows of a bucket
     sizes = cut(blocks.groupBy("sid").agg(F.count("*").alias("n_blocks")))
-    drawn = drawn.join(sizes, "sid")
+    drawn = drawn.join(F.broadcast(sizes) if few else sizes, "sid")
     buckets = F.ceil(F.col("n_blocks") / BUCKET_ROWS)
     drawn = drawn.withColumn("bucket", F.floor((F.col("lot").cast("double") / F.lit(2.0**64) + 0.5) * buckets))
     cells = ["sid", "pass", "bucket"]
