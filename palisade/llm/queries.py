@@ -101,7 +101,15 @@ def op9(spark, sf_dir):
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-@query("op10_embedding_dedup")
+_NEAR = """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+   able AS (SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+   links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM able a JOIN able b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+   reach(n, r) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.n, links.b FROM reach JOIN links ON reach.r = links.a),
+   comp AS (SELECT n, min(r) AS component_id FROM reach GROUP BY n)
+   SELECT v.vec_id, (SELECT count(*) FROM links WHERE a = v.vec_id) AS n_links, component_id, v.vec_id = component_id AS kept FROM v JOIN comp ON comp.n = v.vec_id"""
+
+
+@query("op10_embedding_dedup", _NEAR)
 def op10(spark, sf_dir):
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
