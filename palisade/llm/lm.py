@@ -34,8 +34,8 @@ DIVERGENCE = 12.0
 SMOOTHING = 4.0
 #: Words with at least this share of all tokens are broadcast: 200,000 at most.
 COMMON_SHARE = 5e-6
-BLOCK_BYTES = 4_000_000
-FLUSH_GRAMS, FLUSH_WORDS = 1_500_000, 300_000
+BLOCK_BYTES = 1_000_000
+FLUSH_GRAMS, FLUSH_WORDS = 800_000, 150_000
 CACHE_BITS = 20
 
 
