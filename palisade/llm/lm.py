@@ -2,10 +2,17 @@
 
 A text becomes its lower-cased words, joined by single spaces, and an end
 mark.  The tree holds contexts of up to ``DEPTH`` bytes.  A context is kept if
-it is common enough and its next-byte distribution diverges from that of its
-longest proper suffix; so are the suffixes of kept ones.  Distributions are
-smoothed with the parent's (the more distinct bytes were seen, the more),
-and a byte is scored in the longest kept context that ends before it.
+it was seen often enough (a fixed number of times) and its next-byte
+distribution diverges from that of its longest proper suffix; so are the
+suffixes of kept ones.  Distributions are smoothed with the parent's (the more
+distinct bytes were seen, the more), and a byte is scored in the longest kept
+context that ends before it.
+
+The tree grows with the texts, so it is a distributed table.  Contexts of up to
+``TOP`` bytes are few by their length; longer ones that end in the same bytes
+form a group with all their suffixes and are judged together.  Short contexts
+and those above a share of all bytes are broadcast.  A byte that a rarer kept
+context may decide (a bit table of fixed size tells) meets the tree in a join.
 
 Beside it stands the base score, a unigram model over words with one added to
 each count.  Words above a share of all tokens are few, whatever the corpus,
@@ -20,14 +27,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
-from palisade.llm.common import cut, small_batches, words_of
+from palisade.llm.common import cut, group_bounds, small_batches, whole_groups, words_of
 
 #: Bytes of the longest context.
 DEPTH = 5
-#: A kept context makes up at least this share of all bytes, so a level has no more than the reciprocal.
-MIN_SHARE = 4e-6
+#: Contexts up to this length are judged on the driver: 65,792 at most.
+TOP = 2
+#: A kept context was seen at least this often.
+MIN_COUNT = 10
+#: Kept contexts with at least this share of all bytes are broadcast, so of a level no more than the reciprocal.
+BROADCAST_SHARE = 4e-6
+#: Size of the table of bits that tells which contexts may have rarer kept ones.
+SLOT_BITS = 25
 #: Divergence from the parent, in nats over all occurrences, that keeps a context.
 DIVERGENCE = 12.0
 #: Occurrences that the parent's distribution counts as, per distinct byte seen after a context.
@@ -67,9 +81,18 @@ def grams_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return packed[own], np.cumsum(sizes) - sizes
 
 
+def _mask(size: int) -> np.uint64:
+    """The lowest ``size`` bytes."""
+    return np.uint64((1 << 8 * size) - 1)
+
+
+def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    out, place = np.unique(keys, return_inverse=True)
+    return out, np.bincount(place, n, len(out)).astype(np.int64)
+
+
 def _add(keys: np.ndarray, counts: np.ndarray, more: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    both, place = np.unique(np.concatenate([keys, more]), return_inverse=True)
-    return both, np.bincount(place, np.concatenate([counts, times]), len(both)).astype(np.int64)
+    return _sums(np.concatenate([keys, more]), np.concatenate([counts, times]))
 
 
 def _text_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list[bytes]]]:
@@ -129,7 +152,12 @@ class SuffixTree:
 
     def score(self, grams: np.ndarray) -> np.ndarray:
         """Log probability of the last byte of each packed gram in its longest kept context."""
+        return self.walk(grams)[0]
+
+    def walk(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The scores, and the length of the longest kept context of each gram."""
         out = self.root[(grams & np.uint64(255)).astype(np.int64)].copy()
+        depth = np.zeros(len(grams), np.int64)
         for k, (contexts, escapes, entries, logs) in enumerate(zip(self.contexts, self.escapes, self.entries, self.logs, strict=True), 1):
             if not len(contexts):
                 continue
@@ -139,75 +167,185 @@ class SuffixTree:
             place = np.minimum(np.searchsorted(entries, here), len(entries) - 1)
             seen = entries[place] == here
             out = np.where(kept, np.where(seen, logs[place], escapes[at] + out), out)
-        return out
+            depth[kept] = k
+        return out, depth
 
 
-def grow_tree(grams: list[tuple[np.ndarray, np.ndarray]], divergence: float = DIVERGENCE) -> SuffixTree:
-    """Build the tree from counts per level: (packed grams, sorted; counts), the level without context first.
+def judge_levels(grams: list[tuple[np.ndarray, np.ndarray]], above: tuple[np.ndarray, np.ndarray], divergence: float, min_count: int = 1,
+                 start: int = 1) -> list[dict]:
+    """Contexts of lengths from ``start`` on, from counts per level: (packed grams, sorted; counts), and the logs of the entries above the first.
 
-    Level k must hold every byte seen after each of its contexts.  Parents are
-    judged before children; a context stays if it or a longer one diverges.
+    Every byte seen after each context has to be there.  Parents are judged
+    before children; a context stays if it or a longer one diverges.
     """
-    counts = np.zeros(256)
-    if len(grams[0][0]):
-        counts[grams[0][0].astype(np.int64)] = grams[0][1]
-    tree = SuffixTree(np.log((counts + 1) / (counts.sum() + 256)), [], [], [], [])
-    smooth = tree.root
-    levels = []
-    for k in range(1, len(grams)):
-        keys, n = grams[k]
-        above = (keys >> np.uint64(8)) if len(keys) else keys
-        contexts, first, kinds = np.unique(above, return_index=True, return_counts=True)
+    levels: list[dict] = []
+    entries, smooth = above
+    for k, (keys, n) in enumerate(grams, start):
+        contexts, first, kinds = np.unique(keys >> np.uint64(8), return_index=True, return_counts=True)
+        total = np.add.reduceat(n, first) if len(contexts) else np.zeros(0, np.int64)
+        often = total >= min_count
+        keys, n = keys[np.repeat(often, kinds)], n[np.repeat(often, kinds)]
+        contexts, kinds, total = contexts[often], kinds[often], total[often].astype(np.float64)
         if not len(contexts):
             break
-        total = np.add.reduceat(n, first).astype(np.float64)
+        first = np.cumsum(kinds) - kinds
         of = np.repeat(np.arange(len(contexts)), kinds)
         # probabilities of the longest proper suffix, smoothed: all its entries are one level up
-        short = keys & np.uint64((1 << 8 * k) - 1)
-        parent = smooth[short.astype(np.int64)] if k == 1 else levels[-1]["logs"][np.searchsorted(levels[-1]["entries"], short)]
+        parent = smooth[np.searchsorted(entries, keys & _mask(k))]
         weight = SMOOTHING * kinds.astype(np.float64)
         logs = np.log((n + weight[of] * np.exp(parent)) / (total + weight)[of])
         gain = np.add.reduceat(n * (np.log(n / total[of]) - parent), first)
-        levels.append({"contexts": contexts, "entries": keys, "logs": logs, "of": of, "escapes": np.log(weight / (total + weight)), "keep": gain >= divergence})
-    for k in range(len(levels) - 1, 0, -1):  # suffixes of kept contexts stay
-        needed = np.unique(levels[k]["contexts"][levels[k]["keep"]] & np.uint64((1 << 8 * k) - 1))
-        levels[k - 1]["keep"][np.searchsorted(levels[k - 1]["contexts"], needed)] = True
+        levels.append({"contexts": contexts, "entries": keys, "logs": logs, "of": of, "total": total,
+                       "escapes": np.log(weight / (total + weight)), "keep": gain >= divergence})
+        entries, smooth = keys, logs
+    return levels
+
+
+def keep_suffixes(levels: list[dict], start: int = 1) -> None:
+    """Suffixes of kept contexts stay."""
+    for i in range(len(levels) - 1, 0, -1):
+        needed = np.unique(levels[i]["contexts"][levels[i]["keep"]] & _mask(start + i - 1))
+        levels[i - 1]["keep"][np.searchsorted(levels[i - 1]["contexts"], needed)] = True
+
+
+def _root(grams: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    counts = np.zeros(256)
+    if len(grams[0]):
+        counts[grams[0].astype(np.int64)] = grams[1]
+    return np.log((counts + 1) / (counts.sum() + 256))
+
+
+def _kept_tree(root: np.ndarray, levels: list[dict]) -> SuffixTree:
+    tree = SuffixTree(root, [], [], [], [])
     for level in levels:
-        keep = level["keep"]
+        keep, own = level["keep"], level["keep"][level["of"]]
         tree.contexts.append(level["contexts"][keep])
         tree.escapes.append(level["escapes"][keep])
-        tree.entries.append(level["entries"][keep[level["of"]]])
-        tree.logs.append(level["logs"][keep[level["of"]]])
+        tree.entries.append(level["entries"][own])
+        tree.logs.append(level["logs"][own])
     return tree
 
 
-def fit_tree(docs: DataFrame, min_share: float = MIN_SHARE, divergence: float = DIVERGENCE) -> SuffixTree:
+def grow_tree(grams: list[tuple[np.ndarray, np.ndarray]], divergence: float = DIVERGENCE, min_count: int = 1) -> SuffixTree:
+    """Build the whole tree from counts per level: (packed grams, sorted; counts), the level without context first."""
+    root = _root(grams[0])
+    levels = judge_levels(grams[1:], (np.arange(256, dtype=np.uint64), root), divergence, min_count)
+    keep_suffixes(levels)
+    return _kept_tree(root, levels)
+
+
+def _part(gram: Column) -> Column:
+    """The last bytes of a context longer than ``TOP``, which it shares with all its suffixes that are."""
+    return F.shiftrightunsigned(gram, 8).bitwiseAND(F.lit((1 << 8 * (TOP + 1)) - 1))
+
+
+def _slots(contexts: np.ndarray, sizes: np.ndarray | int) -> np.ndarray:
+    mixed = (contexts | np.asarray(sizes).astype(np.uint64) << np.uint64(48)) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _judge(above: Broadcast, often: float, divergence: float, min_count: int):
+    """Rows of the kept contexts longer than ``TOP``; ``slot`` is -1 where a context is common or its parent is rare too."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in whole_groups(batches, ["part"]):
+            keys, n = chunk.column("gram").to_numpy().view(np.uint64), chunk.column("n").to_numpy()
+            levels = judge_levels([_sums(keys & _mask(k + 1), n) for k in range(TOP + 1, DEPTH + 1)], above.value, divergence, min_count, TOP + 1)
+            keep_suffixes(levels, TOP + 1)
+            for i, level in enumerate(levels):
+                k, common = TOP + 1 + i, level["total"] >= often
+                edge = ~common
+                if i:
+                    up = levels[i - 1]
+                    edge &= up["total"][np.searchsorted(up["contexts"], level["contexts"] & _mask(k - 1))] >= often
+                slots = np.where(edge, _slots(level["contexts"], k), -1)
+                own = np.flatnonzero(level["keep"][level["of"]])
+                of = level["of"][own]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(own), k, np.int32)), pa.array(level["entries"][own].view(np.int64)), pa.array(level["logs"][own]),
+                    pa.array(level["escapes"][of]), pa.array(common[of]), pa.array(slots[of])], ["k", "gram", "log", "escape", "common", "slot"])
+    return run
+
+
+def _levels_of(rows: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Contexts, escapes, entries and logs of the levels above ``TOP``."""
+    level, packed, logs, escapes = (rows.column(c).to_numpy() for c in ("k", "gram", "log", "escape"))
+    out: tuple = ([], [], [], [])
+    for k in range(TOP + 1, DEPTH + 1):
+        own = np.flatnonzero(level == k)
+        own = own[np.argsort(packed[own], kind="stable")]
+        entries = packed[own].view(np.uint64)
+        contexts, first = np.unique(entries >> np.uint64(8), return_index=True)
+        for held, made in zip(out, (contexts, escapes[own][first], entries, logs[own]), strict=True):
+            held.append(made)
+    return out
+
+
+@dataclass
+class FittedTree:
+    """The tree: short and common contexts, rows of all kept ones longer than ``TOP``, and the bits of rare ones."""
+
+    top: SuffixTree
+    common: SuffixTree
+    rows: DataFrame
+    bits: np.ndarray
+
+
+def fit_tree(docs: DataFrame, min_count: int = MIN_COUNT, divergence: float = DIVERGENCE, broadcast_share: float = BROADCAST_SHARE) -> FittedTree:
     """Count (context, byte) over all texts of ``docs`` and grow the tree.
 
-    Only contexts with at least ``min_share`` of all bytes reach the driver:
-    no more than its reciprocal per length.
+    Only contexts of up to ``TOP`` bytes and kept ones with at least
+    ``broadcast_share`` of all bytes reach the driver.  A group of the others
+    has no more contexts than there are bytes before its ending.
     """
+    spark = docs.sparkSession
     grams = cut(docs.select("text").mapInArrow(_count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    per_level = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("gram")) for k in range(DEPTH + 1)]))
-    counted = grams.select(per_level.alias("g"), "n").groupBy("g.k", "g.gram").agg(F.sum("n").alias("n"))
-    contexts = counted.groupBy("k", F.shiftrightunsigned("gram", 8).alias("context")).agg(F.sum("n").alias("total"), F.collect_list(F.struct("gram", "n")).alias("next"))
-    common = contexts.where((F.col("k") == 0) | (F.col("total") >= min_share * total)).select("k", F.explode("next").alias("e")).select("k", "e.gram", "e.n")
-    rows = common.toArrow()
-    level, packed, n = (rows.column(c).to_numpy() for c in ("k", "gram", "n"))
-    levels = []
-    for k in range(DEPTH + 1):
-        own = np.flatnonzero(level == k)
-        own = own[np.argsort(packed[own], kind="stable")]
-        levels.append((packed[own].view(np.uint64), n[own]))
-    return grow_tree(levels, divergence)
+    few = grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (TOP + 1)) - 1)).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
+    keys, n = few.column("gram").to_numpy().view(np.uint64), few.column("n").to_numpy()
+    counts = [_sums(keys & _mask(k + 1), n) for k in range(TOP + 1)]
+    root = _root(counts[0])
+    levels = judge_levels(counts[1:], (np.arange(256, dtype=np.uint64), root), divergence, min_count)
+    full = len(levels) == TOP
+    above = spark.sparkContext.broadcast((levels[-1]["entries"], levels[-1]["logs"]) if full else (np.zeros(0, np.uint64), np.zeros(0)))
+    keyed = grams.select("gram", "n", _part(F.col("gram")).alias("part")).where(F.lit(full))
+    rows = cut(keyed.repartition("part").sortWithinPartitions("part").mapInArrow(
+        _judge(above, broadcast_share * float(n.sum()), divergence, min_count), "k int, gram long, log double, escape double, common boolean, slot long"))
+    if full:
+        needed = rows.where(F.col("k") == TOP + 1).select(F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit((1 << 8 * TOP) - 1)).alias("c")).distinct().toArrow()
+        levels[-1]["keep"][np.searchsorted(levels[-1]["contexts"], needed.column("c").to_numpy().view(np.uint64))] = True
+    keep_suffixes(levels)
+    top = _kept_tree(root, levels)
+    common = top
+    if full:
+        longer = _levels_of(rows.where("common").toArrow())
+        common = SuffixTree(root, *(a + b for a, b in zip((top.contexts, top.escapes, top.entries, top.logs), longer, strict=True)))
+    bits = np.zeros(1 << SLOT_BITS - 3, np.uint8)
+    slots = rows.where("slot >= 0").select("slot").distinct().toArrow().column("slot").to_numpy()
+    np.bitwise_or.at(bits, slots >> 3, (1 << (slots & 7)).astype(np.uint8))
+    return FittedTree(top, common, rows, bits)
+
+
+def _answer(shared: Broadcast):
+    """Logs of the grams of level 0, which stand in a group with the kept contexts that end alike."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = SuffixTree(**shared.value)
+        for chunk in whole_groups(batches, ["part"]):
+            wanted = chunk.column("gram").to_numpy()[chunk.column("k").to_numpy() == 0]
+            if not len(wanted):
+                continue
+            longer = _levels_of(chunk)
+            tree = SuffixTree(top.root, *(a + b for a, b in zip((top.contexts, top.escapes, top.entries, top.logs), longer, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(wanted), pa.array(tree.score(wanted.view(np.uint64)))], ["gram", "log"])
+    return run
+
+
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(DEPTH + 1)], np.uint64)
 
 
 class GramScores:
-    """Scores of grams, remembered in a direct-mapped table of fixed size."""
+    """Scores of grams, remembered in a direct-mapped table of fixed size; NaN where a rarer context may decide."""
 
-    def __init__(self, tree: SuffixTree):
-        self.tree = tree
+    def __init__(self, tree: SuffixTree, bits: np.ndarray):
+        self.tree, self.bits = tree, bits
         self.keys = np.full(1 << CACHE_BITS, np.uint64(2**64 - 1))
         self.logs = np.zeros(1 << CACHE_BITS)
 
@@ -217,7 +355,9 @@ class GramScores:
         miss = np.flatnonzero(self.keys[slot] != grams)
         if len(miss):
             wanted, place = np.unique(grams[miss], return_inverse=True)
-            logs = self.tree.score(wanted)
+            logs, depth = self.tree.walk(wanted)
+            slots = _slots(wanted >> np.uint64(8) & _MASKS[np.minimum(depth + 1, DEPTH)], depth + 1)
+            logs[(depth < DEPTH) & (self.bits[slots >> 3] >> (slots & 7).astype(np.uint8) & 1).astype(bool)] = np.nan
             out[miss] = logs[place]
             at = ((wanted * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
             self.keys[at], self.logs[at] = wanted, logs  # of equal slots the last one stays in both
@@ -226,15 +366,25 @@ class GramScores:
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, common = shared.value
-        score = GramScores(SuffixTree(**parts))
+        parts, bits, common = shared.value
+        score = GramScores(SuffixTree(**parts), bits)
         for batch in small_batches(batches, 2000):
             if not batch.num_rows:
                 continue
             logs, sizes, known, base, rare, times = [], [], [], [], [], []
+            opened, often, ends = [], [], []
             for block in _text_blocks([batch]):
                 grams, begins = grams_of([b" ".join(words) + b"\n" for words in block])
-                logs.extend((np.add.reduceat(score(grams), begins) / np.log(10)).tolist())
+                found = score(grams)
+                still = np.flatnonzero(np.isnan(found))
+                found[still] = 0.0
+                logs.extend((np.add.reduceat(found, begins) / np.log(10)).tolist())
+                of, left = np.searchsorted(begins, still, "right") - 1, grams[still]
+                order = np.lexsort((left, of))
+                bounds = group_bounds([of[order], left[order]]) if len(order) else np.zeros(1, np.int64)
+                opened.append(left[order][bounds[:-1]].view(np.int64))
+                often.append(np.diff(bounds))
+                ends.append(np.bincount(of[order][bounds[:-1]], minlength=len(block)))
                 for words in block:
                     counts = Counter(words)
                     there = [(n, c) for w, n in counts.items() if (c := common.get(w))]
@@ -244,14 +394,18 @@ def _score(shared):
                     base.append(float(np.dot([n for n, _ in there], np.log10([c + 1 for _, c in there]))) if there else 0.0)
                     rare.append([w for w, _ in other])
                     times.append([n for _, n in other])
+            starts = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(ends))]), pa.int32())
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), batch.column("row"), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
-                pa.array(logs, pa.float64()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))],
-                ["doc_id", "row", "n_tokens", "known", "part", "score", "rare", "times"])
+                pa.array(logs, pa.float64()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64())),
+                pa.ListArray.from_arrays(starts, pa.array(np.concatenate(opened))),
+                pa.ListArray.from_arrays(starts, pa.array(np.concatenate(often), pa.int64()))],
+                ["doc_id", "row", "n_tokens", "known", "part", "score", "rare", "times", "grams", "often"])
     return run
 
 
-def score_texts(docs: DataFrame, learn: Column | None = None, common_share: float = COMMON_SHARE) -> DataFrame:
+def score_texts(docs: DataFrame, learn: Column | None = None, common_share: float = COMMON_SHARE,
+                min_count: int = MIN_COUNT, broadcast_share: float = BROADCAST_SHARE) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of every row of ``docs`` (``doc_id, text``).
 
     ``learn`` marks the rows to learn from (default: ``training_rows``).  Scores
@@ -261,23 +415,31 @@ def score_texts(docs: DataFrame, learn: Column | None = None, common_share: floa
     """
     learn = training_rows(F.col("doc_id")) if learn is None else learn
     texts = docs.where(learn).select("text")
-    tree = fit_tree(texts)
+    tree = fit_tree(texts, min_count, broadcast_share=broadcast_share)
     counts = cut(texts.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
     ends = texts.count()
     words, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tokens, distinct = words + ends, kinds + (ends > 0)
     often = counts.where(F.col("n") >= F.lit(max(1.0, common_share * tokens)))
     often = often.toArrow()
-    shared = docs.sparkSession.sparkContext.broadcast((vars(tree), dict(zip(often.column("word").to_pylist(), often.column("n").to_pylist(), strict=True))))
+    shared = docs.sparkSession.sparkContext.broadcast((vars(tree.common), tree.bits, dict(zip(often.column("word").to_pylist(), often.column("n").to_pylist(), strict=True))))
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row")).mapInArrow(
-        _score(shared), "doc_id long, row long, n_tokens long, known long, part double, score double, rare array<binary>, times array<long>")
+        _score(shared), "doc_id long, row long, n_tokens long, known long, part double, score double, rare array<binary>, times array<long>, grams array<long>, often array<long>")
     scored = cut(scored)
     tail = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
     met = tail.join(counts.withColumnRenamed("n", "c"), "word").groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("rare_part"), F.sum("times").alias("rare_known"))
+    # bytes whose longest kept context is, or may be, rare
+    left = scored.select("row", F.explode(F.arrays_zip("grams", "often")).alias("g")).select("row", F.col("g.grams").alias("gram"), F.col("g.often").alias("often"))
+    none = F.lit(0.0)
+    wanted = left.select("gram").distinct().select(F.lit(0).alias("k"), "gram", none.alias("log"), none.alias("escape"))
+    meeting = tree.rows.select("k", "gram", "log", "escape").unionByName(wanted).withColumn("part", _part(F.col("gram")))
+    top = docs.sparkSession.sparkContext.broadcast(vars(tree.top))
+    answers = meeting.repartition("part").sortWithinPartitions("part").mapInArrow(_answer(top), "gram long, log double")
+    longer = left.join(answers, "gram").groupBy("row").agg((F.sum(F.col("often") * F.col("log")) / F.lit(float(np.log(10)))).alias("open_part"))
     zero = F.lit(0)
-    return scored.drop("rare", "times").join(met, "row", "left").select(
+    return scored.drop("rare", "times", "grams", "often").join(met, "row", "left").join(longer, "row", "left").select(
         "doc_id", "n_tokens", (F.col("known") + F.coalesce("rare_known", zero) + F.lit(int(ends > 0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("part") + F.coalesce("rare_part", F.lit(0.0)) + F.lit(float(np.log10(ends + 1))) - F.col("n_tokens") * F.lit(float(np.log10(tokens + distinct + 1)))).alias("base_score"),
-        "score")
+        (F.col("score") + F.coalesce("open_part", F.lit(0.0))).alias("score"))

@@ -199,6 +199,22 @@ def test_kept_contexts_bring_their_suffixes():
         assert set((tree.contexts[k] & np.uint64((1 << 8 * k) - 1)).tolist()) <= set(tree.contexts[k - 1].tolist())
 
 
+@pytest.mark.parametrize("share", [4e-6, 0.01, 1.0])
+def test_rare_contexts_decide_whatever_the_size_of_the_corpus(spark, share):
+    rng = np.random.default_rng(8)
+    common = [" ".join("".join(rng.choice(list("abcdefgh"), 4)) for _ in range(4000)) for _ in range(4)]
+    rows = [(i, common[i % 4]) for i in range(200)] + [(1000 + i, "so qzxjvkw came") for i in range(12)] + [(2000, "qzxjvk qzx zzz"), (2001, None)]
+    texts = [b" ".join(lm.words_of(t)) + b"\n" for i, t in rows if i < 2000]
+    assert sum(map(len, texts)) > 12 / 4e-6
+    grams = lm.grams_of(texts)[0]
+    tree = lm.grow_tree([tuple(np.unique(grams & np.uint64((1 << 8 * (k + 1)) - 1), return_counts=True)) for k in range(lm.DEPTH + 1)], min_count=10)
+    scored = lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), F.col("doc_id") < 2000, broadcast_share=share)
+    got = {r.doc_id: r.score for r in scored.where("doc_id >= 1000 OR doc_id < 4").collect()}
+    for i, t in rows[:4] + rows[200:]:
+        assert got[i] == pytest.approx(float(tree.score(lm.grams_of([b" ".join(lm.words_of(t)) + b"\n"])[0]).sum()) / np.log(10), rel=1e-9)
+    assert got[1000] > -3 * len("so qzxjvkw came") / 4
+
+
 # quality
 
 def test_quality_of_awkward_rows(docs, no_docs, spark):
