@@ -13,7 +13,7 @@ meet are then compared bit by bit.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -224,18 +224,24 @@ def simhash_dedup(docs: DataFrame) -> DataFrame:
     The smallest id of a group stays, once if its row is repeated.  Rows
     without an id stay only where their group has no id, once per text.
     """
-    groups = simhash_groups(docs)
+    return keep_first(docs, simhash_groups(docs), lambda text: int(np.uint64(fingerprint(text)).view(np.int64)))
+
+
+def keep_first(docs: DataFrame, groups: DataFrame, print_of: Callable[[str | None], int]) -> DataFrame:
+    """The first rows of ``groups`` (``doc_id, fp, component_id, group``); ``print_of`` gives the ``fp`` of a text."""
     kept = groups.where("doc_id = component_id").select("doc_id").distinct()
     first = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     lone = docs.where("doc_id IS NULL")
     free = groups.where("component_id IS NULL").select("fp", "group").distinct()
     named = lone.select("text").distinct()
-    named = named.mapInArrow(_text_prints, "text string, fp long").join(free, "fp").groupBy("group").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    named = named.mapInArrow(_text_prints(print_of), "text string, fp long").join(free, "fp").groupBy("group").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     rest = lone.withColumn("__t", F.coalesce("text", F.lit(""))).join(named.select(F.col("text").alias("__t")), "__t", "left_semi").dropDuplicates(["__t"]).drop("__t")
     return first.unionByName(rest.select(*first.columns))
 
 
-def _text_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in small_batches(batches):
-        prints = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("text"), pa.array(prints)], ["text", "fp"])
+def _text_prints(print_of: Callable[[str | None], int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            prints = pa.array([print_of(t) for t in batch.column("text").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("text"), prints], ["text", "fp"])
+    return run

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from palisade.llm import bpe, langid, lm, mixing, pii, quality, simhash
+from palisade.llm import bpe, langid, lm, mixing, near_text, pii, quality, simhash
 from palisade.llm.queries import QUERIES, default_vocabulary
 
 
@@ -88,6 +88,47 @@ def test_links_of_random_fingerprints(spark, block):
     assert got == want
 
 
+# near copies of the pipeline
+
+def edited(rng, words, share):
+    return [w if rng.random() > share else f"x{rng.integers(9999)}" for w in words]
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_stage_links_what_brute_force_jaccard_links(spark, docs, block):
+    rng = np.random.default_rng(6)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    for g in range(12):
+        words = [f"w{rng.integers(500)}" for _ in range(150)]
+        # copies edited more or less, so that buckets hold several components
+        rows += [(1000 + 100 * g + i, " ".join(edited(rng, words, (0.0, 0.01, 0.02, 0.05)[i % 4]))) for i in range(12)]
+    grams = []
+    for _, t in rows:
+        w = brute.words(t)
+        grams.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    links = [(i, j) for i in range(len(rows)) for j in range(i)
+             if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])]
+    of = brute.component_of(len(rows), links)
+    smallest = {}
+    for (doc_id, _), g in zip(rows, of):
+        if doc_id is not None:
+            smallest[g] = min(doc_id, smallest.get(g, doc_id))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.component_id) for r in near_text.text_groups(frame, block_rows=block).collect())
+    assert got == Counter((i, smallest.get(g)) for (i, _), g in zip(rows, of))
+
+
+def test_stage_drops_near_copies(spark, docs, no_docs):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:100], "other", *words[101:]])), (3, " ".join(words[::-1]))]
+    kept = corpus_pipeline.keep_one_of_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+    assert near_text.near_text_dedup(no_docs).count() == 0
+    assert near_text.near_text_dedup(docs).columns == docs.columns
+
+
 # personal data
 
 def test_base_spans_of_awkward_rows(docs, no_docs):
