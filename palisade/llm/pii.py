@@ -5,8 +5,9 @@ generators propose further, overlapping spans: long mixed tokens (``secret``)
 and runs of digits with separators (``number``).  Boosted trees judge those by
 their form and surroundings.  Nobody labels the candidates, so labels come from
 facts that are no features: a token after an assignment cue, a number that
-passes a base rule's check, against tokens of letters only and numbers that
-fail the checks.  Thresholds are calibrated on documents that the trees did not
+passes a base rule's check, against tokens without a cue and numbers that fail
+the checks.  Tokens inside base spans are never judged and don't count; secrets
+without a cue count against the precision, so it is a lower bound.  Thresholds are calibrated on documents that the trees did not
 see, per kind.  Redaction takes base spans and selected ones.
 """
 
@@ -31,9 +32,7 @@ _IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = r"[0-9](?:[\x20-]?[0-9]){15,}+"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: High-recall generators.
-_TOKEN = r"(?<![A-Za-z0-9_+/-]){0}[A-Za-z0-9][A-Za-z0-9_+/-]{{14,}}+"
-#: Tokens with a digit; and for the fit, which has to learn what plain words look like, all long ones.
-_SECRET, _ANY_TOKEN = _TOKEN.format("(?=[A-Za-z_+/-]*+[0-9])"), _TOKEN.format("")
+_SECRET = r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9][A-Za-z0-9_+/-]{14,}+"
 _NUMBER = r"(?<![0-9A-Za-z])[+(]?[0-9][0-9().\x20/-]{5,}[0-9](?![0-9A-Za-z])"
 _CUE = r"(?i)(?:passw(?:or)?d|pwd|token|secret|api[_-]?key|key)[\x20\"':=]{1,6}$"
 
@@ -149,16 +148,13 @@ def _weak_label(c: Column) -> Column:
     """1 or 0 where a fact outside the features tells, else null."""
     found, digits = c["found"], _digits(c["found"])
     cued = c["before"].rlike(_CUE)
-    secret = F.when(cued, 1).when(found.rlike("^[A-Za-z][a-z]*+$") | found.rlike("^[a-z]+(?:-[a-z]+)+$"), 0)
+    secret = cued.cast("int")
     number = F.coalesce(_check(found), F.when(found.startswith("+"), F.length(digits).between(8, 15).cast("int")).when(F.length(digits) > 19, 0))
     return F.when(c["kind"] == "secret", secret).otherwise(number)
 
 
-def candidates(docs: DataFrame, text: str = "text", plain_words: bool = False) -> DataFrame:
-    """Columns of ``docs`` with ``base`` (valid base spans) and ``proposed`` (spans of the generators, overlapping ones too).
-
-    ``plain_words`` proposes long tokens without a digit as well.
-    """
+def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Columns of ``docs`` with ``base`` (valid base spans) and ``proposed`` (spans of the generators, overlapping ones too)."""
     df = docs.withColumn("__t", F.coalesce(F.col(text), F.lit("")))
     df = df.withColumn("__digit", F.col("__t").rlike("[0-9]"))
     has_digit = F.col("__digit")
@@ -168,7 +164,7 @@ def candidates(docs: DataFrame, text: str = "text", plain_words: bool = False) -
     df = _with_spans(df, "__phone", "phone", _PHONE, has_digit & F.col("__t").contains("+"))
     for kind in KINDS:
         df = df.withColumn(f"__{kind}", F.filter(f"__{kind}", _checks(kind)))
-    df = _with_spans(df, "__secret", "secret", _ANY_TOKEN, F.lit(True)) if plain_words else _with_spans(df, "__secret", "secret", _SECRET, has_digit)
+    df = _with_spans(df, "__secret", "secret", _SECRET, F.lit(True))
     df = _with_spans(df, "__number", "number", _NUMBER, has_digit)
     df = df.withColumn("base", F.concat(*[F.col(f"__{k}") for k in KINDS]))
     # a number of a base kind is proposed as well: it is what the trees learn from
@@ -204,12 +200,9 @@ def fit_judges(marked: DataFrame, doc_id: str = "doc_id", precision: float = PRE
     the calibration.  A kind with one label only, or none that reaches the
     wanted precision, has no judge and adds nothing.
     """
-    def judged(c: Column) -> Column:
-        return F.struct(c["kind"].alias("kind"), _weak_label(c).cast("double").alias("label"), c.alias("c"))
-
-    labelled = F.filter(F.transform("__proposed", judged), lambda x: x["label"].isNotNull())
-    features = F.transform(labelled, lambda x: F.struct(x["kind"].alias("kind"), x["label"].alias("label"), _features(x["c"]).alias("f")))
-    rows = marked.select(F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False)).alias("held"), F.inline(features))
+    able = F.filter("__proposed", lambda c: (c["kind"] != "secret") | _outside(c, F.col("base")))
+    rows = marked.select(F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False)).alias("held"), F.explode(able).alias("c"))
+    rows = rows.select("held", "c.kind", _weak_label(F.col("c")).cast("double").alias("label"), _features(F.col("c")).alias("f")).where("label IS NOT NULL")
     patterns = cut(rows.groupBy("held", "kind", "label", "f").agg(F.count("*").cast("double").alias("n")).select(
         "held", "kind", "label", "n", "f.*"))
     if patterns.count() > MAX_PATTERNS:
@@ -236,13 +229,15 @@ def fit_judges(marked: DataFrame, doc_id: str = "doc_id", precision: float = PRE
 
 def select_spans(marked: DataFrame, judges: dict[str, Judge]) -> DataFrame:
     """Replace ``proposed`` by ``added``: proposals outside base spans whose score reaches their kind's threshold."""
-    def keep(c: Column) -> Column:
+    def keep(x: Column) -> Column:
         out = F.lit(False)
         for kind, judge in judges.items():
-            out = F.when(c["kind"] == kind, judge.score(_features(c)) >= judge.threshold).otherwise(out)
-        return out & _outside(c, F.col("base"))
+            out = F.when(x["c"]["kind"] == kind, judge.score(x["f"]) >= judge.threshold).otherwise(out)
+        return out
 
-    added = F.filter("__proposed", keep) if judges else F.array().cast(f"array<{SPAN}>")
+    able = F.filter("__proposed", lambda c: _outside(c, F.col("base")))
+    seen = F.transform(able, lambda c: F.struct(c.alias("c"), _features(c).alias("f")))
+    added = F.transform(F.filter(seen, keep), lambda x: x["c"]) if judges else F.array().cast(f"array<{SPAN}>")
     return marked.withColumn("added", added).drop("__proposed")
 
 
@@ -256,7 +251,7 @@ def find_pii(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", fit_do
     """
     sample = docs.select(doc_id).where(F.col(doc_id).isNotNull()).distinct().orderBy(F.xxhash64(doc_id), doc_id).limit(fit_docs)
     learnt = docs.select(doc_id, text).join(F.broadcast(sample), doc_id, "left_semi")
-    judges = fit_judges(candidates(learnt, text, plain_words=True), doc_id)
+    judges = fit_judges(candidates(learnt, text), doc_id)
     return select_spans(candidates(docs, text), judges)
 
 

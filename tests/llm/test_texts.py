@@ -162,6 +162,16 @@ def test_trees_select_secrets_and_leave_words(spark):
     assert next(r for r in found if r.doc_id == 1000).added[0].found == "c0ffee99c0ffee11c0ffee22c0ffee33"
 
 
+def test_secrets_of_letters_only_are_judged_against_what_is_judged(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(400):
+        secret = "".join(rng.choice(list("QWRTPSDFGHJKLZXCVBNMqwrtpsdfghjklzxcvbnm"), 24))
+        rows.append((i, f"so password: {secret} then {''.join(rng.choice(list('abcdefgh'), 18))} and 2024/{rng.integers(10, 99)}/11/report{i % 7}/part came"))
+    found = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all([s.found for s in r.added if s.kind == "secret"] == [r.text.split()[2]] for r in found)
+
+
 # language identification
 
 def test_languages_of_awkward_rows(docs, no_docs):
