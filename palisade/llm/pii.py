@@ -7,12 +7,13 @@ their form and surroundings.  Nobody labels the candidates, so labels come from
 facts that are no features: a token after an assignment cue, a number that
 passes a base rule's check, against tokens without a cue and numbers that fail
 the checks.  Tokens inside base spans are never judged and don't count; secrets
-without a cue count against the precision, so it is a lower bound.  Thresholds are calibrated on documents that the trees did not
-see, per kind.  Redaction takes base spans and selected ones.
+without a cue count against the precision, so it is a lower bound.  All documents count.  Thresholds are calibrated on documents
+that the trees did not see, per kind, or on all where those lack a label.  Redaction takes base spans and selected ones.
 """
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier
@@ -36,8 +37,6 @@ _SECRET = r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9][A-Za-z0-9_+/-]{14,}+"
 _NUMBER = r"(?<![0-9A-Za-z])[+(]?[0-9][0-9().\x20/-]{5,}[0-9](?![0-9A-Za-z])"
 _CUE = r"(?i)(?:passw(?:or)?d|pwd|token|secret|api[_-]?key|key)[\x20\"':=]{1,6}$"
 
-#: Documents that the trees are fitted and calibrated on at most: those with the smallest hashed ids.
-FIT_DOCS = 20_000
 #: Candidate patterns that the trees are fitted on at most: every feature has few values, so there are no more than this.
 MAX_PATTERNS = 200_000
 TREES, DEPTH = 12, 3
@@ -196,9 +195,11 @@ def fit_judges(marked: DataFrame, doc_id: str = "doc_id", precision: float = PRE
     """Fit and calibrate the trees of each kind on the labelled candidates of ``marked`` (from ``candidates``).
 
     Candidates with equal features and label are counted, not kept: the fit
-    reads one row per pattern.  A fifth of the documents, by hashed id, serves
-    the calibration.  A kind with one label only, or none that reaches the
-    wanted precision, has no judge and adds nothing.
+    reads one row per pattern, from all documents.  A fifth of them, by hashed
+    id, serves the calibration; a kind that has a label in one of the two parts
+    only is fitted and calibrated on both together.  A kind with one label
+    only, or none that reaches the wanted precision, has no judge and adds
+    nothing, which a warning tells.
     """
     able = F.filter("__proposed", lambda c: (c["kind"] != "secret") | _outside(c, F.col("base")))
     rows = marked.select(F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False)).alias("held"), F.explode(able).alias("c"))
@@ -210,13 +211,17 @@ def fit_judges(marked: DataFrame, doc_id: str = "doc_id", precision: float = PRE
     judges = {}
     for kind in ADDED:
         own = patterns.where(F.col("kind") == kind)
-        learn = own.where("NOT held").orderBy("label", *FEATURES).coalesce(1)
-        if learn.select("label").distinct().count() < 2:
+        parts = {(r["held"], r["label"]) for r in own.select("held", "label").distinct().collect()}
+        if len({label for _, label in parts}) < 2:
+            warnings.warn(f"no judge for {kind}: one label at most", stacklevel=2)
             continue
+        split = len(parts) == 4
+        learn = own.where("NOT held") if split else own
+        learn = learn.orderBy("label", *FEATURES).coalesce(1)
         fitted = GBTClassifier(featuresCol="x", weightCol="n", maxIter=TREES, maxDepth=DEPTH, maxBins=32, stepSize=0.3, seed=7).fit(
             VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(learn))
         judge = Judge(fitted, 2.0)
-        scored = own.where("held").withColumn("score", judge.score(F.struct(*FEATURES)))
+        scored = (own.where("held") if split else own).withColumn("score", judge.score(F.struct(*FEATURES)))
         along = Window.partitionBy("kind").orderBy(F.desc("score"))
         steps = scored.groupBy("kind", "score").agg(F.sum(F.col("n") * F.col("label")).alias("hits"), F.sum("n").alias("all")).select(
             "score", (F.sum("hits").over(along) / F.sum("all").over(along)).alias("share"))
@@ -224,6 +229,8 @@ def fit_judges(marked: DataFrame, doc_id: str = "doc_id", precision: float = PRE
         if lowest is not None:
             judge.threshold = lowest
             judges[kind] = judge
+        else:
+            warnings.warn(f"no judge for {kind}: no threshold reaches a precision of {precision}", stacklevel=2)
     return judges
 
 
@@ -241,17 +248,15 @@ def select_spans(marked: DataFrame, judges: dict[str, Judge]) -> DataFrame:
     return marked.withColumn("added", added).drop("__proposed")
 
 
-def find_pii(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", fit_docs: int = FIT_DOCS) -> DataFrame:
+def find_pii(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Columns of ``docs`` with ``base`` and ``added``: arrays of (kind, start, end, found, before, after).
 
     Positions count code points from 0, the end exclusive.  Base spans come by
     kind, then start; a null or empty text has none.  Columns of these names
     are replaced.  All rows are judged, one by one, so repeated rows and ties
-    don't matter; the trees are fitted on ``fit_docs`` documents at most.
+    don't matter; the trees are fitted on the patterns of all of them with an id.
     """
-    sample = docs.select(doc_id).where(F.col(doc_id).isNotNull()).distinct().orderBy(F.xxhash64(doc_id), doc_id).limit(fit_docs)
-    learnt = docs.select(doc_id, text).join(F.broadcast(sample), doc_id, "left_semi")
-    judges = fit_judges(candidates(learnt, text), doc_id)
+    judges = fit_judges(candidates(docs.select(doc_id, text).where(F.col(doc_id).isNotNull()), text), doc_id)
     return select_spans(candidates(docs, text), judges)
 
 

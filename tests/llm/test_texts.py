@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 import brute
 from palisade.llm import bpe, langid, lm, mixing, near_text, pii, quality, simhash
@@ -172,6 +172,14 @@ def test_secrets_of_letters_only_are_judged_against_what_is_judged(spark):
     assert all([s.found for s in r.added if s.kind == "secret"] == [r.text.split()[2]] for r in found)
 
 
+def test_few_secrets_in_many_documents_are_learnt(spark):
+    rows = spark.range(30_000).withColumnRenamed("id", "doc_id").withColumn("place", F.row_number().over(Window.orderBy(F.xxhash64("doc_id"))))
+    rows = rows.select("doc_id", F.when(F.col("place") > 29_990, F.concat(F.lit("token = "), F.sha1(F.col("doc_id").cast("string")))).when(
+        F.col("place") % 100 == 0, F.lit("a thernderinaninger came")).otherwise("some words").alias("text")).repartition(4)
+    added = pii.find_pii(rows).where(F.size("added") > 0).select("doc_id", "text", "added").collect()
+    assert len(added) == 10 and all([s.found for s in r.added] == [r.text.split()[2]] for r in added)
+
+
 # language identification
 
 def test_languages_of_awkward_rows(docs, no_docs):
