@@ -15,6 +15,7 @@ from palisade.llm.lm import held_out, score_texts
 from palisade.llm.mixing import mix_blocks, mixed_sizes
 from palisade.llm.pii import KINDS, find_pii, span_text
 from palisade.llm.quality import fit_quality, score_quality, training_rows as quality_rows
+from palisade.llm.repair import audit_conversations, damage
 from palisade.llm.simhash import simhash_groups
 from palisade.llm.urls import RULES, build_list, judge_urls, oracle_sql as url_sql, toxic_addresses
 
@@ -114,6 +115,11 @@ def op10(spark, sf_dir):
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+@query("op13_turn_repair")
+def op13(spark, sf_dir):
+    return audit_conversations(damage(table(spark, sf_dir, "conversations")), copies="copies")
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
