@@ -13,6 +13,7 @@ from palisade.llm.embed_dedup import near_vectors
 from palisade.llm.langid import fit_dictionaries, identify_language, training_rows
 from palisade.llm.lm import held_out, score_texts
 from palisade.llm.mixing import mix_blocks, mixed_sizes
+from palisade.llm.negatives import hard_negatives
 from palisade.llm.pii import KINDS, find_pii, span_text
 from palisade.llm.quality import fit_quality, score_quality, training_rows as quality_rows
 from palisade.llm.repair import audit_conversations, damage
@@ -115,6 +116,25 @@ def op10(spark, sf_dir):
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+_HARD = """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+     FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+   s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, list_inner_product(a.v, b.v)::BIGINT AS score
+     FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 50 = 0),
+   p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+     QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+   n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+       row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+     FROM p JOIN s ON p.anchor_id = s.anchor_id WHERE NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+   SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3"""
+
+
+@query("op11_hard_negatives", _HARD)
+def op11(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(
+        "vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
 @query("op13_turn_repair")
 def op13(spark, sf_dir):
     return audit_conversations(damage(table(spark, sf_dir, "conversations")), copies="copies")
