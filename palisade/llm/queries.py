@@ -19,6 +19,8 @@ from palisade.llm.quality import fit_quality, score_quality, training_rows as qu
 from palisade.llm.repair import audit_conversations, damage
 from palisade.llm.simhash import simhash_groups
 from palisade.llm.urls import RULES, build_list, judge_urls, oracle_sql as url_sql, toxic_addresses
+from palisade.llm.warc import read_archive, write_archive
+from palisade.session import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -135,6 +137,25 @@ def op11(spark, sf_dir):
     return hard_negatives(rows, F.col("vec_id") % 50 == 0)
 
 
+_WARC = """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+   g AS (SELECT html, max(page_id) AS last FROM p GROUP BY html),
+   d AS (SELECT page_id, strlen(p.html) AS payload_bytes, last, array_to_string(list_transform(string_split(sha1(p.html), ''),
+     lambda h: substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * strpos('0123456789abcdef', h) - 3, 4)), '') AS bits
+     FROM p JOIN g ON p.html = g.html)
+   SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+       1 + 16 * substr(bits, 5 * i + 1, 1)::INTEGER + 8 * substr(bits, 5 * i + 2, 1)::INTEGER + 4 * substr(bits, 5 * i + 3, 1)::INTEGER
+       + 2 * substr(bits, 5 * i + 4, 1)::INTEGER + substr(bits, 5 * i + 5, 1)::INTEGER, 1)), '') AS payload_digest,
+     CASE WHEN last IS NULL OR page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+     CASE WHEN last IS NULL OR page_id = last THEN NULL ELSE last END AS refers_to FROM d"""
+
+
+@query("op12_warc", _WARC)
+def op12(spark, sf_dir):
+    folder = scratch_folder(spark, "warc")
+    write_archive(table(spark, sf_dir, "pages"), folder)
+    return read_archive(spark, folder, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op13_turn_repair")
 def op13(spark, sf_dir):
     return audit_conversations(damage(table(spark, sf_dir, "conversations")), copies="copies")
