@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from palisade.llm.bpe import bpe_encode, share_vocabulary
 from palisade.llm.langid import fit_dictionaries, identify_language, training_rows
 from palisade.llm.mixing import mix_documents
-from palisade.llm.near_text import near_text_dedup
 from palisade.llm.pii import find_pii, redact
 from palisade.llm.queries import default_vocabulary
+from palisade.llm.simhash import simhash_dedup
 from palisade.llm.stages import run_stages
 
 
@@ -27,8 +27,8 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first document of every group linked by five-word shingles of Jaccard similarity 0.8 or more."""
-    return near_text_dedup(docs).select(*docs.columns)
+    """Keep the first document of every group of SimHash fingerprints (three words) linked at three or fewer differing bits."""
+    return simhash_dedup(docs).select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
