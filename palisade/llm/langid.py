@@ -19,9 +19,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palisade.llm.common import small_batches
 
-#: The sample: documents per language, characters of each, and bytes of a dictionary.
+#: The sample: documents per language, characters of each (in windows spread over its whole text), and bytes of a dictionary.
 SAMPLE_DOCS = 96
 SAMPLE_CHARS = 2_000
+SAMPLE_WINDOWS = 8
 DICTIONARY_BYTES = 64_000
 #: More labels than this are no languages.
 MAX_LANGUAGES = 200
@@ -41,26 +42,47 @@ def letters_of(text: str | None) -> bytes:
     return plain.encode("utf-8", "surrogatepass") if any(map(str.isalpha, plain)) else b""
 
 
+def _windows(text: str) -> Column:
+    """The whole text, or so many characters of a longer one in windows from its start to its end."""
+    size, n = SAMPLE_CHARS // SAMPLE_WINDOWS, F.length(text)
+    starts = [F.floor((n - size) * k / (SAMPLE_WINDOWS - 1)).cast("int") + 1 for k in range(SAMPLE_WINDOWS)]
+    return F.when(n <= SAMPLE_CHARS, F.array(F.col(text))).otherwise(F.array(*[F.substr(text, at, F.lit(size)) for at in starts]))
+
+
+def fill(documents: list[list[bytes]], room: int) -> bytes:
+    """Equal shares of all documents, taken evenly from their windows; what short ones leave goes to the others."""
+    sizes = sorted(sum(map(len, d)) for d in documents)
+    share, left = 0, room - sum(map(len, documents))  # a space behind every window
+    for k, size in enumerate(sizes):
+        share = max(0, left) // (len(sizes) - k)
+        if size > share:
+            break
+        share, left = size, left - size
+    return b"".join(w[:len(w) * share // max(1, share, sum(map(len, d)))] + b" " for d in documents for w in d)[:room]
+
+
 def fit_dictionaries(docs: DataFrame, lang: str = "lang", docs_per_language: int = SAMPLE_DOCS) -> dict[str, bytes]:
     """Dictionary content per language, the most common language first.
 
-    The sample holds the documents with the smallest hashed ids of each
-    language, so it depends on no order of rows; rows without a language or
-    text don't count.  The first pass reads ids and labels only.
+    The sample holds the ``docs_per_language`` distinct documents with the
+    smallest hashed ids of each language, so it depends on no order of rows,
+    and equal shares of each, spread over its whole text.  Rows without an id,
+    a language or a text don't count; of rows with equal ids and languages the
+    text that sorts first does.  The first pass reads ids and labels only.
     """
-    known = docs.where(F.col(lang).isNotNull() & F.col("text").isNotNull())
+    known = docs.where(F.col(lang).isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     sizes = known.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES + 1).collect()
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"{lang} has more than {MAX_LANGUAGES} values")
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    rank = known.select("doc_id", F.col(lang).alias("lang"), F.xxhash64("doc_id").alias("h")).withColumn("n", F.row_number().over(order))
-    picked = rank.where(F.col("n") <= docs_per_language).select("doc_id", "lang").distinct()
-    texts = known.select("doc_id", F.col(lang).alias("lang"), F.substring("text", 1, SAMPLE_CHARS).alias("t")).join(
-        F.broadcast(picked), ["doc_id", "lang"], "left_semi").dropDuplicates(["doc_id", "lang", "t"])
-    sample: dict[str, list[tuple[int, bytes]]] = {r["lang"]: [] for r in sizes}
-    for row in texts.limit(2 * docs_per_language * max(1, len(sizes))).collect():
-        sample[row["lang"]].append((row["doc_id"] or 0, letters_of(row["t"])))
-    return {k: b" ".join(t for _, t in sorted(v))[:DICTIONARY_BYTES] for k, v in sample.items()}
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = known.select("doc_id", F.col(lang).alias("lang")).distinct().withColumn("n", F.row_number().over(order))
+    picked = ids.where(F.col("n") <= docs_per_language).select("doc_id", "lang")
+    texts = known.select("doc_id", F.col(lang).alias("lang"), "text").join(F.broadcast(picked), ["doc_id", "lang"], "left_semi").select(
+        "doc_id", "lang", _windows("text").alias("t")).groupBy("doc_id", "lang").agg(F.min("t").alias("t"))
+    sample: dict[str, list[tuple]] = {r["lang"]: [] for r in sizes}
+    for row in texts.collect():  # a row per picked document
+        sample[row["lang"]].append((row["doc_id"], [letters_of(w) for w in row["t"]]))
+    return {k: fill([w for _, w in sorted(v)], DICTIONARY_BYTES) for k, v in sample.items()}
 
 
 def compressors(dictionaries: dict[str, bytes]) -> list[zstandard.ZstdCompressor]:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 import brute
-from palisade.llm import bpe, langid, lm, mixing, near_text, pii, quality, simhash
+from palisade.llm import bpe, langid, lm, mixing, pii, quality, simhash
 from palisade.llm.queries import QUERIES, default_vocabulary
 
 
@@ -90,43 +90,20 @@ def test_links_of_random_fingerprints(spark, block):
 
 # near copies of the pipeline
 
-def edited(rng, words, share):
-    return [w if rng.random() > share else f"x{rng.integers(9999)}" for w in words]
-
-
-@pytest.mark.parametrize("block", [1024, 3])
-def test_stage_links_what_brute_force_jaccard_links(spark, docs, block):
-    rng = np.random.default_rng(6)
-    rows = [(r.doc_id, r.text) for r in docs.collect()]
-    for g in range(12):
-        words = [f"w{rng.integers(500)}" for _ in range(150)]
-        # copies edited more or less, so that buckets hold several components
-        rows += [(1000 + 100 * g + i, " ".join(edited(rng, words, (0.0, 0.01, 0.02, 0.05)[i % 4]))) for i in range(12)]
-    grams = []
-    for _, t in rows:
-        w = brute.words(t)
-        grams.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
-    links = [(i, j) for i in range(len(rows)) for j in range(i)
-             if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])]
-    of = brute.component_of(len(rows), links)
-    smallest = {}
-    for (doc_id, _), g in zip(rows, of):
-        if doc_id is not None:
-            smallest[g] = min(doc_id, smallest.get(g, doc_id))
-    frame = spark.createDataFrame(rows, "doc_id long, text string")
-    got = Counter((r.doc_id, r.component_id) for r in near_text.text_groups(frame, block_rows=block).collect())
-    assert got == Counter((i, smallest.get(g)) for (i, _), g in zip(rows, of))
-
-
-def test_stage_drops_near_copies(spark, docs, no_docs):
+def test_stage_keeps_one_document_of_each_group(spark, docs, no_docs):
     import corpus_pipeline
 
-    words = [f"w{i}" for i in range(200)]
-    rows = [(1, " ".join(words)), (2, " ".join([*words[:100], "other", *words[101:]])), (3, " ".join(words[::-1]))]
-    kept = corpus_pipeline.keep_one_of_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
-    assert near_text.near_text_dedup(no_docs).count() == 0
-    assert near_text.near_text_dedup(docs).columns == docs.columns
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:100], "other", *words[101:]])), (3, " ".join(words[::-1])), (4, " ".join(words))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = {i: brute.fingerprint(t) for i, t in rows}
+    links = [(a - 1, b - 1) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 3]
+    of = brute.component_of(4, links)
+    kept = corpus_pipeline.keep_one_of_near_copies(spark, frame, "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted({of[i] + 1 for i in range(4)})
+    assert 4 not in {r.doc_id for r in kept} and 3 in {r.doc_id for r in kept}
+    assert corpus_pipeline.keep_one_of_near_copies(spark, no_docs, "").count() == 0
+    assert corpus_pipeline.keep_one_of_near_copies(spark, docs, "").columns == docs.columns
 
 
 # personal data
@@ -196,6 +173,53 @@ def test_languages_of_awkward_rows(docs, no_docs):
     assert {r.lang_pred for r in langid.identify_language(docs, langid.fit_dictionaries(no_docs)).collect()} == {"und"}
 
 
+def test_dictionaries_share_evenly_over_whole_texts(spark):
+    rows = [(i, "".join(chr(97 + k % 26) for k in range(50)) * 500 + f" end{'abcdefghij'[i]}", "xx") for i in range(10)] * 3
+    rows += [(10 + i, f"short {'abcdefghij'[i]}", "xx") for i in range(10)] + [(None, "nothing", "xx"), (50, "yy text", "yy"), (51, None, "yy")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = langid.fit_dictionaries(frame, docs_per_language=20)
+    assert list(known) == ["xx", "yy"] and known["yy"] == b"yy text "
+    assert len(known["xx"]) <= langid.DICTIONARY_BYTES and b"nothing" not in known["xx"]
+    for c in "abcdefghij":  # the ends of long texts and all short ones, once each
+        assert known["xx"].count(f"end{c} ".encode()) == 1 and known["xx"].count(f"short {c} ".encode()) == 1
+    assert known == langid.fit_dictionaries(frame.repartition(7), docs_per_language=20)
+
+
+def test_shares_fill_the_room():
+    assert langid.fill([[b"a" * 10], [b"b" * 4, b"c" * 4], [b"d"]], 100) == b"a" * 10 + b" bbbb cccc d "
+    full = langid.fill([[b"a" * 1000], [b"b" * 500, b"c" * 500], [b"d"]], 204)
+    assert 190 < len(full) <= 204 and full.count(b"d") == 1 and full.count(b"b") == full.count(b"c") and abs(full.count(b"a") - 2 * full.count(b"b")) <= 2
+    assert langid.fill([], 10) == b""
+
+
+def plain_sizes(text, coders):
+    """Bytes under each dictionary, with pieces found by a walk over the words."""
+    total, rest = [0] * len(coders), langid.letters_of(text)
+    while rest:
+        piece = rest
+        if len(rest) > langid.PIECE_BYTES:
+            spaces = [i for i in range(1, langid.PIECE_BYTES) if rest[i:i + 1] == b" "]
+            piece = rest[:spaces[-1] if spaces else langid.PIECE_BYTES]
+        total = [n + len(c.compress(langid.LEAD + piece + b" ")) for n, c in zip(total, coders)]
+        rest = rest[len(piece):]
+    return total
+
+
+def test_language_is_the_smallest_size(docs):
+    known = langid.fit_dictionaries(docs)
+    names, coders = list(known), langid.compressors(known)
+    named = langid.identify_language(docs.select("doc_id", "text"), known).collect()
+    for r in named:
+        sizes = plain_sizes(r.text, coders)
+        if not any(sizes):
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        best, second = sorted(sizes)[:2]
+        assert r.lang_pred == names[sizes.index(best)]
+        assert r.rejected == ((second - best) / best < langid.MIN_MARGIN)
+        assert abs(r.score - 1 / sum(2.0 ** -min(n - best, 1000) for n in sizes)) < 1e-12
+
+
 def test_whole_texts_count():
     coders = langid.compressors({"en": b"the cat of the house and the dog " * 50, "de": b"die katze und der hund sind mit dem vogel " * 50})
     mixed = b"the cat of the house and the dog " * 40 + b"die katze und der hund sind mit dem vogel " * 4000
