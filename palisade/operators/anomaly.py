@@ -302,9 +302,9 @@ def exact_quantile(
 
 
 def fit_fp_thresholds(samples: DataFrame, size: int = len(FEATURES)) -> DataFrame:
-    """Mean + 2 sigma of every feature over samples known to be harmless."""
-    parts = _per_feature(samples.where("label = false"), size, mean=F.avg, sigma=F.stddev_pop)
-    return parts.select("feature", (F.col("mean") + 2 * F.col("sigma")).alias("threshold"))
+    """Mean + 2 sigma of every feature over samples known to be harmless; a feature that never changes there has its value."""
+    parts = _per_feature(samples.where("label = false"), size, mean=F.avg, sigma=F.stddev_pop, lo=F.min, hi=F.max)
+    return parts.select("feature", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("mean") + 2 * F.col("sigma")).alias("threshold"))
 
 
 def fit_baseline(samples: DataFrame, size: int = len(FEATURES)) -> DataFrame:
@@ -466,9 +466,16 @@ def train_model(samples: DataFrame, min_samples: int = MIN_SAMPLES) -> Model:
         has_whitelist=not whitelist_patterns(samples.where("label = false")).isEmpty(), samples=count)
 
 
+MARGIN = 1e-9
+
+
 def score_fp(thresholds: list[float | None], has_whitelist: bool) -> Column:
-    """How harmless ``features`` look: the share within their thresholds."""
-    known = [f"cast({_term(i)} <= ({float(t)!r}D) as int)" for i, t in enumerate(thresholds) if t is not None]
+    """How harmless ``features`` look: the share within their thresholds.
+
+    A threshold is a sum of floats, whose last digits depend on the order of
+    rows; values beyond it by less than ``MARGIN`` of it count as within.
+    """
+    known = [f"cast({_term(i)} <= ({float(t) + MARGIN * abs(float(t))!r}D) as int)" for i, t in enumerate(thresholds) if t is not None]
     share = _sum_of(known) / float(len(known)) if known else F.lit(0.5)
     return F.least(share * 0.7 + (0.3 if has_whitelist else 0.0) * 0.3, F.lit(1.0))
 

@@ -201,7 +201,7 @@ def feature_stats(spark, sf):
     return out.select(big("feature").alias("feature"), *_rounded(["mean", "std_dev", "min", "max", "p95"]))
 
 
-_THR = _per_dim("label = false", {"threshold": "avg(x) + 2 * stddev_pop(x)"})
+_THR = _per_dim("label = false", {"threshold": "CASE WHEN min(x) = max(x) THEN min(x) ELSE avg(x) + 2 * stddev_pop(x) END"})
 
 
 @query("fit_fp_thresholds", f"WITH {_SAMPLES} SELECT feature, round(threshold, 6) AS threshold FROM {_THR}")
@@ -275,13 +275,13 @@ _NAMES = [*M.FEATURES, *[f"f{i}" for i in range(len(M.FEATURES), _SIZE)]]
 
 def _model_sql(size, names):
     """A model fitted on ``smp`` and its scores for all of ``smp``."""
-    thr = _per_dim("label = false", {"threshold": "avg(x) + 2 * stddev_pop(x)"}, size)
+    thr = _per_dim("label = false", {"threshold": "CASE WHEN min(x) = max(x) THEN min(x) ELSE avg(x) + 2 * stddev_pop(x) END"}, size)
     base = _per_dim("label IS NULL OR label = false", {"baseline": "avg(x)"}, size)
     stats = _per_dim("true", {"mean": "avg(x)", "sigma": "stddev_pop(x)"}, size)
     z = "CASE WHEN sd[i + 1] = 0 THEN 0.0 ELSE (f[i + 1] - mu[i + 1]) / sd[i + 1] END"
     return f"""{_lloyd(size)}, thr AS (SELECT list(threshold ORDER BY feature) AS t FROM {thr}), bas AS (SELECT list(baseline ORDER BY feature) AS b FROM {base}),
  st AS (SELECT list(mean ORDER BY feature) AS mu, list(sigma ORDER BY feature) AS sd FROM {stats}),
- sc0 AS (SELECT id, f, (len(list_filter(list_zip(f, t), lambda z: z[1] <= z[2])) / {size}.0::DOUBLE) * 0.7::DOUBLE + 0.3::DOUBLE * 0.3::DOUBLE AS fp, dt,
+ sc0 AS (SELECT id, f, (len(list_filter(list_zip(f, t), lambda z: z[1] <= z[2] + 1e-9::DOUBLE * abs(z[2]))) / {size}.0::DOUBLE) * 0.7::DOUBLE + 0.3::DOUBLE * 0.3::DOUBLE AS fp, dt,
    list_min(list_transform(cs, lambda c: sqrt(list_sum(list_transform(list_zip(f, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))))) AS d,
    list_sum(list_transform(list_zip(f, b), lambda z: abs((z[1] - z[2]) / (z[2] + 1)))) / {size} AS away, mu, sd FROM smp, thr, bas, cen, far, st),
  sc1 AS (SELECT *, least(least(d / dt, 2.0) * 0.6::DOUBLE + away * 0.4::DOUBLE, 1.0) AS a FROM sc0),

@@ -22,7 +22,3 @@ def spark():
 @pytest.fixture(scope="session")
 def sf():
     return SMALL
-
-
-def texts(spark, values):
-    return spark.createDataFrame(list(enumerate(values)), "id long, t string")

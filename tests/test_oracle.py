@@ -22,6 +22,15 @@ def test_query(spark, con, sf, name):
     assert rows >= 0
 
 
+@pytest.mark.parametrize("name", ["train_model", "detect_all_anomaly"])
+def test_fitted_models_on_more_rows(spark, name):
+    """Thresholds of features that hardly change must not hang on the order of a sum."""
+    larger = "/root/testdata/sf0.01"
+    problem, rows = compare(spark, oracle_connection(larger), name, QUERIES[name], ORACLES[name], larger)
+    release_shared()
+    assert not problem and rows
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 10
 

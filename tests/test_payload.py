@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import texts
+from frames import texts
 from palisade.functions import decode as dc, text as tx
 from palisade.operators import payload as V
 

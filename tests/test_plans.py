@@ -275,3 +275,17 @@ def test_sequential_usernames(spark):
     df = spark.createDataFrame([("a", n) for n in names] + [("b", "10"), ("b", "11"), ("b", "110"), ("b", "12")], "source_ip string, username string")
     got = {r.source_ip: r.patterns for r in B.username_patterns(df).collect()}
     assert got == {"a": ["common_username_admin", "sequential_numeric_usernames"], "b": []}
+
+
+def test_a_constant_feature_has_its_value_as_threshold(spark):
+    """ln(101) added up 8,000 times and divided is not ln(101) any more; the threshold has to be."""
+    from palisade.operators import anomaly as M
+
+    value = 4.61512051684126
+    rows = spark.range(8000).select(F.array(F.lit(value), F.rand(3)).alias("features"), F.lit(False).alias("label"))
+    found = {(n, r.feature): r.threshold for n in (1, 3, 7) for r in M.fit_fp_thresholds(rows.repartition(n), 2).collect()}
+    assert {found[n, 0] for n in (1, 3, 7)} == {value}
+    mean = [found[n, 1] for n in (1, 3, 7)]
+    assert max(mean) - min(mean) < 1e-12
+    scored = spark.createDataFrame([([mean[0] + 1e-13, value],), ([mean[0] * 1.001, value],)], "features array<double>")
+    assert [r[0] for r in scored.select(M.score_fp([mean[0], value], False)).collect()] == [0.7, 0.35]
