@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from palisade.functions.address import address_bits, network_bits
 from palisade.operators.reports import country_of
 from palisade.plans.running import previous_rows, running, shared
 from palisade.plans.sizing import pattern_join, substring_join
@@ -108,20 +109,25 @@ def rule_match(events: DataFrame, rules: DataFrame, text: str = "raw_message") -
 # --- dimensions -------------------------------------------------------------
 
 def geo_enrich(events: DataFrame, geo: DataFrame) -> DataFrame:
-    """Country columns by the longest matching address prefix.
+    """The columns of ``geo`` by the longest network that holds the event's address.
 
-    Prefixes end after an octet, so each of the three lengths is an equi-join,
-    whatever the size of the dimension.
+    ``prefix`` is ``a.b.`` (whole octets), a network ``a.b.c.d/n`` or ``x::/n``
+    of any length, or an address (``range_networks`` makes networks of a
+    range); rows whose prefix can't be read hold nothing.  Networks may be
+    nested; of rows with the same network one counts, the first as JSON.
+
+    Every distinct address is looked up once: one equi-join with a key per
+    length of prefix that occurs, 162 at most, and the longest match wins.
     """
-    out = events
     fields = [c for c in geo.columns if c != "prefix"]
-    for octets in (3, 2, 1):
-        side = geo.where(F.size(F.split("prefix", r"\.")) == octets + 1).select(
-            F.col("prefix").alias("_p"), F.struct(*fields).alias(f"_g{octets}"))
-        prefix = F.concat(F.substring_index("source_ip", ".", octets), F.lit("."))
-        out = out.join(side, prefix == F.col("_p"), "left").drop("_p")
-    best = F.coalesce("_g3", "_g2", "_g1")
-    out = out.withColumn("_g", best).drop("_g1", "_g2", "_g3")
+    networks = geo.select(network_bits(F.col("prefix")).alias("_k"), F.struct(*fields).alias("_g")).where("_k IS NOT NULL")
+    networks = networks.groupBy("_k").agg(F.min_by("_g", F.to_json("_g")).alias("_g"))
+    lengths = sorted(r[0] for r in networks.select(F.length("_k")).distinct().collect())
+    addresses = events.select("source_ip").where(F.col("source_ip").isNotNull()).distinct().withColumn("_b", address_bits(F.col("source_ip")))
+    fitting = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("_b"))
+    keyed = addresses.select("source_ip", F.explode(F.transform(fitting, lambda n: F.substring(F.col("_b"), F.lit(1), n))).alias("_k"))
+    found = keyed.join(networks, "_k").groupBy(F.col("source_ip").alias("_ip")).agg(F.max_by("_g", F.length("_k")).alias("_g"))
+    out = events.join(found, F.col("source_ip") == F.col("_ip"), "left").drop("_ip")
     unknown = {"country": "Unknown", "code": "XX", "name": "Unknown"}
     return out.select("*", *[
         F.coalesce(F.col(f"_g.{f}"), F.lit(unknown[f])).alias(f) if f in unknown else F.col(f"_g.{f}").alias(f)

@@ -98,6 +98,39 @@ def geo_enrich(spark, sf):
     return N.geo_enrich(fx.events(spark, sf), D.geo(spark)).select("id", "country", "code", "lat")
 
 
+#: Nested networks of lengths that end inside an octet, and of IPv6.
+_NETWORKS = [("45.0.0.0/8", "A"), ("45.16.0.0/12", "B"), ("45.24.0.0/13", "C"), ("45.28.16.0/22", "D"), ("45.28.18.128/25", "E"), ("46.128.0.0/9", "F"),
+             ("46.200.77.0/28", "G"), ("46.129.64.0/18", "H"), ("47.", "I"), ("2001:db8::/32", "J"), ("2001:db8:3::/48", "K"), ("2001:db8:3::9", "L")]
+
+
+def _number(octets):
+    return sum(o << 24 - 8 * i for i, o in enumerate(octets))
+
+
+def _v4_ranges():
+    for network, name in _NETWORKS:
+        if ":" not in network:
+            address, _, length = network.partition("/")
+            octets = [int(o) for o in address.split(".") if o]
+            size = int(length or 8 * len(octets))
+            yield f"({_number(octets)}, {_number(octets) + (1 << 32 - size) - 1}, {size}, '{name}')"
+
+
+@query("geo_networks", f"""WITH a AS (SELECT event_id, user_id, 45 + user_id % 3 AS o1, event_id * 7 % 256 AS o2, event_id * 13 % 256 AS o3, event_id % 256 AS o4 FROM events),
+   n(lo, hi, size, name) AS (VALUES {", ".join(_v4_ranges())}),
+   m AS (SELECT event_id, max_by(name, size) AS name FROM a JOIN n ON ((o1 * 256 + o2) * 256 + o3) * 256 + o4 BETWEEN lo AND hi WHERE event_id % 5 <> 0 GROUP BY event_id)
+   SELECT a.event_id AS id, CASE WHEN a.event_id % 5 = 0 THEN CASE WHEN a.event_id // 5 % 5 <> 3 THEN 'J' WHEN a.user_id % 16 = 9 THEN 'L' ELSE 'K' END ELSE coalesce(m.name, 'Unknown') END AS country
+   FROM a LEFT JOIN m ON m.event_id = a.event_id""")
+def geo_networks(spark, sf):
+    """Addresses made of the events' numbers, looked up in nested networks of any length."""
+    i, u = F.col("event_id"), F.col("user_id")
+    v4 = F.concat_ws(".", *[c.cast("string") for c in (45 + u % 3, i * 7 % 256, i * 13 % 256, i % 256)])
+    v6 = F.concat(F.lit("2001:DB8:"), F.floor(i / 5).cast("long") % 5, F.lit("::"), F.lower(F.hex(u % 16)))
+    rows = fx.table(spark, sf, "events").select(i.alias("id"), F.when(i % 5 == 0, v6).otherwise(v4).alias("source_ip"))
+    places = spark.createDataFrame(_NETWORKS, "prefix string, country string")
+    return N.geo_enrich(rows, places).select("id", "country")
+
+
 _INTEL = "(VALUES " + ", ".join(f"({q(c)}, {q(k)}, {q(r)}, {q('|'.join(a))}, {q('|'.join(g))})" for c, k, r, a, g in D.THREAT_INTEL) + ") t(country, country_code, risk_assessment, attack_types, actor_groups)"
 
 
