@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from palisade.plans import oracle as O
 from palisade.plans.oracle import ev
-from palisade.plans.q_alerts import _dedup_sql, _folder
-from palisade.plans.q_bruteforce import ATT, IP, USER
+from palisade.plans.q_alerts import _ENGINE, _dedup_sql, _folder
+from palisade.plans.q_bruteforce import ATT, IP, SERVICE, USER
 from palisade.plans.q_parse import _flat
 from palisade.plans.q_payload import SQLI, XSS
-from palisade.plans.registry import big, query, secs
+from palisade.plans.registry import big, query, r6, secs
 from palisade.plans.running import shared
 from palisade.sources import fixtures as fx, store as W
 from palisade.streaming import jobs as S
@@ -90,6 +90,23 @@ def stream_users(spark, sf):
     return spark.read.parquet(out)
 
 
+@query("stream_services", ev("SELECT id, service, CAST(service_total AS BIGINT) AS service_total, service_ips, service_users, CAST(service_peak AS BIGINT) AS service_peak FROM sh", f"{ATT}, {SERVICE}"))
+def stream_services(spark, sf):
+    out, mark = _folder(spark, "services"), _folder(spark, "mark")
+    _in_slices(spark, fx.events(spark, sf), "services", lambda live: S.stream_services(live, out, mark))
+    return spark.read.parquet(out)
+
+
+@query("stream_detect_all", ev("SELECT id, sqli, xss, brute, sqli OR xss OR brute AS has_threats, round(risk, 6) AS risk_score FROM risk", _ENGINE))
+def stream_detect_all(spark, sf):
+    """Live detection with the histories of addresses, services and users: what ``detect_all`` finds in the whole table."""
+    found, raised, mark = _folder(spark, "detections"), _folder(spark, "alerts"), _folder(spark, "mark")
+    _in_slices(spark, fx.events(spark, sf), "detect", lambda live: S.stream_detect(live, found, raised, mark, brute_force=True))
+    return spark.read.parquet(found).select(
+        "id", F.col("sqli.detected").alias("sqli"), F.col("xss.detected").alias("xss"),
+        F.coalesce("brute_force.detected", F.lit(False)).alias("brute"), "has_threats", r6("risk_score").alias("risk_score"))
+
+
 @query("stream_dedup", _dedup_sql(300))
 def stream_dedup(spark, sf):
     out, mark = _folder(spark, "kept"), _folder(spark, "mark")

@@ -12,10 +12,15 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from palisade.functions.dimensions import DEDUP_MINUTES
 from palisade.operators.alerts import dedup_key
-from palisade.operators.bruteforce import WINDOW_SECONDS, attempts
+from palisade.operators.anomaly import Model, detect_anomaly
+from palisade.operators.bruteforce import MAX_PER_IP
 from palisade.operators.engine import detect_payloads, generate_alerts, with_risk
 from palisade.operators.parse import parse_logs
 from palisade.sources.store import write_events
+from palisade.streaming.histories import (
+    AddressHistory, ServiceHistory, UserHistory, followed, live_attempts, live_bruteforce)
+
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_lines(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -48,127 +53,89 @@ def _per_batch(write: Callable[[DataFrame, str], None], folder: str):
     return sink
 
 
-def stream_detect(events: DataFrame, detections_out: str, alerts_out: str, checkpoint: str, min_risk: float | None = None) -> None:
-    """Payload detection on live events; writes detections and alerts."""
+def stream_detect(
+    events: DataFrame, detections_out: str, alerts_out: str, checkpoint: str, min_risk: float | None = None, *,
+    brute_force: bool = False, model: str | None = None, vectors: Callable[[DataFrame], DataFrame] | None = None,
+) -> None:
+    """Detection on live events; writes detections and alerts.
+
+    The payload detectors see one event at a time.  With ``brute_force`` every
+    attempt passes the live histories of its address, service and user.  With
+    ``model`` (a stored ``Model``, read again for every batch, so that a newly
+    fitted one counts from the next batch on) the vectors that ``vectors``
+    makes of a batch (``id, features``) are scored too.  The risk is that of
+    ``detect_all``.
+    """
+    found = detect_payloads(events)
+    blank = {"brute_force": "struct<detected:boolean,confidence:double,risk_level:string>", "anomaly": "struct<detected:boolean,score:double>"}
+    kept = ["source", "severity", "event_type", "sqli", "xss"]
+    if brute_force:
+        events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+        # the verdicts travel beside the attempt as one text, which nothing on the way looks into
+        held = found.select(F.struct(*kept, *(["raw_message", "parsed"] if vectors else [])).alias("held")).schema["held"].dataType
+        names = [f.name for f in held]
+        scored = live_bruteforce(live_attempts(found, held=F.to_json(F.struct(*names))))
+        found = scored.select("id", "ts", "source_ip", "brute_force", F.from_json("held", held).alias("held")).select(
+            "id", "ts", "source_ip", "brute_force", "held.*")
+    else:
+        found = found.withColumn("brute_force", F.lit(None).cast(blank["brute_force"]))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        blank = {
-            "brute_force": F.lit(None).cast("struct<detected:boolean,confidence:double,risk_level:string>"),
-            "anomaly": F.lit(None).cast("struct<detected:boolean,score:double>")}
-        found = with_risk(detect_payloads(batch).withColumns(blank)).persist()
+        rows = batch.persist()
         try:
-            found.select("id", "ts", "event_type", "severity", "has_threats", "risk_score", "sqli", "xss").write.mode(
+            scored = rows.withColumn("anomaly", F.lit(None).cast(blank["anomaly"]))
+            if model is not None and vectors is not None:
+                fitted = Model.load(rows.sparkSession.read.parquet(model))
+                odd = detect_anomaly(vectors(rows), fitted).select("id", F.struct(
+                    F.col("is_anomaly").alias("detected"), F.col("anomaly_score").alias("score")).alias("anomaly"))
+                scored = rows.join(odd, "id", "left")
+            scored = with_risk(scored)
+            scored.select("id", "ts", "event_type", "severity", "has_threats", "risk_score", "sqli", "xss", "brute_force", "anomaly").write.mode(
                 "overwrite").parquet(os.path.join(detections_out, f"batch={batch_id}"))
-            generate_alerts(found, min_risk).write.mode("overwrite").parquet(os.path.join(alerts_out, f"batch={batch_id}"))
+            generate_alerts(scored, min_risk).write.mode("overwrite").parquet(os.path.join(alerts_out, f"batch={batch_id}"))
         finally:
-            found.unpersist()
+            rows.unpersist()
 
-    run(events.writeStream.foreachBatch(sink), checkpoint)
+    run(found.writeStream.foreachBatch(sink), checkpoint)
 
 
 # --- keyed histories --------------------------------------------------------
 
-_HISTORY = T.StructType([
-    T.StructField("id", T.LongType()), T.StructField("source_ip", T.StringType()), T.StructField("ip_total", T.LongType()),
-    T.StructField("ip_failed", T.LongType()), T.StructField("ip_services", T.LongType()), T.StructField("ip_agents", T.LongType()),
-    T.StructField("ip_users", T.LongType()), T.StructField("blocked", T.BooleanType())])
-_HISTORY_STATE = T.StructType([
-    T.StructField("total", T.LongType()), T.StructField("failed", T.LongType()),
-    T.StructField("services", T.ArrayType(T.StringType())), T.StructField("agents", T.ArrayType(T.StringType())),
-    T.StructField("users", T.ArrayType(T.StringType())), T.StructField("user_us", T.ArrayType(T.LongType()))])
-
-
-def _distinct_so_far(values: pd.Series, known: set[str]) -> tuple[np.ndarray, set[str]]:
-    """How many different values a key has had up to each row; missing ones don't count."""
-    new = values.notna() & ~values.duplicated() & ~values.isin(known)
-    return len(known) + new.to_numpy().cumsum(), known | set(values[new])
-
-
-def _distinct_within(values: pd.Series, us: np.ndarray, seen: dict[str, int], span: int) -> tuple[np.ndarray, dict[str, int]]:
-    """How many different values occurred in the ``span`` up to each row, and when those still inside were last seen.
-
-    A value is present from a row on that finds it absent until ``span`` after
-    the last row before its next absence, so a count is starts less ends.
-    """
-    there = values.notna().to_numpy()
-    name = np.concatenate([np.array(list(seen), object), values.to_numpy(object)[there]])
-    time = np.concatenate([np.array(list(seen.values()), np.int64), us[there]])
-    code = pd.factorize(name)[0]
-    order = np.lexsort((time, code))
-    code, time, name = code[order], time[order], name[order]
-    gap = np.ones(len(code) + 1, bool)
-    gap[1:-1] = (code[1:] != code[:-1]) | (time[1:] - time[:-1] > span)
-    ends = np.sort(time[gap[1:]])
-    own = np.zeros(len(order), bool)
-    own[order] = gap[:-1]
-    here = np.zeros(len(us), bool)
-    here[there] = own[len(seen):]
-    present = int(own[:len(seen)].sum()) + here.cumsum() - np.searchsorted(ends, us - span, "left")
-    last = pd.Series(time, index=name).groupby(level=0).max() if len(name) else pd.Series(dtype="int64")
-    edge = int(us[-1]) - span
-    return present, {k: int(t) for k, t in last.items() if t >= edge}
-
-
-def _follow_address(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Advance one address's history.  Totals never expire; users leave after 15 minutes."""
-    total, failed, services, agents, users = 0, 0, set(), set(), {}
-    if state.exists:
-        total, failed, known_services, known_agents, names, seen = state.get
-        services, agents, users = set(known_services), set(known_agents), dict(zip(names, seen))
-    rows = pd.concat(list(parts)).sort_values(["us", "id"], ignore_index=True)
-    totals = total + np.arange(1, len(rows) + 1)
-    fails = failed + (~rows["success"].astype(bool)).to_numpy().cumsum()
-    n_services, services = _distinct_so_far(rows["service"], services)
-    n_agents, agents = _distinct_so_far(rows["user_agent"], agents)
-    n_users, users = _distinct_within(rows["username"], rows["us"].to_numpy(), users, WINDOW_SECONDS * 1_000_000)
-    state.update((int(totals[-1]), int(fails[-1]), sorted(services), sorted(agents), list(users), list(users.values())))
-    yield pd.DataFrame({
-        "id": rows["id"], "source_ip": key[0], "ip_total": totals, "ip_failed": fails, "ip_services": n_services,
-        "ip_agents": n_agents, "ip_users": n_users, "blocked": fails >= 10})
-
-
 def bruteforce_history(events: DataFrame) -> DataFrame:
     """Each live attempt with its address's history, as ``ip_history`` has it."""
-    tries = attempts(events).withColumn("us", F.unix_micros("ts"))
-    return tries.groupBy("source_ip").applyInPandasWithState(
-        _follow_address, _HISTORY, _HISTORY_STATE, "append", GroupStateTimeout.NoTimeout)
+    tries = live_attempts(events).where(F.col("source_ip").isNotNull())
+    return followed(tries, "source_ip", AddressHistory).select(
+        "id", "source_ip", "ip_total", "ip_failed", "ip_services", "ip_agents", "ip_users", (F.col("ip_failed") >= MAX_PER_IP).alias("blocked"))
 
 
-_USER_HISTORY = T.StructType([
-    T.StructField("id", T.LongType()), T.StructField("username", T.StringType()), T.StructField("user_total", T.LongType()),
-    T.StructField("user_failed", T.LongType()), T.StructField("user_ips", T.LongType()), T.StructField("user_compromised", T.BooleanType())])
-_USER_STATE = T.StructType([
-    T.StructField("total", T.LongType()), T.StructField("failed", T.LongType()), T.StructField("ips", T.ArrayType(T.StringType())),
-    T.StructField("compromised", T.BooleanType())])
+def user_history(events: DataFrame) -> DataFrame:
+    """Each live attempt that names a user with the user's history, as in the batch."""
+    tries = live_attempts(events).where(F.col("username").isNotNull())
+    return followed(tries, "username", UserHistory).select("id", "username", "user_total", "user_failed", "user_ips", "user_compromised")
 
 
-def _follow_user(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Advance one user's history: a success after a failure marks the account for good."""
-    total, failed, ips, compromised = (state.get[0], state.get[1], set(state.get[2]), state.get[3]) if state.exists else (0, 0, set(), False)
-    rows = pd.concat(list(parts)).sort_values(["us", "id"], ignore_index=True)
-    ok = rows["success"].astype(bool).to_numpy()
-    fails = failed + (~ok).cumsum()
-    n_ips, ips = _distinct_so_far(rows["source_ip"], ips)
-    marked = np.logical_or.accumulate(ok & (fails > 0)) | compromised
-    state.update((total + len(rows), int(fails[-1]), sorted(ips), bool(marked[-1])))
-    yield pd.DataFrame({
-        "id": rows["id"], "username": key[0], "user_total": total + np.arange(1, len(rows) + 1), "user_failed": fails,
-        "user_ips": n_ips, "user_compromised": marked})
+def service_history(events: DataFrame) -> DataFrame:
+    """Each live attempt with its service's history, as in the batch."""
+    tries = live_attempts(events).where(F.col("source_ip").isNotNull())
+    return followed(tries, "service", ServiceHistory).select("id", "service", "service_total", "service_ips", "service_users", "service_peak")
 
 
-def user_history(events: DataFrame) -> DataFrame:
-    """Each live attempt that names a user with the user's history, as in the batch."""
-    tries = attempts(events).where(F.col("username").isNotNull()).withColumn("us", F.unix_micros("ts"))
-    return tries.groupBy("username").applyInPandasWithState(
-        _follow_user, _USER_HISTORY, _USER_STATE, "append", GroupStateTimeout.NoTimeout)
+def _store(rows: DataFrame, out: str, checkpoint: str) -> None:
+    """Append live rows to a folder; maps and lists as state need the state store that has them."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    run(rows.writeStream.format("parquet").option("path", out).outputMode("append"), checkpoint)
 
 
 def stream_bruteforce(events: DataFrame, out: str, checkpoint: str) -> None:
-    run(bruteforce_history(events).writeStream.format("parquet").option("path", out).outputMode("append"), checkpoint)
+    _store(bruteforce_history(events), out, checkpoint)
 
 
 def stream_users(events: DataFrame, out: str, checkpoint: str) -> None:
-    run(user_history(events).writeStream.format("parquet").option("path", out).outputMode("append"), checkpoint)
+    _store(user_history(events), out, checkpoint)
+
+
+def stream_services(events: DataFrame, out: str, checkpoint: str) -> None:
+    _store(service_history(events), out, checkpoint)
 
 
 _KEPT = T.StructType([T.StructField("id", T.LongType()), T.StructField("key", T.StringType()), T.StructField("us", T.LongType())])
