@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from palisade.functions.address import address_bits, network_bits
 from palisade.operators.reports import country_of
+from palisade.operators.similar import references
 from palisade.plans.running import previous_rows, running, shared
 from palisade.plans.sizing import pattern_join, substring_join
 from palisade.session import truncate_lineage
@@ -265,14 +266,10 @@ def similar_events(vectors: DataFrame, samples: DataFrame, *, newest: int | None
     event_type and label (true: it was an anomaly), which come back with each
     neighbour.  All samples are compared unless ``newest`` asks for a few; they
     and the vectors meet block by block, a product of two matrices per group,
-    and only the best of a block leave it.
+    and only the best of a block leave it.  ``similar_indexed`` finds nearly all
+    of them without comparing everything.
     """
-    have = {"ts": "timestamp", "source_ip": "string", "event_type": "string", "label": "boolean"}
-    known = {c: F.col(c) if c in samples.columns else F.lit(None).cast(t) for c, t in have.items()}
-    refs = samples.select("id", "features", known["ts"].alias("ts"), known["source_ip"].alias("source_ip"),
-                          known["event_type"].alias("event_type"), F.coalesce(known["label"], F.lit(False)).alias("was_anomaly"))
-    if newest is not None:
-        refs = refs.orderBy(F.desc("ts"), F.desc("id")).limit(newest)
+    refs = references(samples, newest)
     refs = truncate_lineage(refs)
     mine = truncate_lineage(vectors.select("id", "features"))
     rows, columns = (max(1, -(-t.count() // BLOCK_VECTORS)) for t in (mine, refs))

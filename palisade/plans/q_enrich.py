@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palisade.functions import dimensions as D, rules as R
-from palisade.operators import enrich as N, hunt as H
+from palisade.operators import enrich as N, hunt as H, similar
 from palisade.operators.engine import detect_payloads
 from palisade.plans import oracle as O
 from palisade.plans.oracle import NOW, al, ev, q, qlist
@@ -221,6 +221,19 @@ def similar_events_loose(spark, sf):
     return _similar(spark, sf, 0.1)
 
 
+@query("similar_indexed", """WITH s AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+   v AS (SELECT vec_id AS id, e AS f FROM s UNION ALL SELECT vec_id + 1000000, list_transform(e, lambda x, i: CASE WHEN i % 4 = vec_id % 4 THEN x * 0.5 ELSE x END) FROM s),
+   c AS (SELECT a.id, list_cosine_similarity(a.f, s.e) AS sim, s.vec_id AS sid FROM v a, s WHERE a.id <> s.vec_id),
+   k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, sid) AS n FROM c WHERE sim > 0.9)
+   SELECT id, sid AS similar_id, round(sim, 6) AS similarity FROM k WHERE n <= 5""")
+def similar_indexed(spark, sf):
+    """Every vector and a copy of it with a quarter of its components halved, among the vectors, through the index."""
+    vecs = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("features"))
+    halved = vecs.select((F.col("id") + 1000000).alias("id"), F.transform("features", lambda x, i: F.when((i + 1) % 4 == F.col("id") % 4, x * 0.5).otherwise(x)).alias("features"))
+    out = similar.similar_indexed(vecs.unionByName(halved), vecs, least=0.9, miss=1e-6).select("id", F.explode("similar").alias("s"))
+    return out.select("id", F.col("s.id").alias("similar_id"), r6("s.similarity").alias("similarity"))
+
+
 @query("whitelist_filter", ev("SELECT id, source_ip IN (SELECT source_ip FROM wl) AS whitelisted FROM ev", "wl AS (SELECT DISTINCT source_ip FROM ev WHERE id % 50 = 0 AND (starts_with(source_ip, '192.168.') OR starts_with(source_ip, '10.')))"))
 def whitelist_filter(spark, sf):
     from palisade.operators.anomaly import whitelist_patterns
