@@ -8,8 +8,12 @@ from palisade.operators import query as Q
 from palisade.plans import oracle as O
 from palisade.plans.oracle import NOW, al, ev
 from palisade.plans.registry import query, secs
-from palisade.sources import fixtures as fx
+from palisade.schema import EVENTS
+from palisade.session import scratch_folder
+from palisade.sources import fixtures as fx, store as W
 from palisade.sources.fixtures import AS_OF
+from palisade.sources.search_index import index_events, search_indexed as trigram_search
+from palisade.sources.upkeep import compact_days
 
 
 def _brief(df: DataFrame) -> DataFrame:
@@ -54,6 +58,22 @@ def search_events(spark, sf):
     return _brief(Q.search_events(fx.events(spark, sf), "PassWD", "Critical"))
 
 
+@query("search_indexed", ev(_BRIEF + "WHERE contains(lower(raw_message), 'passwd') OR contains(lower(source), 'passwd') OR contains(lower(event_type), 'passwd')"))
+def search_indexed(spark, sf):
+    """The same search over stored events by their trigrams."""
+    store, index = scratch_folder(spark, "searched"), scratch_folder(spark, "trigrams")
+    W.write_events(fx.events(spark, sf), store)
+    index_events(W.read_events(spark, store), index)
+    return _brief(trigram_search(spark, store, index, "PassWD"))
+
+
+@query("event_by_id_stored", ev(_BRIEF + "WHERE id = 777"))
+def event_by_id_stored(spark, sf):
+    store = scratch_folder(spark, "by-id")
+    W.write_events(fx.events(spark, sf), store)
+    return _brief(Q.event_by_id(W.read_events(spark, store), 777))
+
+
 @query("search_documents", "SELECT doc_id AS id, source FROM documents WHERE contains(lower(text), 'data') OR contains(lower(source), 'data')")
 def search_documents(spark, sf):
     docs = fx.table(spark, sf, "documents").select(
@@ -105,6 +125,24 @@ def retain_alerts(spark, sf):
     return _alert(Q.retain_alerts(fx.alerts(spark, sf), fx.acks(spark, sf), 10, AS_OF))
 
 
+@query("retain_events_stored", ev(_BRIEF + f"WHERE ts >= {NOW} - INTERVAL 7 DAY"))
+def retain_events_stored(spark, sf):
+    """What a store holds once the retention has been applied to it and its small files are gathered."""
+    path = scratch_folder(spark, "retained")
+    W.write_events(fx.events(spark, sf), path)
+    W.retain_stored_events(spark, path, 7, AS_OF)
+    compact_days(spark, path, EVENTS)
+    return _brief(W.read_events(spark, path))
+
+
+@query("retain_alerts_stored", al(_ALERT + f"WHERE id NOT IN (SELECT alert_id FROM acks WHERE ts < {NOW} - INTERVAL 10 DAY)"))
+def retain_alerts_stored(spark, sf):
+    path = scratch_folder(spark, "retained-alerts")
+    W.write_alerts(fx.alerts(spark, sf), path)
+    W.retain_stored_alerts(spark, path, fx.acks(spark, sf), 10, AS_OF)
+    return _alert(W.read_alerts(spark, path))
+
+
 @query("retain_capacity", f"""WITH {O._EV}, {O.ALERT_CTES}
    SELECT 'event' AS kind, id FROM (SELECT id FROM ev ORDER BY ts DESC, id DESC LIMIT 5000)
    UNION ALL SELECT 'alert', id FROM (SELECT id FROM alerts ORDER BY (id IN (SELECT alert_id FROM acks)), ts DESC, id DESC LIMIT 1600)""")

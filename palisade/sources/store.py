@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from palisade.operators.parse import detect_format
+from palisade.operators.query import ago, at, retain_alerts
 from palisade.schema import ALERTS, EVENT_TYPES, EVENTS, PARSED, SEVERITIES, severity_rank
+from palisade.session import truncate_lineage
+from palisade.sources.upkeep import replace_days, retain_stored
 
 
 def scan_log_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -34,9 +37,15 @@ def file_format_vote(spark: SparkSession, path: str, sample: int = 10) -> DataFr
     return files.join(best, "file", "left").select("file", F.coalesce("format", F.lit("Unknown")).alias("format"))
 
 
-def write_events(events: DataFrame, path: str) -> None:
-    """Append events, one folder per day."""
-    events.select(*EVENTS.names).write.mode("append").partitionBy("event_date").parquet(path)
+def write_events(events: DataFrame, path: str, row_group_bytes: int = 32 << 20) -> None:
+    """Append events, one folder per day, in order of id within a file.
+
+    Row groups have a Bloom filter of their ids, so a lookup by id reads the
+    few that may have it, whatever ids look like.
+    """
+    rows = events.select(*EVENTS.names).sortWithinPartitions("event_date", "id")
+    rows.write.mode("append").partitionBy("event_date").option("parquet.bloom.filter.enabled#id", "true").option(
+        "parquet.bloom.filter.adaptive.enabled", "true").option("parquet.block.size", row_group_bytes).parquet(path)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -82,7 +91,27 @@ def migrate_store(source: DataFrame, target_path: str, existing: DataFrame | Non
     missing.select(*source.columns).write.mode("append").partitionBy("event_date").parquet(target_path)
 
 
-def drop_days_before(spark: SparkSession, path: str, day: str) -> DataFrame:
-    """What stays of stored events when whole days before ``day`` go; the
-    predicate prunes folders, so dropped days are not read."""
-    return read_events(spark, path).where(F.col("event_date") >= F.lit(day).cast("date"))
+def drop_days_before(spark: SparkSession, path: str, day: str) -> int:
+    """Remove whole days of stored events before ``day``; returns how many."""
+    days = [r[0] for r in read_events(spark, path).where(F.col("event_date") < F.lit(day).cast("date")).select(
+        F.date_format("event_date", "yyyy-MM-dd")).distinct().collect()]
+    if days:
+        replace_days(spark, path, None, days)
+    return len(days)
+
+
+def retain_stored_events(spark: SparkSession, path: str, days: int, as_of=None) -> int:
+    """Make a store hold what ``retain_events`` returns of it; returns how many days changed."""
+    limit = ago(at(as_of, read_events(spark, path)), days=days)
+    return retain_stored(spark, path, EVENTS, F.col("ts") >= limit)
+
+
+def retain_stored_alerts(spark: SparkSession, path: str, acks: DataFrame, days: int, as_of=None) -> int:
+    """Make a store hold what ``retain_alerts`` returns of it; returns how many days changed."""
+    alerts = read_alerts(spark, path)
+    gone = truncate_lineage(alerts.select("id", "event_date").join(retain_alerts(alerts, acks, days, as_of).select("id"), "id", "left_anti"))
+    changed = [str(r[0]) for r in gone.select("event_date").distinct().collect()]
+    if changed:
+        rest = alerts.where(F.col("event_date").cast("string").isin(changed)).join(gone.select("id"), "id", "left_anti").select(*ALERTS.names)
+        replace_days(spark, path, rest, changed)
+    return len(changed)
