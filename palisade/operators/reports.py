@@ -66,8 +66,14 @@ def events_by_type(events: DataFrame) -> DataFrame:
     return counts.select("event_type", F.element_at(names, F.col("event_type")).alias("label"), "events", share.alias("percentage"))
 
 
-def threat_trends(events: DataFrame, range_name: str = "24h", as_of=None) -> DataFrame:
-    """Attacks per bucket from ``as_of - range``; empty buckets count zero."""
+def _count(n: Column, condition: Column | None = None) -> Column:
+    """How many events: rows stand for ``n`` of them each."""
+    return F.coalesce(F.sum(n if condition is None else F.when(condition, n)), F.lit(0)).cast("long")
+
+
+def threat_trends(events: DataFrame, range_name: str = "24h", as_of=None, n: Column | None = None) -> DataFrame:
+    """Attacks per bucket from ``as_of - range``; empty buckets count zero.  A row is ``n`` events, else one."""
+    n = F.lit(1) if n is None else n
     hours = RANGE_HOURS.get(range_name, 24)
     width = 1 if hours <= 24 else hours // 24
     now = at(as_of, events)
@@ -77,11 +83,11 @@ def threat_trends(events: DataFrame, range_name: str = "24h", as_of=None) -> Dat
     bucket = F.floor((F.unix_micros("ts") - F.unix_micros(start)) / span).cast("long")
     kinds = {"sql_injection": "SqlInjection", "xss": "XssAttempt", "brute_force": "BruteForce", "anomaly": "Anomaly"}
     counts = inside.groupBy(bucket.alias("bucket")).agg(
-        *[F.count_if(F.col("event_type") == t).alias(n) for n, t in kinds.items()])
+        *[_count(n, F.col("event_type") == t).alias(name) for name, t in kinds.items()])
     buckets = events.sparkSession.range(hours // width).withColumnRenamed("id", "bucket")
     return buckets.join(counts, "bucket", "left").select(
         "bucket", F.timestamp_micros(F.unix_micros(start) + F.col("bucket") * span).alias("starts_at"),
-        *[F.coalesce(n, F.lit(0)).alias(n) for n in kinds],
+        *[F.coalesce(name, F.lit(0)).alias(name) for name in kinds],
     )
 
 
@@ -117,11 +123,12 @@ def geo_heatmap(events: DataFrame) -> DataFrame:
     )
 
 
-def hourly_timeline(events: DataFrame) -> DataFrame:
-    """24 rows; a peak hour has more than half the busiest hour's events."""
+def hourly_timeline(events: DataFrame, n: Column | None = None) -> DataFrame:
+    """24 rows; a peak hour has more than half the busiest hour's events.  A row is ``n`` events, else one."""
+    n = F.lit(1) if n is None else n
     counts = events.groupBy(F.hour("ts").cast("long").alias("hour")).agg(
-        F.count("*").alias("total_events"), F.count_if(F.col("severity") == "Critical").alias("critical_events"),
-        F.count_if(F.col("event_type") == "Anomaly").alias("ml_detected"))
+        _count(n).alias("total_events"), _count(n, F.col("severity") == "Critical").alias("critical_events"),
+        _count(n, F.col("event_type") == "Anomaly").alias("ml_detected"))
     hours = events.sparkSession.range(24).withColumnRenamed("id", "hour")
     full = hours.join(counts, "hour", "left").na.fill(0)
     peak = F.col("total_events") > F.floor(F.max("total_events").over(Window.partitionBy()) / 2)

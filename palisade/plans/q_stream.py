@@ -12,10 +12,12 @@ from palisade.plans.q_alerts import _ENGINE, _dedup_sql, _folder
 from palisade.plans.q_bruteforce import ATT, IP, SERVICE, USER
 from palisade.plans.q_parse import _flat
 from palisade.plans.q_payload import SQLI, XSS
-from palisade.plans.registry import big, query, r6, secs
+from palisade.plans import q_reports  # noqa: F401  its oracles are used again here
+from palisade.plans.registry import ORACLES, big, query, r6, secs
 from palisade.plans.running import shared
 from palisade.sources import fixtures as fx, store as W
-from palisade.streaming import jobs as S
+from palisade.sources.fixtures import AS_OF
+from palisade.streaming import jobs as S, rollups as R
 
 #: Time slices that arrive one after the other.
 SLICES = 3
@@ -121,6 +123,35 @@ def stream_rates(spark, sf):
     return S.latest_rates(spark, out).select(secs("starts_at").alias("starts_s"), "event_type", "n")
 
 
+def _rollup(spark, sf, name):
+    """Cells kept by a stream over three runs; the last third of the day comes late, after the rest of all days."""
+    out, mark, source, store = (_folder(spark, f"{name}-{part}") for part in ("cells", "mark", "in", "store"))
+    W.write_events(fx.events(spark, sf), store)
+    events = W.read_events(spark, store)
+    for late in (False, True):
+        events.where((F.hour("ts") >= 16) == late).write.mode("append").parquet(source)
+        R.stream_rollup(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(source), out, mark, fold_every=3)
+    return R.Rollup(R.rollup_table(spark, out).read(), events)
+
+
+@query("dashboard_rollup", ORACLES["dashboard_stats"])
+def dashboard_rollup(spark, sf):
+    """The dashboard's figures from the cells that a stream keeps."""
+    stats = _rollup(spark, sf, "dashboard").dashboard_stats(fx.alerts(spark, sf), fx.acks(spark, sf), AS_OF)
+    return stats.withColumns({"events_per_second": r6("events_per_second"), "threat_score": r6("threat_score")})
+
+
+@query("trends_rollup", ORACLES["threat_trends"])
+def trends_rollup(spark, sf):
+    out = _rollup(spark, sf, "trends").threat_trends("30d", AS_OF)
+    return out.withColumn("starts_s", secs("starts_at")).drop("starts_at")
+
+
+@query("timeline_rollup", ORACLES["hourly_timeline"])
+def timeline_rollup(spark, sf):
+    return _rollup(spark, sf, "timeline").hourly_timeline()
+
+
 def _idle_sql(i):
     """Keys that are idle for a day, and 15 minutes for late rows, at the end of slice ``i``."""
     seen = f"(SELECT * FROM events WHERE epoch_us(ts) < {_cut_sql(i)})" if i < SLICES else "events"

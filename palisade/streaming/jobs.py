@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from palisade.functions.dimensions import DEDUP_MINUTES
@@ -19,6 +20,7 @@ from palisade.operators.parse import parse_logs
 from palisade.sources.store import write_events
 from palisade.streaming.histories import (
     AddressHistory, ServiceHistory, UserHistory, followed, live_attempts, live_bruteforce)
+from palisade.streaming.tables import BatchTable
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -33,9 +35,11 @@ def read_lines(spark: SparkSession, path: str, files_per_trigger: int | None = N
         F.col("_metadata.file_modification_time").alias("ingest_ts"))
 
 
-def run(writer, checkpoint: str) -> None:
+def run(writer, checkpoint: str) -> StreamingQuery:
     """Process everything available now and stop."""
-    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
 
 
 def stream_parse(lines: DataFrame, out: str, checkpoint: str) -> None:
@@ -44,15 +48,6 @@ def stream_parse(lines: DataFrame, out: str, checkpoint: str) -> None:
     run(events.writeStream.format("parquet").option("path", out).partitionBy("event_date").outputMode("append"), checkpoint)
 
 
-def _per_batch(write: Callable[[DataFrame, str], None], folder: str):
-    """A sink that rewrites its own batch folder, so a retried batch leaves one copy."""
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        write(batch, os.path.join(folder, f"batch={batch_id}"))
-
-    return sink
-
-
 def stream_detect(
     events: DataFrame, detections_out: str, alerts_out: str, checkpoint: str, min_risk: float | None = None, *,
     brute_force: bool = False, model: str | None = None, vectors: Callable[[DataFrame], DataFrame] | None = None,
@@ -178,15 +173,26 @@ def rates(events: DataFrame, width: str = "1 hour", slide: str | None = None, la
         F.col("w.start").alias("starts_at"), "event_type", "n")
 
 
-def stream_rates(events: DataFrame, out: str, checkpoint: str, **windows) -> None:
-    """Every change of a window's count, per batch; see ``latest_rates``."""
-    sink = _per_batch(lambda batch, path: batch.write.mode("overwrite").parquet(path), out)
-    run(rates(events, **windows).writeStream.outputMode("update").foreachBatch(sink), checkpoint)
+def _rates_table(spark: SparkSession, out: str, fold_every: int = 20) -> BatchTable:
+    return BatchTable(spark, out, lambda rows: rows.groupBy("starts_at", "event_type").agg(F.max_by("n", "batch").alias("n")), fold_every)
+
+
+def stream_rates(events: DataFrame, out: str, checkpoint: str, fold_every: int = 20, **windows) -> int:
+    """Keep the last count of every window (see ``latest_rates``); returns how many rows came too late for theirs.
+
+    A batch writes the windows it changes; folded, the table has a row per
+    window, however many batches there were.
+    """
+    spark = events.sparkSession
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", 10_000)
+    table = _rates_table(spark, out, fold_every)
+    query = run(rates(events, **windows).writeStream.outputMode("update").foreachBatch(table.add), checkpoint)
+    return sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
 
 
 def latest_rates(spark: SparkSession, out: str) -> DataFrame:
     """The last count written for each window."""
-    return spark.read.parquet(out).groupBy("starts_at", "event_type").agg(F.max_by("n", "batch").alias("n"))
+    return _rates_table(spark, out).read()
 
 
 # --- retention --------------------------------------------------------------
