@@ -103,6 +103,25 @@ def is_private_ip(ip: Column) -> Column:
     return ip.rlike(pattern)
 
 
+def grams(text: Column, size: Column) -> Column:
+    """All pieces of ``size`` characters, with repeats; none of a shorter or missing text.
+
+    Cutting at a place walks there from the start, so long texts are cut into
+    short ones first, which overlap by what a piece needs.
+    """
+    step = 64
+
+    def pieces(part: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(part) - size + 1), lambda i: F.substring(part, i, size))
+
+    def parts(whole: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.length(whole) - size) / step).cast("int"))
+        return F.flatten(F.transform(starts, lambda k: let(F.substring(whole, k * step + 1, size + (step - 1)), pieces)))
+
+    short = F.length(text) < step
+    return F.when(F.length(text) >= size, F.when(short, pieces(text)).otherwise(parts(text))).otherwise(F.array().cast("array<string>"))
+
+
 def payload_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 

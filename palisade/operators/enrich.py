@@ -84,6 +84,7 @@ def ioc_match(events: DataFrame, indicators: DataFrame) -> DataFrame:
 
     Addresses meet by equality, names and URLs by substring.
     """
+    events = shared(events.select("id", "source_ip", "raw_message"))  # read once per kind of indicator
     ip = indicators.where("ioc_type = 'IpAddress'").select(F.col("value").alias("_value"))
     by_ip = events.select("id", "source_ip").join(ip, F.col("source_ip") == F.col("_value")).select("id", "_value")
     text = indicators.where("ioc_type IN ('Domain', 'Url')").select(F.col("value").alias("_value"))

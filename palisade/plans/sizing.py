@@ -4,24 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import ahocorasick
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from palisade.functions.text import grams
+from palisade.session import truncate_lineage
+
 #: Bytes of words that travel with the tasks at a time, and rules in one projection.
 CHUNK_BYTES = 16_000_000
 CHUNK_RULES = 64
 
 
-def _chunks(df: DataFrame, value: str, room: int, size: Column) -> Iterator[list]:
-    """The distinct, non-null values of ``value`` in lists whose ``size`` adds up to about ``room``.
+def _numbered(df: DataFrame, value: str, room: int, size: Column) -> DataFrame:
+    """The distinct, non-null values of ``value`` as ``v``, with chunks whose ``size`` adds up to about ``room``.
 
-    One list at a time is on the driver.  The numbering sorts the list itself,
-    never the texts.
+    The numbering sorts the list itself, never the texts.
     """
     values = df.select(F.col(value).alias("v")).where("v IS NOT NULL").distinct()
     so_far = F.sum(size).over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1))
-    numbered = values.withColumn("chunk", F.floor(F.coalesce(so_far, F.lit(0)) / room).cast("long")).persist()
+    return values.withColumn("chunk", F.floor(F.coalesce(so_far, F.lit(0)) / room).cast("long"))
+
+
+def _chunks(df: DataFrame, value: str, room: int, size: Column) -> Iterator[list]:
+    """The values of one chunk after the other; one list at a time is on the driver."""
+    numbered = _numbered(df, value, room, size).persist()
     try:
         for row in numbered.select("chunk").distinct().orderBy("chunk").toLocalIterator():
             yield [r["v"] for r in numbered.where(F.col("chunk") == row["chunk"]).select("v").collect()]
@@ -29,31 +34,34 @@ def _chunks(df: DataFrame, value: str, room: int, size: Column) -> Iterator[list
         numbered.unpersist()
 
 
-def _finder(words: list[str]):
-    automaton = ahocorasick.Automaton()
-    for w in words:
-        automaton.add_word(w, w)
-    automaton.make_automaton()
-
-    @F.pandas_udf("array<string>")
-    def found(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: sorted({w for _, w in automaton.iter(t)}) if t else [])
+def _anchored(words: DataFrame) -> DataFrame:
+    """(chunk, v, size, gram): one piece of every word, the one that the fewest words share, by which texts are searched.
 
-    return found
+    Pieces have 8 characters, of shorter words 4, and of words below that all.
+    """
+    n = F.length("v")
+    pieces = words.select("chunk", "v", F.when(n >= 8, 8).when(n >= 4, 4).otherwise(n).alias("size"))
+    pieces = pieces.select("chunk", "v", "size", F.explode(F.array_distinct(grams(F.col("v"), F.col("size")))).alias("gram"))
+    shared = pieces.groupBy("size", "gram").agg(F.count("*").alias("words"))
+    return pieces.join(shared, ["size", "gram"]).groupBy("chunk", "v", "size").agg(F.min_by("gram", F.struct("words", "gram")).alias("gram"))
 
 
 def substring_join(df: DataFrame, text: str, words: DataFrame, word: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Rows whose ``text`` contains a word, once per word, with ``word`` added.
 
-    All words of a chunk are looked for in one pass over the texts, by an
-    automaton that travels with the tasks; a longer list takes more passes.  No
-    text is shuffled and no pair is made that doesn't match.  Empty and null
+    Every word is looked for by one piece of it: a text's pieces of that size
+    meet those of a broadcast chunk of the words by equality, and what meets is
+    confirmed.  All of it is one generated loop over the texts per chunk; no
+    text is shuffled or copied for a piece that meets nothing.  Empty and null
     words match nothing.
     """
+    wanted = _numbered(words.where(F.length(word) > 0), word, chunk_bytes, F.octet_length("v"))
+    anchors = truncate_lineage(_anchored(wanted))
     out = None
-    wanted = words.where(F.length(word) > 0)
-    for chunk in _chunks(wanted, word, chunk_bytes, F.octet_length("v")):
-        hit = df.withColumn(word, F.explode(_finder(chunk)(F.col(text))))
+    for row in anchors.select("chunk", "size").distinct().orderBy("chunk", "size").collect():
+        few = anchors.where((F.col("chunk") == row["chunk"]) & (F.col("size") == row["size"])).select(F.col("gram").alias("_gram"), F.col("v").alias(word))
+        each = df.withColumn("_gram", F.explode(F.array_distinct(grams(F.col(text), F.lit(row["size"])))))
+        hit = each.join(F.broadcast(few), "_gram").where(F.contains(F.col(text), F.col(word))).drop("_gram")
         out = hit if out is None else out.unionByName(hit)
     return out if out is not None else df.withColumn(word, F.lit(None).cast("string")).where(F.lit(False))
 

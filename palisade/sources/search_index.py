@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from palisade.functions.text import let
+from palisade.functions.text import grams
 from palisade.operators.query import search_events
 from palisade.sources.store import read_events
 
@@ -22,10 +22,7 @@ POSTINGS = "gram string, id long, event_date date"
 
 def trigrams(text: Column) -> Column:
     """The distinct three-character pieces of a text."""
-    def pieces(chars: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(chars) - 3), lambda i: F.concat(F.get(chars, i), F.get(chars, i + 1), F.get(chars, i + 2)))
-
-    return F.when(F.length(text) >= 3, F.array_distinct(let(F.split(text, ""), pieces))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(grams(text, F.lit(3)))
 
 
 def index_events(events: DataFrame, path: str) -> None:

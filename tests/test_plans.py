@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from palisade.operators import alerts as A, anomaly as M, bruteforce as B
 from palisade.operators.enrich import geo_enrich, ioc_match, related_events
+from palisade.functions.text import grams
 from palisade.plans.running import Sliding, previous_rows, running, sliding
 from palisade.plans.sizing import pattern_join, substring_join
 
@@ -289,3 +290,22 @@ def test_a_constant_feature_has_its_value_as_threshold(spark):
     assert max(mean) - min(mean) < 1e-12
     scored = spark.createDataFrame([([mean[0] + 1e-13, value],), ([mean[0] * 1.001, value],)], "features array<double>")
     assert [r[0] for r in scored.select(M.score_fp([mean[0], value], False)).collect()] == [0.7, 0.35]
+
+
+def test_grams(spark):
+    texts = ["abcab", "ab", "", None, "é😀ü+x", "0123456789" * 130, "x" * 63, "y" * 64, "z" * 65, "ab" * 300]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for size in (1, 3, 8):
+        got = {r.t: r.g for r in rows.select("t", grams(F.col("t"), F.lit(size)).alias("g")).collect()}
+        assert got == {t: [t[i:i + size] for i in range(len(t) - size + 1)] if t else [] for t in texts}
+
+
+def test_twenty_thousand_words_without_python(spark):
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice("abcd") for _ in range(rng.choice([1, 2, 3, 5, 7, 8, 9, 15]))) for _ in range(400)} | {f"https://evil.example/{i}" for i in range(20_000)})
+    texts = ["".join(rng.choice("abcde") for _ in range(rng.choice([0, 3, 40, 900]))) + f" https://evil.example/{i * 37} " for i in range(60)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    out = substring_join(df, "t", spark.createDataFrame([(w,) for w in words * 2] + [(None,), ("",)], "w string"), "w", chunk_bytes=200_000)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "InArrow" not in plan and "BroadcastHashJoin" in plan
+    assert sorted((r.id, r.w) for r in out.collect()) == sorted((i, w) for i, t in enumerate(texts) if t for w in words if w in t)
