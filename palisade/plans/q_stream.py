@@ -166,3 +166,12 @@ def stream_retention(spark, sf):
     _in_slices(spark, rows, "retention", lambda live: S.stream_retention(live, "user_id", out, mark))
     idle = spark.read.schema("key string, us long").parquet(out)
     return idle.select("key", F.floor(F.col("us") / 1_000_000).cast("long").alias("last_s"))
+
+
+@query("stream_cleanup", ev(f"SELECT id, {O.secs('ts')} AS ts_s FROM ev WHERE CAST(ts AS DATE) >= (SELECT CAST(max(ts) AS DATE) FROM ev) - 7"))
+def stream_cleanup(spark, sf):
+    """What is left of a store once a stream over the same events has removed the days that grew too old."""
+    store, mark = _folder(spark, "store"), _folder(spark, "mark")
+    W.write_events(fx.events(spark, sf), store)
+    _in_slices(spark, W.read_events(spark, store).select("id", "ts"), "cleanup", lambda live: S.stream_cleanup(live, store, mark, 7))
+    return W.read_events(spark, store).select("id", secs("ts").alias("ts_s"))

@@ -17,7 +17,7 @@ from palisade.operators.anomaly import Model, detect_anomaly
 from palisade.operators.bruteforce import MAX_PER_IP
 from palisade.operators.engine import detect_payloads, generate_alerts, with_risk
 from palisade.operators.parse import parse_logs
-from palisade.sources.store import write_events
+from palisade.sources.store import drop_days_before
 from palisade.streaming.histories import (
     AddressHistory, ServiceHistory, UserHistory, followed, live_attempts, live_bruteforce)
 from palisade.streaming.tables import BatchTable
@@ -221,3 +221,17 @@ def idle_keys(rows: DataFrame, key: str) -> DataFrame:
 
 def stream_retention(rows: DataFrame, key: str, out: str, checkpoint: str) -> None:
     run(idle_keys(rows, key).writeStream.format("parquet").option("path", out).outputMode("append"), checkpoint)
+
+
+def stream_cleanup(events: DataFrame, store: str, checkpoint: str, days: int) -> None:
+    """Remove the days of a store that are over ``days`` before the newest live event's.
+
+    The clock is the events' own, so a stream that stands still removes
+    nothing, and a repeated or late batch nothing that has not gone already.
+    """
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        limit = batch.agg(F.date_format(F.date_sub(F.to_date(F.max("ts")), days), "yyyy-MM-dd")).first()[0]
+        if limit is not None:
+            drop_days_before(batch.sparkSession, store, limit)
+
+    run(events.select("ts").writeStream.foreachBatch(sink), checkpoint)

@@ -146,3 +146,17 @@ def test_indexed_search_equals_reading_everything(spark, sf, tmp_path):
     rare = X.search_indexed(spark, store, index, message[20:45])
     filters = rare._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1]
     assert rare.count() and "event_date" in filters.split("]")[0] and "(id," in filters.split("PushedFilters: [")[1]
+
+
+def test_a_stream_removes_days_that_grew_too_old(spark, tmp_path):
+    from palisade.streaming import jobs as S
+
+    path, source, mark = (str(tmp_path / n) for n in ("t", "in", "mark"))
+    rows = start(spark, path)  # 1 to 4 January
+    left = []
+    for moment in ("2024-01-05 10:00:00", "2024-01-01 00:00:00", "2024-01-06 23:59:59", "2024-02-01 00:00:00"):
+        spark.createDataFrame([(moment,)], "m string").select(F.to_timestamp("m").alias("ts")).write.mode("append").parquet(source)
+        S.stream_cleanup(spark.readStream.schema("ts timestamp").parquet(source), path, mark, 2)
+        left.append({r[2] for r in content(spark, path)})
+    assert left[0] == left[1] == {"2024-01-03", "2024-01-04"} and left[2] == {"2024-01-04"} and left[3] == set()
+    assert rows
