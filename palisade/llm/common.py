@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.session import truncate_lineage
+from palisade.session import scratch_folder, truncate_lineage
 
 #: Rows that a grouped task gathers before it works on them.
 CHUNK_ROWS = 100_000
@@ -23,6 +23,13 @@ def cut(df: DataFrame) -> DataFrame:
     return truncate_lineage(df)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage with a compressed table in the folder all executors share; later readers take the columns they need."""
+    folder = scratch_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased, in UTF-8; none for a null.
 

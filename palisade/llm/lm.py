@@ -12,7 +12,10 @@ The tree grows with the texts, so it is a distributed table.  Contexts of up to
 ``TOP`` bytes are few by their length; longer ones that end in the same bytes
 form a group with all their suffixes and are judged together.  Short contexts
 and those above a share of all bytes are broadcast.  A byte that a rarer kept
-context may decide (a bit table of fixed size tells) meets the tree in a join.
+context may decide (a bit table of fixed size tells) is left open.  A unit of
+documents names each of its open grams once and its documents refer to them by
+number; blocks of grams meet the tree by the endings of contexts, and their
+logarithms go back to the unit, which sums them by document.
 
 Beside it stands the base score, a unigram model over words with one added to
 each count.  Words above a share of all tokens are few, whatever the corpus,
@@ -27,10 +30,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
-from palisade.llm.common import cut, group_bounds, small_batches, whole_groups, words_of
+from palisade.llm.common import group_bounds, small_batches, stored, whole_groups, words_of
 
 #: Bytes of the longest context.
 DEPTH = 5
@@ -51,6 +55,10 @@ COMMON_SHARE = 5e-6
 BLOCK_BYTES = 1_000_000
 FLUSH_GRAMS, FLUSH_WORDS = 800_000, 150_000
 CACHE_BITS = 20
+#: Open grams, counted once a document, from which on a unit of documents is closed.
+UNIT_GRAMS = 1_000_000
+#: Rows of kept contexts that a bucket of endings holds on average, and the least number of buckets.
+BUCKET_ROWS, BUCKETS = 500_000, 64
 
 
 def training_rows(doc_id: Column, folds: int = 7, held: int = 2) -> Column:
@@ -298,7 +306,8 @@ def fit_tree(docs: DataFrame, min_count: int = MIN_COUNT, divergence: float = DI
     has no more contexts than there are bytes before its ending.
     """
     spark = docs.sparkSession
-    grams = cut(docs.select("text").mapInArrow(_count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    counted = docs.select("text").mapInArrow(_count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    grams = stored(counted.sortWithinPartitions("gram"), "grams")
     few = grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (TOP + 1)) - 1)).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
     keys, n = few.column("gram").to_numpy().view(np.uint64), few.column("n").to_numpy()
     counts = [_sums(keys & _mask(k + 1), n) for k in range(TOP + 1)]
@@ -306,9 +315,9 @@ def fit_tree(docs: DataFrame, min_count: int = MIN_COUNT, divergence: float = DI
     levels = judge_levels(counts[1:], (np.arange(256, dtype=np.uint64), root), divergence, min_count)
     full = len(levels) == TOP
     above = spark.sparkContext.broadcast((levels[-1]["entries"], levels[-1]["logs"]) if full else (np.zeros(0, np.uint64), np.zeros(0)))
-    keyed = grams.select("gram", "n", _part(F.col("gram")).alias("part")).where(F.lit(full))
-    rows = cut(keyed.repartition("part").sortWithinPartitions("part").mapInArrow(
-        _judge(above, broadcast_share * float(n.sum()), divergence, min_count), "k int, gram long, log double, escape double, common boolean, slot long"))
+    keyed = grams.where(F.lit(full)).repartition(_part(F.col("gram"))).withColumn("part", _part(F.col("gram")))
+    rows = stored(keyed.sortWithinPartitions("part").mapInArrow(
+        _judge(above, broadcast_share * float(n.sum()), divergence, min_count), "k int, gram long, log double, escape double, common boolean, slot long"), "tree")
     if full:
         needed = rows.where(F.col("k") == TOP + 1).select(F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit((1 << 8 * TOP) - 1)).alias("c")).distinct().toArrow()
         levels[-1]["keep"][np.searchsorted(levels[-1]["contexts"], needed.column("c").to_numpy().view(np.uint64))] = True
@@ -324,20 +333,137 @@ def fit_tree(docs: DataFrame, min_count: int = MIN_COUNT, divergence: float = DI
     return FittedTree(top, common, rows, bits)
 
 
+def _buckets(grams: np.ndarray, many: int) -> np.ndarray:
+    """The bucket of each gram's ending; grams that meet the same kept contexts share it."""
+    part = grams >> np.uint64(8) & _mask(TOP + 1)
+    return ((part * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(many)).astype(np.int64)
+
+
+def _pack(numbers: np.ndarray) -> bytes:
+    """Numbers as planes of equal bytes, compressed."""
+    return zstandard.compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T).tobytes(), 1)
+
+
+def _unpack(blob: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
+_BLOCKS = "unit long, bucket int, blobs array<binary>"
+
+
+def _blocks(units: list[int], buckets: list[int], blobs: list[list[bytes]]) -> list[pa.Array]:
+    return [pa.array(units, pa.int64()), pa.array(buckets, pa.int32()), pa.array(blobs, pa.list_(pa.binary()))]
+
+
+def _steps(sorted_numbers: np.ndarray) -> np.ndarray:
+    """Differences, modulo the width of the type; ``_unsteps`` sums them again."""
+    return np.diff(sorted_numbers, prepend=sorted_numbers.dtype.type(0))
+
+
+def _unsteps(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps, dtype=steps.dtype)
+
+
+class _Unit:
+    """Open grams of some documents of a task, until they are many enough to be written."""
+
+    def __init__(self, buckets: int):
+        self.buckets = buckets
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows, self.kinds, self.grams, self.often, self.size = [], [], [], [], 0
+
+    def add(self, rows: np.ndarray, kinds: np.ndarray, grams: np.ndarray, often: np.ndarray) -> None:
+        """``kinds[i]`` distinct grams of document ``rows[i]``, one document after the other, and how often they occur."""
+        own = kinds > 0
+        for held, more in zip((self.rows, self.kinds, self.grams, self.often), (rows[own], kinds[own], grams, often), strict=True):
+            held.append(more)
+        self.size += len(grams)
+
+    def close(self) -> tuple[list[int], list[int], list[list[bytes]]]:
+        """Blocks of distinct grams by bucket, and as bucket -1 the documents with their grams' numbers."""
+        if not self.size:
+            return [], [], []
+        rows, kinds, grams, often = (np.concatenate(x) for x in (self.rows, self.kinds, self.grams, self.often))
+        self.clear()
+        grams, place = np.unique(grams, return_inverse=True)
+        bucket = _buckets(grams, self.buckets)
+        order = np.argsort(bucket, kind="stable")
+        number = np.empty(len(order), np.uint32)
+        number[order] = np.arange(len(order), dtype=np.uint32)
+        place, of = number[place], np.repeat(np.arange(len(kinds)), kinds)
+        by = np.lexsort((place, of))
+        links = [_pack(_steps(rows)), _pack(kinds.astype(np.uint32)), _pack(_steps(place[by])), _pack(often[by].astype(np.uint32))]
+        grams, bucket = grams[order], bucket[order]
+        bounds = group_bounds([bucket])
+        here = bucket[bounds[:-1]].tolist()
+        blobs = [[_pack(_steps(grams[a:b]))] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        return [int(rows[0])] * (len(here) + 1), [-1, *here], [links, *blobs]
+
+
+def _tree_blocks(buckets: int):
+    """Kept contexts in blocks by bucket, as unit -1."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k, gram, log, escape = (batch.column(c).to_numpy() for c in ("k", "gram", "log", "escape"))
+            bucket = _buckets(gram.view(np.uint64), buckets)
+            order = np.argsort(bucket, kind="stable")
+            bounds = group_bounds([bucket[order]])
+            blobs = [[_pack(x[order[a:b]]) for x in (k, gram, log, escape)] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays(_blocks([-1] * len(blobs), bucket[order][bounds[:-1]].tolist(), blobs), ["unit", "bucket", "blobs"])
+    return run
+
+
 def _answer(shared: Broadcast):
-    """Logs of the grams of level 0, which stand in a group with the kept contexts that end alike."""
+    """Logs of each unit's grams of a bucket, in their order; the bucket's kept contexts come before them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top = SuffixTree(**shared.value)
-        for chunk in whole_groups(batches, ["part"]):
-            wanted = chunk.column("gram").to_numpy()[chunk.column("k").to_numpy() == 0]
-            if not len(wanted):
-                continue
-            longer = _levels_of(chunk)
-            tree = SuffixTree(top.root, *(a + b for a, b in zip((top.contexts, top.escapes, top.entries, top.logs), longer, strict=True)))
-            yield pa.RecordBatch.from_arrays([pa.array(wanted), pa.array(tree.score(wanted.view(np.uint64)))], ["gram", "log"])
+        bucket, held, tree = -1, [], None
+        for batch in small_batches(batches, 100):
+            units, logs, of = [], [], []
+            for unit, here, blobs in zip(*(batch.column(c).to_pylist() for c in ("unit", "bucket", "blobs")), strict=True):
+                if here != bucket:
+                    bucket, held, tree = here, [], None
+                if unit < 0:
+                    held.append([_unpack(b, t) for b, t in zip(blobs, (np.int32, np.int64, np.float64, np.float64), strict=True)])
+                    continue
+                if tree is None:
+                    kept = [np.concatenate(x) for x in zip(*held, strict=True)] if held else [np.zeros(0, t) for t in (np.int32, np.int64, np.float64, np.float64)]
+                    longer = _levels_of(pa.table(dict(zip(("k", "gram", "log", "escape"), kept, strict=True))))
+                    tree = SuffixTree(top.root, *(a + b for a, b in zip((top.contexts, top.escapes, top.entries, top.logs), longer, strict=True)))
+                    held = []
+                units.append(unit)
+                of.append(here)
+                logs.append([_pack(tree.score(_unsteps(_unpack(blobs[0], np.uint64))))])
+            yield pa.RecordBatch.from_arrays(_blocks(units, of, logs), ["unit", "bucket", "blobs"])
     return run
 
 
+def _open_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums by document; a unit's documents come first, then the logs of its grams by bucket."""
+    links, logs = None, []
+
+    def out() -> pa.RecordBatch:
+        rows, kinds = _unsteps(_unpack(links[0], np.int64)), _unpack(links[1], np.uint32).astype(np.int64)
+        found = np.concatenate(logs)[_unsteps(_unpack(links[2], np.uint32))] * _unpack(links[3], np.uint32)
+        return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.add.reduceat(found, np.cumsum(kinds) - kinds) / np.log(10))], ["row", "open_part"])
+
+    for batch in small_batches(batches, 100):
+        for bucket, blobs in zip(batch.column("bucket").to_pylist(), batch.column("blobs").to_pylist(), strict=True):
+            if bucket >= 0:
+                logs.append(_unpack(blobs[0], np.float64))
+                continue
+            if links:
+                yield out()
+            links, logs = blobs, []
+    if links:
+        yield out()
+
+
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(DEPTH + 1)], np.uint64)
 
 
@@ -364,15 +490,27 @@ class GramScores:
         return out
 
 
-def _score(shared):
+_SCORED = ("doc_id long, row long, n_tokens long, known long, part double, score double, rare array<binary>, times array<long>, " + _BLOCKS)
+
+
+def _score(shared: Broadcast, buckets: int):
+    """A row for each document, and rows without ``row`` for the blocks of units."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, bits, common = shared.value
-        score = GramScores(SuffixTree(**parts), bits)
+        score, unit = GramScores(SuffixTree(**parts), bits), _Unit(buckets)
+        schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("part", pa.float64()),
+                            ("score", pa.float64()), ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int64())),
+                            ("unit", pa.int64()), ("bucket", pa.int32()), ("blobs", pa.list_(pa.binary()))])
+
+        def closed() -> pa.RecordBatch:
+            made = _blocks(*unit.close())
+            return pa.RecordBatch.from_arrays([pa.nulls(len(made[0]), f.type) for f in schema][:8] + made, schema=schema)
+
         for batch in small_batches(batches, 2000):
             if not batch.num_rows:
                 continue
             logs, sizes, known, base, rare, times = [], [], [], [], [], []
-            opened, often, ends = [], [], []
+            ids, done = batch.column("row").to_numpy(), 0
             for block in _text_blocks([batch]):
                 grams, begins = grams_of([b" ".join(words) + b"\n" for words in block])
                 found = score(grams)
@@ -382,9 +520,10 @@ def _score(shared):
                 of, left = np.searchsorted(begins, still, "right") - 1, grams[still]
                 order = np.lexsort((left, of))
                 bounds = group_bounds([of[order], left[order]]) if len(order) else np.zeros(1, np.int64)
-                opened.append(left[order][bounds[:-1]].view(np.int64))
-                often.append(np.diff(bounds))
-                ends.append(np.bincount(of[order][bounds[:-1]], minlength=len(block)))
+                unit.add(ids[done:done + len(block)], np.bincount(of[order][bounds[:-1]], minlength=len(block)), left[order][bounds[:-1]], np.diff(bounds))
+                done += len(block)
+                if unit.size > UNIT_GRAMS:
+                    yield closed()
                 for words in block:
                     counts = Counter(words)
                     there = [(n, c) for w, n in counts.items() if (c := common.get(w))]
@@ -394,13 +533,12 @@ def _score(shared):
                     base.append(float(np.dot([n for n, _ in there], np.log10([c + 1 for _, c in there]))) if there else 0.0)
                     rare.append([w for w, _ in other])
                     times.append([n for _, n in other])
-            starts = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(ends))]), pa.int32())
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), batch.column("row"), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
                 pa.array(logs, pa.float64()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64())),
-                pa.ListArray.from_arrays(starts, pa.array(np.concatenate(opened))),
-                pa.ListArray.from_arrays(starts, pa.array(np.concatenate(often), pa.int64()))],
-                ["doc_id", "row", "n_tokens", "known", "part", "score", "rare", "times", "grams", "often"])
+                *(pa.nulls(batch.num_rows, f.type) for f in list(schema)[8:])], schema=schema)
+        if unit.size:
+            yield closed()
     return run
 
 
@@ -416,29 +554,29 @@ def score_texts(docs: DataFrame, learn: Column | None = None, common_share: floa
     learn = training_rows(F.col("doc_id")) if learn is None else learn
     texts = docs.where(learn).select("text")
     tree = fit_tree(texts, min_count, broadcast_share=broadcast_share)
-    counts = cut(texts.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    counts = stored(texts.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     ends = texts.count()
     words, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tokens, distinct = words + ends, kinds + (ends > 0)
     often = counts.where(F.col("n") >= F.lit(max(1.0, common_share * tokens)))
     often = often.toArrow()
     shared = docs.sparkSession.sparkContext.broadcast((vars(tree.common), tree.bits, dict(zip(often.column("word").to_pylist(), often.column("n").to_pylist(), strict=True))))
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row")).mapInArrow(
-        _score(shared), "doc_id long, row long, n_tokens long, known long, part double, score double, rare array<binary>, times array<long>, grams array<long>, often array<long>")
-    scored = cut(scored)
-    tail = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
+    buckets = max(BUCKETS, tree.rows.count() // BUCKET_ROWS)
+    scored = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row")).mapInArrow(
+        _score(shared, buckets), _SCORED), "scored")
+    found = scored.where(F.col("row").isNotNull())
+    tail = found.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
     met = tail.join(counts.withColumnRenamed("n", "c"), "word").groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("rare_part"), F.sum("times").alias("rare_known"))
     # bytes whose longest kept context is, or may be, rare
-    left = scored.select("row", F.explode(F.arrays_zip("grams", "often")).alias("g")).select("row", F.col("g.grams").alias("gram"), F.col("g.often").alias("often"))
-    none = F.lit(0.0)
-    wanted = left.select("gram").distinct().select(F.lit(0).alias("k"), "gram", none.alias("log"), none.alias("escape"))
-    meeting = tree.rows.select("k", "gram", "log", "escape").unionByName(wanted).withColumn("part", _part(F.col("gram")))
+    blocks = scored.where(F.col("row").isNull()).select("unit", "bucket", "blobs")
+    kept = tree.rows.select("k", "gram", "log", "escape").mapInArrow(_tree_blocks(buckets), _BLOCKS)
     top = docs.sparkSession.sparkContext.broadcast(vars(tree.top))
-    answers = meeting.repartition("part").sortWithinPartitions("part").mapInArrow(_answer(top), "gram long, log double")
-    longer = left.join(answers, "gram").groupBy("row").agg((F.sum(F.col("often") * F.col("log")) / F.lit(float(np.log(10)))).alias("open_part"))
+    answers = kept.unionByName(blocks.where("bucket >= 0")).repartition("bucket").sortWithinPartitions("bucket", "unit").mapInArrow(_answer(top), _BLOCKS)
+    longer = answers.unionByName(blocks.where("bucket < 0")).repartition("unit").sortWithinPartitions("unit", "bucket").mapInArrow(
+        _open_sums, "row long, open_part double")
     zero = F.lit(0)
-    return scored.drop("rare", "times", "grams", "often").join(met, "row", "left").join(longer, "row", "left").select(
+    return found.drop("rare", "times", "unit", "bucket", "blobs").join(met, "row", "left").join(longer, "row", "left").select(
         "doc_id", "n_tokens", (F.col("known") + F.coalesce("rare_known", zero) + F.lit(int(ends > 0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("part") + F.coalesce("rare_part", F.lit(0.0)) + F.lit(float(np.log10(ends + 1))) - F.col("n_tokens") * F.lit(float(np.log10(tokens + distinct + 1)))).alias("base_score"),
