@@ -61,38 +61,53 @@ def find_in_segment(entries: pd.DataFrame, probes: pd.DataFrame) -> pd.DataFrame
             at[open_rows] += 1
             open_rows = open_rows[at[open_rows] < end[open_rows]]
         del digests
-    out = probes[["url", "key"]].assign(verdict=verdict)
+    out = probes.assign(verdict=verdict)
     return out[out.verdict.notna()]
 
 
+def _fitting(rules: list[tuple[str, str, str]]) -> Column:
+    """Keys of all rules that may fit ``host`` and ``path``."""
+    labels = max((host.count(".") + 1 for _, host, _ in rules), default=1)
+    lengths = sorted({len(path) for _, _, path in rules})
+    suffixes = F.array(*[F.substring_index("host", ".", -n) for n in range(1, labels + 1)])
+    starts = F.filter(F.array(*[F.struct(F.lit(n).alias("n"), F.left("path", F.lit(n)).alias("start")) for n in lengths]), lambda s: F.length(s["start"]) == s["n"])
+    return F.flatten(F.transform(F.array_distinct(suffixes), lambda h: F.transform(starts, lambda s: F.concat(F.lit("r:"), h, s["start"]))))
+
+
+def probes_of(urls: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """``key, digest`` to look up for ``url, host, path``, each once: one key may stand for a third of all addresses."""
+    own = F.array(F.concat(F.lit("u:"), F.col("url")))
+    keys = F.concat(own, _fitting(rules)) if rules else own
+    return urls.select(F.explode(keys).alias("key")).distinct().withColumn("digest", F.xxhash64("key"))
+
+
 def judge_urls(pages: DataFrame, entries: DataFrame, rules: Iterable[tuple[str, str, str]], url: str = "url") -> DataFrame:
     """Columns of ``pages`` with ``host``, ``path``, ``rule`` (host and path of the rule that decides, or null) and ``verdict``.
 
     A rule fits its host and all subdomains if the path starts with the rule's;
     the longest one wins.  Without a rule, a listed address is blocked, any
-    other allowed; so is a null.  Equal addresses are probed once, and probes
-    of a segment are dealt to groups of bounded size.  Columns of the added
-    names are replaced.
+    other allowed; so is a null.  Equal keys are probed once, so digests spread
+    evenly over the segments and their groups.  Rules that were found are no
+    more than ``rules`` holds, and are broadcast.  Columns of the added names
+    are replaced.
     """
     rules = list(rules)
-    labels = max((host.count(".") + 1 for _, host, _ in rules), default=0)
-    lengths = sorted({len(path) for _, _, path in rules})
     host, path = url_parts(F.col("url"))
     distinct = pages.select(F.col(url).alias("url")).where("url IS NOT NULL").distinct().withColumns({"host": host, "path": path})
-    suffixes = F.array(*[F.substring_index("host", ".", -n) for n in range(1, max(labels, 1) + 1)])
-    starts = F.filter(F.array(*[F.struct(F.lit(n).alias("n"), F.left("path", F.lit(n)).alias("start")) for n in lengths]), lambda s: F.length(s["start"]) == s["n"])
-    fitting = F.flatten(F.transform(F.array_distinct(suffixes), lambda h: F.transform(starts, lambda s: F.concat(F.lit("r:"), h, s["start"]))))
-    keys = F.concat(F.array(F.concat(F.lit("u:"), F.col("url"))), fitting) if rules else F.array(F.concat(F.lit("u:"), F.col("url")))
-    probes = distinct.select("url", F.explode(keys).alias("key")).withColumn("digest", F.xxhash64("key"))
+    probes = probes_of(distinct, rules)
 
     entries = cut(entries.select("key", "digest", "verdict"))
     bits = max(0, math.ceil(math.log2(max(entries.count(), 1) / SEGMENT_ENTRIES)))
     groups = max(1, math.ceil(probes.count() / GROUP_PROBES / 2**bits))
     segment = F.shiftrightunsigned("digest", 64 - bits) if bits else F.lit(0).cast("long")
-    dealt = probes.withColumns({"segment": segment, "part": F.pmod(F.xxhash64("url"), F.lit(groups)).cast("int")})
+    dealt = probes.withColumns({"segment": segment, "part": F.pmod(F.xxhash64(F.lit(1), "key"), F.lit(groups)).cast("int")})
     copies = entries.withColumns({"segment": segment, "part": F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))})
-    found = copies.groupBy("segment", "part").cogroup(dealt.groupBy("segment", "part")).applyInPandas(
-        find_in_segment, "url string, key string, verdict string")
+    hits = cut(copies.groupBy("segment", "part").cogroup(dealt.groupBy("segment", "part")).applyInPandas(
+        lambda held, wanted: find_in_segment(held, wanted)[["key", "verdict"]], "key string, verdict string"))
+    found = hits.where(F.col("key").startswith("u:")).select(F.substr("key", F.lit(3)).alias("url"), "key", "verdict")
+    if rules:
+        own = F.broadcast(hits.where(F.col("key").startswith("r:")))
+        found = found.unionByName(distinct.select("url", F.explode(_fitting(rules)).alias("key")).join(own, "key").select("url", "key", "verdict"))
     is_rule = F.col("key").startswith("r:")
     best = found.groupBy("url").agg(
         F.max(F.when(is_rule, F.struct(F.length("key").alias("n"), F.substr("key", F.lit(3)).alias("rule"), "verdict"))).alias("__best"),

@@ -225,3 +225,23 @@ def test_runs_leave_no_stage_behind(spark, tmp_path, monkeypatch):
     out = stages.run_stages(spark, spark.createDataFrame([(1,)], "x int"), "", [("a", add(1)), ("b", add(2)), ("c", add(3))])
     assert out.collect()[0].x == 7
     assert [p.name for p in tmp_path.glob("*/*")] == ["1-b"]
+
+
+def test_a_key_of_many_addresses_is_probed_once(spark, monkeypatch):
+    monkeypatch.setattr(urls, "SEGMENT_ENTRIES", 4)
+    monkeypatch.setattr(urls, "GROUP_PROBES", 50)
+    rows = [(i, f"http://a{i}.net/p/{i}") for i in range(300)] + [(1000 + i, f"http://b{i}.org/{'fr/' if i % 2 else 'x/'}{i}") for i in range(40)]
+    pages = spark.createDataFrame(rows + [(2000, None), (2001, "http://b4.org/x/4")], "page_id long, url string")
+    listed = spark.createDataFrame([(u,) for i, u in rows if i >= 1000 and i % 5 == 0], "url string")
+    host, path = urls.url_parts(F.col("url"))
+    probes = urls.probes_of(pages.where("url IS NOT NULL").withColumns({"host": host, "path": path}), list(urls.RULES))
+    assert probes.where("key = 'r:net/'").count() == 1 and probes.count() == probes.distinct().count()
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge_urls(pages, urls.build_list(spark, urls.RULES, listed), urls.RULES).collect()}
+    assert len(got) == len(rows) + 2 and got[2000] == (None, "allow") and got[2001] == (None, "allow")
+    for i, u in rows:
+        if i < 1000:
+            assert got[i] == ("net/", "block")
+        elif i % 2:
+            assert got[i] == ("org/fr/", "allow")
+        else:
+            assert got[i] == (None, "block" if i % 5 == 0 else "allow")
