@@ -180,14 +180,24 @@ def mix_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: in
 
 
 def mixed_sizes(rows: DataFrame, blocks: DataFrame) -> DataFrame:
-    """``doc_id, source, size, copy, source_size, target, taken``: how many words the mix takes from each document."""
+    """How many words the mix takes from each document, and where it puts them.
+
+    ``doc_id, source, size, copy, source_size, target, taken, draws,
+    first_shard, last_shard, first_position``: blocks drawn, the lowest and
+    highest of their shards, and the first place in the lowest; the shards and
+    the place of a document that is not drawn are null.
+    """
     key = ["doc_id", "sid", "size", "copy"]
     none = F.lit(None)
-    of_docs = rows.select(*key, "source", "source_size", "target", F.lit(0).cast("long").alias("words"), F.lit(True).alias("doc"))
+    place = F.struct("shard", "position")
+    of_docs = rows.select(*key, "source", "source_size", "target", F.lit(0).cast("long").alias("words"),
+                          none.cast("struct<shard:bigint,position:int>").alias("place"))
     of_blocks = blocks.select(*key, none.cast("string").alias("source"), none.cast("long").alias("source_size"),
-                              none.cast("double").alias("target"), "words", F.lit(False).alias("doc"))
+                              none.cast("double").alias("target"), "words", place.alias("place"))
     return of_docs.unionByName(of_blocks).groupBy(*key).agg(
-        F.max("source").alias("source"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.sum("words").alias("taken"))
+        F.max("source").alias("source"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.sum("words").alias("taken"),
+        F.count("place").alias("draws"), F.min("place").alias("_low"), F.max("place.shard").alias("last_shard")).select(
+        *key, "source", "source_size", "target", "taken", "draws", F.col("_low.shard").alias("first_shard"), "last_shard", F.col("_low.position").alias("first_position"))
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:

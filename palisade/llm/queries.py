@@ -74,7 +74,8 @@ def op4(spark, sf_dir):
 @query("op5_mixing")
 def op5(spark, sf_dir):
     rows, blocks = mix_blocks(table(spark, sf_dir, "documents"))
-    return mixed_sizes(rows, blocks).select("doc_id", "size", "source_size", "target", "taken")
+    return mixed_sizes(rows, blocks).select(
+        "doc_id", "size", "source_size", "target", "taken", "draws", "first_shard", "last_shard", "first_position")
 
 
 @query("op6_url_filter", url_sql())

@@ -352,6 +352,18 @@ def mixed(docs, **options):
     return mixing.mixed_sizes(rows, blocks).collect(), blocks.collect()
 
 
+def test_places_of_the_mix(docs):
+    got, blocks = mixed(docs, block_words=4, shard_blocks=8)
+    places = {}
+    for b in blocks:
+        places.setdefault((b.doc_id, b.sid, b["size"], b["copy"]), []).append((b.shard, b.position))
+    assert len({s for p in places.values() for s, _ in p}) > 1
+    for r in got:
+        own = sorted(places.get((r.doc_id, r.sid, r["size"], r["copy"]), []))
+        want = (own[0][0], own[-1][0], own[0][1]) if own else (None, None, None)
+        assert (r.draws, (r.first_shard, r.last_shard, r.first_position)) == (len(own), want)
+
+
 def test_mix_of_awkward_rows(docs, no_docs):
     rows = [(r.doc_id, r.source, len(brute.words(r.text))) for r in docs.collect()]
     sizes = Counter()
