@@ -126,46 +126,48 @@ def temporal_features(inputs: DataFrame) -> DataFrame:
         (F.hour("ts") / 24.0).alias("hour_of_day"), (F.weekday("ts") / 7.0).alias("day_of_week"))
 
 
-def _exponential_deviation(inputs: DataFrame, value: str, out: str, at_most: int, terms: int = 53) -> DataFrame:
-    """(id, out): distance from avg = (avg + x) / 2, started at 0, own value included.
+_RARE = (("user_agent", "user_agent_deviation", 1.0), ("path", "path_deviation", 0.5), ("method", "method_deviation", 0.5))
+_AWAY = (("request_size", "request_size_deviation"), ("response_time_ms", "response_time_deviation"))
+
+
+def _exponential_deviations(inputs: DataFrame, at_most: int, terms: int = 53) -> DataFrame:
+    """(id, name, x): distance from avg = (avg + x) / 2, started at 0, own value included, of every value there is.
 
     A value ``terms`` rows back weighs 2**-terms.  What is left out changes the
     average by less than 2**-53 of the largest earlier value, which is what one
     rounding of a sum with that value costs.
     """
-    rows = inputs.where(F.col(value).isNotNull()).select("id", "ts", "source_ip", F.col(value).cast("double").alias("x"))
-    near = previous_rows(rows, ["source_ip"], ["ts", "id"], F.col("x"), terms, ts="ts", at_most=at_most)
+    values = [F.struct(F.lit(name).alias("name"), F.col(v).cast("double").alias("x")) for v, name in _AWAY]
+    rows = inputs.select("id", "ts", "source_ip", F.inline(F.array(*values))).where(F.col("x").isNotNull())
+    near = previous_rows(rows, ["name", "source_ip"], ["ts", "id"], F.col("x"), terms, ts="ts", at_most=len(_AWAY) * at_most)
     avg = F.aggregate(F.concat("prev", F.array("x")), F.lit(0.0), lambda a, x: (a + x) / 2.0)
     near = near.withColumn("avg", avg)
     away = F.when(F.col("avg") > 0, F.least(F.abs(F.col("x") - F.col("avg")) / F.col("avg"), F.lit(10.0)))
-    return near.select("id", F.coalesce(away, F.lit(0.0)).alias(out))
-
-
-_RARE = (("user_agent", "user_agent_deviation", 1.0), ("path", "path_deviation", 0.5), ("method", "method_deviation", 0.5))
+    return near.select("id", "name", F.coalesce(away, F.lit(0.0)).alias("x"))
 
 
 def _rarities(inputs: DataFrame, at_most: int) -> DataFrame:
-    """(id, three features): 1 - share of a value among the address's values so far.
+    """(id, name, x): 1 - share of a value among the address's values of its kind so far; a missing value has none.
 
-    The rows stay together: each step adds a count to them, and one pass counts
-    the values of all three kinds.  A missing value has a name no value has.
+    The three kinds go through one pass per count, as narrow rows.  A missing
+    value has a name no value has.
     """
-    rows = inputs.select("id", "ts", "source_ip", *[F.coalesce(F.col(v), F.lit("\u0000")).alias(v) for v, _, _ in _RARE],
-                         *[F.col(v).isNotNull().cast("int").alias(f"_has_{v}") for v, _, _ in _RARE])
-    for value, _, _ in _RARE:
-        rows = shared(running(rows, ["source_ip", value], ["ts", "id"], ts="ts", sums={f"_same_{value}": F.lit(1)}, at_most=at_most))
-    rows = running(rows, ["source_ip"], ["ts", "id"], ts="ts", sums={f"_all_{v}": F.col(f"_has_{v}") for v, _, _ in _RARE}, at_most=at_most)
-    return rows.select("id", *[
-        F.when(F.col(f"_has_{v}") == 1, 1.0 - F.col(f"_same_{v}") / F.col(f"_all_{v}")).otherwise(F.lit(missing)).alias(name) for v, name, missing in _RARE])
+    kinds = [F.struct(F.lit(name).alias("name"), F.lit(missing).alias("missing"), F.col(v).isNotNull().cast("int").alias("has"),
+                      F.coalesce(F.col(v), F.lit("\u0000")).alias("value")) for v, name, missing in _RARE]
+    rows = inputs.select("id", "ts", "source_ip", F.inline(F.array(*kinds)))
+    at_most = len(_RARE) * at_most
+    rows = running(rows, ["name", "source_ip", "value"], ["ts", "id"], ts="ts", sums={"same": F.lit(1)}, at_most=at_most).drop("value")
+    rows = running(shared(rows), ["name", "source_ip"], ["ts", "id"], ts="ts", sums={"all": F.col("has")}, at_most=at_most)
+    return rows.select("id", "name", F.when(F.col("has") == 1, 1.0 - F.col("same") / F.col("all")).otherwise(F.col("missing")).alias("x"))
 
 
 def behavior_features(inputs: DataFrame) -> DataFrame:
     """(id, five features) of how unusual an event is for its address."""
+    inputs = inputs.where(F.col("source_ip").isNotNull())
     n = inputs.select("id").count()
-    out = _rarities(inputs, n)
-    for value, name in (("request_size", "request_size_deviation"), ("response_time_ms", "response_time_deviation")):
-        out = out.join(_exponential_deviation(inputs, value, name, n), "id", "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
-    return out
+    every = _rarities(inputs, n).unionByName(_exponential_deviations(inputs, n))
+    names = [name for _, name, _ in _RARE] + [name for _, name in _AWAY]
+    return every.groupBy("id").agg(*[F.coalesce(F.max(F.when(F.col("name") == name, F.col("x"))), F.lit(0.0)).alias(name) for name in names])
 
 
 _OWN_FEATURES: dict[str, Column] = {}

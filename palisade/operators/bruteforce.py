@@ -141,12 +141,81 @@ def bf_patterns(events: DataFrame) -> DataFrame:
     }).drop("_hits")
 
 
+#: What is counted along each kind of key: the key's column, and (column, seconds) of up to three measures, the distinct
+#: values of the last ``seconds`` or, without, of all time.
+_KINDS = {
+    "ip": ("source_ip", [("username", WINDOW_SECONDS), ("service", None), ("user_agent", None)]),
+    "user": ("username", [("source_ip", None)]),
+    "service": ("service", [("source_ip", WINDOW_SECONDS), ("username", WINDOW_SECONDS)]),
+}
+_MINUTE = 2  # the measure of a service that counts the rows of the last minute
+_STEP = "struct<pos:bigint,tie:bigint,slot:int,delta:int>"
+
+
+def _distinct_steps(tries: DataFrame, at_most: int) -> DataFrame:
+    """(kind, key, pos, tie, slot, delta): where the distinct counts of a key change.
+
+    A value counts from its row on; it leaves ``seconds`` after it was last
+    seen, so a value seen again in time cancels its earlier leaving.
+    """
+    values = [
+        F.struct(F.lit(kind).alias("kind"), F.col(key).alias("key"), F.lit(slot).alias("slot"), F.col(value).alias("value"),
+                 F.lit(seconds).cast("long").alias("seconds"))
+        for kind, (key, measures) in _KINDS.items() for slot, (value, seconds) in enumerate(measures)]
+    rows = tries.select("id", "ts", F.inline(F.array(*values))).where(F.col("key").isNotNull() & F.col("value").isNotNull())
+    rows = previous_rows(rows, ["kind", "key", "slot", "value"], ["ts", "id"], F.unix_micros("ts"), 1, ts="ts", at_most=len(values) * at_most)
+    t, before, span = F.unix_micros("ts"), F.get("prev", F.lit(0)), F.col("seconds") * 1_000_000
+    last = F.lit((1 << 63) - 1).cast("long")
+    kept = F.coalesce(F.col("seconds").isNull() & before.isNotNull() | (t - before <= span), F.lit(False))
+
+    def step(when: Column, pos: Column, tie: Column, delta: int) -> Column:
+        return F.when(when, F.struct(pos.alias("pos"), tie.alias("tie"), F.col("slot"), F.lit(delta).alias("delta")).cast(_STEP))
+
+    leaves = F.col("seconds").isNotNull()
+    steps = F.array_compact(F.array(
+        step(~kept, t, F.col("id").cast("long"), 1), step(leaves & kept, before + span, last, 1), step(leaves, t + span, last, -1)))
+    return rows.select("kind", "key", F.inline(steps))
+
+
 def bf_profile(tries: DataFrame) -> DataFrame:
-    """Every attempt with the behaviour of its address, user and service."""
-    by_ip = ip_behavior(ip_history(tries))
-    by_user = user_behavior(user_history(tries)).select("id", "user_total", "user_failed", "user_ips", "user_compromised", "compromise_confidence")
-    by_service = service_behavior(service_history(tries)).select("id", "service_total", "service_ips", "service_users", "service_peak", "under_attack")
-    return by_ip.join(by_service, "id").join(by_user, "id", "left")
+    """Every attempt with the behaviour of its address, user and service.
+
+    Equal to ``ip_history``, ``user_history`` and ``service_history`` joined by
+    id, but all three kinds of key go through one pass: one look for each
+    value's previous row, one running sum over rows and changes.
+    """
+    n = tries.count()
+    steps = shared(_distinct_steps(tries, n)).select(
+        "*", F.lit(0).alias("phase"), *[F.lit(None).cast(tries.schema[c].dataType).alias(c) for c in ("id", "ts", "success")])
+    own = [F.struct(F.lit(kind).alias("kind"), F.col(key).alias("key")) for kind, (key, _) in _KINDS.items()]
+    rows = tries.select("id", "ts", "success", F.inline(F.array(*own))).where(F.col("key").isNotNull())
+    t, is_service = F.unix_micros("ts"), F.col("kind") == "service"
+    place = [t.alias("pos"), F.col("id").cast("long").alias("tie"), F.lit(_MINUTE).alias("slot"), is_service.cast("int").alias("delta")]
+    past = rows.where(is_service).select(
+        "kind", "key", (t + 60_000_000).alias("pos"), F.lit(-(1 << 63)).cast("long").alias("tie"), F.lit(_MINUTE).alias("slot"),
+        F.lit(-1).alias("delta"), F.lit(0).alias("phase"), *[F.lit(None).cast(tries.schema[c].dataType).alias(c) for c in ("id", "ts", "success")])
+    steps = steps.unionByName(past).unionByName(rows.select("kind", "key", *place, F.lit(1).alias("phase"), "id", "ts", "success"))
+
+    is_row, spot = F.col("phase") == 1, F.struct("ts", "id")
+    of_user = is_row & (F.col("kind") == "user")
+    total = running(
+        steps.withColumn("at", F.timestamp_micros("pos")), ["kind", "key"], ["at", "tie", "phase"], ts="at", at_most=13 * n,
+        sums={f"m{i}": F.when(F.col("slot") == i, F.col("delta")).otherwise(0) for i in range(3)}
+        | {"total": is_row.cast("int"), "failed": (is_row & ~F.col("success")).cast("int"), "good": (is_row & F.col("success")).cast("int")},
+        mins={"first": F.col("ts"), "fail": F.when(of_user & ~F.col("success"), spot)}, maxs={"ok": F.when(of_user & F.col("success"), spot)})
+    total = shared(total.where(is_row).select("kind", "key", "id", "ts", "m0", "m1", "m2", "total", "failed", "good", "first", "fail", "ok"))
+
+    def named(kind: str, **columns: str) -> DataFrame:
+        return total.where(F.col("kind") == kind).select("id", *[F.col(c).alias(n) for n, c in columns.items()])
+
+    ips = named("ip", ip_users="m0", ip_services="m1", ip_agents="m2", ip_total="total", ip_failed="failed", ip_success="good", ip_first="first")
+    users = named("user", user_ips="m0", user_total="total", user_failed="failed", fail="fail", ok="ok").withColumn(
+        "user_compromised", F.coalesce(F.col("fail") < F.col("ok"), F.lit(False))).drop("fail", "ok")
+    services = named("service", key="key", ts="ts", service_ips="m0", service_users="m1", minute="m2", service_total="total")
+    services = running(services, ["key"], ["ts", "id"], ts="ts", maxs={"service_peak": F.col("minute")}, at_most=n).drop("key", "ts", "minute")
+    return (
+        ip_behavior(tries.join(ips, "id")).join(service_behavior(services), "id").join(user_behavior(users), "id", "left")
+    )
 
 
 def bf_indicators() -> Column:

@@ -31,26 +31,30 @@ def related_to(events: DataFrame, event_id, limit: int = 10, hours: int = 1) ->
     return hit.drop("t").orderBy(F.desc("ts"), F.desc("id")).limit(limit)
 
 
-def _newest_near(events: DataFrame, key: str, limit: int, hours: int, at_most: int) -> DataFrame:
-    """(id, near): the newest rows of the key up to ``hours`` after each event.
+def _newest_near(events: DataFrame, keys: list[str], limit: int, hours: int, at_most: int) -> DataFrame:
+    """(id, near) per key: the newest rows of the key up to ``hours`` after each event.
 
     Each event looks up the last row at or before its time plus the span; that
-    row brings itself and the rows before it.  No pairs are formed.
+    row brings itself and the rows before it.  No pairs are formed.  All keys
+    go through one pass, told apart by their number.
     """
-    rows = events.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), "id", "ts")
-    rows = shared(previous_rows(rows, ["key"], ["ts", "id"], F.struct("ts", "id"), limit, ts="ts", at_most=at_most))
+    own = [F.struct(F.lit(i).alias("kind"), F.col(k).alias("key")) for i, k in enumerate(keys)]
+    rows = events.select("id", "ts", F.inline(F.array(*own))).where(F.col("key").isNotNull())
+    at_most = at_most * len(keys)
+    by = ["kind", "key"]
+    rows = shared(previous_rows(rows, by, ["ts", "id"], F.struct("ts", "id"), limit, ts="ts", at_most=at_most))
     span = F.expr(f"INTERVAL {hours} HOUR")
     item = F.struct("ts", "id", F.concat("prev", F.array(F.struct("ts", "id"))).alias("near"))
     none = F.lit(None)
     probe = F.struct(F.col("id"), F.col("ts"))
     item_type = "struct<ts:timestamp,id:bigint,near:array<struct<ts:timestamp,id:bigint>>>"
-    steps = rows.select("key", F.explode(F.array(
+    steps = rows.select(*by, F.explode(F.array(
         F.struct(F.col("ts").alias("pos"), F.lit(0).alias("phase"), F.col("id").alias("tie"), item.alias("item"),
                  none.cast("struct<id:bigint,ts:timestamp>").alias("probe")),
         F.struct((F.col("ts") + span).alias("pos"), F.lit(1).alias("phase"), F.col("id").alias("tie"),
                  none.cast(item_type).alias("item"), probe.alias("probe")),
-    )).alias("s")).select("key", "s.*")
-    seen = running(steps, ["key"], ["pos", "phase", "tie"], ts="pos", maxs={"last": F.col("item")}, at_most=2 * at_most)
+    )).alias("s")).select(*by, "s.*")
+    seen = running(steps, by, ["pos", "phase", "tie"], ts="pos", maxs={"last": F.col("item")}, at_most=2 * at_most)
     inside = F.filter("last.near", lambda r: (r["id"] != F.col("probe.id")) & (r["ts"] >= F.col("probe.ts") - span))
     return seen.where(F.col("probe").isNotNull()).select(F.col("probe.id").alias("id"), inside.alias("near"))
 
@@ -59,8 +63,7 @@ def related_events(events: DataFrame, limit: int = 10, hours: int = 1) -> DataFr
     """(id, related) for every event: ids and times, newest first."""
     narrow = truncate_lineage(events.select("id", "ts", "source_ip", "source", "event_type"))  # parsed once for three keys
     n = narrow.count()
-    parts = [_newest_near(narrow, k, limit, hours, n) for k in ("source_ip", "source", "event_type")]
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    every = _newest_near(narrow, ["source_ip", "source", "event_type"], limit, hours, n)
     merged = every.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     return merged.select("id", F.slice(F.sort_array("near", asc=False), 1, limit).alias("related"))
 

@@ -214,16 +214,17 @@ def sliding(
         ).select(*keys, "_s.*"))
 
     steps = steps.withColumn("_at", F.timestamp_micros("_pos"))
+    own_row = F.col("_phase") == 1
 
     def over_row(c: dict[str, Column]) -> dict[str, Column]:
-        return {n: F.when(F.col("_row").isNotNull(), v) for n, v in c.items()}
+        return {n: F.when(own_row, v) for n, v in c.items()}
 
-    # the measures read their columns from the row the step carries
-    steps = steps.select("*", *[F.col("_row." + c).alias(c) for c in payload if c not in keys])
+    # the row travels as plain columns, once
+    steps = steps.select("*", *[F.col("_row." + c).alias(c) for c in payload if c not in keys]).drop("_row")
     total = running(
         steps, keys, ["_at", "_tie", "_phase"], ts="_at", width=width,
         at_most=None if at_most is None else at_most * (1 + 2 * len(windows) + len(distinct)),
         sums={n: F.col("_d_" + n) for n in zero} | over_row(sums), mins=over_row(mins), maxs=over_row(maxs),
     )
     kept = [c for c in payload] + [n for n in (*zero, *sums, *mins, *maxs)]
-    return total.where(F.col("_row").isNotNull()).select(*kept)
+    return total.where(own_row).select(*kept)
