@@ -4,11 +4,13 @@ Base rules find e-mail and IP addresses, card and phone numbers.  High-recall
 generators propose further, overlapping spans: long mixed tokens (``secret``)
 and runs of digits with separators (``number``).  Boosted trees judge those by
 their form and surroundings.  Nobody labels the candidates, so labels come from
-facts that are no features: a token after an assignment cue, a number that
-passes a base rule's check, against tokens without a cue and numbers that fail
-the checks.  Tokens inside base spans are never judged and don't count; secrets
-without a cue count against the precision, so it is a lower bound.  All documents count.  Thresholds are calibrated on documents
-that the trees did not see, per kind, or on all where those lack a label.  Redaction takes base spans and selected ones.
+the words before them, which are no features: a token after an assignment cue,
+a number after a word such as ``tel`` or ``account``, against those without a
+cue.  A number with a cue counts inside base spans too; tokens there, and
+numbers there without a cue, are never judged and don't count.  What lacks a
+cue counts against the precision, so it is a lower bound.  All documents count.
+Thresholds are calibrated on documents that the trees did not see, per kind, or
+on all where those lack a label.  Redaction takes base spans and selected ones.
 """
 
 from __future__ import annotations
@@ -36,14 +38,17 @@ _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _SECRET = r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9][A-Za-z0-9_+/-]{14,}+"
 _NUMBER = r"(?<![0-9A-Za-z])[+(]?[0-9][0-9().\x20/-]{5,}[0-9](?![0-9A-Za-z])"
 _CUE = r"(?i)(?:passw(?:or)?d|pwd|token|secret|api[_-]?key|key)[\x20\"':=]{1,6}$"
+_NUMBER_CUE = (
+    r"(?i)(?<![a-z])(?:phone|telephone|tel|mobile|cell|fax|call|card|account|acct|iban|ssn|passport|licen[cs]e)"
+    r"(?:\x20?(?:number|no|nr))?[\x20.\"':=#(]{1,4}$")
 
-#: Candidate patterns that the trees are fitted on at most: every feature has few values, so there are no more than this.
-MAX_PATTERNS = 200_000
+#: Candidate patterns that one partition of the fit takes.
+PATTERNS_TOGETHER = 200_000
 TREES, DEPTH = 12, 3
 #: Share of positive labels among what a threshold selects, on the calibration documents.
 PRECISION = 0.95
 
-FEATURES = ("length", "digits", "upper", "lower", "other", "changes", "before", "after", "spaced", "groups", "check")
+FEATURES = ("length", "digits", "upper", "lower", "other", "changes", "before", "after", "spaced", "groups")
 SPAN = "struct<kind:string,start:bigint,end:bigint,found:string,before:string,after:string>"
 
 
@@ -131,25 +136,14 @@ def _features(c: Column) -> Column:
         "lower": tenths("[a-z]"), "other": tenths("[^A-Za-z0-9]"), "changes": F.least(changes, F.lit(12)).cast("double"),
         "before": around(last), "after": around(first), "spaced": found.rlike(r"[\x20(]").cast("double"),
         "groups": F.least(F.size(F.split(found, "[^0-9]+")), F.lit(6)).cast("double"),
-        "check": F.coalesce(_check(found), F.lit(2)).cast("double"),
     }
     return F.struct(*[values[f].alias(f) for f in FEATURES])
 
 
-def _check(found: Column) -> Column:
-    """Whether a number passes the check of the form it has: parts of an address, a card's last digit; null for other forms."""
-    four, digits = found.rlike(r"^[0-9]+(?:\.[0-9]+){3}$"), _digits(found)
-    card = found.rlike(r"^[0-9][0-9\x20-]+$") & F.length(digits).between(16, 19)
-    return F.when(four, F.when(four, _ip_parts_fit(found)).cast("int")).when(card, F.when(card, luhn(digits)).cast("int"))
-
-
-def _weak_label(c: Column) -> Column:
-    """1 or 0 where a fact outside the features tells, else null."""
-    found, digits = c["found"], _digits(c["found"])
-    cued = c["before"].rlike(_CUE)
-    secret = cued.cast("int")
-    number = F.coalesce(_check(found), F.when(found.startswith("+"), F.length(digits).between(8, 15).cast("int")).when(F.length(digits) > 19, 0))
-    return F.when(c["kind"] == "secret", secret).otherwise(number)
+def _weak_label(c: Column, base: Column) -> Column:
+    """1 after a cue, 0 without one, null for what a base rule has found already (but numbers after a cue)."""
+    cued = F.when(c["kind"] == "secret", c["before"].rlike(_CUE)).otherwise(c["before"].rlike(_NUMBER_CUE))
+    return F.when(_outside(c, base), cued.cast("int")).when((c["kind"] == "number") & cued, 1)
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -166,7 +160,7 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     df = _with_spans(df, "__secret", "secret", _SECRET, F.lit(True))
     df = _with_spans(df, "__number", "number", _NUMBER, has_digit)
     df = df.withColumn("base", F.concat(*[F.col(f"__{k}") for k in KINDS]))
-    # a number of a base kind is proposed as well: it is what the trees learn from
+    # a number of a base kind is proposed as well: after a cue the trees learn from it
     df = df.withColumn("__proposed", F.concat("__secret", "__number"))
     return df.drop("__t", "__digit", *[f"__{k}" for k in (*KINDS, *ADDED)])
 
@@ -180,10 +174,13 @@ def _tree_expression(node, columns: dict[str, Column]) -> Column:
 
 
 class Judge:
-    """Trees of one kind as a column expression, and the threshold from which a candidate is selected."""
+    """Trees of one kind as a column expression, and the threshold from which a candidate is selected.
+
+    ``precision`` and ``recall`` are those of the threshold among the calibration labels.
+    """
 
-    def __init__(self, model, threshold: float):
-        self.model, self.threshold = model, threshold
+    def __init__(self, model, threshold: float = 2.0, precision: float = 0.0, recall: float = 0.0):
+        self.model, self.threshold, self.precision, self.recall = model, threshold, precision, recall
 
     def score(self, features: Column) -> Column:
         columns = {f: features[f] for f in FEATURES}
@@ -195,19 +192,19 @@ def fit_judges(marked: DataFrame, doc_id: str = "doc_id", precision: float = PRE
     """Fit and calibrate the trees of each kind on the labelled candidates of ``marked`` (from ``candidates``).
 
     Candidates with equal features and label are counted, not kept: the fit
-    reads one row per pattern, from all documents.  A fifth of them, by hashed
+    reads one row per pattern, from all documents, in as many partitions as
+    there are ``PATTERNS_TOGETHER``.  A fifth of them, by hashed
     id, serves the calibration; a kind that has a label in one of the two parts
     only is fitted and calibrated on both together.  A kind with one label
     only, or none that reaches the wanted precision, has no judge and adds
     nothing, which a warning tells.
     """
-    able = F.filter("__proposed", lambda c: (c["kind"] != "secret") | _outside(c, F.col("base")))
-    rows = marked.select(F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False)).alias("held"), F.explode(able).alias("c"))
-    rows = rows.select("held", "c.kind", _weak_label(F.col("c")).cast("double").alias("label"), _features(F.col("c")).alias("f")).where("label IS NOT NULL")
+    told = F.filter(F.transform("__proposed", lambda c: F.struct(c.alias("c"), _weak_label(c, F.col("base")).alias("label"))), lambda x: x["label"].isNotNull())
+    rows = marked.select(F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False)).alias("held"), F.inline(told))
+    rows = rows.select("held", "c.kind", F.col("label").cast("double").alias("label"), _features(F.col("c")).alias("f"))
     patterns = cut(rows.groupBy("held", "kind", "label", "f").agg(F.count("*").cast("double").alias("n")).select(
         "held", "kind", "label", "n", "f.*"))
-    if patterns.count() > MAX_PATTERNS:
-        raise ValueError("candidate features have more values than they should")
+    parts_of_fit = 1 + patterns.count() // PATTERNS_TOGETHER
     judges = {}
     for kind in ADDED:
         own = patterns.where(F.col("kind") == kind)
@@ -217,18 +214,18 @@ def fit_judges(marked: DataFrame, doc_id: str = "doc_id", precision: float = PRE
             continue
         split = len(parts) == 4
         learn = own.where("NOT held") if split else own
-        learn = learn.orderBy("label", *FEATURES).coalesce(1)
+        learn = learn.orderBy("label", *FEATURES).coalesce(parts_of_fit)
         fitted = GBTClassifier(featuresCol="x", weightCol="n", maxIter=TREES, maxDepth=DEPTH, maxBins=32, stepSize=0.3, seed=7).fit(
             VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(learn))
-        judge = Judge(fitted, 2.0)
+        judge = Judge(fitted)
         scored = (own.where("held") if split else own).withColumn("score", judge.score(F.struct(*FEATURES)))
         along = Window.partitionBy("kind").orderBy(F.desc("score"))
         steps = scored.groupBy("kind", "score").agg(F.sum(F.col("n") * F.col("label")).alias("hits"), F.sum("n").alias("all")).select(
-            "score", (F.sum("hits").over(along) / F.sum("all").over(along)).alias("share"))
-        lowest = steps.where((F.col("share") >= precision) & (F.col("score") >= 0.5)).agg(F.min("score")).first()[0]
-        if lowest is not None:
-            judge.threshold = lowest
-            judges[kind] = judge
+            "score", F.sum("hits").over(along).alias("hits"), (F.sum("hits").over(along) / F.sum("all").over(along)).alias("share"))
+        lowest = steps.agg(
+            F.min(F.when((F.col("share") >= precision) & (F.col("score") >= 0.5), F.struct("score", "share", "hits"))).alias("at"), F.max("hits").alias("labels")).first()
+        if lowest["at"] is not None:
+            judges[kind] = Judge(fitted, lowest["at"]["score"], lowest["at"]["share"], lowest["at"]["hits"] / lowest["labels"])
         else:
             warnings.warn(f"no judge for {kind}: no threshold reaches a precision of {precision}", stacklevel=2)
     return judges

@@ -1,6 +1,7 @@
 """Operators over documents against plain versions, on awkward rows and on given ones."""
 
 import hashlib
+import re
 from collections import Counter
 
 import numpy as np
@@ -157,6 +158,53 @@ def test_few_secrets_in_many_documents_are_learnt(spark):
     assert len(added) == 10 and all([s.found for s in r.added] == [r.text.split()[2]] for r in added)
 
 
+def numbered(n=400):
+    """Numbers in groups of four after a cue, dates without one, and the same groups once without a cue."""
+    rng = np.random.default_rng(4)
+    cues = ["tel", "phone no", "Account:", "fax"]
+    rows = [(i, f"{cues[i % 4]} {rng.integers(1000, 9999)} {rng.integers(1000, 9999)} {rng.integers(1000, 9999)} then on 2024/{i % 12 + 10}/{i % 28 + 10} it came")
+            for i in range(n)]
+    return [*rows, (1000, "we wrote 4417 2231 9040 once, on 2023/11/12"), (1001, None), (1002, "")]
+
+
+@pytest.mark.parametrize("together", [200_000, 2])
+def test_numbers_are_learnt_from_the_words_before_them(spark, monkeypatch, together):
+    monkeypatch.setattr(pii, "PATTERNS_TOGETHER", together)  # 2: the fit reads several partitions
+    docs = spark.createDataFrame(numbered(), "doc_id long, text string").repartition(3)
+    judge = pii.fit_judges(pii.candidates(docs))["number"]
+    assert judge.precision >= pii.PRECISION and judge.recall == 1
+    for r in pii.find_pii(docs).collect():
+        want = [" ".join(re.findall("[0-9]+", r.text)[:3])] if r.text else []
+        assert [s.found for s in r.added if s.kind == "number"] == want
+
+
+def test_no_judge_learns_what_the_base_rules_know(spark):
+    rows = [(i, f"saw +1 (456) 555-{1000 + i} and 4111111111111111 or 4111111111111112 here") for i in range(200)]
+    with pytest.warns(UserWarning, match="no judge for number"):
+        judges = pii.fit_judges(pii.candidates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert "number" not in judges
+
+
+def test_selection_against_plain_trees(spark):
+    """Scores of the compiled trees equal those of the fitted model; spans are selected from the threshold on."""
+    from pyspark.ml.feature import VectorAssembler
+
+    marked = pii.candidates(spark.createDataFrame(numbered(), "doc_id long, text string"))
+    judges = pii.fit_judges(marked)
+    judge = judges["number"]
+    one = marked.select("doc_id", "base", F.explode("__proposed").alias("c")).where("c.kind = 'number'")
+    one = one.select("doc_id", "base", "c", pii._features(F.col("c")).alias("f")).select("*", judge.score(F.col("f")).alias("score"), "f.*")
+    plain = judge.model.transform(VectorAssembler(inputCols=list(pii.FEATURES), outputCol="x").transform(one)).collect()
+    want = {}
+    for r in plain:
+        assert r.score == pytest.approx(r.probability[1], abs=1e-12)
+        inside = any(b.start < r.c.end and r.c.start < b.end for b in r.base)
+        if r.score >= judge.threshold and not inside:
+            want.setdefault(r.doc_id, []).append((r.c.start, r.c.end))
+    got = {r.doc_id: [(s.start, s.end) for s in r.added if s.kind == "number"] for r in pii.select_spans(marked, judges).collect()}
+    assert {i: spans for i, spans in got.items() if spans} == want
+
+
 # language identification
 
 def test_languages_of_awkward_rows(docs, no_docs):
