@@ -130,3 +130,45 @@ def awkward_rows():
 def unit_vectors(n, dim, rng):
     x = rng.standard_normal((n, dim))
     return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def passages(text, size):
+    """Features of each passage of ``size`` words, one word after the other."""
+    kinds = [b" \t\v\f\r", b"\n", b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".", b",", b"!?", b"|",
+             b"\"'()[]{}:;-", bytes(range(128, 256))]
+    raw = (text or "").encode() + b"\n"
+    spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    found = [bytes(b | 32 for b in raw[a:z]) for a, z in spans]
+    out = []
+    for lo in range(0, max(1, len(spans)), size):
+        own, part = found[lo:lo + size], spans[lo:lo + size]
+        begin = part[0][0] if lo else 0
+        end = spans[lo + size][0] if lo + size < len(spans) else len(raw)
+        piece, n = raw[begin:end], max(1, len(own))
+        counts = [sum(piece.count(c) for c in (bytes([b]) for b in kind)) for kind in kinds]
+        row = [c / len(piece) for c in [*counts, len(piece) - sum(counts)]]
+        row.append(sum(z - a for a, z in part) / n / 10)
+        row.append((len(own) - len(set(own))) / n)
+        row.append((len(found) - len(set(found))) / max(1, len(found)))
+        row.append(sum(lo + i > 0 and found[lo + i - 1] == w for i, w in enumerate(own)) / n)
+        row.append(sum(z - a <= 2 for a, z in part) / n)
+        row.append(sum(65 <= raw[a] <= 90 for a, _ in part) / n)
+        row.append(sum(z - a > 20 for a, z in part) / n)
+        row.append(math.log1p(len(own)) / 4)
+        out.append(row)
+    return out
+
+
+def attention(rows, mean, scale, w):
+    """Score of one bag of passages by gated attention, number by number."""
+    codes, raws = [], []
+    for row in rows:
+        x = [min(8.0, max(-8.0, (v - m) / s)) for v, m, s in zip(row, mean, scale, strict=True)]
+        code = [math.tanh(sum(x[i] * w["W"][i][h] for i in range(len(x))) + w["b"][h]) for h in range(len(w["b"]))]
+        value = [math.tanh(sum(code[h] * w["V"][h][g] for h in range(len(code)))) for g in range(len(w["a"]))]
+        gate = [1 / (1 + math.exp(-sum(code[h] * w["U"][h][g] for h in range(len(code))))) for g in range(len(w["a"]))]
+        codes.append(code)
+        raws.append(sum(v * g * a for v, g, a in zip(value, gate, w["a"], strict=True)))
+    shares = [math.exp(r - max(raws)) for r in raws]
+    pooled = [sum(s * code[h] for s, code in zip(shares, codes, strict=True)) / sum(shares) for h in range(len(w["c"]))]
+    return 1 / (1 + math.exp(-sum(p * c for p, c in zip(pooled, w["c"], strict=True)) - w["d"][0]))

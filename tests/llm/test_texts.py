@@ -359,6 +359,18 @@ def test_quality_of_awkward_rows(docs, no_docs, spark):
     assert {r.score for r in quality.score_quality(docs, quality.fit_quality(no_docs, labels)).collect()} == {0.5}
 
 
+def test_quality_scores_against_plain_loops(spark, sf, docs):
+    given = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.fit_quality(given, spark.read.parquet(f"{sf}/labels.parquet"))
+    few = given.where("doc_id % 5 = 0").select("doc_id", "text").unionByName(docs.select("doc_id", "text"))
+    got = quality.score_quality(few, model).collect()
+    assert len({round(r.score, 3) for r in got}) > 2
+    for r in got:
+        plain = brute.passages(r.text, quality.PASSAGE_WORDS)
+        assert r.passages == len(plain)
+        assert r.score == pytest.approx(brute.attention(plain, model.mean, model.scale, model.weights), abs=1e-4)
+
+
 def test_passages_do_not_depend_on_their_neighbours():
     texts = ["", None, "one two  three", "w " * 500, "é\n\n x", "| a | b |"]
     together, of = quality.encode_passages(texts)
