@@ -15,8 +15,8 @@ from palisade.sources.store import read_events
 
 #: Candidates whose ids go into the scan's filter; more are joined.
 FILTER_IDS = 1000
-#: Postings of a file, about.
-FILE_ROWS = 5_000_000
+#: Postings of a file, about, and events whose postings one task sorts.
+FILE_ROWS, TASK_EVENTS = 5_000_000, 32_768
 POSTINGS = "gram string, id long, event_date date"
 
 
@@ -28,12 +28,16 @@ def trigrams(text: Column) -> Column:
 def index_events(events: DataFrame, path: str) -> None:
     """Add events to the index; searched are message, source and event type, in lower case.
 
-    An event may be indexed twice: a posting is a fact.  Frequent grams spread
-    over many files, in order of id.
+    An event may be indexed twice: a posting is a fact.  Events are dealt out by
+    day and id before they become hundreds of postings each, which are then
+    sorted where they arise: a file holds the grams of a block of ids, and a
+    lookup reads the pages of its grams in the files of all blocks.
     """
+    blocks = max(events.sparkSession.sparkContext.defaultParallelism, -(-events.count() // TASK_EVENTS))
+    events = events.select("event_date", "id", "raw_message", "source", "event_type").repartitionByRange(blocks, "event_date", "id")
     fields = F.concat(*[trigrams(F.coalesce(F.lower(c), F.lit(""))) for c in ("raw_message", "source", "event_type")])
     postings = events.select("event_date", "id", F.explode(F.array_distinct(fields)).alias("gram"))
-    rows = postings.repartitionByRange("event_date", "gram", "id").sortWithinPartitions("event_date", "gram", "id")
+    rows = postings.sortWithinPartitions("event_date", "gram", "id")
     rows.select("gram", "id", "event_date").write.mode("append").partitionBy("event_date").option("maxRecordsPerFile", FILE_ROWS).option(
         "parquet.bloom.filter.enabled#gram", "true").parquet(path)
 
