@@ -8,6 +8,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from palisade.functions.text import text_entropy
+from palisade.plans import running as RN
 from palisade.schema import EVENTS
 from palisade.sources import fixtures as fx, search_index as X
 
@@ -50,3 +51,23 @@ def test_postings_arise_in_blocks_of_events(spark, tmp_path, monkeypatch):
     assert len(files) >= 10
     found = X.search_indexed(spark, store, index, "PassWD")
     assert Counter(r["id"] for r in found.collect()) == Counter(i for i, m in rows if "passwd" in m)
+
+
+def test_windows_get_their_rows_by_number(spark, monkeypatch):
+    """Narrow rows that are alike weigh next to nothing, and are yet worked on by many tasks; repeated rows and null keys as before."""
+    monkeypatch.setattr(RN, "TASK_ROWS", 100)
+    rows = [(i % 4, i // 4 * 60, i, 1) for i in range(4000)] + [(0, 0, 0, 1), (None, 5, 5, 1)]
+    df = spark.createDataFrame(rows, "k int, s long, id long, x int").withColumn("ts", F.timestamp_seconds("s"))
+    known = [r for r in rows if r[0] is not None]
+    n = len(rows)
+    summed = RN.running(df, ["k"], ["ts", "id"], ts="ts", sums={"total": F.col("x")}, at_most=n)
+    before = RN.previous_rows(df, ["k"], ["ts", "id"], F.col("id"), 3, ts="ts", at_most=n)
+    one = RN.previous_rows(df, ["k"], ["ts", "id"], F.col("id"), 1, ts="ts", at_most=n)
+    for out in (summed, before, one):
+        tasks = out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
+        assert len(tasks) >= 20 and sum(t["n"] for t in tasks) == len(known)
+    of_key = {k: sorted((s, i) for kk, s, i, _ in known if kk == k) for k in range(4)}
+    assert sorted((r["k"], r["total"]) for r in summed.collect()) == sorted((k, m + 1) for k, v in of_key.items() for m in range(len(v)))
+    for out, k in ((before, 3), (one, 1)):
+        want = sorted((key, i, [b for _, b in v[max(0, m - k):m]]) for key, v in of_key.items() for m, (_, i) in enumerate(v))
+        assert sorted((r["k"], r["id"], r["prev"]) for r in out.collect()) == want
