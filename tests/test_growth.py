@@ -8,6 +8,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from palisade.functions.text import text_entropy
+from palisade.operators import anomaly as M
 from palisade.plans import running as RN
 from palisade.schema import EVENTS
 from palisade.sources import fixtures as fx, search_index as X
@@ -71,3 +72,19 @@ def test_windows_get_their_rows_by_number(spark, monkeypatch):
     for out, k in ((before, 3), (one, 1)):
         want = sorted((key, i, [b for _, b in v[max(0, m - k):m]]) for key, v in of_key.items() for m, (_, i) in enumerate(v))
         assert sorted((r["k"], r["id"], r["prev"]) for r in out.collect()) == want
+
+
+def test_repeated_rows_count_alike_whatever_the_join(spark):
+    """Rows of one id that come twice have the same deviations with broadcast joins and without."""
+    rows = [(i // 2, i // 2 * 30, "10.0.0.1", f"a{i // 2 % 3}", f"/p{i // 2 % 5}", "GET", 100, 7) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, s long, source_ip string, user_agent string, path string, method string, request_size long, response_time_ms long")
+    df = df.withColumn("ts", F.timestamp_seconds("s"))
+    found = {}
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for limit in ("-1", "10MB"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            found[limit] = sorted(tuple(r) for r in M._rarities(df, len(rows)).collect())
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert found["-1"] == found["10MB"]
