@@ -12,6 +12,8 @@ from palisade.session import truncate_lineage
 #: Bytes of words that travel with the tasks at a time, and rules in one projection.
 CHUNK_BYTES = 16_000_000
 CHUNK_RULES = 64
+#: Words of a chunk, and bytes of them, that are looked for one after the other: fewer tests than a text has pieces.
+FEW_WORDS, FEW_BYTES = 64, 65_536
 
 
 def _numbered(df: DataFrame, value: str, room: int, size: Column) -> DataFrame:
@@ -46,16 +48,28 @@ def _anchored(words: DataFrame) -> DataFrame:
     return pieces.join(shared, ["size", "gram"]).groupBy("chunk", "v", "size").agg(F.min_by("gram", F.struct("words", "gram")).alias("gram"))
 
 
+def _is_short(words: DataFrame, word: str, room: int) -> bool:
+    """Whether the distinct words are so few, and of so few bytes, that one projection takes them all."""
+    n, size = words.select(word).distinct().agg(F.count("*"), F.coalesce(F.sum(F.octet_length(word)), F.lit(0))).first()
+    return n <= FEW_WORDS and size <= room
+
+
 def substring_join(df: DataFrame, text: str, words: DataFrame, word: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Rows whose ``text`` contains a word, once per word, with ``word`` added.
 
-    Every word is looked for by one piece of it: a text's pieces of that size
+    The few words of a short list are literals that each text is tested for, in
+    one pass.  A word of a longer list is looked for by one piece of it: a text's pieces of that size
     meet those of a broadcast chunk of the words by equality, and what meets is
     confirmed.  All of it is one generated loop over the texts per chunk; no
     text is shuffled or copied for a piece that meets nothing.  Empty and null
     words match nothing.
     """
-    wanted = _numbered(words.where(F.length(word) > 0), word, chunk_bytes, F.octet_length("v"))
+    words = words.where(F.length(word) > 0)
+    if _is_short(words, word, min(FEW_BYTES, chunk_bytes)):
+        short = sorted(r[0] for r in words.select(word).distinct().collect())
+        tried = [F.when(F.contains(F.col(text), F.lit(w)), F.lit(w)) for w in short]
+        return df.withColumn(word, F.explode(F.array_compact(F.array(F.lit(None).cast("string"), *tried))))
+    wanted = _numbered(words, word, chunk_bytes, F.octet_length("v"))
     anchors = truncate_lineage(_anchored(wanted))
     out = None
     for row in anchors.select("chunk", "size").distinct().orderBy("chunk", "size").collect():

@@ -95,6 +95,19 @@ def test_substring_join_in_chunks(spark):
     assert small == large == {(0, "evil.com"), (2, "evil.com"), (2, "/etc"), (3, "/etc"), (4, "ab")}
 
 
+def test_a_short_list_is_one_pass_over_the_texts(spark):
+    """Few words are tested for in place; texts are neither cut into pieces nor joined.  A longer list finds the same."""
+    rows = [(0, "a %_' evil.com /etc"), (0, "a %_' evil.com /etc"), (None, "evil.com"), (2, None), (3, ""), (4, "EVIL.com")]
+    df = spark.createDataFrame(rows, "id long, t string")
+    words = ["evil.com", "/etc", "%_'", "evil.com", "", None, "zzz"]
+    more = [f"never-there-{i}" for i in range(100)]
+    short, long = (substring_join(df, "t", spark.createDataFrame([(w,) for w in ws], "w string"), "w") for ws in (words, words + more))
+    assert "Join" not in short._jdf.queryExecution().optimizedPlan().toString()
+    want = sorted(((i, w) for i, t in rows if t for w in {w for w in words if w} if w in t), key=str)
+    for out in (short, long):
+        assert sorted(((r.id, r.w) for r in out.collect()), key=str) == want
+
+
 def test_pattern_join_in_chunks(spark):
     df = spark.createDataFrame([(0, "abc"), (1, "xyz"), (2, "abxz")], "id long, t string")
     rules = spark.createDataFrame([("a.c",), ("z$",), ("^x",), ("b",), ("q",)], "p string")
