@@ -153,3 +153,27 @@ def test_encoded_lines_reach_the_detectors(spark):
     assert xss == ["&#x0000003cscript>", "<script>", "<script>", "<s", "<script>"]
     sqli = [r.o for r in with_decoded_sqli(texts(spark, ["1\\x27 OR 1=1", "1&#39; OR 1=1", "1\\u0027"]), "t", "o").orderBy("id").collect()]
     assert sqli == ["1' OR 1=1", "1' OR 1=1", "1'"]
+
+
+def test_tests_that_spare_a_pattern_change_nothing(spark, sf):
+    """Marks, needed texts and shorter patterns find what the patterns alone find; of plain lines few patterns are tried."""
+    from palisade.functions import rules as R
+    from palisade.sources import fixtures as fx
+
+    odd = [*ATTACKS, "", None, "a \t b\n\nc\r\x0bd  e \x0c", " = ", "x =", "é=", "-:;", "z : \n", "@media", "a\\7 \\x41 \\u0041 &#x41; %41 +", "sel\x00ect", "/*! 1 */",
+           "String.fromCharCode (1) unescape( decodeURIComponent(", " or  true", "and 1 = 1", "onload =", "onstorage="]
+    every = texts(spark, odd).select("t").unionByName(fx.log_lines(spark, sf).select(dc.url_decode(F.col("line")).alias("t")))
+    every = every.unionByName(fx.table(spark, sf, "pages").select(F.col("html").alias("t"))).select("t", F.lower("t").alias("low"))
+    every = every.withColumn("marks", V.rule_marks(F.col("low")))
+    rules, t, low = R.SQLI_RULES + R.XSS_RULES, F.col("t"), F.col("low")
+    listed = [*R.SQLI_ENCODINGS, *R.XSS_ENCODINGS, *((p, p) for p in R.SQLI_BYPASSES)]
+    pairs = [
+        (V.rule_hits(low, rules), V.rule_hits(low, rules, lower_cased=True, marks=F.col("marks"))),
+        (F.array(*[t.rlike(p) for _, p in listed]), F.array(*[tx.found(t, p) for _, p in listed])),
+        (F.regexp_replace(t, r"\s+", " "), dc._single_spaced(t)),
+        (F.array(*[low.rlike(a) | low.rlike(b) for _, (a, b) in R.XSS_CONTEXTS]), F.transform(
+            F.array(*[F.lit(n) for n, _ in R.XSS_CONTEXTS]), lambda n: F.array_contains(V.xss_contexts(low), n))),
+    ]
+    for plain, spared in pairs:
+        assert every.where(~plain.eqNullSafe(spared) & t.isNotNull()).count() == 0
+    assert set(R.RULE_MARK) <= {r.name for r in rules} and set(R.PATTERN_LITERALS) <= {p for _, p in listed}
