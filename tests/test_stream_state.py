@@ -193,3 +193,25 @@ def test_live_risk_with_a_model_equals_that_of_the_table(spark, sf, tmp_path):
     assert max(abs(r.score - order[r.id].score) for r in got) < 1e-9 and any(r.score for r in got)
     assert max(abs(r.risk_score - order[r.id].risk_score) for r in got) < 1e-9
     assert all(r.has_threats == order[r.id].has_threats for r in got)
+
+
+def test_a_key_with_few_rows_costs_no_copies(monkeypatch):
+    """Rows come in order of time and id, ties as given and missing ids last, from one part or many; one part is not joined or sorted as a frame."""
+    parts = [pd.DataFrame({"us": [5, 3, 3, 3], "id": [1.0, 9.0, None, 9.0], "x": list("abcd")}), pd.DataFrame({"us": [4, 3], "id": [2.0, 1.0], "x": ["e", None]})]
+    want = [pd.concat(p).sort_values(["us", "id"], ignore_index=True) for p in (parts[:1], parts)]
+    objects = pd.DataFrame({"us": [2, 1], "id": pd.Series([None, 1], dtype=object), "x": ["a", "b"]})
+    assert H.in_order([objects])["x"].tolist() == ["b", "a"]
+    for got, frame in zip([H.in_order(parts[:1]), H.in_order(parts)], want):
+        pd.testing.assert_frame_equal(got, frame)
+
+    def refuse(*args, **kwargs):
+        raise AssertionError("a whole frame is joined or sorted")
+
+    _, history = started(H.UserHistory)
+    part = pd.DataFrame(some_rows(3, 9)).assign(spread=0).astype({"username": object, "user_agent": object})
+    before = part.copy()
+    for name in ("sort_values", "assign", "drop"):
+        monkeypatch.setattr(pd.DataFrame, name, refuse)
+    monkeypatch.setattr(H.pd, "concat", refuse)
+    (out,) = history.handleInputRows(("k", 0), iter([part]), None)
+    assert out["user_total"].tolist() == list(range(1, 10)) and part.equals(before)
