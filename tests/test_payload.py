@@ -177,3 +177,19 @@ def test_tests_that_spare_a_pattern_change_nothing(spark, sf):
     for plain, spared in pairs:
         assert every.where(~plain.eqNullSafe(spared) & t.isNotNull()).count() == 0
     assert set(R.RULE_MARK) <= {r.name for r in rules} and set(R.PATTERN_LITERALS) <= {p for _, p in listed}
+
+
+def test_parts_of_a_verdict_that_nobody_reads_are_not_worked_out(spark):
+    """Of a verdict whose rules alone are read, neither signs, advice nor encodings are left in the plan; a filter repeats no pattern."""
+    df = texts(spark, [*ATTACKS, "", None])
+    both = V.xss_detect(V.sqli_detect(df, F.col("t")), F.col("t"))
+    whole = {r.id: r for r in both.collect()}
+    for detect, name in ((V.sqli_detect, "sqli"), (V.xss_detect, "xss")):
+        matched = detect(df, F.col("t")).select("id", F.col(f"{name}.matched").alias("m"))
+        plan = matched._jdf.queryExecution().optimizedPlan().toString()
+        assert not any(part in plan for part in ("_verdict_encodings", "_verdict_mitigations", "_signs", "_bypass", "decodeURI"))
+        assert {r.id: r.m for r in matched.collect()} == {i: r[name].matched for i, r in whole.items()}
+    kept = both.where("sqli.detected OR xss.detected").select("id", "sqli.matched")
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("information_schema") == both._jdf.queryExecution().optimizedPlan().toString().count("information_schema")
+    assert {r.id for r in kept.collect()} == {i for i, r in whole.items() if r.sqli.detected or r.xss.detected}
