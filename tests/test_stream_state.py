@@ -215,3 +215,27 @@ def test_a_key_with_few_rows_costs_no_copies(monkeypatch):
     monkeypatch.setattr(H.pd, "concat", refuse)
     (out,) = history.handleInputRows(("k", 0), iter([part]), None)
     assert out["user_total"].tolist() == list(range(1, 10)) and part.equals(before)
+
+
+@pytest.mark.parametrize("kind", [H.AddressHistory, H.ServiceHistory, H.UserHistory])
+def test_a_key_with_many_rows_keeps_what_it_reads_only(kind, monkeypatch):
+    """Its rows wait in a file, and the history goes over them step by step; values and other columns as for few rows."""
+    rows = some_rows(5, 400) + [{**some_rows(5, 400)[-1], "id": 400}]  # two rows of one instant
+    texts = [f"verdict {i} " + "x" * 500 for i in range(len(rows))]
+    rng, got = random.Random(5), []
+    _, history = started(kind)
+    monkeypatch.setattr(H, "HELD_ROWS", 30)
+    monkeypatch.setattr(H, "STEP_ROWS", 17)
+    taken, whole = [], H.in_order
+    monkeypatch.setattr(H, "in_order", lambda parts: taken.append(parts) or whole(parts))
+    for some in (rows[:150], rows[150:160], rows[160:]):
+        mixed = pd.DataFrame(rng.sample(some, len(some))).assign(spread=0)
+        mixed["held"] = [texts[i] for i in mixed["id"]]
+        mixed = mixed.astype({"username": object, "user_agent": object}).where(mixed.notna(), None)
+        parts = [mixed[i:i + 13] for i in range(0, len(mixed), 13)]
+        out = list(history.handleInputRows(("k", 0), iter([p.copy() for p in parts]), None))
+        assert len(out) == (len(parts) if len(some) > 30 else 1)  # many rows don't come back as one frame
+        got += pd.concat(out)[["id", "held", *kind.added]].to_dict("records")
+    assert [["held" in p.columns for p in parts] for parts in taken] == [[False] * 12, [True], [False] * 19]
+    want = [{c: r[c] for c in ("id", *kind.added)} | {"held": texts[r["id"]]} for r in walk(rows)]
+    assert sorted(got, key=lambda r: r["id"]) == [{c: r[c] for c in got[0]} for r in want]
