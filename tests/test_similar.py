@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palisade.operators import similar as S
+from palisade.operators import enrich as E, similar as S
 from palisade.operators.enrich import similar_events
 
 
@@ -65,3 +65,35 @@ def test_low_thresholds_are_refused(spark):
     rows = spark.range(3000).select("id", F.array(*[F.randn(s) for s in range(4)]).alias("features"))
     with pytest.raises(ValueError):
         S.similar_indexed(rows, rows, least=0.05, miss=1e-6)
+
+
+@pytest.mark.parametrize("rooms", [(400, 900, 2000), (2 << 20, 8 << 20, 64 << 20)])
+@pytest.mark.parametrize("least", [0.8, 0.1, -0.5])
+def test_blocks_equal_all_pairs(spark, monkeypatch, rooms, least):
+    """No row is copied for the rows it meets; copies, repeated ids, NULLs and other lengths against plain loops."""
+    for name, room in zip(("VECTORS_BYTES", "SAMPLES_BYTES", "TASK_BYTES"), rooms):
+        monkeypatch.setattr(E, name, room)
+    monkeypatch.setattr(S, "BLOCK_ROWS", 3)
+    rng = np.random.default_rng(8)
+    x = near_vectors(60, rng)[:, :6]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(100 + i, x[7].tolist()) for i in range(8)] + [(3, x[3].tolist()), (7, x[7].tolist())]
+    rows += [(200, [0.0] * 6), (201, None), (202, [None] * 6), (203, [float("nan")] * 6), (204, []), (None, x[5].tolist()), (205, [1.0, 2.0]), (206, [2.0, 1.0])]
+    samples = spark.createDataFrame(rows, "id long, features array<double>").withColumns({
+        "ts": F.timestamp_seconds(F.col("id")), "source_ip": F.concat(F.lit("ip"), F.col("id").cast("string")), "label": F.col("id") % 2 == 0})
+    out = similar_events(samples, samples, least=least)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" not in plan and "explode" not in plan.lower()
+    got = [(r.id, [tuple(s) for s in r.similar]) for r in out.collect()]
+    assert sorted(str(i) for i, _ in got) == sorted(str(i) for i, _ in rows)
+    able = [(i, np.array(v)) for i, v in rows if i is not None and v and None not in v and not np.isnan(v).any()]
+
+    def cosine(a, b):
+        scale = np.linalg.norm(a) * np.linalg.norm(b)
+        return a @ b / scale if scale else 0.0
+
+    for i, found in got:
+        # a repeated id has the best of all its rows
+        every = [(round(-cosine(a, b), 9), j) for k, a in able if k == i for j, b in able if j != i and len(a) == len(b) and cosine(a, b) > least + 1e-12]
+        assert [(round(-s, 9), j) for s, j, *_ in found] == sorted(every)[:5]
+        for _, j, ts, ip, _, odd in found:
+            assert (int(ts.timestamp()), ip, odd) == (j, f"ip{j}", j % 2 == 0)
