@@ -88,3 +88,25 @@ def test_repeated_rows_count_alike_whatever_the_join(spark):
         finally:
             spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     assert found["-1"] == found["10MB"]
+
+
+def test_an_index_task_lists_its_postings(spark, tmp_path, monkeypatch):
+    """A row per day and gram and not per posting; characters beyond 16 bits, steps that end within a task, days and ids that are missing."""
+    monkeypatch.setattr(X, "TASK_EVENTS", 40)
+    texts = ["GET /etc/passwd", "a\U0001F600b\U0001F600\u0130\u00e9", "", None, "ab", "aaaaaa", "x" * 300]
+    rows = [(i, f"2024-01-{5 + i % 2:02d}" if i % 9 else None, texts[i % 7], ["nginx", "ssh", None][i % 3], "Normal") for i in [*range(120), 7, 7]]
+    rows.append((None, "2024-01-05", "no id", "ssh", "Normal"))
+    events = spark.createDataFrame(rows, "id long, day string, raw_message string, source string, event_type string").withColumn("event_date", F.to_date("day"))
+    X.index_events(events, str(tmp_path / "index"))
+    got = spark.read.schema(X.POSTINGS).parquet(str(tmp_path / "index"))
+    fields = F.concat(*[X.trigrams(F.coalesce(F.lower(c), F.lit(""))) for c in ("raw_message", "source", "event_type")])
+    want = events.where("id IS NOT NULL").select("event_date", "id", F.explode(F.array_distinct(fields)).alias("gram")).distinct()
+    posted = {tuple(r) for r in got.select("event_date", F.explode("ids"), "gram").collect()}
+    assert posted == {tuple(r) for r in want.collect()}
+    assert got.count() * 3 < len(posted)  # a task lists events together
+    steps = []
+    monkeypatch.setattr(X, "_posted", lambda days, ids, texts, of: steps.append(len(ids)) or iter(()))
+    monkeypatch.setattr(X, "STEP_CHARS", 50)
+    batch = pa.table({"event_date": pa.array([None] * 10, pa.date32()), "id": [*range(9), None], "raw_message": ["y" * 20] * 10, "source": ["s"] * 10, "event_type": [None] * 10})
+    list(X._postings(iter(batch.to_batches())))
+    assert steps == [3, 3, 3]
