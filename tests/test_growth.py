@@ -110,3 +110,50 @@ def test_an_index_task_lists_its_postings(spark, tmp_path, monkeypatch):
     batch = pa.table({"event_date": pa.array([None] * 10, pa.date32()), "id": [*range(9), None], "raw_message": ["y" * 20] * 10, "source": ["s"] * 10, "event_type": [None] * 10})
     list(X._postings(iter(batch.to_batches())))
     assert steps == [3, 3, 3]
+
+
+def test_a_halving_mean_walks_each_cell_once(spark, monkeypatch):
+    """Equal to the plain walk, over cells of any size, with repeated rows and missing values, times and keys, and without arrays of earlier values."""
+    monkeypatch.setattr(RN, "TASK_ROWS", 50)
+    monkeypatch.setattr(RN, "CELL_ROWS", 40)
+    rows = [("a", (i * i * 37) % 90_000 + 400_000 * (i % 3), i, float(i * 7 % 23)) for i in range(300)] + [("b", 10_000 * i, i, 1e6 / (i + 1)) for i in range(150)]
+    rows += [("a", 5, 900, None), ("a", None, 901, 3.0), (None, 5, 902, 3.0), ("a", 2000, 903, 4.0), ("a", 2000, 903, 4.0)]
+    df = spark.createDataFrame(rows, "k string, s long, id long, x double").withColumn("ts", F.timestamp_seconds("s"))
+    want = []
+    for key in "ab":
+        mean = 0.0
+        for s, i, x in sorted((s, i, x) for k, s, i, x in rows if k == key and s is not None and x is not None):
+            mean = (mean + x) / 2
+            want.append((key, s, i, mean))
+    for n in (len(rows), None):
+        out = RN.halving_mean(df.where("k IS NOT NULL"), ["k"], ["ts", "id"], F.col("x"), ts="ts", out="mean", at_most=n and 10 * n)
+        assert out.columns == ["k", "s", "id", "x", "ts", "mean"]
+        assert "collect_list(_x" not in out._jdf.queryExecution().optimizedPlan().toString()
+        got = sorted((r["k"], r["s"], r["id"], r["mean"]) for r in out.collect())
+        assert [g[:3] for g in got] == sorted(w[:3] for w in want)
+        assert all(math.isclose(g[3], w[3], rel_tol=1e-12) for g, w in zip(got, sorted(want)))
+
+
+def test_quantiles_send_bins_and_not_rows(spark):
+    """Exact with ties, missing and unlike features; a task gives at most a row per bin, feature and value it looks at."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(rng.standard_normal(2).tolist() + [float(i % 5)],) for i in range(9000)] + [(None,), ([1.0],), ([None, 0.5, 2.0],)]
+    df = spark.createDataFrame(rows, "features array<double>").repartition(3)
+    values = [sorted(f[i] for f, in rows if f and i < len(f) and f[i] is not None) for i in range(3)]
+    got = M.exact_quantile(df, 0.95, [(len(v), v[0], v[-1]) for v in values], bins=16, few=10)
+    assert np.allclose(got, [np.quantile(v, 0.95) for v in values], rtol=0, atol=1e-12)
+    made = df.mapInPandas(M._bin_counts({0: (-9.0, 9.0), 2: (0.0, 4.0)}, 16), "i int, b int, n long, lo double, hi double").collect()
+    assert len(made) <= 3 * 2 * 16 and sum(r["n"] for r in made) == len(values[0]) + len(values[2])
+
+
+def test_the_risk_needs_no_sorted_features(spark):
+    rows = [(1, [0.0, 0.0, 0.0]), (2, [9.0, 0.0, 5.0]), (3, [9.0, 9.0, 5.0]), (4, [None, 9.0]), (5, None), (6, [float("nan"), 0.0, 5.0])]
+    df = spark.createDataFrame(rows, "id long, features array<double>")
+    model = M.Model([1.0, 1.0, 5.0], [0.0] * 3, [[0.0] * 3], 1e9, [0.0, 0.0, 5.0], [1.0, 1.0, 0.0], False, 6)
+    out = M.detect_anomaly(df, model, ["a", "b", "c"])
+    risk = out.select("id", "risk_level")
+    assert "sort_array" not in risk._jdf.queryExecution().optimizedPlan().toString()
+    want = out.select("id", M.anomaly_risk(F.col("anomaly_score"), F.col("importance")).alias("risk_level"))
+    assert sorted(map(tuple, risk.collect())) == sorted(map(tuple, want.collect()))
